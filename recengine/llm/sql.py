@@ -52,3 +52,10 @@ FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON a.source
 """
 
 SQL = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_mix_sources": OP10}
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+k AS (SELECT t, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN k USING (t)
+"""
+SQL["op8_exact_dedup"] = OP8
