@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import decontaminate as dec
-from recengine.llm import exactdup, mixing, urls
+from recengine.llm import exactdup, mixing, toxicity, urls
 from recengine.llm.sql import SQL
 
 
@@ -27,6 +27,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(toxicity.remainder("doc_id", 5) != 0)
+    scored = toxicity.score(spark, docs, toxicity.train(spark, docs, labels))
+    return scored.select("doc_id", (toxicity.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
