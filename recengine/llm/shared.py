@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset, as in tests, a folder of this machine."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="recengine-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to
+    global _OWN
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        _OWN = _OWN or "file://" + tempfile.mkdtemp(prefix="recengine-")
+    return (named or _OWN).rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once; what follows reads it from the shared folder, so a lost executor costs no more than its tasks."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written as Parquet to the shared folder; what follows reads it from there.
+
+    A lost executor then costs its tasks only, the plan behind ``df`` is cut off, and Spark knows the table's size, by which
+    it may broadcast a small one. The tables are the session's: who clears the shared folder clears them.
+    """
+    path = f"{folder(df.sparkSession)}/recengine/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OWN = ""
