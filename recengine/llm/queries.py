@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import decontaminate as dec
-from recengine.llm import exactdup, jaccard, mixing, tokens, toxicity, urls
+from recengine.llm import exactdup, jaccard, mixing, pii, secrets, tokens, toxicity, urls
 from recengine.llm.sql import SQL
 
 
@@ -34,10 +34,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
 def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
