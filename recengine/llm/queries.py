@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import decontaminate as dec
-from recengine.llm import exactdup, jaccard, mixing, pii, secrets, tokens, toxicity, urls
+from recengine.llm import exactdup, jaccard, lmscore, mixing, pii, secrets, tokens, toxicity, urls
 from recengine.llm.sql import SQL
 
 
@@ -34,6 +34,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.score(spark, docs, toxicity.remainder("doc_id", 7) != 2, scanned=True)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("text")
@@ -78,7 +83,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    import corpus_pipeline
+
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
