@@ -6,16 +6,19 @@ each document) and writes one file of record batches with two fixed-size lists:
 maps the file gets any of them without copying or decoding. A second file says where each document begins.
 A file gets its name when it is whole; a task that runs again writes the same bytes under the same name.
 
-Encoding goes word by word: the tokenizer's pre-tokens never hold white space, so a text's ids are those of its words between
-white space, and a word that came before is not encoded again (``test_tokens`` holds this against encoding whole texts).
+Encoding goes piece by piece: the tokenizer's pre-tokens hold neither white space nor letters beside punctuation or digits, so
+a text's ids are those of its pieces, and a piece that came before is not encoded again (``test_tokens`` holds this against
+encoding whole texts).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,44 +32,120 @@ from recengine.llm.shared import folder, kept
 LENGTH = 2048
 BATCH = 64
 END = 2
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers before it starts anew.
+REMEMBERED = 1_000_000
+
+
+#: Bytes of pieces: 1 letters (and lead bytes of two-byte Latin letters), 2 ASCII punctuation but the apostrophe, 3 digits, 0 all else.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+_CLASS[48:58] = 3
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of pieces that are encoded alike wherever they stand, and each byte's class.
+
+    Pieces end at white space, and ``within`` words where letters, punctuation and digits meet: there, every pre-token ends.
+    """
+    starts, ends, rows = _text.cut(data, offsets, _text.SOLID)
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    if len(lead):
+        next_ = data[lead + 1]  # no letters: the signs of times and division, and capital I with a dot, which becomes a letter and a mark
+        sign = (data[lead] == 0xC3) & ((next_ == 0x97) | (next_ == 0xB7)) | (data[lead] == 0xC4) & (next_ == 0xB0)
+        kind[lead[sign]] = 0
+        kind[lead[~sign] + 1] = 1
+    if within and len(data):
+        new = np.zeros(len(data), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        new[starts] = True
+        begin = np.flatnonzero(new)
+        word = np.searchsorted(starts, begin, "right") - 1
+        inside = (word >= 0) & (begin < ends[word])
+        begin, word = begin[inside], word[inside]
+        last = np.r_[word[1:] != word[:-1], True] if len(word) else np.zeros(0, bool)
+        stop = np.where(last, ends[word], np.r_[begin[1:], 0])
+        return begin, stop, rows[word], kind
+    return starts, ends, rows, kind
+
+
+def _visible() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 as it is, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of whole texts, each followed by ``end``."""
+    """Ids of whole texts, each followed by ``end``. Ids of pieces that came before are looked up in sorted arrays.
+
+    Pieces of letters alone are one pre-token, so the library's model gets them at once; all others go its whole way.
+    """
 
     def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), end, {}
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.model, self.visible = self.tokenizer.model, _visible()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x.get("type") for y in (steps["normalizer"], steps["pre_tokenizer"]) for x in [*(y or {}).get("normalizers", []), *(y or {}).get("pretokenizers", [])]]
+        #: Whether the tokenizer lower-cases, parts words as ``pieces`` does and maps bytes; any other parts at white space only.
+        self.parts = kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in str(steps["pre_tokenizer"]).replace("\\\\", "\\")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([self.end], self.kind)
+
+    def _encoded(self, raw: list[bytes], letters: list[bool]) -> list[list[int]]:
+        out: list = [None] * len(raw)
+        whole = []
+        for k, (piece, own) in enumerate(zip(raw, letters, strict=True)):
+            if own:
+                text = piece.decode().lower()
+                out[k] = [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.visible))]
+            else:
+                whole.append(k)
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([raw[k].decode() for k in whole], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts and, for each text, how many of them are its own."""
-        starts, ends, rows = _text.cut(data, offsets, _text.SOLID)
-        words, first, which = np.unique(_text.hashed(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        keys = words.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.known]
         raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-        for k, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[k]] = np.array(e.ids, self.kind).tobytes()
-        each = [self.known[x] for x in keys]
-        step = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, each), np.int64, len(each)) // step
-        flat = np.frombuffer(b"".join(each) + np.array([self.end], self.kind).tobytes(), self.kind)
-        begin = np.cumsum(size) - size
-        # the words of each text and then its end: one more "word" that stands behind all others in ``flat``
+        # a special token's string is one whatever stands beside it; a mark may join a small letter but not its capital
+        within = self.parts and b"<|" not in raw
+        low = _text.LOWER[data] if within and not ((data == 0xCC) | (data == 0xCD)).any() else data
+        starts, ends, rows, kind = pieces(data, offsets, within)
+        hashes = _text.hashed(low, starts, ends) + np.uint64(not within)
+        words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, words)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != words) if len(self.keys) else np.arange(len(words))
+        if len(new):
+            other = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(kind != 1, out=other[1:])
+            a, b = starts[first[new]], ends[first[new]]
+            letters = (other[a] == other[b]) & within
+            made = self._encoded([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], letters.tolist())
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            flat = np.fromiter(chain.from_iterable(made), self.kind, int(size.sum()))
+            self.begin = np.insert(self.begin, at[new], len(self.pool) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, at[new], size)
+            self.keys = np.insert(self.keys, at[new], words[new])
+            self.pool = np.concatenate([self.pool, flat])
+        place = np.searchsorted(self.keys, words)
+        size, begin = self.size[place], self.begin[place]
+        # the pieces of each text and then its end: one more piece, that stands first in the pool
         at = np.searchsorted(rows, np.arange(len(offsets) - 1), "right")
-        word_size = np.insert(size[which], at, 1)
-        word_begin = np.insert(begin[which], at, len(flat) - 1)
+        piece_size = np.insert(size[which], at, 1)
+        piece_begin = np.insert(begin[which], at, 0)
         owner = np.insert(rows, at, np.arange(len(offsets) - 1))
-        place = np.arange(int(word_size.sum())) - np.repeat(np.cumsum(word_size) - word_size, word_size) + np.repeat(word_begin, word_size)
-        return flat[place], np.bincount(owner, word_size, len(offsets) - 1).astype(np.int64)
+        index = np.arange(int(piece_size.sum())) + np.repeat(piece_begin - (np.cumsum(piece_size) - piece_size), piece_size)
+        return self.pool[index], np.bincount(owner, piece_size, len(offsets) - 1).astype(np.int64)
 
 
 class Sequences:

@@ -35,6 +35,23 @@ def test_round_trip_is_the_library_s_encoding(spark, whole, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
 
 
+def test_pieces_of_any_characters(whole):
+    import random
+
+    rng = random.Random(4)
+    marks = ["a", "B", "é", "É", "İ", "ß", "ẞ", "×", "÷", "…", ".", ",", "'", "'s", "'ll", "H", "\u0331", "\u0301", "1", "23", "²", "½", "日", "🙂", " ", "\n", "\u00a0", "\u2003", "ſ", "K", "Å", "ǅ", "Σ", "_", "-", "\x00", "ñ", "Ź", "ɐ"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts[::50] = ["".join(rng.choice([*marks, "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|"]) for _ in range(6)) for _ in texts[::50]]
+    for size in (1, 7, 300):
+        encode = tokens.Encoder(queries.tokenizer())
+        for k in range(0, len(texts) if size > 1 else 400, size):
+            data, offsets = tokens._text.buffer(pa.array(texts[k : k + size], pa.large_string()))
+            ids, sizes = encode(data, offsets)
+            want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts[k : k + size]]
+            got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            assert got == want, next((t, g, w) for t, g, w in zip(texts[k : k + size], got, want) if g != w)
+
+
 def test_sequences_have_one_length_and_a_mask(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h")], "doc_id long, text string").coalesce(1)
     files = tokens.write(spark, docs, str(tmp_path / "f"), queries.tokenizer(), length=4).collect()
