@@ -196,5 +196,5 @@ def training_rows(rows: DataFrame, in_pool: Column) -> DataFrame:
 def rerank(rows: DataFrame, model: str, in_pool: Column) -> DataFrame:
     """Final lists: pool rows by the model (ties in retrieval order), then the rest in retrieval order; the score is minus the place."""
     marked = rows.withColumn("_in", in_pool)
-    key = F.when(F.col("_in"), 0).otherwise(1), F.when(F.col("_in"), -F.col(model)), "tt_rank"
+    key = F.when(F.col("_in"), 0).otherwise(1), F.when(F.col("_in"), -F.col(model)).asc_nulls_last(), "tt_rank"
     return marked.select(*PAIR, (-F.row_number().over(Window.partitionBy("user_id").orderBy(*key))).cast("double").alias("score"))

@@ -1 +1,211 @@
 """Queries of the snapshot, re-ranking, hold-outs and fitted models."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recengine.catalog import query
+from recengine.operators import features, holdout, prepare, recommend, serving, trees, twotower
+from recengine.operators.prepare import PAIR
+from recengine.plans import core
+from recengine.plans.sqltext import text
+from recengine.sources import views
+
+S = SparkSession
+DIMS = {"tt": 64, "audio": 32, "lyrics": 16, "genres": 16}
+
+
+def snapshot(spark: S, sf: str, labelled: bool = False) -> DataFrame:
+    """Candidates are the 20 best unseen tracks by the folded-in vectors; the second model is the same on the first 16 dimensions."""
+    t = core.train(spark, sf)
+    v = views.vectors(spark, sf)
+    als = serving.fold_in_users(t, v.select("track_id", F.col("als").alias("vec")), 16)
+    labels = core.split_ev(spark, sf).where("split = 'val'") if labelled else None
+    catalog = views.tracks(spark, sf)
+    return features.snapshot(core.tt_lists(spark, sf), t, catalog, v, als, DIMS, labels=labels)
+
+
+@query(text("fl", "SELECT * FROM fl"))
+def first_last(spark: S, sf: str) -> DataFrame:
+    p = features.first_last(core.train(spark, sf))
+    return p.select(*PAIR, F.col("first").alias("f"), F.col("last").alias("l"), "plays")
+
+
+_TRACK = """SELECT track_id, ln(1 + n) AS track_listeners, ln(1 + r) AS track_listeners_recent, ln(1 + s) AS track_listeners_short, r / n AS track_recent_share,
+    CASE WHEN r > 0 THEN fr / r END AS track_discovery_rate, cume_dist() OVER (ORDER BY n) AS track_pct, n AS listeners FROM tstat"""
+
+
+@query(text("tstat", _TRACK), doubles="track_listeners track_listeners_recent track_listeners_short track_recent_share track_discovery_rate track_pct")
+def feat_track(spark: S, sf: str) -> DataFrame:
+    t = core.train(spark, sf)
+    return features.track_stats(features.first_last(t), features.population(t), 28, 7)
+
+
+_USER = """SELECT user_id, ln(1 + count(*)) AS user_tracks, ln(1 + max(p)) AS user_plays_recent, CASE WHEN count(*) FILTER (l > now - 5 * 86400000000) > 0 THEN count(*) FILTER (f > now - 5 * 86400000000) / count(*) FILTER (l > now - 5 * 86400000000) END AS user_new_share,
+    avg(track_pct) AS user_mainstream, (max(now) - max(l)) / 86400000000 AS user_days_since_last FROM fl JOIN (SELECT track_id, cume_dist() OVER (ORDER BY n) AS track_pct FROM tstat) USING (track_id), now_,
+    (SELECT user_id AS u, count(*) FILTER (epoch_us("timestamp") > now - 5 * 86400000000) AS p FROM tr, now_ GROUP BY 1) WHERE u = user_id GROUP BY user_id"""
+
+
+@query(text("tstat fl now_ tr", _USER), doubles="user_tracks user_plays_recent user_new_share user_mainstream user_days_since_last")
+def feat_user(spark: S, sf: str) -> DataFrame:
+    t = core.train(spark, sf)
+    p, now = features.first_last(t), features.population(t)
+    return features.user_stats(p, t, now, features.track_stats(p, now, 28, 7), 5)
+
+
+@query(text("fl now_ part_", """SELECT user_id, artist, ln(1 + count(*)) AS artist_tracks, sum(plays) / max(a) AS artist_play_share, (max(now) - max(l)) / 86400000000 AS artist_days_since, count(*) / max(c) AS artist_catalog_share
+    FROM fl JOIN part_ USING (track_id) JOIN (SELECT user_id, sum(plays) AS a FROM fl GROUP BY 1) USING (user_id) JOIN (SELECT artist, count(*) AS c FROM part_ GROUP BY 1) USING (artist), now_ GROUP BY 1, 2"""), doubles="artist_tracks artist_play_share artist_days_since artist_catalog_share")
+def feat_artist(spark: S, sf: str) -> DataFrame:
+    t = core.train(spark, sf)
+    return features.artist_stats(features.first_last(t), views.tracks(spark, sf), features.population(t))[0]
+
+
+_SNAP = """ub AS (SELECT track_id, tt, als, list_transform(tt, lambda x: x / sqrt(list_dot_product(tt, tt))) AS u, audio, lyrics, genres, sqrt(list_dot_product(audio, audio)) AS na, sqrt(list_dot_product(lyrics, lyrics)) AS nl, sqrt(list_dot_product(genres, genres)) AS ng,
+        sqrt(list_dot_product(als, als)) AS ns FROM blk),
+    pl AS (SELECT user_id, k, sum(CASE WHEN l > now - 28 * 86400000000 THEN u[k] ELSE 0 END) AS t, sum(CASE WHEN na > 0 AND k <= 32 THEN audio[k] / na ELSE 0 END) AS a, sum(CASE WHEN nl > 0 AND k <= 16 THEN lyrics[k] / nl ELSE 0 END) AS y,
+        sum(CASE WHEN ng > 0 AND k <= 16 THEN genres[k] / ng ELSE 0 END) AS g, sum(CASE WHEN ns > 0 AND k <= 16 THEN als[k] / ns ELSE 0 END) AS s FROM fl JOIN ub USING (track_id), range(1, 65) t(k), now_ GROUP BY 1, 2),
+    me AS (SELECT user_id, list(t ORDER BY k) AS t, list(a ORDER BY k)[1:32] AS a, list(y ORDER BY k)[1:16] AS y, list(g ORDER BY k)[1:16] AS g, list(s ORDER BY k)[1:16] AS s FROM pl GROUP BY 1),
+    c0 AS (SELECT p.user_id, p.track_id, p."rank" AS tt_rank, p.score, list_dot_product(me.s, als) / sqrt(list_dot_product(me.s, me.s)) AS als_score, list_dot_product(me.t, u) / sqrt(list_dot_product(me.t, me.t)) AS recent_affinity,
+        CASE WHEN na > 0 THEN list_dot_product(me.a, audio) / na / sqrt(list_dot_product(me.a, me.a)) END AS sim_audio, CASE WHEN nl > 0 THEN list_dot_product(me.y, lyrics) / nl / sqrt(list_dot_product(me.y, me.y)) END AS sim_lyrics,
+        CASE WHEN ng > 0 THEN list_dot_product(me.g, genres) / ng / sqrt(list_dot_product(me.g, me.g)) END AS sim_genres, artist, album FROM tops p JOIN ub USING (track_id) JOIN part_ USING (track_id) JOIN me USING (user_id)),
+    ts AS (""" + _TRACK + """), us AS (""" + _USER.replace("now - 5 *", "now - 28 *") + """),
+    ar AS (SELECT user_id, artist, ln(1 + count(*)) AS artist_tracks, sum(plays) / max(a) AS artist_play_share, (max(now) - max(l)) / 86400000000 AS artist_days_since, count(*) / max(c) AS artist_catalog_share
+        FROM fl JOIN part_ USING (track_id) JOIN (SELECT user_id, sum(plays) AS a FROM fl GROUP BY 1) USING (user_id) JOIN (SELECT artist, count(*) AS c FROM part_ GROUP BY 1) USING (artist), now_ GROUP BY 1, 2),
+    al AS (SELECT user_id, album, ln(1 + count(*)) AS album_tracks FROM fl JOIN part_ USING (track_id) GROUP BY 1, 2),
+    fn AS (SELECT artist, ln(1 + count(DISTINCT user_id)) AS artist_listeners FROM fl JOIN part_ USING (track_id) GROUP BY 1),
+    snap AS (SELECT user_id, track_id, tt_rank, coalesce((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 0) AS tt_z, row_number() OVER (PARTITION BY user_id ORDER BY round(als_score, 9) DESC, tt_rank) AS als_rank,
+        coalesce((als_score - avg(als_score) OVER w) / nullif(stddev_pop(als_score) OVER w, 0), 0) AS als_z, track_listeners, track_listeners_recent, track_listeners_short, track_recent_share, track_discovery_rate,
+        user_tracks, user_plays_recent, user_new_share, user_mainstream, user_days_since_last, recent_affinity, sim_audio, sim_lyrics, sim_genres, track_pct - user_mainstream AS pop_gap,
+        coalesce(artist_tracks, 0) AS artist_tracks, coalesce(artist_play_share, 0) AS artist_play_share, artist_days_since, coalesce(artist_catalog_share, 0) AS artist_catalog_share, coalesce(album_tracks, 0) AS album_tracks, coalesce(artist_listeners, 0) AS artist_listeners
+        FROM c0 LEFT JOIN ts USING (track_id) LEFT JOIN us USING (user_id) LEFT JOIN ar USING (user_id, artist) LEFT JOIN al USING (user_id, album) LEFT JOIN fn USING (artist) WINDOW w AS (PARTITION BY user_id))"""
+_SNAP_TEXT = text("blk tops part_ tstat fl now_ tr", "").rstrip() + ", " + _SNAP
+_DOUBLES = " ".join(f for f in features.FEATURES if f not in ("tt_rank", "als_rank"))
+
+
+@query(_SNAP_TEXT + " SELECT * FROM snap", doubles=_DOUBLES)
+def snapshot_infer(spark: S, sf: str) -> DataFrame:
+    return snapshot(spark, sf)
+
+
+_LABELLED = _SNAP_TEXT.rstrip() + """, lab AS (SELECT snap.*, (v.track_id IS NOT NULL)::INT AS label FROM snap LEFT JOIN (SELECT DISTINCT user_id, track_id FROM sp WHERE split = 'val') v USING (user_id, track_id))"""
+
+
+@query(_LABELLED + " SELECT count(*) AS rows, count(DISTINCT user_id) AS users, sum(label) AS positives, avg(label) AS rate, count(DISTINCT user_id) FILTER (label = 1) AS users_with FROM lab", doubles="rate", longs="positives")
+def snapshot_train_summary(spark: S, sf: str) -> DataFrame:
+    return features.summary(snapshot(spark, sf, labelled=True))
+
+
+@query(_SNAP_TEXT + " SELECT feature, avg(x) AS infer FROM (UNPIVOT (SELECT COLUMNS(* EXCLUDE (user_id, track_id))::DOUBLE FROM snap) ON COLUMNS(*) INTO NAME feature VALUE x) GROUP BY 1", doubles="infer")
+def feature_drift(spark: S, sf: str) -> DataFrame:
+    return features.drift({"infer": snapshot(spark, sf)})
+
+
+_LINEAR = "(0.5 * tt_z + 0.3 * als_z + 0.2 * coalesce(pop_gap, 0) + 0.1 * artist_tracks)"
+_POOL = """pl_ AS (SELECT *, tt_rank <= 5 OR (below AND sum(below::INT) OVER (PARTITION BY user_id ORDER BY tt_rank ROWS UNBOUNDED PRECEDING) <= 3) AS in_pool FROM (SELECT *, tt_rank > 5 AND artist_tracks > 0.7 AS below FROM snap))"""
+
+
+def linear() -> object:
+    return 0.5 * F.col("tt_z") + 0.3 * F.col("als_z") + 0.2 * F.coalesce("pop_gap", F.lit(0.0)) + 0.1 * F.col("artist_tracks")
+
+
+def known_pool(rows: DataFrame) -> DataFrame:
+    strict = rows.withColumn("_at", F.col("artist_tracks")).withColumn("artist_tracks", F.when(F.col("_at") > 0.7, F.col("_at")).otherwise(0.0))
+    return strict.withColumn("in_pool", recommend.pool(strict, 5, 3)).withColumn("artist_tracks", F.col("_at")).drop("_at")
+
+
+@query(_SNAP_TEXT.rstrip() + ", " + _POOL + " SELECT user_id, track_id, tt_rank FROM pl_ WHERE in_pool")
+def pool_known_artist(spark: S, sf: str) -> DataFrame:
+    return known_pool(snapshot(spark, sf)).where("in_pool").select(*PAIR, "tt_rank")
+
+
+@query(_LABELLED + " SELECT user_id, track_id FROM lab WHERE tt_rank <= 10 QUALIFY max(label) OVER (PARTITION BY user_id) = 1")
+def training_rows(spark: S, sf: str) -> DataFrame:
+    return recommend.training_rows(snapshot(spark, sf, labelled=True), F.col("tt_rank") <= 10).select(*PAIR)
+
+
+@query(_SNAP_TEXT.rstrip() + f""", m AS (SELECT *, round({_LINEAR}, 9) AS m FROM snap) SELECT user_id, track_id, -row_number() OVER (PARTITION BY user_id ORDER BY (tt_rank > 10)::INT, CASE WHEN tt_rank <= 10 THEN -m END, tt_rank)::DOUBLE AS score FROM m""", doubles="score")
+def rerank_top_n(spark: S, sf: str) -> DataFrame:
+    return recommend.rerank(snapshot(spark, sf).withColumn("model", F.round(linear(), 9)), "model", F.col("tt_rank") <= 10)
+
+
+@query(_SNAP_TEXT.rstrip() + ", " + _POOL + f""" SELECT user_id, track_id, -row_number() OVER (PARTITION BY user_id ORDER BY (NOT in_pool)::INT, CASE WHEN in_pool THEN -round({_LINEAR}, 9) END, tt_rank)::DOUBLE AS score FROM pl_""", doubles="score")
+def rerank_pool(spark: S, sf: str) -> DataFrame:
+    rows = known_pool(snapshot(spark, sf)).withColumn("model", F.round(linear(), 9))
+    return recommend.rerank(rows, "model", F.col("in_pool"))
+
+
+@query(text("seen cat", """SELECT user_id, count(*) AS pairs FROM seen WHERE track_id NOT IN (SELECT track_id FROM cat ORDER BY md5(track_id || '42') LIMIT 20) GROUP BY 1"""))
+def cold_holdout(spark: S, sf: str) -> DataFrame:
+    t = core.train(spark, sf)
+    return prepare.pairs(holdout.without(t, holdout.held_out(t, "track_id", 0.2, "42"), "track_id")).groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(text("tr usr", """SELECT count(*) AS listens, count(DISTINCT user_id) AS users FROM tr WHERE user_id NOT IN (SELECT user_id FROM usr ORDER BY md5(user_id::VARCHAR || '7') LIMIT (SELECT round_even(0.1 * count(*), 0)::BIGINT FROM usr))"""))
+def newcomer_holdout(spark: S, sf: str) -> DataFrame:
+    t = core.train(spark, sf)
+    kept = holdout.without(t, holdout.held_out(t, "user_id", 0.1, "7"), "user_id")
+    return kept.agg(F.count(F.lit(1)).alias("listens"), F.countDistinct("user_id").alias("users"))
+
+
+@query()
+def als_exact(spark: S, sf: str) -> DataFrame:
+    """Ten best unseen tracks by exact implicit ALS."""
+    t = core.train(spark, sf)
+    users, tracks = recommend.als(t, 8, 0.1, 10.0, 3)
+    return recommend.top_unseen(users, tracks, prepare.pairs(t), 10)
+
+
+@query()
+def als_fold_in(spark: S, sf: str) -> DataFrame:
+    """Users' factors from their own cells alone, the tracks' factors being the embeddings' first 8 places."""
+    tracks = core.tt_vectors(spark, sf).select("track_id", F.slice("vec", 1, 8).alias("vec"))
+    cells = prepare.plays(core.train(spark, sf)).select(*PAIR, (10 * F.col("log_plays")).alias("c")).join(tracks, "track_id")
+    return recommend.fold_in(cells, "user_id", recommend.gram(tracks, 8), 0.1).select("user_id", F.posexplode("vec").alias("k", "x"))
+
+
+def _ranked(spark: S, sf: str, objective: str) -> tuple[DataFrame, list[trees.Tree], list[str]]:
+    rows = snapshot(spark, sf, labelled=True)
+    names = ["tt_z", "als_z", "track_listeners", "user_mainstream", "sim_audio", "sim_lyrics", "artist_play_share", "pop_gap"]
+    from recengine.operators.tables import kept
+
+    rows = kept(rows)
+    return rows, trees.fit(recommend.training_rows(rows, F.col("tt_rank") <= 20), names, objective=objective, trees=3, depth=2, bins=16), names
+
+
+@query()
+def ranker_lambda(spark: S, sf: str) -> DataFrame:
+    rows, fitted, names = _ranked(spark, sf, "ndcg")
+    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= 10)
+
+
+@query()
+def ranker_logistic(spark: S, sf: str) -> DataFrame:
+    rows, fitted, names = _ranked(spark, sf, "logistic")
+    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= 10)
+
+
+@query()
+def tree_shap(spark: S, sf: str) -> DataFrame:
+    """Mean absolute contribution of each feature over all candidate rows."""
+    rows, fitted, names = _ranked(spark, sf, "logistic")
+    return trees.importance(trees.contributions(rows, fitted, names))
+
+
+@query()
+def serve_reasons(spark: S, sf: str) -> DataFrame:
+    rows, fitted, names = _ranked(spark, sf, "logistic")
+    return serving.reasons(trees.contributions(rows.where("tt_rank <= 3"), fitted, names), 2, 28, 7).select(*PAIR, F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query()
+def twotower_fit(spark: S, sf: str) -> DataFrame:
+    """Ten best unseen tracks by two fitted towers."""
+    t = core.train(spark, sf)
+    p = prepare.training_pairs(t)
+    users = [r[0] for r in t.select("user_id").distinct().orderBy("user_id").collect()]
+    tracks = [r[0] for r in t.select("track_id").distinct().orderBy("track_id").collect()]
+    model, _ = twotower.fit(p, users, tracks, epochs=2)
+    frame = lambda ids, vecs, name, kind: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, np.round(vecs, 9), strict=True)], f"{name} {kind}, vec array<double>")
+    return recommend.top_unseen(frame(users, model.user_vectors(), "user_id", "long"), frame(tracks, model.track_vectors(), "track_id", "string"), prepare.pairs(t), 10)
