@@ -16,10 +16,9 @@ def norm(v: Column | str) -> Column:
 
 
 def unit(v: Column | str) -> Column:
-    """Scaled to length 1; an all-zero vector stays zero."""
-    v = F.col(v) if isinstance(v, str) else v
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    """Scaled to length 1; an all-zero vector stays zero. The vector and its length are bound once, not computed for each place."""
+    scaled = lambda x, n: F.transform(x, lambda y: F.when(n > 0, y / n).otherwise(F.lit(0.0)))
+    return F.transform(F.array(v), lambda x: F.transform(F.array(norm(x)), lambda n: scaled(x, n))[0])[0]
 
 
 def has_direction(v: Column | str) -> Column:

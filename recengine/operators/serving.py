@@ -80,6 +80,22 @@ def present(lists: DataFrame, tracks: DataFrame, retrieval: DataFrame, k: int) -
     return top.join(retrieval.select(*PAIR, F.col("rank").alias("retrieval_rank")), PAIR, "left").join(tracks.select("track_id", "title", "artist"), "track_id").select(*PAIR, "rank", "retrieval_rank", "title", "artist")
 
 
+def genres(tracks: DataFrame) -> DataFrame:
+    return tracks.select("genre").distinct()
+
+
+def health(listens: DataFrame, tracks: DataFrame) -> DataFrame:
+    """One row: what the service holds."""
+    users = listens.agg(F.lit("ok").alias("status"), F.countDistinct("user_id").alias("users"))
+    return users.join(F.broadcast(tracks.agg(F.count(F.lit(1)).alias("tracks"), F.max(F.size("vec")).alias("dim"))))
+
+
+def genre_shares(listens: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Per genre: listens, their share of all, tracks, artists."""
+    per = listens.join(tracks, "track_id").groupBy("genre").agg(F.count(F.lit(1)).alias("listens"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist").alias("artists"))
+    return per.withColumn("share", F.col("listens") / F.sum("listens").over(Window.partitionBy()))
+
+
 def genre_group(genres: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """The group of a track's first genre label: the first rule with a keyword in it, else "other"."""
     first = F.lower(F.regexp_replace(F.split(genres, ",")[0], r"^\s+|\s+$", ""))

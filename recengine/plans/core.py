@@ -87,11 +87,10 @@ def plays_pairs(spark: S, sf: str) -> DataFrame:
     return prepare.plays(train(spark, sf)).drop("binary")
 
 
-@query(text("tr", """SELECT user_id, track_id, w AS weight, ln(greatest(sum(w) OVER (PARTITION BY track_id) / sum(w) OVER (), 1e-12)) AS log_q
-    FROM (SELECT user_id, track_id, ln(1 + count(*)) AS w FROM tr WHERE track_id NOT IN ('003', '007') GROUP BY 1, 2)"""), doubles="weight log_q")
+@query(text("tr part_", """SELECT user_id, track_id, w AS weight, ln(greatest(sum(w) OVER (PARTITION BY track_id) / sum(w) OVER (), 1e-12)) AS log_q
+    FROM (SELECT user_id, track_id, ln(1 + count(*)) AS w FROM tr WHERE track_id NOT IN (SELECT track_id FROM part_ WHERE genre = 'SMALL') GROUP BY 1, 2)"""), doubles="weight log_q")
 def training_pairs_logq(spark: S, sf: str) -> DataFrame:
-    t = train(spark, sf)
-    return prepare.training_pairs(t, "log_plays", t.where("track_id IN ('003', '007')").select("track_id").distinct())
+    return prepare.training_pairs(train(spark, sf), "log_plays", views.tracks(spark, sf).where("genre = 'SMALL'").select("track_id"))
 
 
 # --- audit ------------------------------------------------------------------------------------------------------------
@@ -175,11 +174,11 @@ def eval_group_recall(spark: S, sf: str) -> DataFrame:
     return evaluate.group_recall(evaluate.ranked_hits(popular(spark, sf), rel, seen, 10), rel, groups(spark, sf), 10)
 
 
-@query(text("poprecs rel", """SELECT count(*) AS users, avg(h / n) AS recall FROM (SELECT user_id, count(*) AS n, coalesce(sum(hit), 0) AS h FROM (SELECT user_id, track_id FROM rel WHERE track_id < '050') LEFT JOIN
-    (SELECT user_id, track_id, 1 AS hit FROM poprecs WHERE track_id < '050') USING (user_id, track_id) GROUP BY 1)"""), doubles="recall")
+@query(text("poprecs rel part_", """SELECT count(*) AS users, avg(h / n) AS recall FROM (SELECT user_id, count(*) AS n, coalesce(sum(hit), 0) AS h FROM (SELECT user_id, track_id FROM rel JOIN part_ USING (track_id) WHERE genre = 'ECONOMY') LEFT JOIN
+    (SELECT user_id, track_id, 1 AS hit FROM poprecs JOIN part_ USING (track_id) WHERE genre = 'ECONOMY') USING (user_id, track_id) GROUP BY 1)"""), doubles="recall")
 def eval_only_tracks(spark: S, sf: str) -> DataFrame:
-    rel, seen, catalog = truth(spark, sf)
-    recs, some = evaluate.only_tracks(catalog.where("track_id < '050'"), popular(spark, sf), rel)
+    rel, seen, _ = truth(spark, sf)
+    recs, some = evaluate.only_tracks(views.tracks(spark, sf).where("genre = 'ECONOMY'"), popular(spark, sf), rel)
     return evaluate.per_user(recs, some, seen, [10]).agg(F.count(F.lit(1)).alias("users"), F.avg("recall_10").alias("recall"))
 
 
@@ -442,3 +441,57 @@ def q_look_alikes(spark: S, sf: str) -> DataFrame:
     known = profile.withColumnRenamed("user_id", "other").join(tt_users(spark, sf).withColumnRenamed("user_id", "other"), "other")
     alike = questionnaire.look_alikes(answers, known, 64, 5)
     return alike.select("user_id", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k").cast("long") + 1)
+
+
+@query(text("hit ideal grp seen", """SELECT "group", count(*) AS users, avg(x) AS mean FROM (SELECT user_id, coalesce(sum(hit / log2("rank" + 1)), 0) / max(ideal) AS x FROM nrel JOIN ideal ON m = least(10, n_rel) LEFT JOIN hit USING (user_id) GROUP BY 1)
+    JOIN (SELECT user_id, CASE (row_number() OVER (ORDER BY round(avg(pct), 12), user_id) - 1) * 3 // count(*) OVER () WHEN 0 THEN 'niche' WHEN 1 THEN 'middle' ELSE 'mainstream' END AS "group" FROM seen JOIN grp USING (track_id) GROUP BY 1) USING (user_id) GROUP BY 1"""), doubles="mean")
+def bias_group_means(spark: S, sf: str) -> DataFrame:
+    rel, seen, _ = truth(spark, sf)
+    users = evaluate.per_user(popular(spark, sf), rel, seen, [10])
+    return evaluate.group_means(users, bias_listener_groups(spark, sf), "ndcg_10")
+
+
+@query(text("tops grp", 'SELECT avg(pct) AS pct FROM tops JOIN grp USING (track_id) WHERE "rank" <= 10'), doubles="pct")
+def bias_mean_percentile(spark: S, sf: str) -> DataFrame:
+    return bias.mean_percentile(tt_lists(spark, sf), groups(spark, sf), 10)
+
+
+_VAL = """vp AS (SELECT DISTINCT user_id, track_id FROM sp WHERE split = 'val'), vs AS (SELECT user_id, k, sum(u[k]) AS x FROM vp JOIN uemb USING (track_id), range(1, 65) t(k) GROUP BY 1, 2),
+    vu AS (SELECT user_id, list_transform(list(x ORDER BY k), lambda y: y / sqrt(sum(x * x))) AS vec FROM vs GROUP BY 1)"""
+
+
+@query(text("sp uemb emb", "").rstrip() + ", " + _VAL.replace("list_transform(list(x ORDER BY k), lambda y: y / sqrt(sum(x * x))) AS vec", "list(x ORDER BY k) AS v0, sqrt(sum(x * x)) AS n") + """ SELECT * FROM (SELECT user_id, track_id, list_dot_product(v0, tt) / n AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(list_dot_product(v0, tt) / n, 9) DESC, track_id) AS "rank"
+    FROM vu, emb WHERE (user_id, track_id) NOT IN (SELECT (user_id, track_id) FROM vp)) WHERE "rank" <= 10""", doubles="score")
+def serve_new(spark: S, sf: str) -> DataFrame:
+    """Listeners known by their validation listens alone: folded in, then the best tracks they have not played."""
+    plays = split_ev(spark, sf).where("split = 'val'")
+    return serving.recommend_new(plays, tt_vectors(spark, sf), 64, 10)
+
+
+def content_vectors(spark: S, sf: str) -> DataFrame:
+    """track_id, vec: the blocks scaled to length 1 each, side by side, scaled again."""
+    v = views.vectors(spark, sf)
+    return v.select("track_id", unit(F.concat(unit("audio"), unit("lyrics"), unit("genres"))).alias("vec"))
+
+
+@query(text("blk seen", "").rstrip() + """, u1 AS (SELECT track_id, list_concat(list_concat(list_transform(audio, lambda x: x / sqrt(list_dot_product(audio, audio))), CASE WHEN list_dot_product(lyrics, lyrics) > 0 THEN list_transform(lyrics, lambda x: x / sqrt(list_dot_product(lyrics, lyrics))) ELSE lyrics END), list_transform(genres, lambda x: x / sqrt(list_dot_product(genres, genres)))) AS v FROM blk),
+    u2 AS (SELECT track_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u1), us AS (SELECT user_id, k, sum(v[k]) AS x FROM seen JOIN u2 USING (track_id), range(1, 65) t(k) GROUP BY 1, 2), uu AS (SELECT user_id, list(x ORDER BY k) AS v0, sqrt(sum(x * x)) AS n FROM us GROUP BY 1)
+    SELECT * FROM (SELECT user_id, track_id, list_dot_product(v0, v) / n AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(list_dot_product(v0, v) / n, 9) DESC, track_id) AS "rank" FROM uu, u2 WHERE (user_id, track_id) NOT IN (SELECT (user_id, track_id) FROM seen)) WHERE "rank" <= 10""", doubles="score")
+def vec_content_sim(spark: S, sf: str) -> DataFrame:
+    v, t = content_vectors(spark, sf), train(spark, sf)
+    return recommend.top_unseen(serving.fold_in_users(t, v, 64), v, prepare.pairs(t), 10)
+
+
+@query(text("part_", "SELECT DISTINCT genre FROM part_"))
+def serve_genres(spark: S, sf: str) -> DataFrame:
+    return serving.genres(views.tracks(spark, sf))
+
+
+@query(text("tr emb", "SELECT 'ok' AS status, (SELECT count(DISTINCT user_id) FROM tr) AS users, (SELECT count(*) FROM emb) AS tracks, 64::BIGINT AS dim"))
+def serve_health(spark: S, sf: str) -> DataFrame:
+    return serving.health(train(spark, sf), tt_vectors(spark, sf))
+
+
+@query(text("tr part_", """SELECT genre, count(*) AS listens, count(*) / sum(count(*)) OVER () AS share, count(DISTINCT track_id) AS tracks, count(DISTINCT artist) AS artists FROM tr JOIN part_ USING (track_id) GROUP BY 1"""), doubles="share")
+def meta_genre_shares(spark: S, sf: str) -> DataFrame:
+    return serving.genre_shares(train(spark, sf), views.tracks(spark, sf))
