@@ -2,14 +2,19 @@
 
 A text's distinct word shingles are hashed; a shingle flips one bit of the text's sketch, so the Hamming distance of two
 sketches is at most the size of their symmetric difference. Two sets of a and b shingles with similarity s or more differ in at
-most (a + b)(1 - s) / (1 + s) of them, and so a sketch of one 64-bit word more than that has a word in which an equal pair agrees.
-Words are joined within bands of sizes (a text near a band's upper end also stands in the next), and what joins is
-verified on the full sets.
-
-Equal sets are one node, joined no further. Words that two nodes share give that pair. A word with more nodes is tied to one of
-them at a time, in a few rounds; nodes that verified links have already put into one component are not compared again,
-and pairs that are still undecided then are all compared. So no link between components is missed, and no group's pairs are listed
-only because it is large. Hubs are met by joins that Spark can split and by sums that start in the map tasks.
+most (a + b)(1 - s) / (1 + s) of them, and so a sketch of one 64-bit word more than that has a word to which none of these belongs:
+the pair has the same shingles there. A word's key is the XOR of its shingles' full hashes. Keys are joined within bands of
+sizes (a text near a band's upper end also stands in the next). Pairs that join go on if their sketches' Hamming distance
+allows the similarity, and are then verified on the full sets.
+
+A word without a shingle says nothing. Sketches have a few words more than needed, so that a text with no more empty words than
+that is found by another one, and gives no key for those.
+
+Equal sets are one node, joined no further. Keys that two nodes share give that pair. A key with more nodes ties them to one of
+them, and nodes that verified links have put into one component are settled. What a key still holds of different components is
+compared in blocks: a task gets two blocks of a group, holds their sketches against each other bit-parallel, verifies
+what passes, and gives no more than the links that join components. So no link between components is missed, and pairs
+become rows only where they are links. Hubs are met by joins that Spark can split and by sums that start in the map tasks.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import kept
+from recengine.llm.shared import bounded, kept
 
 WORDS, PERCENT = 3, 90
 RATIO = 1.3
-ROUNDS = 3
+#: A block of a group that is compared: at most so many nodes, and about so many bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 _K = _text.mixed(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
 
@@ -68,93 +74,213 @@ class Bands:
         while self.low[-1] <= size * 2 * 100 // self.percent + 2:
             self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * RATIO)))
 
-    def of(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bands of the sizes, sketch words of all bands, and whether a linked text may be in the next band."""
+    def of(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bands of the sizes; of all bands the words of a sketch and how many of them are spare; whether a linked text may be in the next band."""
         self.reach(int(size.max(initial=1)))
         low = np.array(self.low)
         band = np.searchsorted(low, size, "right") - 1
         most = low[1:] - 1
-        parts = 2 * most * (100 - self.percent) // (100 + self.percent) + 1
-        return band, parts, size * 100 // self.percent >= low[np.minimum(band + 1, len(low) - 1)]
-
-
-def sketch_keys(row: np.ndarray, full: np.ndarray, band: np.ndarray, parts: np.ndarray, take: np.ndarray) -> list[np.ndarray]:
-    """For each text of ``take`` a key for each word of its sketch in ``band``; no key for the others."""
-    own = np.where(take, parts[band], 0)
-    base = np.cumsum(own) - own
-    mine = take[row]
-    row, full = row[mine], full[mine]
-    part = ((full >> _U(32)) * own[row].astype(_U) >> _U(32)).astype(np.int64) + base[row]
-    sketch = np.zeros(int(own.sum()), _U)
-    if len(row):
-        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sketch[part[begin]] = np.bitwise_xor.reduceat(_U(1) << (full & _U(63)), begin)
-    of = np.repeat(np.arange(len(own)), own)
-    place = (np.arange(len(sketch)) - base[of]).astype(_U) | band[of].astype(_U) << _U(48)
-    keys = _text.mixed(sketch ^ _text.mixed(place + _U(1))).view(np.int64)
-    return np.split(keys, np.cumsum(own)[:-1]) if len(own) else []
-
-
-def _sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
+        needed = 2 * most * (100 - self.percent) // (100 + self.percent) + 1
+        spare = np.where(needed < 3, 0, np.where(needed < 8, 1, 2 + needed // 100))
+        return band, needed + spare, spare, size * 100 // self.percent >= low[np.minimum(band + 1, len(low) - 1)]
+
+
+class Layout:
+    """Where the shingles of the texts in ``take`` fall in sketches of their ``band``: words laid end to end, texts in order."""
+
+    def __init__(self, row: np.ndarray, full: np.ndarray, band: np.ndarray, parts: np.ndarray, take: np.ndarray):
+        self.take, self.band = take, band
+        self.own = np.where(take, parts[band], 0)
+        base = np.cumsum(self.own) - self.own
+        mine = take[row]
+        self.row, self.full = row[mine], full[mine]
+        part = ((self.full >> _U(32)) * self.own[self.row].astype(_U) >> _U(32)).astype(np.int64) + base[self.row]
+        self.begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        self.word, self.base = part[self.begin], base
+
+    def _xor(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(int(self.own.sum()), _U)
+        if len(self.begin):
+            out[self.word] = np.bitwise_xor.reduceat(values, self.begin)
+        return out
+
+    def sketches(self) -> pa.Array:
+        """Each text's parity sketch: a shingle flips one of its word's 64 bits. Null for texts that are not taken."""
+        words = self._xor(_U(1) << (self.full & _U(63)))
+        cut = pa.array(np.r_[self.base, len(words)].astype(np.int32), mask=np.r_[~self.take, False])
+        return pa.ListArray.from_arrays(cut, pa.array(words.view(np.int64)))
+
+    def keys(self, spare: np.ndarray) -> pa.Array:
+        """Each text's keys, one a word that has shingles; empty words too if the text has more of them than are spare."""
+        full = self._xor(self.full)
+        of = np.repeat(np.arange(len(self.own)), self.own)
+        empty = np.ones(len(full), bool)
+        empty[self.word] = False
+        given = ~empty | (np.bincount(of[empty], minlength=len(self.own)) > spare[self.band])[of]
+        place = (np.arange(len(full)) - self.base[of]).astype(_U) | self.band[of].astype(_U) << _U(48)
+        keys = _text.mixed(full ^ _text.mixed(place + _U(1)))[given]
+        size = np.bincount(of[given], minlength=len(self.own))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys.view(np.int64)))
+
+
+_KEYED = {"n_shingles": "long", "_one": "long", "_two": "long", "_band": "int", "_here": "array<bigint>", "_next": "array<bigint>"}
+
+
+def _layouts(row: np.ndarray, full: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, Layout, Layout, np.ndarray]:
+    size = _text.counted(row, n)
+    band, parts, spare, next_too = bands.of(np.maximum(size, 1))
+    after = np.minimum(band + 1, len(parts) - 1)
+    return size, band, Layout(row, full, band, parts, size > 0), Layout(row, full, after, parts, (size > 0) & next_too), spare
+
+
+def _keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, 128 bits that tell sets apart, and the keys in the text's band and, where it stands there too, the next."""
     bands = Bands(percent)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         n = len(offsets) - 1
         row, full = shingles(data, offsets, words)
-        size = _text.counted(row, n)
+        size, band, here, after, spare = _layouts(row, full, n, bands)
         one, two = np.zeros(n, _U), np.zeros(n, _U)
-        has = size > 0
         if len(row):
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            one[has], two[has] = np.add.reduceat(full, begin), np.bitwise_xor.reduceat(_text.mixed(full + _U(99)), begin)
-        band, parts, next_too = bands.of(np.maximum(size, 1))
-        first, more = sketch_keys(row, full, band, parts, has), sketch_keys(row, full, band + 1, parts, has & next_too)
-        flat = [np.concatenate(x) for x in zip(first, more, strict=True)]
-        cut = np.cumsum([0, *map(len, flat)])
-        keys = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int64)])))
-        return {"n_shingles": size, "_one": one.view(np.int64), "_two": two.view(np.int64), "_keys": keys}
+            one[size > 0], two[size > 0] = np.add.reduceat(full, begin), np.bitwise_xor.reduceat(_text.mixed(full + _U(99)), begin)
+        return {"n_shingles": size, "_one": one.view(np.int64), "_two": two.view(np.int64), "_band": band.astype(np.int32), "_here": here.keys(spare), "_next": after.keys(spare)}
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return _text.appended(slim, {"n_shingles": "long", "_one": "long", "_two": "long", "_keys": "array<bigint>"}, work).drop("text")
+    return _text.appended(slim, _KEYED, work).drop("text")
+
+
+def _sketches(docs: DataFrame, nodes: DataFrame, words: int, percent: int, sets: bool = False) -> DataFrame:
+    """node, n, band, words (and set): the sketches of the documents that are candidates, in both their bands."""
+    bands = Bands(percent)
+
+    def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
+        row, full = shingles(data, offsets, words)
+        size, band, here, after, _ = _layouts(row, full, len(offsets) - 1, bands)
+        out = {"n": size.astype(np.int32), "_band": band.astype(np.int32), "_here": here.sketches(), "_next": after.sketches()}
+        if sets:
+            cut = np.searchsorted(row, np.arange(len(offsets)))
+            out["_set"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))
+        return out
+
+    some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
+    out = _text.appended(some, {"n": "int", "_band": "int", "_here": "array<bigint>", "_next": "array<bigint>"} | ({"_set": "array<bigint>"} if sets else {}), work)
+    both = F.array(F.struct(F.col("_band").alias("band"), F.col("_here").alias("words")), F.struct((F.col("_band") + 1).alias("band"), F.col("_next").alias("words")))
+    more = [F.col("_set").alias("set")] if sets else []
+    return out.select("node", "n", *more, F.explode(both).alias("x")).where("x.words IS NOT NULL").select("node", "n", "x.band", "x.words", *(["set"] if sets else []))
+
+
+def _of(nodes: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """The rows of ``table`` whose ``name`` is among ``nodes`` (a kept table)."""
+    return table.join(bounded(nodes.withColumnRenamed("node", name)), name, "left_semi")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the documents that are candidates: node, set. Of rows that share an id the largest stands."""
+    """The shingle sets of the documents that are candidates: node, set."""
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         row, full = shingles(data, offsets, words)
         cut = np.searchsorted(row, np.arange(len(offsets)))
         return {"set": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))}
 
-    some = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")).join(nodes, "node", "left_semi")
+    some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
     return _text.appended(some, {"set": "array<bigint>"}, work).drop("text")
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+
+
+def _joined(pairs: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """``pairs`` (a, b, ...) with the values of b and then of a: hubs stand as a, whose side Spark can split."""
+    right = values.select(F.col("node").alias("b"), *on, *(F.col(c).alias(f"_b{c}") for c in values.columns if c not in ("node", *on)))
+    left = values.select(F.col("node").alias("a"), *on, *(F.col(c).alias(f"_a{c}") for c in values.columns if c not in ("node", *on)))
+    return pairs.join(right, ["b", *on]).join(left, ["a", *on])
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. ``pairs`` is a kept table in which hubs stand as a."""
-    sets = kept(_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words))
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return kept(both.where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b").distinct())
+    """The pairs (a, b) of ``pairs`` (a, b, band) whose sets are similar."""
+    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs), words, percent)), ["band"])
+    distance = F.aggregate(F.zip_with("_awords", "_bwords", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("int"), lambda s, x: s + x)
+    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b").distinct())
+    both = _joined(close, kept(_sets(docs, _nodes(close), words)), [])
+    shared = F.size(F.array_intersect("_aset", "_bset"))
+    return kept(both.where(100 * shared >= percent * (F.size("_aset") + F.size("_bset") - shared)).select("a", "b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node that ``links`` (a, b) has; a label is the smallest node that can be reached.
 
-    Smallest labels are passed along links and followed to their own labels in turn, until nothing changes.
+    Each round, every node goes to its smallest neighbour or itself, and once on from there; links are drawn between those, and
+    the ones that have become loops are gone. A round at least halves the nodes that still have links.
+    """
+    edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        near = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")))
+        step = kept(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("_on")), "to").select("node", F.col("_on").alias("to")))
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("label"))
+        else:
+            labels = kept(labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
+        edges = kept(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct())
+    return labels
+
+
+def _compared(percent: int):
+    """Two blocks of a group, or one with itself: the links that join components, as few as join them."""
+
+    def task(table: pa.Table) -> pa.Table:
+        node, size, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "_block"))
+        lists = lambda c: [x.values.to_numpy() for x in table.column(c)]
+        words, sets = np.array(lists("words")).view(_U), lists("set")
+        owner: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := owner.get(x, x)) != x:
+                owner[x] = owner.get(up, up)
+                x = up
+            return x
+
+        out = []
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        for k, i in enumerate(left):
+            others = right[k + 1 :] if left[0] == right[0] else right
+            apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+            for j in others[(apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (label[others] != label[i])]:
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a != b:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                        owner[max(a, b)] = min(a, b)
+                        out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return task
+
+
+def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components that keys of several nodes (``crowd``: key, node, n, band) still hold; None if no key holds two.
+
+    Groups are what such keys connect. Of a group of k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
     """
-    edges = kept(links.select("a", "b").union(links.select("b", "a")))
-    labels = kept(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    while True:
-        passed = edges.join(labels, edges["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        nearer = kept(passed.union(labels).groupBy("node").agg(F.min("label").alias("label")))
-        of = nearer.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        after = kept(nearer.join(of, "label").select("node", F.col("_next").alias("label")))
-        total = F.sum(F.col("label").cast("decimal(38,0)"))
-        if after.agg(total).first() == labels.agg(total).first():  # labels only ever fall
-            return after
-        labels = after
+    told = kept(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    open_ = kept(told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.min("node").alias("a")).where("_x < _y").select("key", "a"))
+    if open_.isEmpty():
+        return None
+    held = kept(told.join(open_, "key").select("a", "node", "n", "band", "label"))
+    groups = components(kept(held.where("a < node").select("a", F.col("node").alias("b")).distinct())).select("node", F.col("label").alias("group"))
+    members = kept(held.select("node", "n", "band", "label").distinct().join(groups, "node"))
+    size = members.groupBy("group", "band").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
+    blocks = kept(size.where("_k > 1").select("group", "band", F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") * 8 / BLOCK_BYTES)).alias("_blocks")))
+    values = kept(_sketches(docs, kept(members.select("node").distinct()), words, percent, sets=True)).drop("n")
+    placed = members.join(bounded(blocks), ["group", "band"]).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
+    sent = placed.join(values, ["node", "band"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
+    return kept(pair.groupBy("group", "band", "_low", "_high").applyInArrow(_compared(percent), "a long, b long").distinct())
 
 
 def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -164,38 +290,20 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     share an id are judged each by its text; sets with the same smallest id are one node. Rows without id join the group of
     an equal set that has one, else component_id is null. An empty table stays empty; other columns are not looked at.
     """
-    rows = kept(_sketched(docs, words, percent))
+    rows = kept(_keyed(docs, words, percent))
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"))
-    leaders = rows.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    keyed = leaders.select(F.explode("_keys").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"))
-    met = kept(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("_n")).where("a < b"))
-    met_more = met.where("_n > 2").select("key", "a")
-    crowd = kept(keyed.join(met_more, "key").select("key", "a", "node", "n"))
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pairs = kept(met.where("_n = 2").select("a", "b").union(crowd.where("a < node").select("a", F.col("node").alias("b"))).distinct())
-    links, seen, done = _linked(docs, pairs, words, percent), pairs, 0
+    classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node")))
+    first = _of(classes.select("node").where("node IS NOT NULL").distinct(), full, "doc_id")
+    in_band = lambda band, keys: first.select(F.explode(keys).alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), band.alias("band"))
+    keyed = in_band(F.col("_band"), "_here").unionByName(in_band(F.col("_band") + 1, "_next"))
+    met = kept(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("band").alias("band"), F.count(F.lit(1)).alias("_n")).where("a < b"))
+    crowd = kept(keyed.join(bounded(met.where("_n > 2").select("key", "a")), "key").select("key", "a", "node", "n", "band"))
+    pairs = kept(met.where("_n = 2").select("a", "b", "band").union(crowd.where("a < node").select("a", F.col("node").alias("b"), "band")).distinct())
+    links = _linked(docs, pairs, words, percent)
     labels = components(links)
-    while not crowd.isEmpty():
-        told = crowd.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        told = kept(told)
-        mixed = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.min_by("node", F.xxhash64(F.lit(done), "node")).alias("a"), F.min_by("label", F.xxhash64(F.lit(done), "node")).alias("_label"), F.min_by("n", F.xxhash64(F.lit(done), "node")).alias("_size")).where("_x < _y").drop("_x", "_y")
-        mixed = kept(mixed)
-        if mixed.isEmpty():
-            break
-        open_keys = told.join(mixed, "key")
-        if done < ROUNDS:
-            found = open_keys.where((F.col("label") != F.col("_label")) & near("n", "_size")).select("a", F.col("node").alias("b"))
-        else:
-            other = told.join(mixed.select("key"), "key", "left_semi").select("key", F.col("node").alias("a"), F.col("label").alias("_label"), F.col("n").alias("_size"))
-            found = told.join(other, "key").where((F.col("label") < F.col("_label")) & near("n", "_size")).select("a", F.col("node").alias("b"))
-        fresh = kept(found.distinct().join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-        if not fresh.isEmpty() and not (new := _linked(docs, fresh, words, percent)).isEmpty():
-            links = links.union(new)
-            labels = components(links)
-        if done >= ROUNDS:
-            break
-        seen, done, crowd = kept(seen.union(fresh)), done + 1, kept(told.join(mixed.select("key"), "key", "left_semi").select("key", "node", "n"))
+    more = _unsettled(docs, crowd.select("key", "node", "n", "band"), labels, words, percent)
+    if more is not None and not more.isEmpty():
+        labels = components(links.union(more))
     ranked = classes.join(labels, "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))
-    whole = rows.drop("_keys").join(kept(ranked), ["_one", "_two"], "left")
+    whole = rows.select("doc_id", "n_shingles", "_one", "_two").join(kept(ranked), ["_one", "_two"], "left")
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,4 +29,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that may be broadcast: some 20 MB. What may be longer is counted first, and joined by shuffle beyond this.
+FEW = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A kept table of a few numbers a row: marked for broadcast if it has at most FEW rows."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 _OWN = ""
