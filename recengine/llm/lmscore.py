@@ -27,7 +27,7 @@ from recengine.llm import _text
 from recengine.llm.shared import folder, kept
 from recengine.llm.tokens import _store
 
-SHARD = 8 << 20
+SHARD = 4 << 20
 GRID = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 CLASSES = 48
 _U = np.uint64
