@@ -11,13 +11,14 @@ Fitted on a bounded sample of labelled rows: ``SAMPLE`` of either label, the fir
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
+from recengine.llm.shared import kept
 
 ORDERS = (3, 4, 5, 6)
 BITS = 21
@@ -56,35 +57,39 @@ def present(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(rows: list[tuple[bytes, int]], *, features: int = FEATURES, rounds: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights (ratio times coefficient) and the bias, from (distinct buckets, label) rows."""
-    y = np.array([k for _, k in rows], float)
-    if not rows or y.min() == y.max():
-        prior = (y.sum() + 1) / (len(rows) + 4)
-        return np.zeros(0, np.int64), np.zeros(0), math.log(prior / (1 - prior))
-    each = [np.frombuffer(b, "<i4") for b, _ in rows]
+def fit(rows: Callable[[], Iterable[tuple[int, bytes, int]]], *, features: int = FEATURES, rounds: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets, their weights (ratio times coefficient) and the bias. ``rows`` gives (id, distinct buckets, label) anew at each
+    call: it is called twice, to count and then for the chosen buckets alone, and no more than a row is held whole."""
     size = 1 << BITS
-    toxic = np.bincount(np.concatenate([x for x, k in zip(each, y, strict=True) if k]), minlength=size).astype(np.float32)
-    other = np.bincount(np.concatenate([x for x, k in zip(each, y, strict=True) if not k]), minlength=size).astype(np.float32)
+    counts = {0: np.zeros(size, np.float32), 1: np.zeros(size, np.float32)}
+    number = {0: 0, 1: 0}
+    for _, buckets, label in rows():
+        counts[label][np.frombuffer(buckets, "<i4")] += 1
+        number[label] += 1
+    n1, n0 = float(number[1]), float(number[0])
+    if not n1 or not n0:
+        prior = (n1 + 1) / (n1 + n0 + 4)
+        return np.zeros(0, np.int64), np.zeros(0), math.log(prior / (1 - prior))
+    toxic, other = counts[1], counts[0]
     p, q = toxic + 1, other + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     seen = toxic + other
-    n1, n0 = y.sum(), len(y) - y.sum()
     expected = seen * n1 / (n1 + n0)
     chi = np.where(seen >= 5, (toxic - expected) ** 2 / np.maximum(expected, 1e-9) + (other - (seen - expected)) ** 2 / np.maximum(seen - expected, 1e-9), 0)
     chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
     chosen = chosen[chi[chosen] > 0]
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    columns = [c[c >= 0] for c in (place[x] for x in each)]
-    at = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    column = np.concatenate(columns)
+    sample = sorted(((i, (c := place[np.frombuffer(buckets, "<i4")])[c >= 0], label) for i, buckets, label in rows()), key=lambda x: x[0])
+    y = np.array([label for *_, label in sample], float)
+    at = np.repeat(np.arange(len(sample)), [len(c) for _, c, _ in sample])
+    column = np.concatenate([c for _, c, _ in sample])
     scale = ratio[chosen].astype(float)
     balance = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     w, bias = np.zeros(len(chosen)), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for k in range(1, rounds + 1):  # Adam on the whole sample
-        z = np.bincount(at, (w * scale)[column], len(rows)) + bias
+        z = np.bincount(at, (w * scale)[column], len(sample)) + bias
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
         g = np.r_[np.bincount(column, off[at], len(chosen)) * scale + penalty * w, off.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -100,8 +105,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
     order = F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id")
     some = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.max("text").alias("text"))
-    rows = _text.appended(texts, {"_buckets": "binary"}, lambda data, offsets: {"_buckets": present(data, offsets)}).select("doc_id", "_buckets", "_label").collect()
-    return fit([(bytes(r["_buckets"]), r["_label"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    rows = kept(_text.appended(texts, {"_buckets": "binary"}, lambda data, offsets: {"_buckets": present(data, offsets)}).select("doc_id", "_buckets", "_label").repartition(16, "doc_id"))
+    return fit(lambda: ((r["doc_id"], bytes(r["_buckets"]), r["_label"]) for r in rows.toLocalIterator()))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:

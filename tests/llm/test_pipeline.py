@@ -22,7 +22,8 @@ SF = "/root/testdata/sf0.001"
 def kept(spark, tmp_path_factory):
     """What each stage got and gave."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(9001, None, "en", None, 0), (9002, "", None, "src1", 0), (None, "no id and no copy", "en", "src2", 17), (9003, docs.first().text.upper(), "en", "src3", 9)], docs.schema)
+    copied = " ".join(f"a plain word{k} é" for k in range(50))
+    extra = spark.createDataFrame([(9001, None, "en", None, 0), (9002, "", None, "src1", 0), (None, "no id and no copy", "en", "src2", 17), (9003, "".join(c.upper() if "a" <= c <= "z" else c for c in copied), "en", "src3", 9), (9000, copied, "en", "src3", 9)], docs.schema)
     docs, out = docs.unionByName(extra), []
     for k, (name, stage) in enumerate(pipeline.STAGES):
         path = str(tmp_path_factory.mktemp("p") / str(k))
