@@ -1,7 +1,7 @@
 """A corpus made ready for training: five operators in a row, each over all that the one before it kept.
 
-toxicity: documents that the classifier rejects go. near duplicates: of each group one document stays, the one with the smallest
-id. decontamination: documents of which a benchmark's passages are a twentieth or more go. mixing: a row for each time a
+toxicity: documents that the classifier rejects go. near duplicates: of each group of texts that share 80 % of their 5-word
+shingles one document stays, the one with the smallest id. decontamination: documents of which a benchmark's passages are a twentieth or more go. mixing: a row for each time a
 document is taken, the last one cut where the mix ends. token files: ids in Arrow files, read back.
 """
 
@@ -29,7 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without id are in no group and stay. Rows that share an id are one document: it stays if any of them would, as the
     row with the smallest text."""
-    groups = jaccard.similar_groups(docs)
+    groups = jaccard.similar_groups(docs, words=5, percent=80)
     stay = kept(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_stays")).where("_stays").drop("_stays"))
     rows = docs.join(stay, "doc_id")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -62,6 +62,17 @@ def test_one_of_each_group_stays(kept):
     assert 9003 not in {r.doc_id for r in out.collect()}
 
 
+def test_near_copies_by_five_words_go(spark):
+    words = [f"w{k}" for k in range(400)]
+    changed = lambda w, at: " ".join("new" if k in at else x for k, x in enumerate(w))
+    rows = [(1, " ".join(words[:50])), (2, changed(words[:50], {25})), (3, " ".join(words[50:90])), (4, changed(words[50:90], {20})), (5, " ".join(words[100:300])), (6, changed(words[100:300], {40, 90, 150})), (7, "a b c d"), (8, "A b c d")]
+    groups = test_jaccard.brute(rows, 5, 80)
+    assert {i for i, _, c in groups if i == c} == {1, 3, 4, 5, 7} != {i for i, _, c in test_jaccard.brute(rows) if i == c}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = pipeline.without_near_copies(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in out) == [1, 3, 4, 5, 7]
+
+
 def test_contaminated_documents_go(spark, kept):
     _, docs, out = kept[2]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
