@@ -1,7 +1,7 @@
 """Secret scans: patterns, and strings that the text around them does not explain.
 
-Base spans are matches of three patterns. Novelty then looks at other strings in sensitive places: a run of 12 or more characters
-of keys shortly after a word like "key", "auth" or "credential". Its novelty is how many bytes zstandard needs to add it
+Base spans are matches of three patterns. Novelty then looks at other strings in sensitive places: every run of 12 or more characters
+of keys that begins shortly after a word like "key", "auth" or "credential". Its novelty is how many bytes zstandard needs to add it
 to what a dictionary primed with the surrounding text and with common identifiers already gives, against its length. Words,
 identifiers and repeated strings compress; random ones do not, and are reported as ``novel`` spans.
 
@@ -27,7 +27,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a place sensitive, and how far behind one a string may begin.
 SENSITIVE = re.compile(r"(?ai:passphrase|password|passwd|credential|secret|token|bearer|private|access|signature|auth|api|key)")
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: The fewest characters of a candidate.
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters of surrounding text on either side in the dictionary.
 AROUND = 1024
 #: Bytes of compressed output for each byte of the string from which on it counts as novel.
@@ -78,15 +80,15 @@ def novel(text: str, known: list[Span], threshold: float = NOVEL) -> list[Span]:
     out: list[Span] = []
     done = 0
     for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, max(m.end(), done), min(len(text), m.end() + REACH)):
-            whole = CANDIDATE.match(text, c.start())
-            a, b = whole.span()
+        for c in CANDIDATE.finditer(text, max(m.end(), done), min(len(text), m.end() + REACH + LEAST)):
+            a, b = CANDIDATE.match(text, c.start()).span()
+            if a > m.end() + REACH:
+                break
             done = b
             if any(x < b and a < y for x, y, _ in known) or not _varied(text[a:b]):
                 continue
             if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= threshold:
                 out.append((a, b, "novel"))
-            break
     return out
 
 

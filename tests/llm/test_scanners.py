@@ -100,3 +100,14 @@ def test_novel_strings():
     assert [t[a:b] for a, b, _ in spans] == ["q7Xp2LzR9vKw0TnB4sYd"]
     assert secrets.novel("key q7Xp2LzR9vKw0TnB4sYd", [(4, 24, "hex")]) == []
     assert secrets.novel("id q7Xp2LzR9vKw0TnB4sYd", []) == []
+
+
+def test_every_string_in_reach_is_measured():
+    found = lambda t: [t[a:b] for a, b, _ in secrets.novel(t, [])]
+    explained = "see build_2024_release_notes and build_2024_release_notes. "
+    assert found(explained + "credential for build_2024_release_notes: q7Zx91LmP0vTr4Kd") == ["q7Zx91LmP0vTr4Kd"]
+    assert found("key q7Xp2LzR9vKw0TnB4sYd and Jm5Wc8HaQ1fGy6Ub") == ["q7Xp2LzR9vKw0TnB4sYd", "Jm5Wc8HaQ1fGy6Ub"]
+    for gap in (1, 36, 37, 40, 47, 48):
+        assert found("key" + " " * gap + "q7Xp2LzR9vKw0TnB4sYd") == ["q7Xp2LzR9vKw0TnB4sYd"]
+    assert found("key" + " " * 49 + "q7Xp2LzR9vKw0TnB4sYd") == []
+    assert found("key" + " " * 48 + "q7Xp2LzR9vKw") == ["q7Xp2LzR9vKw"]
