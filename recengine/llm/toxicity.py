@@ -1,17 +1,20 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes log-count ratios (NB-SVM style).
 
 Features: which n-grams of 3 to 6 characters a text has (A-Z lower-cased, white space as a blank), hashed into ``2 ** BITS``
-buckets. A bucket's value is its log-count ratio between toxic and other training texts; a logistic regression with an L2
-penalty is fitted on the scaled features. Weights that stand for something are sent to the workers (at most ``FEATURES``),
-and every whole text is scored where it is read.
+buckets. A bucket's value is the geometric mean of its log-count ratio between toxic and other training texts and of how many
+standard deviations its count is off; a logistic regression with an L2 penalty is fitted on the scaled features. Every bucket
+that training texts have gets a weight, unless toxic and other ones have it equally often. The table of weights (8 MB) is sent to the workers, and every whole text is scored
+where it is read.
 
-Fitted on a bounded sample of labelled rows: ``SAMPLE`` of either label, the first by a hash of the id.
+Fitted on a bounded sample of labelled rows: ``SAMPLE`` of either label, the first by a hash of the id. Their buckets lie in a
+file of the driver, from which the fit takes a row at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,6 @@ from recengine.llm.shared import kept
 ORDERS = (3, 4, 5, 6)
 BITS = 21
 SAMPLE = 1500
-FEATURES = 1_000
 _K = _text.mixed(np.arange(1, 12, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -57,48 +59,97 @@ def present(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(rows: Callable[[], Iterable[tuple[int, bytes, int]]], *, features: int = FEATURES, rounds: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights (ratio times coefficient) and the bias. ``rows`` gives (id, distinct buckets, label) anew at each
-    call: it is called twice, to count and then for the chosen buckets alone, and no more than a row is held whole."""
+def fit(rows: Iterable[tuple[int, bytes, int]], *, rounds: int = 60, penalty: float = 0.1, history: int = 6) -> tuple[np.ndarray, float]:
+    """The weight of every bucket (scale times coefficient) and the bias, from (id, distinct buckets, label).
+
+    Coefficients are sums of the rows' features, and so is every step of L-BFGS from 0: a vector is held as a number for each row
+    (and its products with all rows), not for each bucket.
+    """
     size = 1 << BITS
     counts = {0: np.zeros(size, np.float32), 1: np.zeros(size, np.float32)}
-    number = {0: 0, 1: 0}
-    for _, buckets, label in rows():
-        counts[label][np.frombuffer(buckets, "<i4")] += 1
-        number[label] += 1
-    n1, n0 = float(number[1]), float(number[0])
-    if not n1 or not n0:
-        prior = (n1 + 1) / (n1 + n0 + 4)
-        return np.zeros(0, np.int64), np.zeros(0), math.log(prior / (1 - prior))
-    toxic, other = counts[1], counts[0]
-    p, q = toxic + 1, other + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    seen = toxic + other
-    expected = seen * n1 / (n1 + n0)
-    chi = np.where(seen >= 5, (toxic - expected) ** 2 / np.maximum(expected, 1e-9) + (other - (seen - expected)) ** 2 / np.maximum(seen - expected, 1e-9), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
-    chosen = chosen[chi[chosen] > 0]
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    sample = sorted(((i, (c := place[np.frombuffer(buckets, "<i4")])[c >= 0], label) for i, buckets, label in rows()), key=lambda x: x[0])
-    y = np.array([label for *_, label in sample], float)
-    at = np.repeat(np.arange(len(sample)), [len(c) for _, c, _ in sample])
-    column = np.concatenate([c for _, c, _ in sample])
-    scale = ratio[chosen].astype(float)
-    balance = np.where(y > 0, 0.5 / n1, 0.5 / n0)
-    w, bias = np.zeros(len(chosen)), 0.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for k in range(1, rounds + 1):  # Adam on the whole sample
-        z = np.bincount(at, (w * scale)[column], len(sample)) + bias
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
-        g = np.r_[np.bincount(column, off[at], len(chosen)) * scale + penalty * w, off.sum()]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return chosen, w * scale, float(bias)
-
-
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    with tempfile.TemporaryFile() as file:
+        index, end = [], 0
+        for i, buckets, label in rows:
+            counts[label][np.frombuffer(buckets, "<i4")] += 1
+            index.append((i, end, end + len(buckets) // 4, label))
+            end += file.write(buckets) // 4
+        file.flush()
+        index.sort()
+        y = np.array([label for *_, label in index], float)
+        n1, n0 = float(y.sum()), float(len(y) - y.sum())
+        if not n1 or not n0:
+            prior = (n1 + 1) / (n1 + n0 + 4)
+            return np.zeros(size, np.float32), math.log(prior / (1 - prior))
+        found = np.asarray(np.memmap(file, "<i4", "r")) if end else np.zeros(0, np.int32)
+        square = _scale(counts[1], counts[0], n1, n0)
+        square *= square
+
+        def summed(by_row: np.ndarray) -> np.ndarray:
+            out = np.zeros(size)
+            for (_, a, b, _), x in zip(index, by_row, strict=True):
+                out[found[a:b]] += x
+            return out * square
+
+        def products(by_row: np.ndarray) -> np.ndarray:
+            table = summed(by_row)
+            return np.array([table[found[a:b]].sum() for _, a, b, _ in index])
+
+        balance = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+
+        def loss(at: _Point) -> float:
+            z = at.z + at.bias
+            return float(balance @ np.where(y > 0, np.logaddexp(0, -z), np.logaddexp(0, z)) + penalty / 2 * (at.rows @ at.z))
+
+        def gradient(at: _Point) -> _Point:
+            off = (1 / (1 + np.exp(-np.clip(at.z + at.bias, -500, 500))) - y) * balance
+            return _Point(off + penalty * at.rows, products(off) + penalty * at.z, off.sum())
+
+        at = _Point(np.zeros(len(y)), np.zeros(len(y)), 0.0)
+        f, g, steps = loss(at), gradient(at), []
+        for _ in range(rounds):
+            way, used = g, []
+            for s, c in reversed(steps):
+                used.append((way @ s) / (s @ c))
+                way = way.plus(c, -used[-1])
+            s, c = steps[-1] if steps else (g, g)
+            way = way.plus(way, (s @ c) / (c @ c) - 1 if steps else 1 / max(1e-12, math.sqrt(g @ g)) - 1)
+            for (s, c), u in zip(steps, reversed(used), strict=True):
+                way = way.plus(s, u - (way @ c) / (s @ c))
+            size_of, slope = 1.0, way @ g
+            while (new := loss(at.plus(way, -size_of))) > f - 1e-4 * size_of * slope and size_of > 1e-6:
+                size_of /= 2
+            if f - new < 1e-5 * f:
+                break
+            after = at.plus(way, -size_of)
+            turned = gradient(after)
+            s, c = after.plus(at, -1), turned.plus(g, -1)
+            steps = [*steps, (s, c)][-history:] if s @ c > 1e-14 else steps
+            at, f, g = after, new, turned
+        return summed(at.rows).astype(np.float32), float(at.bias)
+
+
+class _Point:
+    """A vector of coefficients as a sum of the rows' features, its products with every row, and a bias."""
+
+    def __init__(self, rows: np.ndarray, z: np.ndarray, bias: float):
+        self.rows, self.z, self.bias = rows, z, bias
+
+    def __matmul__(self, other: _Point) -> float:
+        return float(self.rows @ other.z + self.bias * other.bias)
+
+    def plus(self, other: _Point, times: float) -> _Point:
+        return _Point(self.rows + times * other.rows, self.z + times * other.z, self.bias + times * other.bias)
+
+
+def _scale(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Each bucket's scale from the numbers of toxic and other texts that have it; 0 only where ratio or deviation is 0."""
+    ratio = np.log((toxic + 1) / (n1 + 2)) - np.log((other + 1) / (n0 + 2))
+    n, seen = n1 + n0, toxic + other
+    expected = seen * (n1 / n)
+    return ((toxic - expected) / np.sqrt(np.maximum(expected * (n0 / n) * (1 - seen / n), 0.25) + 1) * np.sqrt(np.abs(ratio))).astype(float)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fits on ``sample`` rows of either label at most; ``labels`` (doc_id, toxic) must hold training rows only. Null labels are
     passed over; of an id's labels 1 wins."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_label"))
@@ -106,36 +157,30 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
     some = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.max("text").alias("text"))
     rows = kept(_text.appended(texts, {"_buckets": "binary"}, lambda data, offsets: {"_buckets": present(data, offsets)}).select("doc_id", "_buckets", "_label").repartition(16, "doc_id"))
-    return fit(lambda: ((r["doc_id"], bytes(r["_buckets"]), r["_label"]) for r in rows.toLocalIterator()))
+    return fit((r["doc_id"], bytes(r["_buckets"]), r["_label"]) for r in rows.toLocalIterator())
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5). Null and empty texts have no n-gram and get the bias's score."""
     sent = spark.sparkContext.broadcast(model)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
-        buckets, weights, bias = sent.value
-        if not _LAST or _LAST[0] is not sent.value:
-            table = np.zeros(1 << BITS, np.float32)
-            table[buckets] = weights
-            _LAST[:] = sent.value, table
-        table, n = _LAST[1], len(offsets) - 1
-        found = []
-        for row, bucket in ngrams(data, offsets):
-            some = table[bucket] != 0
-            found.append(row[some].astype(np.int64) << BITS | bucket[some])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        z = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], n) + bias
+        (table, bias), n = sent.value, len(offsets) - 1
+        found = [(np.searchsorted(row, np.arange(n + 1)), bucket) for row, bucket in ngrams(data, offsets)]
+        z = np.full(n, bias)
+        last = np.empty(1 << BITS, np.int32)
+        for k in range(n):
+            if buckets := [b[cut[k] : cut[k + 1]] for cut, b in found]:
+                own = np.concatenate(buckets)
+                place = np.arange(len(own), dtype=np.int32)
+                last[own] = place  # of equal buckets one counts
+                z[k] += table[own[last[own] == place]].sum(dtype=float)
         s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         return {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     return _text.appended(docs, {"score": "double", "predicted": "int"}, work)
 
 
-#: A worker's latest model and its weights by bucket.
-_LAST: list = []
-
-
 def remainder(doc_id: object, of: int) -> object:
     """crc32 of the id as text, modulo ``of``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of

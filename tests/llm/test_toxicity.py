@@ -54,3 +54,34 @@ def test_odd_inputs(spark):
     out = toxicity.score(spark, docs, toxicity.train(spark, docs, none))
     assert {(r.score, r.predicted) for r in out.collect()} == {(0.25, 0)}
     assert toxicity.score(spark, docs.limit(0), toxicity.train(spark, docs.limit(0), none)).collect() == []
+
+
+def test_wide_vocabulary_in_several_scripts():
+    rng = random.Random(3)
+    scripts = ["abcdefghijklmnoprstuvz", "абвгдежзиклмнопрст", "áéíóúñüabcdelmnors", "αβγδεζηθικλμνοπρστ"]
+    word = lambda a, lo, hi: "".join(rng.choice(a) for _ in range(rng.randint(lo, hi)))
+    plain, bad = [[word(a, 4, 9) for _ in range(1500)] for a in scripts], [[word(a, 6, 10) for _ in range(100)] for a in scripts]
+
+    def text(toxic):
+        k = rng.choices(range(4), [6, 2, 1, 1])[0]
+        words = rng.choices(plain[k], [1 / (j + 1) for j in range(1500)], k=rng.choice([30, 120]))
+        for b in rng.choices(bad[k], [1 / (j + 5) for j in range(100)], k=3 * toxic):
+            words.insert(rng.randrange(len(words)), b)
+        return " ".join(words)
+
+    def rows(n):
+        texts, out = [text(k % 2) for k in range(n)], []
+        for k in range(0, n, 50):
+            out += toxicity.present(*_text.buffer(pa.array(texts[k : k + 50], pa.large_string())))
+        return [(k, b, k % 2) for k, b in enumerate(out)]
+
+    fitted = rows(2 * toxicity.SAMPLE)
+    weights, bias = toxicity.fit(iter(fitted))
+    lean = np.zeros(1 << toxicity.BITS, int)
+    for _, b, label in fitted:
+        lean[np.frombuffer(b, "<i4")] += 2 * label - 1
+    assert np.count_nonzero(lean) > 100_000 and weights[lean != 0].all()
+    held = rows(600)
+    got = np.array([weights[np.frombuffer(b, "<i4")].sum() + bias >= 0 for _, b, _ in held])
+    label = np.array([k for *_, k in held]) == 1
+    assert got[label].mean() >= 0.88 and got[~label].mean() <= 0.05
