@@ -1,8 +1,9 @@
 """Personal data: patterns, and a semi-Markov conditional random field for forms that patterns miss.
 
 Base spans are matches of four patterns (email, ip, card, phone). The model looks at stretches between them that may hold
-another form: runs of digits and separators with 7 or more digits, and e-mail addresses spelled out with "at" and "dot". A
-stretch is cut into tokens; every span of at most ``LONGEST`` tokens is a candidate segment with features of the whole span
+another form: runs of digits and separators with 7 or more digits, and e-mail addresses spelled out with "at" and "dot". Base
+spans are cut out of a stretch, and what is left is cut into tokens; every span of at most ``LONGEST`` tokens (of whole words
+and ``LONGEST_SPELLED`` where there are letters) is a candidate segment with features of the whole span
 (its shape, its number of digits, check digits, octets, the cue word before it), and dynamic programming over bounded
 segments chooses boundaries and types together. Weights maximise the likelihood of generated stretches with known
 segments, of personal data and of numbers that are none (dates, versions, identifiers).
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right, insort
 from collections import defaultdict
 from functools import lru_cache
 
@@ -26,6 +28,8 @@ from recengine.llm.spans import Span, anchored, digest, written
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 15
+#: The most that ``SPELLED`` admits: 9 words, and between them 8 times a blank, a bracket, "at" or "dot", a bracket and a blank.
+LONGEST_SPELLED = 9 + 8 * 5
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -34,8 +38,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Stretches that may hold a form the patterns miss.
 NUMBERS = re.compile(r"[(\[]?[0-9](?:[\x20()\[\]./-]{0,3}[0-9])+")
-SPELLED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:(?:\.|\x20?[\[(]?dot[\])]?\x20?)[A-Za-z0-9_-]++){0,3}\x20?[\[(]?(?:@|at)[\])]?\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]?dot[\])]?\x20?)[A-Za-z0-9-]+){1,4}")
+SPELLED = re.compile(r"(?ai)(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:(?:\.|\x20?[\[(]?dot[\])]?\x20?)[A-Za-z0-9_-]++){0,3}\x20?[\[(]?(?:@|at)[\])]?\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]?dot[\])]?\x20?)[A-Za-z0-9-]+){1,4}")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
+SPELLED_TOKEN = re.compile(r"[0-9A-Za-z_-]+|[^0-9A-Za-z_-]")
 #: Words before a number or an address that tell its type, in the languages of the corpus.
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "handy", "móvil", "téléphone", "appelez"),
@@ -80,8 +85,9 @@ def features(segment: str, before: str, kind: str) -> list[str]:
     if len(parts) == 4 and all(p.isdigit() and len(p) < 4 for p in parts):
         out.append(f"octets {all(int(p) < 256 for p in parts)}")
     if letters:
-        out.append(f"spelled {bool(re.search(r'@|[^a-z]at[^a-z]', segment))} {bool(re.search(r'[.]|[^a-z]dot[^a-z]', segment))} {bool(re.search(r'[([]', segment))}")
-        out.append(f"ends {re.search('[A-Za-z0-9]*$', segment)[0] in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'info', 'io')}")
+        low = segment.lower()
+        out.append(f"spelled {bool(re.search(r'@|[^a-z]at[^a-z]', low))} {bool(re.search(r'[.]|[^a-z]dot[^a-z]', low))} {bool(re.search(r'[([]', low))}")
+        out.append(f"ends {re.search('[a-z0-9]*$', low)[0] in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'info', 'io')}")
     out.append(f"edges {segment[0].isalnum() or segment[0] in '(+['} {segment[-1].isalnum()}")
     return [f"{kind} {x}" for x in out]
 
@@ -94,12 +100,14 @@ class Model:
 
     def candidates(self, text: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
         """Tokens of a stretch, and segments (first token, end token, kind, features) that may stand in it."""
-        tokens = [m.span() for m in TOKEN.finditer(text)]
+        spelled = any(c.isalpha() for c in text)
+        tokens = [m.span() for m in (SPELLED_TOKEN if spelled else TOKEN).finditer(text)]
+        longest = LONGEST_SPELLED if spelled else LONGEST
         out = []
         for i in range(len(tokens)):
             if text[tokens[i][0]].isspace():
                 continue
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            for j in range(i + 1, min(len(tokens), i + longest) + 1):
                 segment = text[tokens[i][0] : tokens[j - 1][1]]
                 if segment[-1].isspace() or segment[-1] in "([./-":
                     continue
@@ -208,22 +216,45 @@ def _sum(logs: list[float]) -> float:
 
 
 def more(text: str, known: list[Span], model: Model) -> list[Span]:
-    """Segments that the model finds in stretches outside ``known``."""
+    """Segments that the model finds in what ``known`` leaves of stretches."""
     out: list[Span] = []
-    taken = sorted((a, b) for a, b, _ in known)
-    stretches = [m.span() for m in NUMBERS.finditer(text) if sum(c.isdigit() for c in m[0]) >= 7]
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b, _ in known):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     low = text.lower()
-    if "dot" in low or "(at)" in low or "[at]" in low or " @ " in low:
-        stretches += [m.span() for m in SPELLED.finditer(text)]
-    for a, b in sorted(stretches):
-        if any(x < b + 1 and a < y + 1 for x, y in taken):
-            continue
-        found = [(a + x, a + y, k) for x, y, k in model.best(text[a:b], text[max(0, a - 40) : a])]
-        out += found
-        taken += [(x, y) for x, y, _ in found]
+    patterns = [NUMBERS] + [SPELLED] * ("dot" in low or "(at)" in low or "[at]" in low or " @ " in low)
+    stretches = [(*m.span(), k) for k, p in enumerate(patterns) for m in p.finditer(text) if _holds(m, p)]
+    for a, b, k in sorted(stretches):
+        for x, y in _left(a, b, taken):
+            for m in patterns[k].finditer(text, x, y):
+                if _holds(m, patterns[k]):
+                    at = m.start()
+                    found = [(at + i, at + j, kind) for i, j, kind in model.best(m[0], text[max(0, at - 40) : at])]
+                    out += found
+                    for i, j, _ in found:
+                        insort(taken, (i, j))
     return out
 
 
+def _holds(m: re.Match, pattern: re.Pattern) -> bool:
+    return pattern is not NUMBERS or sum(c.isdigit() for c in m[0]) >= 7
+
+
+def _left(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch from ``a`` to ``b`` that ``taken`` (in order, apart) leaves."""
+    out = []
+    k = bisect_right(taken, (a, a))
+    k -= k > 0 and taken[k - 1][1] > a
+    while k < len(taken) and taken[k][0] < b:
+        if a < taken[k][0]:
+            out.append((a, taken[k][0]))
+        a, k = taken[k][1], k + 1
+    return [*out, (a, b)] if a < b else out
+
+
 _ANCHORS = np.zeros(256, bool)
 _ANCHORS[0x30:0x3A] = _ANCHORS[0x40] = True
 
@@ -232,20 +263,21 @@ def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone (long, base spans), base_sha256 and spans ("kind:start:end", code points).
 
     Null and empty texts have no spans: counts 0, spans "", the digest of "". Repeated rows are each scanned. A column of
-    ``docs`` with a result's name gives way. Base spans stay whatever the model says, and its spans touch none of them.
+    ``docs`` with a result's name gives way. Base spans stay whatever the model says, and its spans overlap none of them.
     """
     sent = spark.sparkContext.broadcast(trained().weights)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         model = Model(sent.value)
         raw, edges = data.tobytes(), offsets.tolist()
+        low = _text.LOWER[data].tobytes()
         marked = np.zeros(len(edges) - 1, bool)
         marked[np.searchsorted(offsets, np.flatnonzero(_ANCHORS[data]), "right") - 1] = True
         out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")}
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             known: list[Span] = []
             extra: list[Span] = []
-            if marked[k] or raw.find(b"dot", a, b) >= 0 or raw.find(b"at)", a, b) >= 0 or raw.find(b"at]", a, b) >= 0:
+            if marked[k] or low.find(b"dot", a, b) >= 0 or low.find(b"at)", a, b) >= 0 or low.find(b"at]", a, b) >= 0:
                 text = raw[a:b].decode()
                 known = base(text)
                 extra = more(text, known, model)

@@ -111,3 +111,23 @@ def test_every_string_in_reach_is_measured():
         assert found("key" + " " * gap + "q7Xp2LzR9vKw0TnB4sYd") == ["q7Xp2LzR9vKw0TnB4sYd"]
     assert found("key" + " " * 49 + "q7Xp2LzR9vKw0TnB4sYd") == []
     assert found("key" + " " * 48 + "q7Xp2LzR9vKw") == ["q7Xp2LzR9vKw"]
+
+
+def test_model_decodes_what_base_spans_leave_and_long_or_upper_forms():
+    model = pii.trained()
+    found = lambda t: [(t[a:b], k) for a, b, k in pii.more(t, pii.base(t), model)]
+    for known in ("4111 1111 1111 1111", "10.0.0.1"):
+        t = f"{known} (212) 555-0199"
+        assert [t[a:b] for a, b, _ in pii.base(t)] == [known]
+        assert found(t) == [("(212) 555-0199", "phone")]
+    long = "ab dot c1 dot d_2 dot e-3 [at] f [dot] g [dot] h [dot] i [dot] org"
+    for t in ("john [at] mail [dot] example [dot] com", "john (dot) doe (at) mail (dot) example (dot) com", "john [AT] example [DOT] com", "JOHN AT EXAMPLE DOT COM", long):
+        assert found(t) == [(t, "email")]
+    widest = " [dot] ".join("abcd") + " [at] " + " [dot] ".join("efghi")
+    assert pii.SPELLED.fullmatch(widest) and len(pii.SPELLED_TOKEN.findall(widest)) == pii.LONGEST_SPELLED
+    assert pii._left(0, 20, [(-3, 2), (5, 8), (18, 30)]) == [(2, 5), (8, 18)] and pii._left(0, 5, [(0, 5)]) == []
+
+
+def test_upper_case_spelled_addresses_are_scanned(spark):
+    docs = spark.createDataFrame([(1, "write to john [AT] example [DOT] com"), (2, "write to JOHN AT EXAMPLE DOT COM")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.find_personal_data(spark, docs).collect()} == {1: "email:9:36", 2: "email:9:32"}
