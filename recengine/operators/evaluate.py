@@ -95,7 +95,7 @@ def paired_bootstrap(difference: np.ndarray, resamples: int = 2000, seed: int =
     return float(difference.mean()), float(low), float(high)
 
 
-def poisson_bootstrap(users: DataFrame, value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+def poisson_bootstrap(users: DataFrame, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """Mean and interval without collecting users: each counts a Poisson(1) number of times in each resample, by a hash of its id."""
     r = users.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = (F.xxhash64(F.lit(seed), "user_id", "_b").bitwiseAND((1 << 53) - 1)) / F.lit(float(1 << 53))

@@ -59,6 +59,15 @@ def test_bootstrap():
     assert mean == 0 and abs(high - 0.196) < 0.03
 
 
+def test_poisson_bootstrap_takes_as_many_resamples_as_the_other(spark):
+    x = np.random.default_rng(1).normal(0.1, 1, 300)
+    users = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "user_id long, d double")
+    got = evaluate.poisson_bootstrap(users, "d").first()
+    assert got == evaluate.poisson_bootstrap(users, "d", resamples=2000).first() != evaluate.poisson_bootstrap(users, "d", resamples=200).first()
+    mean, low, high = evaluate.paired_bootstrap(x)
+    assert abs(got.mean - mean) < 1e-9 and abs(got.low - low) < 0.015 and abs(got.high - high) < 0.015
+
+
 def test_same_top_and_known_share(spark):
     a, b = recs(spark, [(1, "a", 2.0), (1, "b", 1.0), (2, "c", 1.0)]), recs(spark, [(1, "a", 2.0), (1, "b", 1.5), (2, "d", 1.0)])
     assert evaluate.same_top(a, b, 2).first()[0] == 0.5
