@@ -1,12 +1,15 @@
 """Vectorised text work on Arrow buffers, shared by the operators that run in Python workers.
 
-A worker gets Arrow batches. ``spans`` cuts a batch into runs of rows of about ``CHUNK`` bytes, so the numpy arrays of a
+A worker gets Arrow batches. ``runs`` cuts a batch into runs of rows of about ``CHUNK`` bytes, so the numpy arrays of a
 step stay small however many rows a batch has; a longer text is a run of its own. All byte-level work is on the
 UTF-8 buffer itself; texts become Python strings only where a regular expression needs them.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,10 +33,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_STEP = 0xD1342543DE82EF95
-_STEP_INV = pow(_STEP, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_SEED, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
+#: A byte string longer than this is hashed as a whole, not block by block together with others.
+LONG = 256
 
 #: A-Z to a-z on UTF-8 bytes; all other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,19 +48,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept between calls for usual sizes."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 4096)
-        have = np.full(size, base, dtype=_U)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size <= 4 * CHUNK:
-            _POWERS[base] = have
-    return have[:n]
-
-
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the rows' offsets in them; null counts as empty."""
     column = column.fill_null("") if column.null_count else column
@@ -97,23 +86,71 @@ def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte string data[start:end], the same wherever it stands."""
-    out = np.empty(len(starts), _U)
-    first = 0
-    while first < len(starts):  # block by block: eight times the bytes are held, and no more of them than that
-        lo = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(starts, lo + CHUNK)))
-        part = data[lo : int(ends[last - 1])]
-        total = np.empty(len(part) + 1, _U)
-        total[0] = 0
-        np.cumsum(_BYTE[part] * _powers(len(part), _STEP), out=total[1:])
-        s, e = starts[first:last] - lo, ends[first:last] - lo
-        out[first:last] = mixed((total[e] - total[s]) * _powers(len(part), _STEP_INV)[s] + (e - s).astype(_U))
-        first = last
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset of ``data`` on, as one number (zeros behind the end); nothing is copied but ``data``."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def _blocks(eights: np.ndarray, starts: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """Bytes ``at`` .. ``at`` + 8 of the byte strings, zeros beyond their ends."""
+    over = np.clip(8 - (size - at), 0, 7).astype(_U) * _U(8)
+    return eights[starts + at] & (~_U(0) >> over)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte string data[start:end], the same wherever it stands.
+
+    Each block of eight bytes goes through a full mix of 64 bits before the next comes in, so that no sums of blocks cancel out; strings
+    of up to eight bytes and the same length never collide. What must tell strings apart for certain compares them (``same``).
+    """
+    size = ends - starts
+    out = np.full(len(starts), _SEED + _U(seed), _U)
+    eights = _eights(data)
+    at, todo = 0, np.flatnonzero(size <= LONG)
+    while len(todo):
+        out[todo] = mixed((out[todo] ^ _blocks(eights, starts[todo], size[todo], at)) * _STEP)
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return mixed(out + size.astype(_U))
+
+
+def same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``a`` from ``a_at`` on are those of ``b`` from ``b_at`` on."""
+    out = np.ones(len(size), bool)
+    x, y = _eights(a), _eights(b)
+    at, todo = 0, np.flatnonzero((size <= LONG) & (size > 0))
+    while len(todo):
+        out[todo] &= _blocks(x, a_at[todo], size[todo], at) == _blocks(y, b_at[todo], size[todo], at)
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > LONG):
+        out[k] = np.array_equal(a[a_at[k] : a_at[k] + size[k]], b[b_at[k] : b_at[k] + size[k]])
     return out
 
 
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` of a Python worker, which gives its free memory back to the system when the task ends: workers are used again, and
+    what one operator needed at its height would else stay with the next one's."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def points(data: np.ndarray) -> np.ndarray:
     """For each byte offset 0..len, the number of code points that begin before it."""
     out = np.zeros(len(data) + 1, np.int64)
@@ -158,6 +195,6 @@ def appended(
                 arrays = [part.column(f.name) if not f.name.startswith("+") else pa.array(new[f.name[1:]], target.field(f.name).type) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target, strict=True)], schema=target)
 
-    out = named.mapInArrow(run, schema)
+    out = named.mapInArrow(trimmed(run), schema)
     back = {c: F.col("_text" if c == text else f"_{i}") for i, c in enumerate(keep)}
     return out.select(*(x.alias(c) for c, x in back.items()), *(F.col(f"`+{c}`").alias(c) for c in columns))

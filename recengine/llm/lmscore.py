@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import folder, kept
-from recengine.llm.tokens import _store
+from recengine.llm.shared import folder, kept, store
 
 SHARD = 4 << 20
 GRID = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
@@ -193,7 +192,7 @@ def _added(table: pa.Table) -> pa.Table:
 def _stored(where: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of (shard, kind, bucket): a file for each shard; sums go on as rows."""
-        fs, base = _store(where)
+        fs, base = store(where)
         now, parts, sums = None, {"w": [], "p": []}, {}
 
         def done():
@@ -222,7 +221,7 @@ def _stored(where: str):
 
 
 def _reached(where: str, name: str, shard: Shard, sums: tuple[int, int, int]) -> Automaton:
-    fs, base = _store(where)
+    fs, base = store(where)
     with fs.open_input_file(f"{base}/{name}") as f:
         raw = f.read()
     n = np.frombuffer(raw, "<u8", 2).tolist()

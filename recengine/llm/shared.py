@@ -1,10 +1,12 @@
-"""Tables that a query writes once and reads again, in the folder that all executors share."""
+"""Tables and files that a query writes once and reads again, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and path of a URI, for files that workers read and write themselves."""
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def put(where: str, raw: bytes) -> None:
+    """Writes a file, which has its name only when it is whole: a task that runs again, or twice, does no harm."""
+    fs, path = store(where)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(opened := f"{path}.{uuid.uuid4().hex}") as f:
+        f.write(raw)
+    fs.move(opened, path)
+
+
+def get(where: str) -> bytes:
+    fs, path = store(where)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
 #: Rows of ids that may be broadcast: some 20 MB. What may be longer is counted first, and joined by shuffle beyond this.
 FEW = 1_000_000
 

@@ -22,18 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import folder, kept
+from recengine.llm.shared import folder, kept, store
 
 LENGTH = 2048
 BATCH = 64
 END = 2
-#: Pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of pieces whose ids a worker remembers before it starts anew.
+REMEMBERED = 4 << 20
 
 
 #: Bytes of pieces: 1 letters (and lead bytes of two-byte Latin letters), 2 ASCII punctuation but the apostrophe, 3 digits, 0 all else.
@@ -80,7 +79,8 @@ def _visible() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, each followed by ``end``. Ids of pieces that came before are looked up in sorted arrays.
 
-    Pieces of letters alone are one pre-token, so the library's model gets them at once; all others go its whole way.
+    Pieces of letters alone are one pre-token, so the library's model gets them at once; all others go its whole way. Pieces are
+    found by a hash and then compared byte by byte; where two share a hash, the run's texts are encoded whole.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -98,6 +98,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([self.end], self.kind)
+        #: The pieces' own bytes.
+        self.raw, self.raw_begin, self.raw_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encoded(self, raw: list[bytes], letters: list[bool]) -> list[list[int]]:
         out: list = [None] * len(raw)
@@ -112,6 +114,11 @@ class Encoder:
             out[k] = e.ids
         return out
 
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = offsets.tolist()
+        ids = [[*e.ids, self.end] for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.kind), np.array([len(x) for x in ids], np.int64)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts and, for each text, how many of them are its own."""
         raw = data.tobytes()
@@ -119,12 +126,16 @@ class Encoder:
         within = self.parts and b"<|" not in raw
         low = _text.LOWER[data] if within and not ((data == 0xCC) | (data == 0xCD)).any() else data
         starts, ends, rows, kind = pieces(data, offsets, within)
-        hashes = _text.hashed(low, starts, ends) + np.uint64(not within)
+        hashes = _text.hashed(low, starts, ends, seed=int(not within))
         words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        own = ends - starts
+        if len(self.raw) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.keys, words)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != words) if len(self.keys) else np.arange(len(words))
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == words if len(self.keys) else np.zeros(len(words), bool)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        if not (_alike(low, starts, own, low, starts[first][which], own[first][which]) and _alike(low, starts[first[old]], own[first[old]], self.raw, self.raw_begin[at[old]], self.raw_size[at[old]])):
+            return self._whole(raw, offsets)
         if len(new):
             other = np.zeros(len(data) + 1, np.int32)
             np.cumsum(kind != 1, out=other[1:])
@@ -136,6 +147,9 @@ class Encoder:
             self.begin = np.insert(self.begin, at[new], len(self.pool) + np.cumsum(size) - size)
             self.size = np.insert(self.size, at[new], size)
             self.keys = np.insert(self.keys, at[new], words[new])
+            self.raw_begin = np.insert(self.raw_begin, at[new], len(self.raw) + np.cumsum(b - a) - (b - a))
+            self.raw_size = np.insert(self.raw_size, at[new], b - a)
+            self.raw = np.concatenate([self.raw, *(low[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True))])
             self.pool = np.concatenate([self.pool, flat])
         place = np.searchsorted(self.keys, words)
         size, begin = self.size[place], self.begin[place]
@@ -148,6 +162,10 @@ class Encoder:
         return self.pool[index], np.bincount(owner, piece_size, len(offsets) - 1).astype(np.int64)
 
 
+def _alike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+    return bool((a_size == b_size).all() and _text.same(a, a_at, b, b_at, a_size).all())
+
+
 class Sequences:
     """Writes ids as sequences of ``length`` to an Arrow file, a batch of ``BATCH`` at a time."""
 
@@ -181,20 +199,15 @@ class Sequences:
         self.fs.move(self.open, self.path)
 
 
-def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write(spark: SparkSession, docs: DataFrame, where: str, tokenizer: str, *, length: int = LENGTH, end: int = END) -> DataFrame:
     """Writes ``docs`` (doc_id, text) below ``where``; a row for each file: part, path, n_docs, n_tokens.
 
     Documents stand in ascending doc_id order over all files (null ids first; rows that share an id in order of a hash of
     their texts). A null or empty text is an end id alone. An empty table writes no file.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_tie", F.xxhash64("text"))
-    dealt = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_tie").drop("_tie")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_tie", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
+    # many rows without id, or of one id and text, still part into several ranges
+    dealt = ordered.repartitionByRange("doc_id", "_tie", "_place").sortWithinPartitions("doc_id", "_tie").drop("_tie", "_place")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -203,7 +216,7 @@ def write(spark: SparkSession, docs: DataFrame, where: str, tokenizer: str, *, l
             _LAST[:] = (tokenizer, end), Encoder(tokenizer, end)
         encode, out, found = _LAST[1], None, []
         part = TaskContext.get().partitionId()
-        fs, base = _store(where)
+        fs, base = store(where)
         path = f"{base}/part-{part:07d}"
         for batch in batches:
             data, offsets = _text.buffer(batch.column("text"))
@@ -223,7 +236,7 @@ def write(spark: SparkSession, docs: DataFrame, where: str, tokenizer: str, *, l
         fs.move(opened, f"{path}.index.arrow")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"part-{part:07d}"]), pa.array([len(index)], pa.int64()), pa.array([out.n], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
-    return kept(dealt.mapInArrow(task, "part long, path string, n_docs long, n_tokens long"))
+    return kept(dealt.mapInArrow(_text.trimmed(task), "part long, path string, n_docs long, n_tokens long"))
 
 
 def read(spark: SparkSession, files: DataFrame, where: str) -> DataFrame:
@@ -237,7 +250,7 @@ def read(spark: SparkSession, files: DataFrame, where: str) -> DataFrame:
             for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 yield from documents(where, name, start)
 
-    return dealt.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(_text.trimmed(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _opened(fs: pa.fs.FileSystem, path: str) -> pa.NativeFile:
@@ -252,7 +265,7 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray,
 
 
 def documents(where: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
-    fs, base = _store(where)
+    fs, base = store(where)
     with _opened(fs, f"{base}/{name}.index.arrow") as f:
         index = pa.ipc.open_file(f).read_all()
     begin, size = index.column("begin").to_numpy(), index.column("n_tokens").to_numpy()

@@ -69,3 +69,34 @@ def test_sequences_have_one_length_and_a_mask(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokens.round_trip(spark, spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer()).collect() == []
+
+
+def thue_morse(n=10):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_whose_polynomials_agree(spark, whole):
+    texts = [f"{w} {v}" for w in thue_morse() for v in thue_morse()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids_crc32 for r in tokens.round_trip(spark, docs, queries.tokenizer()).collect()}
+    assert got == {k: zlib.crc32(np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in enumerate(texts)}
+
+
+def test_pieces_that_share_a_hash_are_encoded_whole(whole, monkeypatch):
+    monkeypatch.setattr(tokens._text, "hashed", lambda data, starts, ends, seed=0: (data[starts] % 3).astype(np.uint64))
+    encode = tokens.Encoder(queries.tokenizer())
+    for texts in (["a"], ["abc def", "cab and more"], ["d g"], ["one two three", "four"]):
+        data, offsets = tokens._text.buffer(pa.array(texts, pa.large_string()))
+        ids, sizes = encode(data, offsets)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_very_long_text(spark, whole):
+    text = "the quick brown fox, " * 60_000 + "x" * 50_000
+    docs = spark.createDataFrame([(2, text), (1, "a")], "doc_id long, text string")
+    ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+    r = next(r for r in tokens.round_trip(spark, docs, queries.tokenizer()).collect() if r.doc_id == 2)
+    assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
