@@ -7,21 +7,28 @@ Burrows-Wheeler transform is kept in a wavelet matrix, and all windows of the be
 each step narrows their row ranges by two ranks. Occurrences are located by walking back to a sampled suffix position, and
 the spans they cover are merged per document.
 
-Shards are indexed where their rows are read: no shuffle, memory bounded by a shard and a block of the benchmark. The
-benchmark is a set of queries: it is held against all rows in blocks of at most ``BLOCK`` bytes, whatever its size.
+Shards are indexed where their rows are read: no shuffle. The benchmark is a set of queries that may have any size: tasks write
+its windows to the shared folder in blocks of about ``BLOCK`` bytes of text, and a task that reads documents takes one block after
+another, so that its memory is bounded by a few shards and one block. Words are found by hashes and compared byte by byte.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
+from recengine.llm.shared import folder, get, kept, put
 
 WORDS = 13
 SHARD = 2 << 20
-BLOCK = 32 << 20
+BLOCK = 4 << 20
 SAMPLE = 8
 
 
@@ -140,153 +147,166 @@ class Windows:
     """The windows of a block of benchmark texts, each distinct one once, with the items that have it."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], words: int):
-        import pyarrow as pa
-
         data, offsets = _text.buffer(pa.array([t or "" for _, t in items], pa.large_string()))
-        data = _text.LOWER[data]
-        starts, ends, rows = _text.cut(data, offsets, _text.ALNUM)
-        hashes = _text.hashed(data, starts, ends)
-        self.alphabet, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol + 1
-        ids = [i for i, _ in items]
-        self.names = sorted({i for i in ids if i is not None})
-        number = {x: k for k, x in enumerate(self.names)}
+        self.data = _text.LOWER[data]
+        starts, ends, rows = _text.cut(self.data, offsets, _text.ALNUM)
+        for self.seed in range(64):  # until no two different words share a hash
+            self.alphabet, first, symbol = np.unique(_text.hashed(self.data, starts, ends, self.seed), return_index=True, return_inverse=True)
+            self.at, self.size = starts[first], (ends - starts)[first]
+            if (self.size[symbol] == ends - starts).all() and _text.same(self.data, starts, self.data, self.at[symbol], ends - starts).all():
+                break
+        symbol = (symbol + 1).astype(np.int32)
+        self.names = sorted({i for i, _ in items if i is not None})
+        place = {x: k + 1 for k, x in enumerate(self.names)}
+        number = np.array([place.get(i, 0) for i, _ in items], np.int64)
         edge = np.searchsorted(rows, np.arange(len(items) + 1))
-        by: dict[int, list[tuple[bytes, int]]] = {}
-        for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            size = min(words, b - a)
-            for j in range(a, b - size + 1) if size else ():
-                by.setdefault(size, []).append((symbol[j : j + size].astype(np.int32).tobytes(), number.get(ids[k], -1)))
+        length = np.minimum(np.diff(edge), words)
         #: By length: the distinct windows, and per window its items as a slice of a flat array.
         self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, found in by.items():
-            have: dict[bytes, set[int]] = {}
-            for w, k in found:
-                have.setdefault(w, set()).add(k)
-            flat = [sorted(x - {-1}) for x in have.values()]
-            ends = np.cumsum([0, *map(len, flat)])
-            self.by[size] = np.frombuffer(b"".join(have), np.int32).reshape(-1, size).astype(np.int64), ends, np.array([k for x in flat for k in x], np.int64)
+        for size in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == size)
+            begin, who = _ranges(edge[own], edge[own + 1] - size + 1)
+            distinct, which = np.unique(symbol[begin[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            pair = np.unique(which.ravel() * (len(self.names) + 1) + number[own[who]])
+            pair = pair[pair % (len(self.names) + 1) > 0]
+            cut = np.searchsorted(pair // (len(self.names) + 1), np.arange(len(distinct) + 1))
+            self.by[size] = distinct, cut, pair % (len(self.names) + 1) - 1
         self.shortest = min(self.by, default=0)
 
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
-        """Words, hit words, items and merged spans (code points) of each text of a shard."""
-        n = len(offsets) - 1
-        low = _text.LOWER[data]
-        starts, ends, rows = _text.cut(low, offsets, _text.ALNUM)
-        out = {"n_words": _text.counted(rows, n), "n_hit": np.zeros(n, np.int64), "items": [[] for _ in range(n)], "spans": [""] * n}
-        if not self.by or not len(starts):
-            return out
-        hashes = _text.hashed(low, starts, ends)
-        symbol = np.searchsorted(self.alphabet, hashes)
-        symbol[symbol == len(self.alphabet)] = 0
-        symbol = np.where(self.alphabet[symbol] == hashes, symbol + 1, 0)
+    def symbols(self, shard: Shard) -> np.ndarray:
+        """The symbol of each word of a shard, 0 for words that no text of the block has."""
+        hashes = _text.hashed(shard.low, shard.starts, shard.ends, self.seed)
+        at = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
+        maybe = np.flatnonzero((self.alphabet[at] == hashes) & (self.size[at] == shard.ends - shard.starts))
+        maybe = maybe[_text.same(shard.low, shard.starts[maybe], self.data, self.at[at[maybe]], self.size[at[maybe]])]
+        out = np.zeros(len(hashes), np.int64)
+        out[maybe] = at[maybe] + 1
+        return out
+
+
+class Shard:
+    """The words of a run of texts, and which of them the windows of all blocks so far hit."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.low = data, offsets, _text.LOWER[data]
+        self.starts, self.ends, self.rows = _text.cut(self.low, offsets, _text.ALNUM)
+        self.hit = np.zeros(len(self.starts), bool)
+        self.items: dict[int, set[str]] = {}
+
+    def search(self, windows: Windows) -> None:
+        if not windows.by or not len(self.starts):
+            return
+        rows, symbol = self.rows, windows.symbols(self)
         known = symbol > 0
         new = known & np.r_[True, ~known[:-1] | (rows[1:] != rows[:-1])]
         stretch = np.cumsum(new) - 1
         word = np.flatnonzero(known)
-        long = np.bincount(stretch[word], minlength=1)[stretch[word]] >= self.shortest
+        long = np.bincount(stretch[word], minlength=1)[stretch[word]] >= windows.shortest
         word = word[long]
         if not len(word):
-            return out
+            return
         ends_here = np.r_[stretch[word][1:] != stretch[word][:-1], True]
         place = np.arange(len(word)) + np.cumsum(ends_here) - ends_here
         x = np.zeros(len(word) + int(ends_here.sum()), np.int64)
         origin = np.zeros(len(x), np.int64)
         x[place], origin[place] = symbol[word], word
-        index = Index(x, len(self.alphabet) + 1)
-        cover = np.zeros(len(starts) + 1, np.int64)
-        pairs = []
-        for size, (windows, ends_of, items) in self.by.items():
-            lo, hi = index.search(windows)
+        index = Index(x, len(windows.alphabet) + 1)
+        cover = np.zeros(len(self.starts) + 1, np.int64)
+        for size, (patterns, cut, items) in windows.by.items():
+            lo, hi = index.search(patterns)
             found, who = _ranges(lo, hi)
             if not len(found):
                 continue
             begin = origin[index.locate(found)]
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + size, -1)
-            pair = np.unique(rows[begin] * len(windows) + who)
-            item, which = _ranges(ends_of[pair % len(windows)], ends_of[pair % len(windows) + 1])
-            pairs.append((pair // len(windows))[which] * max(1, len(self.names)) + items[item])
-        hit = np.cumsum(cover[:-1]) > 0
-        out["n_hit"] = _text.counted(rows[hit], n)
-        for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
-            out["items"][pair // len(self.names)].append(self.names[pair % len(self.names)])
+            pair = np.unique(rows[begin] * len(patterns) + who)
+            at, which = _ranges(cut[pair % len(patterns)], cut[pair % len(patterns) + 1])
+            for r, item in zip((pair // len(patterns))[which].tolist(), items[at].tolist(), strict=True):
+                self.items.setdefault(r, set()).add(windows.names[item])
+        self.hit |= np.cumsum(cover[:-1]) > 0
+
+    def columns(self) -> dict[str, list]:
+        """Words, hit words, items and merged spans (code points) of each text."""
+        n, rows, hit = len(self.offsets) - 1, self.rows, self.hit
+        spans: dict[int, list[str]] = {}
         if hit.any():
-            at = _text.points(data)
+            at = _text.points(self.data)
             first = hit & np.r_[True, ~hit[:-1] | (rows[1:] != rows[:-1])]
             last = hit & np.r_[~hit[1:] | (rows[1:] != rows[:-1]), True]
-            spans: dict[int, list[str]] = {}
-            for r, a, b in zip(rows[first].tolist(), starts[first], ends[last], strict=True):
-                spans.setdefault(r, []).append(f"{at[a] - at[offsets[r]]}:{at[b] - at[offsets[r]]}")
-            for r, x in spans.items():
-                out["spans"][r] = ",".join(x)
-        return out
+            for r, a, b in zip(rows[first].tolist(), self.starts[first], self.ends[last], strict=True):
+                spans.setdefault(r, []).append(f"{at[a] - at[self.offsets[r]]}:{at[b] - at[self.offsets[r]]}")
+        return {
+            "n_words": _text.counted(rows, n).tolist(), "n_hit": _text.counted(rows[hit], n).tolist(),
+            "items": [sorted(self.items.get(k, ())) for k in range(n)], "spans": [",".join(spans.get(k, ())) for k in range(n)],
+        }
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, words: int, limit: int) -> list[str]:
+    """Writes the windows of the benchmark's rows to the shared folder, in blocks of about ``limit`` bytes of text; their paths.
 
+    The tasks that read the rows make the blocks; the driver gets a path for each of them.
+    """
+    where = f"{folder(spark)}/recengine/windows-{uuid.uuid4().hex}"
+    rows = kept(benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, block, size, number = TaskContext.get().partitionId(), [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            put(path := f"{where}/{part}-{number}", pickle.dumps(Windows(block, words), protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        for batch in batches:
+            for row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                block.append(row)
+                size += len(row[1] or "")
+                if size >= limit:
+                    yield done()
+                    block, size, number = [], 0, number + 1
+        if block:
+            yield done()
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str | None, str | None]]]:
-    """The benchmark's rows in blocks of at most ``limit`` bytes, or of a single row."""
-    block, size, out = [], 0, []
-    for i, t in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        if block and size + len(t or "") > limit:
-            out.append(block)
-            block, size = [], 0
-        block.append((i, t))
-        size += len(t or "")
-    return [*out, block] if block else out or [[]]
+    return sorted(r["path"] for r in rows.coalesce(max(1, total // (8 * limit))).mapInArrow(_text.trimmed(task), "path string").collect())
+
+
+def _windows(path: str) -> Windows:
+    """A block's windows; a worker keeps those it used last."""
+    if not _LAST or _LAST[0] != path:
+        _LAST[:] = path, pickle.loads(get(path))
+    return _LAST[1]
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, words: int = WORDS, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids of the items with occurring windows), spans ("start:end", code points).
 
     A null or empty text has no words: 0, 0, [], "". A null or empty item has no window; an item without id hits but is not
-    listed; rows of one item_id count as one item. Repeated documents are each judged. Columns of ``docs`` that
-    have a result's name give way. An empty benchmark hits nothing.
+    listed; rows of one item_id count as one item. Repeated documents are each judged. A text longer than a shard is a shard of its own.
+    Columns of ``docs`` that have a result's name give way. An empty benchmark hits nothing.
     """
-    for k, rows in enumerate(_blocks(benchmark, block)):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def work(data: np.ndarray, offsets: np.ndarray, *before: object, sent=sent) -> dict[str, object]:
-            if not _LAST or _LAST[0] is not sent.value or _LAST[1] != words:
-                _LAST[:] = sent.value, words, Windows(sent.value, words)
-            out = _LAST[2].hits(data, offsets)
-            out["_hits"] = [[x] if x else [] for x in out["spans"]]
-            if before:
-                out["_hits"] = [[*a, *b] for a, b in zip(before[0].to_pylist(), out["_hits"], strict=True)]
-                out["items"] = [sorted({*a, *b}) for a, b in zip(before[1].to_pylist(), out["items"], strict=True)]
-                joint = [merged(x) for x in out["_hits"]]
-                out["n_hit"], out["spans"] = _covered(data, offsets, joint), [",".join(f"{a}:{b}" for a, b in x) for x in joint]
-            return out
-
-        docs = _text.appended(docs, {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "string", "_hits": "array<string>"}, work, chunk=shard, needs=["_hits", "items"] if k else [])
-    return docs.drop("_hits")
-
-
-def merged(spans: list[str]) -> list[tuple[int, int]]:
-    """The union of spans that begin and end at words; spans that part only at a space stay apart."""
-    out: list[list[int]] = []
-    for a, b in sorted(tuple(map(int, x.split(":"))) for s in spans for x in s.split(",")):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def _covered(data: np.ndarray, offsets: np.ndarray, spans: list[list[tuple[int, int]]]) -> np.ndarray:
-    """How many words of each text its spans cover."""
-    low = _text.LOWER[data]
-    starts, _, rows = _text.cut(low, offsets, _text.ALNUM)
-    at = _text.points(data)
-    place = at[starts] - at[offsets[rows]]
-    out = np.zeros(len(spans), np.int64)
-    for r, own in enumerate(spans):
-        if own:
-            mine = place[np.searchsorted(rows, r) : np.searchsorted(rows, r, "right")]
-            out[r] = sum(np.searchsorted(mine, b) - np.searchsorted(mine, a) for a, b in own)
-    return out
+    paths = _blocks(spark, benchmark, words, block)
+
+    def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
+        parts = [Shard(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in _text.runs(offsets, shard)]
+        for path in paths:
+            windows = _windows(path)
+            for p in parts:
+                p.search(windows)
+        out: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
+        for p in parts:
+            for c, x in p.columns().items():
+                out[c] += x
+        return out
+
+    columns = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "string"}
+    # with several blocks, some shards share the reading of each
+    return _text.appended(docs, columns, work, chunk=shard if len(paths) < 2 else 8 * shard)
 
 
-#: A worker's latest block, its window length, and the windows made of it.
+#: The path of a worker's latest block and its windows.
 _LAST: list = []
 
 

@@ -66,3 +66,33 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert got(dec.decontaminate(spark, d, none)) == [(1, 2, 0, [])]
     assert got(dec.decontaminate(spark, d.limit(0), none)) == []
+
+
+def test_words_that_share_a_sum_of_powers(spark):
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs, bench = [(1, f"{x} end"), (2, f"{y} end"), (3, f"{y} end {x} end")], [(1, f"{x} end")]
+    out = dec.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert got(out) == brute(docs, bench) == [(1, 2, 2, ["1"]), (2, 2, 0, []), (3, 4, 2, ["1"])]
+
+
+def test_words_that_share_a_hash_are_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    windows = dec.Windows([("1", "alpha beta"), ("2", "beta gamma")], 2)
+    real = dec._text.hashed
+    monkeypatch.setattr(dec._text, "hashed", lambda d, s, e, seed=0: np.where(d[s] == ord("x"), windows.alphabet[0], real(d, s, e, seed)))
+    shard = dec.Shard(*dec._text.buffer(pa.array(["xlpha beta", "xeta gamma alpha beta", "alpha xeta"], pa.large_string())))
+    shard.search(windows)
+    assert shard.columns()["n_hit"] == [0, 2, 0]
+
+
+def test_very_long_text(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    text = "filler text of many words, " * 150_000 + passage + " and more" * 100_000
+    d = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    r = next(r for r in dec.decontaminate(spark, d, spark.createDataFrame([(5, passage)], "item_id long, text string")).collect() if r.doc_id == 1)
+    assert (r.n_words, r.n_hit, r["items"]) == (950_040, 40, ["5"])
