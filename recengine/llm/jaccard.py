@@ -10,16 +10,19 @@ allows the similarity, and are then verified on the full sets.
 A word without a shingle says nothing. Sketches have a few words more than needed, so that a text with no more empty words than
 that is found by another one, and gives no key for those.
 
-Equal sets are one node, joined no further. Keys that two nodes share give that pair. A key with more nodes ties them to one of
-them, and nodes that verified links have put into one component are settled. What a key still holds of different components is
+Equal sets are one node, joined no further. A map task lists its nodes' keys sorted and packed, a list for each range of keys, and the
+lists of a range meet in one task; of nodes of one map task with the same key only the first is listed, and the others follow the
+key by a join that Spark can split. Keys that two nodes share give that pair. A key with more nodes ties them to its first
+one. Nodes that verified links have put into one component are settled. What a key still holds of different components is
 compared in blocks: a task gets two blocks of a group, holds their sketches against each other bit-parallel, verifies
 what passes, and gives no more than the links that join components. So no link between components is missed, and pairs
-become rows only where they are links. Hubs are met by joins that Spark can split and by sums that start in the map tasks.
+become rows only where they are links.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,10 @@ from recengine.llm import _text
 from recengine.llm.shared import bounded, kept
 
 WORDS, PERCENT = 3, 90
+#: The least ratio of one band's sizes to those of the band before; 100 / percent if that is more, so that linked sets are in one band or two neighbouring ones.
 RATIO = 1.3
+#: Keys that a map task holds before it lists them, and shingles whose keys are one range of keys.
+LISTED, RANGE = 1 << 19, 1 << 20
 #: A block of a group that is compared: at most so many nodes, and about so many bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 _K = _text.mixed(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
@@ -68,11 +74,11 @@ class Bands:
     """Sizes in bands; a band's number of sketch words, one more than the differences of a linked pair in it."""
 
     def __init__(self, percent: int):
-        self.percent, self.low = percent, [1]
+        self.percent, self.low, self.ratio = percent, [1], max(RATIO, 100 / percent)
 
     def reach(self, size: int) -> None:
         while self.low[-1] <= size * 2 * 100 // self.percent + 2:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * RATIO)))
+            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * self.ratio)))
 
     def of(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bands of the sizes; of all bands the words of a sketch and how many of them are spare; whether a linked text may be in the next band."""
@@ -110,20 +116,15 @@ class Layout:
         cut = pa.array(np.r_[self.base, len(words)].astype(np.int32), mask=np.r_[~self.take, False])
         return pa.ListArray.from_arrays(cut, pa.array(words.view(np.int64)))
 
-    def keys(self, spare: np.ndarray) -> pa.Array:
-        """Each text's keys, one a word that has shingles; empty words too if the text has more of them than are spare."""
+    def keys(self, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key): a key for each word that has shingles; empty words too if the text has more of them than are spare."""
         full = self._xor(self.full)
         of = np.repeat(np.arange(len(self.own)), self.own)
         empty = np.ones(len(full), bool)
         empty[self.word] = False
         given = ~empty | (np.bincount(of[empty], minlength=len(self.own)) > spare[self.band])[of]
         place = (np.arange(len(full)) - self.base[of]).astype(_U) | self.band[of].astype(_U) << _U(48)
-        keys = _text.mixed(full ^ _text.mixed(place + _U(1)))[given]
-        size = np.bincount(of[given], minlength=len(self.own))
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys.view(np.int64)))
-
-
-_KEYED = {"n_shingles": "long", "_one": "long", "_two": "long", "_band": "int", "_here": "array<bigint>", "_next": "array<bigint>"}
+        return of[given], _text.mixed(full ^ _text.mixed(place + _U(1)))[given]
 
 
 def _layouts(row: np.ndarray, full: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, Layout, Layout, np.ndarray]:
@@ -133,42 +134,158 @@ def _layouts(row: np.ndarray, full: np.ndarray, n: int, bands: Bands) -> tuple[n
     return size, band, Layout(row, full, band, parts, size > 0), Layout(row, full, after, parts, (size > 0) & next_too), spare
 
 
-def _keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, 128 bits that tell sets apart, and the keys in the text's band and, where it stands there too, the next."""
-    bands = Bands(percent)
+def _digested(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and 128 bits that tell sets apart."""
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         n = len(offsets) - 1
         row, full = shingles(data, offsets, words)
-        size, band, here, after, spare = _layouts(row, full, n, bands)
+        size = _text.counted(row, n)
         one, two = np.zeros(n, _U), np.zeros(n, _U)
         if len(row):
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             one[size > 0], two[size > 0] = np.add.reduceat(full, begin), np.bitwise_xor.reduceat(_text.mixed(full + _U(99)), begin)
-        return {"n_shingles": size, "_one": one.view(np.int64), "_two": two.view(np.int64), "_band": band.astype(np.int32), "_here": here.keys(spare), "_next": after.keys(spare)}
+        return {"n_shingles": size, "_one": one.view(np.int64), "_two": two.view(np.int64)}
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return _text.appended(slim, _KEYED, work).drop("text")
+    return _text.appended(slim, {"n_shingles": "long", "_one": "long", "_two": "long"}, work).drop("text")
+
+
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
+    return out.view("<u8")[:, 0]
+
+
+def packed(keys: np.ndarray, nodes: np.ndarray, lone: np.ndarray) -> bytes:
+    """Keys in ascending order with their nodes and a flag: differences, in as many bytes as the largest needs."""
+    step, low = np.diff(keys, prepend=keys[:1]), int(nodes.min())
+    above = nodes.astype(_U) - np.int64(low).astype(_U)
+    w, v = (max(1, (int(x.max()).bit_length() + 7) // 8) for x in (step, above))
+    return np.array([len(keys), keys[0], w, np.int64(low).astype(_U), v], "<u8").tobytes() + _narrow(step, w) + _narrow(above, v) + np.packbits(lone).tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, first, w, low, v = np.frombuffer(raw, "<u8", 5)
+    n, w, v = int(n), int(w), int(v)
+    keys = np.cumsum(_wide(raw, 40, n, w), dtype=_U) + first
+    nodes = (_wide(raw, 40 + n * w, n, v) + low).view(np.int64)
+    return keys, nodes, np.unpackbits(np.frombuffer(raw, np.uint8, offset=40 + n * (w + v)), count=n).astype(bool)
+
+
+def _ranges(number: int) -> np.ndarray:
+    """Where each of ``number`` equal ranges of keys begins."""
+    return np.array([(k << 64) // number for k in range(number)], _U)
+
+
+def _lists(docs: DataFrame, nodes: DataFrame, words: int, percent: int, number: int) -> DataFrame:
+    """Rows (range, list) of the keys of ``nodes``: for each run of nodes and each range a list of keys and, of the run's nodes that
+    have it, the first, marked if it is the only one. The others are in lists of range -1."""
+    bands = Bands(percent)
+
+    def listed(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[new], node[new]
+        first = np.r_[True, key[1:] != key[:-1]]
+        lone = np.diff(np.r_[np.flatnonzero(first), len(key)]) == 1
+        rest = ~first
+        out = [(-1, packed(key[rest], node[rest], np.zeros(int(rest.sum()), bool)))] if rest.any() else []
+        key, node = key[first], node[first]
+        cut = np.r_[np.searchsorted(key, _ranges(number)), len(key)]
+        out += [(k, packed(key[a:b], node[a:b], lone[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["range", "list"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+        for batch in batches:
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            data, offsets = _text.buffer(batch.column("text"))
+            for lo, hi in _text.runs(offsets):
+                row, full = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+                _, _, here, after, spare = _layouts(row, full, hi - lo, bands)
+                for layout in (here, after):
+                    of, key = layout.keys(spare)
+                    keys.append(key)
+                    owners.append(node[lo:hi][of])
+                    held += len(key)
+                if held > LISTED:
+                    yield listed(keys, owners)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield listed(keys, owners)
+
+    some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node")
+    return kept(some.mapInArrow(_text.trimmed(task), "range int, list binary"))
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """A range's lists: for each key of several nodes its first node ``a``, whether it has more than two (``many``), the other runs' first
+    nodes ``b``, and a row without ``b`` if a run has further ones."""
+    keys, nodes, lone = (np.concatenate(x) for x in zip(*(unpacked(x) for x in table.column("list").to_pylist()), strict=True))
+    order = np.lexsort((nodes, keys))
+    keys, nodes, lone = keys[order], nodes[order], lone[order]
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[begin, len(keys)])
+    more = np.add.reduceat((~lone).astype(np.int64), begin)
+    first, which = nodes[begin], np.repeat(np.arange(len(begin)), size)
+    at_least = size + more  # a key with two nodes in one run and no other may have more: only the join tells, and it counts as many
+    pair = np.ones(len(keys), bool)
+    pair[begin] = False
+    pair &= nodes != first[which]
+    open_ = np.flatnonzero(more > 0)
+    keys_out = np.concatenate([keys[pair], keys[begin[open_]]])
+    a = np.concatenate([first[which[pair]], first[open_]])
+    many = np.concatenate([(at_least[which[pair]] > 2), np.ones(len(open_), bool)])
+    b = pa.array(np.concatenate([nodes[pair], np.zeros(len(open_), np.int64)]), pa.int64(), mask=np.r_[np.zeros(int(pair.sum()), bool), np.ones(len(open_), bool)])
+    return pa.table({"key": pa.array(keys_out.view(np.int64)), "a": pa.array(a), "b": b, "many": pa.array(many)})
+
+
+def _followers(lists: DataFrame) -> DataFrame:
+    """(key, b) of the lists of range -1."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("list").to_pylist():
+                key, node, _ = unpacked(raw)
+                for k in range(0, len(key), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 10_000].view(np.int64)), pa.array(node[k : k + 10_000])], names=["key", "b"])
+
+    return lists.where("range < 0").select("list").mapInArrow(_text.trimmed(task), "key long, b long")
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, total: int) -> DataFrame:
+    """Pairs (a, b, many): nodes that share a key, each with the key's first one; ``many`` if some such key has more than these two."""
+    lists = _lists(docs, nodes, words, percent, max(1, total // RANGE))
+    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, a long, b long, many boolean"))
+    # the other nodes of a run: plain scans of two written tables, so that Spark can split a hot key
+    follow = kept(_followers(lists)).join(met.where("b IS NULL").select("key", "a"), "key").select("a", "b", F.lit(True).alias("many"))
+    pairs = met.where("b IS NOT NULL").select("a", "b", "many").union(follow).where("a < b")
+    return kept(pairs.groupBy("a", "b").agg(F.max("many").alias("many")))
 
 
 def _sketches(docs: DataFrame, nodes: DataFrame, words: int, percent: int, sets: bool = False) -> DataFrame:
-    """node, n, band, words (and set): the sketches of the documents that are candidates, in both their bands."""
+    """node, n, band, here, next (and set): the candidates' sketches in their band and, where they may meet it there, the next one."""
     bands = Bands(percent)
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         row, full = shingles(data, offsets, words)
         size, band, here, after, _ = _layouts(row, full, len(offsets) - 1, bands)
-        out = {"n": size.astype(np.int32), "_band": band.astype(np.int32), "_here": here.sketches(), "_next": after.sketches()}
+        out = {"n": size.astype(np.int32), "band": band.astype(np.int32), "here": here.sketches(), "next": after.sketches()}
         if sets:
             cut = np.searchsorted(row, np.arange(len(offsets)))
-            out["_set"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))
+            out["set"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))
         return out
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
-    out = _text.appended(some, {"n": "int", "_band": "int", "_here": "array<bigint>", "_next": "array<bigint>"} | ({"_set": "array<bigint>"} if sets else {}), work)
-    both = F.array(F.struct(F.col("_band").alias("band"), F.col("_here").alias("words")), F.struct((F.col("_band") + 1).alias("band"), F.col("_next").alias("words")))
-    more = [F.col("_set").alias("set")] if sets else []
-    return out.select("node", "n", *more, F.explode(both).alias("x")).where("x.words IS NOT NULL").select("node", "n", "x.band", "x.words", *(["set"] if sets else []))
+    out = _text.appended(some, {"n": "int", "band": "int", "here": "array<bigint>", "next": "array<bigint>"} | ({"set": "array<bigint>"} if sets else {}), work)
+    return out.drop("text")
 
 
 def _of(nodes: DataFrame, table: DataFrame, name: str) -> DataFrame:
@@ -192,19 +309,21 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
 
-def _joined(pairs: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
-    """``pairs`` (a, b, ...) with the values of b and then of a: hubs stand as a, whose side Spark can split."""
-    right = values.select(F.col("node").alias("b"), *on, *(F.col(c).alias(f"_b{c}") for c in values.columns if c not in ("node", *on)))
-    left = values.select(F.col("node").alias("a"), *on, *(F.col(c).alias(f"_a{c}") for c in values.columns if c not in ("node", *on)))
-    return pairs.join(right, ["b", *on]).join(left, ["a", *on])
+def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the values of b and then of a: hubs stand as a, whose side Spark can split."""
+    right = values.select(F.col("node").alias("b"), *(F.col(c).alias(f"_b{c}") for c in values.columns if c != "node"))
+    left = values.select(F.col("node").alias("a"), *(F.col(c).alias(f"_a{c}") for c in values.columns if c != "node"))
+    return pairs.join(right, "b").join(left, "a")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a, b, band) whose sets are similar."""
-    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs), words, percent)), ["band"])
-    distance = F.aggregate(F.zip_with("_awords", "_bwords", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("int"), lambda s, x: s + x)
-    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b").distinct())
-    both = _joined(close, kept(_sets(docs, _nodes(close), words)), [])
+    """The pairs (a, b) of ``pairs`` whose sets are similar."""
+    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs), words, percent)))
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("int"), lambda s, p: s + p)
+    band = F.col("_aband") - F.col("_bband")
+    distance = F.when(band == 0, apart("_ahere", "_bhere")).when(band == 1, apart("_ahere", "_bnext")).when(band == -1, apart("_anext", "_bhere"))
+    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b"))
+    both = _joined(close, kept(_sets(docs, _nodes(close), words)))
     shared = F.size(F.array_intersect("_aset", "_bset"))
     return kept(both.where(100 * shared >= percent * (F.size("_aset") + F.size("_bset") - shared)).select("a", "b").distinct())
 
@@ -262,23 +381,25 @@ def _compared(percent: int):
     return task
 
 
-def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that keys of several nodes (``crowd``: key, node, n, band) still hold; None if no key holds two.
+def _unsettled(docs: DataFrame, pairs: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components that keys of several nodes still hold (``pairs``: such a key's first node and another); None if no key holds two.
 
     Groups are what such keys connect. Of a group of k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
     """
-    told = kept(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    open_ = kept(told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.min("node").alias("a")).where("_x < _y").select("key", "a"))
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    told = pairs.join(label("b"), "b", "left").join(label("a"), "a", "left")
+    open_ = kept(told.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a").distinct())
     if open_.isEmpty():
         return None
-    held = kept(told.join(open_, "key").select("a", "node", "n", "band", "label"))
-    groups = components(kept(held.where("a < node").select("a", F.col("node").alias("b")).distinct())).select("node", F.col("label").alias("group"))
-    members = kept(held.select("node", "n", "band", "label").distinct().join(groups, "node"))
-    size = members.groupBy("group", "band").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
+    held = kept(pairs.join(bounded(open_), "a", "left_semi").select("a", "b"))
+    groups = components(held).select("node", F.col("label").alias("group"))
+    members = kept(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    values = kept(_sketches(docs, kept(members.select("node")), words, percent, sets=True))
+    here, after = values.select("node", "n", "band", F.col("here").alias("words"), "set"), values.select("node", "n", (F.col("band") + 1).alias("band"), F.col("next").alias("words"), "set")
+    placed = here.unionByName(after.where("words IS NOT NULL")).join(members, "node")
+    size = values.select("node", "n", F.explode(F.when(F.col("next").isNull(), F.array("band")).otherwise(F.array(F.col("band"), F.col("band") + 1))).alias("band")).join(members, "node").groupBy("group", "band").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
     blocks = kept(size.where("_k > 1").select("group", "band", F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") * 8 / BLOCK_BYTES)).alias("_blocks")))
-    values = kept(_sketches(docs, kept(members.select("node").distinct()), words, percent, sets=True)).drop("n")
-    placed = members.join(bounded(blocks), ["group", "band"]).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
-    sent = placed.join(values, ["node", "band"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sent = placed.join(bounded(blocks), ["group", "band"]).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
     return kept(pair.groupBy("group", "band", "_low", "_high").applyInArrow(_compared(percent), "a long, b long").distinct())
 
@@ -290,18 +411,15 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     share an id are judged each by its text; sets with the same smallest id are one node. Rows without id join the group of
     an equal set that has one, else component_id is null. An empty table stays empty; other columns are not looked at.
     """
-    rows = kept(_keyed(docs, words, percent))
+    rows = kept(_digested(docs, words))
     full = rows.where("n_shingles > 0")
-    classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node")))
-    first = _of(classes.select("node").where("node IS NOT NULL").distinct(), full, "doc_id")
-    in_band = lambda band, keys: first.select(F.explode(keys).alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), band.alias("band"))
-    keyed = in_band(F.col("_band"), "_here").unionByName(in_band(F.col("_band") + 1, "_next"))
-    met = kept(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("band").alias("band"), F.count(F.lit(1)).alias("_n")).where("a < b"))
-    crowd = kept(keyed.join(bounded(met.where("_n > 2").select("key", "a")), "key").select("key", "a", "node", "n", "band"))
-    pairs = kept(met.where("_n = 2").select("a", "b", "band").union(crowd.where("a < node").select("a", F.col("node").alias("b"), "band")).distinct())
-    links = _linked(docs, pairs, words, percent)
+    classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("_n")))
+    nodes = kept(classes.where("node IS NOT NULL").select("node").distinct())
+    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    pairs = candidates(docs, nodes, words, percent, total)
+    links = _linked(docs, pairs.select("a", "b"), words, percent)
     labels = components(links)
-    more = _unsettled(docs, crowd.select("key", "node", "n", "band"), labels, words, percent)
+    more = _unsettled(docs, pairs.where("many").select("a", "b"), labels, words, percent)
     if more is not None and not more.isEmpty():
         labels = components(links.union(more))
     ranked = classes.join(labels, "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))

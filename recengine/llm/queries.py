@@ -13,8 +13,9 @@ from recengine.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, handed to Python workers in Arrow batches of a few MB of usual texts."""
+    """A table, handed to Python workers in Arrow batches of at most 2000 rows and, but for one longer text, about 4 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from recengine.llm import jaccard
@@ -79,3 +80,40 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_long_chains_become_one_group(spark):
     links = spark.createDataFrame([(k, k + 1) if k % 3 else (k + 1, k) for k in range(1, 60)], "a long, b long")
     assert {(r.node, r.label) for r in jaccard.components(links).collect()} == {(k, 1) for k in range(1, 61)}
+
+
+@pytest.mark.parametrize("percent", [55, 70])
+def test_lower_similarity_reaches_the_next_band(spark, percent):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k * 10 + j, " ".join([*words[: n + 2], *(f"x{k}_{j}_{i}" for i in range(j * n // 12))])) for k, n in enumerate((20, 44, 58, 61, 80, 97)) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, percent=percent).collect()) == brute(rows, 3, percent)
+
+
+def test_hot_keys_over_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTED", 50)
+    monkeypatch.setattr(jaccard, "RANGE", 300)
+    rows = fixture(4, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for percent, words in ((90, 3), (80, 5)):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, words=words, percent=percent).collect()) == brute(rows, words, percent)
+
+
+def test_lists_survive_packing():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 1000):
+        keys = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        nodes, lone = rng.integers(-(2**62), 2**62, n) if n > 2 else rng.integers(5, 9, n), rng.integers(0, 2, n).astype(bool)
+        for got, want in zip(jaccard.unpacked(jaccard.packed(keys, nodes, lone)), (keys, nodes, lone), strict=True):
+            assert (got == want).all()
+
+
+def test_long_texts_and_words_whose_polynomials_agree(spark):
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{k % 70_000}" for k in range(300_000))
+    rows = [(1, x), (2, y), (3, x + " b c d"), (4, y + " b c d"), (5, long), (6, long + " tail of it")]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
