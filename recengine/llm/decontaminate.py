@@ -151,7 +151,7 @@ class Windows:
         self.data = _text.LOWER[data]
         starts, ends, rows = _text.cut(self.data, offsets, _text.ALNUM)
         for self.seed in range(64):  # until no two different words share a hash
-            self.alphabet, first, symbol = np.unique(_text.hashed(self.data, starts, ends, self.seed), return_index=True, return_inverse=True)
+            self.alphabet, first, symbol = _text.distinct(_text.hashed(self.data, starts, ends, self.seed))
             self.at, self.size = starts[first], (ends - starts)[first]
             if (self.size[symbol] == ends - starts).all() and _text.same(self.data, starts, self.data, self.at[symbol], ends - starts).all():
                 break

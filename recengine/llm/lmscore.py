@@ -1,15 +1,20 @@
 """Language-model scores by a weighted backoff automaton whose counts are gathered from the whole corpus.
 
-The model is an interpolated bigram: P(v | u) = (1 - w) c(uv) / c(u) + w P(v), over P(v) = (c(v) + 1) / (N + V + 1). As an automaton,
-every word is a state with an arc for each continuation that was seen and a failure arc of weight w to the state without
-history; w depends on how often u was seen (a power of two), and is the one of ``GRID`` under which the training tokens, each
-left out of the counts in turn, are likeliest.
-
-No task holds the model. A shard (about ``SHARD`` bytes of consecutive rows) lists its distinct words and bigrams with its own training
-counts; buckets of a hash's upper bits add them up over all shards and send each shard the totals of its own list: the part of the
-automaton that its texts can reach. The parts are files in the shared folder. Then each shard is read again and traversed:
-once to choose the weights, once to score. Lists travel as sorted hashes in packed differences (52 bits for bigrams, 64 for
-words). Shards and buckets grow with the square root of the corpus, beyond a least size.
+The model is an interpolated trigram: P(w | u v) = (1 - a) c(uvw) / c(uv) + a P(w | v), P(w | v) = (1 - b) c(vw) / c(v) + b P(w), over
+P(w) = (c(w) + 1) / (N + V + 1). As an automaton, every context that training has is a state: word pairs, words, and none. A state has an
+arc for each continuation that was seen, with its smoothed probability, to the longest context that the text then ends in, and a
+failure arc of weight a or b to its shorter context. A text is traversed once from left to right: the state is carried from token to
+token, and arcs' logarithms add up.
+
+a and b depend on how often the context was seen (a power of two), and are those of ``GRID`` under which the training tokens, each left
+out of the counts in turn, are likeliest; while a is chosen, b is 4 / (4 + c(v)), so that one reading gives both.
+
+No task holds the model. A shard (about ``SHARD`` bytes of consecutive rows) lists its distinct words, pairs and triples with its own
+training counts; buckets of a hash's upper bits add them up over all shards and send each shard the totals of its own list: the part
+of the automaton that its texts can reach. The parts are files in the shared folder. Then each shard is read again:
+once to choose the weights, once to be traversed. Lists travel as sorted hashes in packed differences: 64 bits for words, and for pairs and
+triples 20 more than the corpus has bits in its number of bytes, so that at any size about one in a million is mistaken for another.
+Shards and buckets grow with the square root of the corpus from ``SHARD`` to ``MOST``.
 """
 
 from __future__ import annotations
@@ -24,15 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import folder, kept, store
+from recengine.llm.shared import folder, get, kept, put
 
-SHARD = 4 << 20
+SHARD, MOST = 4 << 20, 8 << 20
 GRID = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 CLASSES = 48
 _U = np.uint64
 _BEGIN, _END = _text.mixed(np.array([0x5EED1, 0x5EED2], _U))
-_K = _text.mixed(np.array([71, 72], _U)) | _U(1)
-_LOW = 12  # bits that a bigram's hash does without
+_K = _text.mixed(np.array([71, 72, 73, 74, 75], _U)) | _U(1)
+#: Kinds of lists: words, pairs, triples.
+KINDS = "wpt"
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -68,9 +74,14 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Tokens of a run of texts: each word and then an end, and the distinct words and bigrams among them."""
+    """Tokens of a run of texts: each word and then an end, and the distinct words, pairs and triples among them.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray):
+    ``key[k]`` are the distinct hashes of n-grams of k + 1 tokens, ``at[k]`` the number of the one that ends at each place (-1: none does,
+    as the text has not begun so many tokens before; a text's first token has a pair, with the beginning). ``before[k]`` is the number
+    among ``key[k - 1]`` of an n-gram's context, one beyond the last for the beginning; ``after[k]`` the one of its last k tokens.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, bits: int):
         low = _text.LOWER[data]
         starts, ends, rows = _text.cut(low, offsets, _text.SOLID)
         n = len(offsets) - 1
@@ -78,59 +89,113 @@ class Shard:
         token = np.insert(_text.hashed(low, starts, ends), at, _END)
         self.row = np.insert(rows, at, np.arange(n))
         self.size = np.bincount(self.row, minlength=n)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[np.cumsum(self.size) - self.size] = _BEGIN
+        self.begin = np.cumsum(self.size) - self.size
         self.train = train[self.row]
-        self.words, self.word = np.unique(token, return_inverse=True)
-        self.pairs, self.first, self.pair = np.unique(_text.mixed(before * _K[0] + token * _K[1]) >> _U(_LOW), return_index=True, return_inverse=True)
-        # of each pair: its context and its word, as places in ``words``; the beginning stands behind all
-        inside = np.searchsorted(self.words, before[self.first])
-        self.context = np.where(before[self.first] == _BEGIN, len(self.words), inside)
-        self.second = self.word[self.first]
-
-    def own(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of this shard's words and bigrams."""
-        return tuple(np.bincount(x[self.train], minlength=len(y)).astype(np.int64) for x, y in ((self.word, self.words), (self.pair, self.pairs)))
+        one = np.empty_like(token)
+        one[1:] = token[:-1]
+        one[self.begin] = _BEGIN
+        pair = _text.mixed(one * _K[0] + token * _K[1])
+        follows = np.ones(len(token), bool)
+        follows[self.begin] = False
+        third = np.flatnonzero(follows)
+        triple = _text.mixed(pair[third - 1] * _K[2] + token[third] * _K[3])
+        cut = _U(64 - bits)
+        words, first, word = _text.distinct(token)
+        pairs, first2, pair = _text.distinct(pair >> cut)
+        triples, first3, triple = _text.distinct(triple >> cut)
+        self.key, self.width = (words, pairs, triples), (64, bits, bits)
+        deep = np.full(len(token), -1, np.int64)
+        deep[third] = triple
+        self.at = (word, pair, deep)
+        before = np.full(len(token), len(words), np.int64)
+        before[third] = word[third - 1]
+        self.before = (None, before[first2], pair[third - 1][first3])
+        self.after = (None, word[first2], pair[third][first3])
+
+    def own(self) -> list[np.ndarray]:
+        """Training counts of this shard's words, pairs and triples."""
+        return [np.bincount(x[self.train & (x >= 0)], minlength=len(y)).astype(np.int64) for x, y in zip(self.at, self.key, strict=True)]
+
+
+def _class(context: np.ndarray) -> np.ndarray:
+    return np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
 
 
 class Automaton:
     """The states and arcs a shard can reach. ``total`` and ``kinds``: training tokens and their distinct number; ``begun``: texts."""
 
-    def __init__(self, shard: Shard, words: np.ndarray, pairs: np.ndarray, total: int, kinds: int, begun: int):
-        self.shard, self.pairs = shard, pairs
-        self.flat = (words + 1) / (total + kinds + 1)
-        self.words = words
-        context = np.append(words, begun)[shard.context]
-        self.context = context
-        self.chance = self.flat[shard.second]
-        self.kind = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
+    def __init__(self, shard: Shard, counts: list[np.ndarray], total: int, kinds: int, begun: int):
+        self.shard, self.counts = shard, counts
+        self.flat = (counts[0] + 1) / (total + kinds + 1)
+        self.context = None, np.append(counts[0], begun)[shard.before[1]], counts[1][shard.before[2]]
+        self.begun = begun
 
     def left_out(self) -> np.ndarray:
-        """[class of context, weight]: the log-likelihood of this shard's training tokens, each without itself."""
-        n = self.shard.own()[1]
-        some = (n > 0) & (self.context > 1)
-        seen = (self.pairs[some] - 1) / (self.context[some] - 1)
-        out = np.zeros((CLASSES, len(GRID)))
-        for g, w in enumerate(GRID):
-            out[:, g] = np.bincount(self.kind[some], n[some] * np.log((1 - w) * seen + w * self.chance[some]), CLASSES)
+        """[order, class of context, weight]: the log-likelihood of this shard's training tokens, each without itself."""
+        out = np.zeros((2, CLASSES, len(GRID)))
+        lower = self.flat
+        own = self.shard.own()
+        for k in (1, 2):
+            context, n = self.context[k], own[k]
+            below = lower[self.shard.after[k]]
+            some = (n > 0) & (context > 1)
+            seen, kind = (self.counts[k][some] - 1) / (context[some] - 1), _class(context[some])
+            for g, w in enumerate(GRID):
+                out[k - 1, :, g] = np.bincount(kind, n[some] * np.log((1 - w) * seen + w * below[some]), CLASSES)
+            w = 4 / (4 + np.maximum(context, 0))
+            lower = (1 - w) * self.counts[k] / np.maximum(context, 1) + w * below
         return out
 
+    def built(self, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Arcs, numbered as words, pairs and triples one after another: whether they exist, log10 probability, state after them. States: 0
+        without history, then words, the beginning, pairs: log10 weight of their failure arc and the state it leads to; order."""
+        s, (words, pairs, triples) = self.shard, self.counts
+        probability = [self.flat]
+        for k in (1, 2):
+            context = self.context[k]
+            w = np.where(context > 0, weights[k - 1][_class(context)], 1.0)
+            probability.append((1 - w) * self.counts[k] / np.maximum(context, 1) + w * probability[-1][s.after[k]])
+        word_state = np.where(words > 0, np.arange(len(words)) + 1, 0)
+        pair_state = len(words) + 2 + np.arange(len(pairs))
+        fail = [np.zeros(1), np.log10(weights[0][_class(np.append(words, self.begun))]), np.log10(weights[1][_class(pairs)])]
+        return {
+            "exists": np.concatenate([np.ones(len(words), bool), pairs > 0, triples > 0]), "log": np.log10(np.concatenate(probability)),
+            "to": np.concatenate([word_state, pair_state, pair_state[s.after[2]]]), "fail": np.concatenate(fail),
+            "fail_to": np.concatenate([np.zeros(len(words) + 2, np.int64), word_state[s.after[1]]]),
+            "order": np.repeat(np.array([0, 1, 2]), [1, len(words) + 1, len(pairs)]),
+        }
+
     def traverse(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: the automaton's log10 probability, that of words alone, and how many tokens training has.
 
-        The state after a token is the token itself, so the states of a traversal from left to right are the tokens before:
-        the arc of each step, or its failure arc and then the arc without history, is the bigram's at that place.
+        All texts of the shard take their next step together, the longest ones first, so that those still going are the first ones.
         """
-        w = weights[self.kind]
-        arc = self.pairs > 0
-        step = np.where(arc, (1 - w) * self.pairs / np.maximum(self.context, 1) + w * self.chance, np.where(self.context > 0, w, 1.0) * self.chance)
-        s, n = self.shard, len(self.shard.size)
-        plain = np.log10(self.flat)
-        return np.bincount(s.row, np.log10(step)[s.pair], n), np.bincount(s.row, plain[s.word], n), np.bincount(s.row, (self.words > 0)[s.word], n)
-
-
-def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, pa.Array, np.ndarray, Shard]]:
+        s, n, a = self.shard, len(self.shard.size), self.built(weights)
+        first = np.cumsum([0, len(self.counts[0]), len(self.counts[1])])
+        arc_at = np.stack([x + f for x, f in zip(s.at, first, strict=True)])
+        exists, log, to, fail, fail_to, order = (a[k] for k in ("exists", "log", "to", "fail", "fail_to", "order"))
+        longest = np.argsort(-s.size, kind="stable")
+        begin, size = s.begin[longest], s.size[longest]
+        state = np.full(n, len(self.counts[0]) + 1 if self.begun else 0)
+        score = np.zeros(n)
+        for t in range(int(size.max(initial=0))):
+            going = int(np.searchsorted(-size, -t, "left"))
+            at, now = begin[:going] + t, state[:going]
+            arc = arc_at[order[now], at]
+            lost = np.flatnonzero(~exists[arc])
+            while len(lost):
+                score[lost] += fail[now[lost]]
+                now[lost] = fail_to[now[lost]]
+                arc[lost] = arc_at[order[now[lost]], at[lost]]
+                lost = lost[~exists[arc[lost]]]
+            score[:going] += log[arc]
+            state[:going] = to[arc]
+        out = np.empty(n)
+        out[longest] = score
+        return out, np.bincount(s.row, np.log10(self.flat)[s.at[0]], n), np.bincount(s.row, (self.counts[0] > 0)[s.at[0]], n)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], limit: int, width: int) -> Iterator[tuple[str, pa.Array, np.ndarray, Shard]]:
     """A task's rows in shards of about ``limit`` bytes: name, ids, training marks and tokens. The same at every run over the same rows."""
     from pyspark import TaskContext
 
@@ -143,7 +208,7 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
         lengths = np.concatenate([np.diff(o) for *_, o in held])
         train = np.concatenate([b.column("_train").to_numpy(zero_copy_only=False) for b, *_ in held]).astype(bool)
         ids = pa.concat_arrays([b.column("doc_id") for b, *_ in held])
-        return f"{part}-{number}", ids, train, Shard(data, np.r_[0, np.cumsum(lengths)], train)
+        return f"{part}-{number}", ids, train, Shard(data, np.r_[0, np.cumsum(lengths)], train, width)
 
     for batch in batches:
         data, offsets = _text.buffer(batch.column("_text"))
@@ -157,12 +222,12 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
         yield shard()
 
 
-def _listed(limit: int, bits: int):
+def _listed(limit: int, bits: int, width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, train, s in _shards(batches, limit):
+        for name, _, train, s in _shards(batches, limit, width):
             out = []
-            for kind, keys, counts, width in zip("wp", (s.words, s.pairs), s.own(), (64, 64 - _LOW), strict=True):
-                cut = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << _U(width - bits)) if bits else np.zeros(1, np.int64)
+            for kind, keys, counts, wide in zip(KINDS, s.key, s.own(), s.width, strict=True):
+                cut = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << _U(wide - bits)) if bits else np.zeros(1, np.int64)
                 for k, (a, b) in enumerate(zip(cut, np.r_[cut[1:], len(keys)], strict=True)):
                     if b > a:
                         out.append((kind, k, name, packed(keys[a:b], counts[a:b])))
@@ -192,17 +257,12 @@ def _added(table: pa.Table) -> pa.Table:
 def _stored(where: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of (shard, kind, bucket): a file for each shard; sums go on as rows."""
-        fs, base = store(where)
-        now, parts, sums = None, {"w": [], "p": []}, {}
+        now, parts, sums = None, {k: [] for k in KINDS}, {}
 
         def done():
             if now:
-                arrays = [np.concatenate([np.zeros(0, np.int64), *parts[k]]) for k in "wp"]
-                raw = np.array([len(arrays[0]), len(arrays[1])], "<u8").tobytes() + b"".join(len(x := _counts(a)).to_bytes(8, "little") + x for a in arrays)
-                fs.create_dir(base, recursive=True)
-                with fs.open_output_stream(opened := f"{base}/{now}.{uuid.uuid4().hex}") as f:
-                    f.write(raw)
-                fs.move(opened, f"{base}/{now}")
+                arrays = [np.concatenate([np.zeros(0, np.int64), *parts[k]]) for k in KINDS]
+                put(f"{where}/{now}", b"".join(len(a).to_bytes(8, "little") + len(x := _counts(a)).to_bytes(8, "little") + x for a in arrays))
 
         for b in batches:
             for kind, shard, n, total, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "shard", "n", "total", "counts")), strict=True):
@@ -212,7 +272,7 @@ def _stored(where: str):
                     continue
                 if shard != now:
                     done()
-                    now, parts = shard, {"w": [], "p": []}
+                    now, parts = shard, {k: [] for k in KINDS}
                 parts[kind].append(_uncounted(counts, n))
         done()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], names=["kind", "n", "total"])
@@ -221,15 +281,14 @@ def _stored(where: str):
 
 
 def _reached(where: str, name: str, shard: Shard, sums: tuple[int, int, int]) -> Automaton:
-    fs, base = store(where)
-    with fs.open_input_file(f"{base}/{name}") as f:
-        raw = f.read()
-    n = np.frombuffer(raw, "<u8", 2).tolist()
-    if n != [len(shard.words), len(shard.pairs)]:
-        raise RuntimeError(f"shard {name} was read as other rows than before; the input changed under the query")
-    size = int.from_bytes(raw[16:24], "little")
-    words = _uncounted(raw[24 : 24 + size], n[0])
-    return Automaton(shard, words, _uncounted(raw[32 + size :], n[1]), *sums)
+    raw, at, counts = get(f"{where}/{name}"), 0, []
+    for keys in shard.key:
+        n, size = int.from_bytes(raw[at : at + 8], "little"), int.from_bytes(raw[at + 8 : at + 16], "little")
+        if n != len(keys):
+            raise RuntimeError(f"shard {name} was read as other rows than before; the input changed under the query")
+        counts.append(_uncounted(raw[at + 16 : at + 16 + size], n))
+        at += 16 + size
+    return Automaton(shard, counts, *sums)
 
 
 def score(spark: SparkSession, docs: DataFrame, train: object, *, shard: int = SHARD, scanned: bool = False) -> DataFrame:
@@ -243,36 +302,37 @@ def score(spark: SparkSession, docs: DataFrame, train: object, *, shard: int = S
     rows = docs.select(F.col("doc_id"), F.coalesce(train, F.lit(False)).alias("_train"), F.col("text").cast("string").alias("_text"))
     rows = rows if scanned else kept(rows)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
-    limit = max(shard, math.isqrt(2048 * total))
-    bits = max(0, (total // limit).bit_length())
+    limit = max(shard, min(2 * shard if shard < SHARD else MOST, math.isqrt(2048 * total)))
+    bits, width = max(0, (total // limit).bit_length()), min(60, max(total, 1).bit_length() + 20)
     where = f"{folder(spark)}/recengine/lm-{uuid.uuid4().hex}"
-    lists = rows.mapInArrow(_listed(limit, bits), "kind string, bucket int, shard string, list binary")
+    lists = rows.mapInArrow(_text.trimmed(_listed(limit, bits, width)), "kind string, bucket int, shard string, list binary")
     added = lists.groupBy("kind", "bucket").applyInArrow(_added, "kind string, bucket int, shard string, n long, total long, counts binary")
     # sums of buckets, of which there is one for each, stand under "" and are dealt by bucket
     dealt = added.repartition(F.when(F.col("shard") == "", F.col("bucket").cast("string")).otherwise(F.concat(F.lit("s"), "shard"))).sortWithinPartitions("shard", "kind", "bucket")
-    summed = {r["kind"]: (r["n"], r["t"]) for r in kept(dealt.mapInArrow(_stored(where), "kind string, n long, total long")).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("t")).collect()}
+    summed = {r["kind"]: (r["n"], r["t"]) for r in kept(dealt.mapInArrow(_text.trimmed(_stored(where)), "kind string, n long, total long")).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("t")).collect()}
     sums = summed.get("w", (0, 0))[1], summed.get("w", (0, 0))[0], summed.get("b", (0, 0))[1]
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((CLASSES, len(GRID)))
-        for name, _, _, s in _shards(batches, limit):
+        out = np.zeros((2, CLASSES, len(GRID)))
+        for name, _, _, s in _shards(batches, limit, width):
             out += _reached(where, name, s, sums).left_out()
-        at = np.arange(out.size)
-        yield pa.RecordBatch.from_arrays([pa.array(at // len(GRID), pa.int32()), pa.array(at % len(GRID), pa.int32()), pa.array(out.ravel())], names=["class", "weight", "sum"])
+        k, c, g = np.indices(out.shape).reshape(3, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(g), pa.array(out.ravel())], names=["order", "class", "weight", "sum"])
 
-    best = rows.mapInArrow(likely, "class int, weight int, sum double").groupBy("class", "weight").agg(F.sum("sum").alias("sum")).collect()
-    table = np.full((CLASSES, len(GRID)), -np.inf)
+    # a few hundred numbers, whatever the corpus
+    best = rows.mapInArrow(_text.trimmed(likely), "order int, class int, weight int, sum double").groupBy("order", "class", "weight").agg(F.sum("sum").alias("sum")).collect()
+    table = np.zeros((2, CLASSES, len(GRID)))
     for r in best:
-        table[r["class"], r["weight"]] = round(r["sum"], 3)
-    weights = np.array(GRID)[table.argmax(axis=1)]
-    weights[[k for k in range(CLASSES) if not table[k].any() or np.isinf(table[k]).all()]] = 0.9
+        table[r["order"], r["class"], r["weight"]] = round(r["sum"], 3)
+    weights = np.array(GRID)[table.argmax(axis=2)]
+    weights[~table.any(axis=2)] = 0.9
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, train, s in _shards(batches, limit):
+        for name, ids, train, s in _shards(batches, limit, width):
             full, plain, known = _reached(where, name, s, sums).traverse(weights)
             for lo in range(0, len(ids), 10_000):
                 part = slice(lo, lo + 10_000)
                 yield pa.RecordBatch.from_arrays([ids[part], pa.array(~train[part]), pa.array(s.size[part].astype(np.int64)), pa.array(known[part].astype(np.int64)), pa.array(np.full(len(ids[part]), sums[0], np.int64)), pa.array(plain[part]), pa.array(full[part])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(_text.trimmed(scored), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

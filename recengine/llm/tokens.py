@@ -127,7 +127,7 @@ class Encoder:
         low = _text.LOWER[data] if within and not ((data == 0xCC) | (data == 0xCD)).any() else data
         starts, ends, rows, kind = pieces(data, offsets, within)
         hashes = _text.hashed(low, starts, ends, seed=int(not within))
-        words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words, first, which = _text.distinct(hashes)
         own = ends - starts
         if len(self.raw) > REMEMBERED:
             self._forget()
