@@ -1,26 +1,30 @@
 """Exact duplicates by Patricia-trie owners.
 
-A text is normalised (white space deleted) and belongs to the partition of its length and a hash of its content. Each map task
-inserts the full byte strings of its rows into compressed radix tries, one a partition, whose terminal nodes hold the owner
+A text is normalised (white space deleted) and belongs to the partition of its length's band and some bits of its content's hash. Each
+map task inserts the full byte strings of its rows into compressed radix tries, one a partition, whose terminal nodes hold the owner
 (the row that stays so far: most code points, then smallest id), so that a group of copies leaves a task as one entry however
-many they are. Entries with the same partition meet in one task in order of partition, and a trie is written out as
-soon as its partition ends: at any time one subtree is in memory. Last, rows learn their group's owner by a join on the
-normalised text's digest, in which Spark can split a hot group.
+many they are. When the tries hold too much, the largest are handed on. Entries of a partition meet in one task in order of their
+bytes; so all that later entries can change is the path to the last one: every subtree beside it is closed, and is written out and
+dropped. At any time one path is in memory. Last, rows learn their group's owner by a join on the normalised text's digest, in
+which Spark can split a hot group.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recengine.llm import _text
 
 SPACE = bytes([32, *range(9, 14)])
-#: A task's tries are handed on when they hold this many bytes of text.
+#: When a task's tries hold this many bytes of text, the largest are handed on until half is left.
 HELD = 24 << 20
+#: Bits of a text's hash that its partition has; sizes to the power of two are a band.
+BITS = 8
 _INT = pa.int64()
 
 
@@ -77,39 +81,47 @@ def _better(a: tuple, b: tuple) -> tuple:
     return first[0], first[1], a[2] + b[2]
 
 
-def _partition(key: bytes) -> tuple[int, int, bytes]:
-    digest = hashlib.sha256(key).digest()
-    return len(key), int.from_bytes(digest[:8], "little", signed=True), digest
+def _partition(key: bytes) -> int:
+    """The band of the length (a power of two) above ``BITS`` bits of a hash of the content."""
+    return len(key).bit_length() << BITS | hashlib.blake2b(key, digest_size=2).digest()[0] & (1 << BITS) - 1
 
 
-_OWNERS = "length long, hash long, key binary, points long, id long, n long"
+_OWNERS = "part int, key binary, points long, id long, n long"
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: from (id, text) to an entry for each different text since the last hand-over."""
-    tries: dict[tuple[int, int], Trie] = {}
-    held = 0
+    """Map side: from (id, text) to an entry for each different text, or several if its trie was handed on meanwhile."""
+    tries: dict[int, Trie] = {}
+    held: dict[int, int] = {}
+    total = 0
     for batch in batches:
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
             raw = text.as_py() or ""
             key = raw.encode().translate(None, SPACE)
-            length, hash_, _ = _partition(key)
-            trie = tries.setdefault((length, hash_), Trie())
+            part = _partition(key)
+            trie = tries.setdefault(part, Trie())
             node, mine = trie.at(key), (len(raw), i, 1)
-            held += 0 if node.value else length
+            if node.value is None:
+                held[part] = held.get(part, 0) + len(key)
+                total += len(key)
             node.value = _better(node.value, mine) if node.value else mine
-            if held > HELD:
-                yield from _written(tries)
-                tries, held = {}, 0
-    yield from _written(tries)
-
-
-def _written(tries: dict[tuple[int, int], Trie]) -> Iterator[pa.RecordBatch]:
+            if total > HELD:
+                large = []
+                for p in sorted(held, key=held.get, reverse=True):
+                    if total <= HELD // 2:
+                        break
+                    large.append((p, tries.pop(p)))
+                    total -= held.pop(p)
+                yield from _written(large)
+    yield from _written(tries.items())
+
+
+def _written(tries: Iterable[tuple[int, Trie]]) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
-    for (length, hash_), trie in tries.items():
+    for part, trie in tries:
         for key, (points, i, n) in trie.terminals():
-            rows.append((length, hash_, key, points, i, n))
-            size += length
+            rows.append((part, key, points, i, n))
+            size += len(key)
             if size > 4 << 20:
                 yield _batch(rows)
                 rows, size = [], 0
@@ -119,31 +131,72 @@ def _written(tries: dict[tuple[int, int], Trie]) -> Iterator[pa.RecordBatch]:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 2 else _INT) for k, c in enumerate(cols)], names=["length", "hash", "key", "points", "id", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary() if k == 1 else _INT) for k, c in enumerate(cols)], names=["part", "key", "points", "id", "n"])
+
+
+class Spilled:
+    """A trie that gets its keys in ascending order: ``put`` gives back the terminal nodes of the subtrees that the new key closes.
+
+    What is held is the path of the last key: labels of edges from the root down, and the value at the end of each.
+    """
+
+    def __init__(self):
+        self.path: list[list] = []  # [label, value], the key is the labels one after another
+
+    def put(self, key: bytes, value: tuple) -> list[tuple[bytes, tuple]]:
+        out, at, k = [], 0, 0
+        while k < len(self.path) and key.startswith(self.path[k][0], at):
+            at += len(self.path[k][0])
+            k += 1
+        if k < len(self.path):
+            same = _shared(self.path[k][0], key[at : at + len(self.path[k][0])])
+            out = self._closed(k)
+            if same:  # the edge is split; its upper part stays open
+                self.path.append([key[at : at + same], None])
+                at += same
+        if at < len(key) or not self.path:
+            self.path.append([key[at:], value])
+        else:
+            last = self.path[-1]
+            last[1] = _better(last[1], value) if last[1] else value
+        return out
+
+    def _closed(self, k: int) -> list[tuple[bytes, tuple]]:
+        """Takes the path from its k-th edge on away; its terminal nodes, from the bottom."""
+        out = []
+        whole = b"".join(label for label, _ in self.path)
+        while len(self.path) > k:
+            label, value = self.path.pop()
+            if value is not None:
+                out.append((whole, value))
+            whole = whole[: len(whole) - len(label)]
+        return out
+
+    def rest(self) -> list[tuple[bytes, tuple]]:
+        return self._closed(0)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: entries in order of (length, hash); each partition's trie goes when the next begins."""
-    now, trie, out = None, Trie(), []
+    """Reduce side: entries in order of partition and key; a partition's last path goes when the next begins."""
+    now, trie, out = None, Spilled(), []
 
-    def done():
-        out.extend((hashlib.sha256(key).digest(), i, n) for key, (_, i, n) in trie.terminals())
+    def done(closed: list[tuple[bytes, tuple]]) -> None:
+        out.extend((hashlib.sha256(key).digest(), i, n) for key, (_, i, n) in closed)
 
     def batch():
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], _INT), pa.array([x[2] for x in out], _INT)], names=["digest", "keep_id", "group_size"])
 
     for b in batches:
-        columns = [b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)]
-        for k, (length, hash_, points, i, n) in enumerate(zip(*columns, strict=True)):
-            if (length, hash_) != now:
-                done()
-                now, trie = (length, hash_), Trie()
-            node = trie.at(b.column(2)[k].as_py())
-            node.value = _better(node.value, (points, i, n)) if node.value else (points, i, n)
+        columns = [b.column(k).to_pylist() for k in (0, 2, 3, 4)]
+        for k, (part, points, i, n) in enumerate(zip(*columns, strict=True)):
+            if part != now:
+                done(trie.rest())
+                now = part
+            done(trie.put(b.column(1)[k].as_py(), (points, i, n)))
         if len(out) >= 10_000:
             yield batch()
             out.clear()
-    done()
+    done(trie.rest())
     yield batch()
 
 
@@ -156,12 +209,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(docs: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of every different normalised text of ``docs`` (doc_id, text).
 
-    A task's entries of one text are one row, so a group of copies reaches its partition as at most a row for each hand-over
-    of a map task.
+    A task's entries of one text are one row, so a group of copies reaches its partition as at most a row for each time that a map task
+    hands its trie on.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_owners, _OWNERS)
-    dealt = found.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return dealt.mapInArrow(_merged, "digest binary, keep_id long, group_size long")
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_text.trimmed(_owners), _OWNERS)
+    # a partition may part further by its keys: each task then has some of its subtrees
+    dealt = found.repartition("part", F.pmod(F.xxhash64("key"), F.lit(64))).sortWithinPartitions("part", "key")
+    return dealt.mapInArrow(_text.trimmed(_merged), "digest binary, keep_id long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -171,6 +225,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     counts, and each of those with the owner's id is kept. Null ids lose ties; a group of null ids only has none to keep
     and keeps all its rows. An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests, "id long, digest binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_text.trimmed(_digests), "id long, digest binary")
     out = rows.join(owners(docs), "digest")
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
