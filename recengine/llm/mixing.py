@@ -87,8 +87,8 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = WE
     """``docs`` (doc_id, source, text, ...) with size, source_size, target and taken (words the mix takes of a row, repeats counted).
 
     Null is a source, the last. A null, empty or blank text has size 0 and nothing is taken of it. Rows that agree in doc_id,
-    source, size and text share evenly what is taken of them (rounded down). An empty table stays empty. Columns of
-    ``docs`` with a result's name give way.
+    source, size and text share what is taken of them: each gets the quotient, and as many as words remain get one more. An empty
+    table stays empty. Columns of ``docs`` with a result's name give way.
     """
     docs = docs.drop("size", "source_size", "target", "taken", "key", "_text", "_id")
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
@@ -116,9 +116,21 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = WE
         .withColumn("rank", F.explode(F.sequence(F.floor(F.col("_from") / block), F.least(F.floor((F.col("_to") - 1) / block), F.col("_blocks") - 1))))
         .select(*identity, "_copies", "rank", (F.least("_to", (F.col("rank") + 1) * block) - F.greatest("_from", F.col("rank") * block)).alias("_words"))
     )
-    taken = pieces.join(slots.select("key", "rank"), ["key", "rank"]).groupBy(*identity).agg(F.floor(F.sum("_words") / F.max("_copies")).alias("taken"))
-    joined = rows.join(taken, list(identity), "left").join(per, "key")
-    return joined.select(*docs.columns, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.join(slots.select("key", "rank"), ["key", "rank"]).groupBy(*identity).agg(F.sum("_words").alias("_all"), F.max("_copies").alias("_copies"))
+    joined = rows.join(taken.withColumn("taken", F.floor(F.col("_all") / F.col("_copies"))).withColumn("_rest", F.col("_all") % F.col("_copies")), list(identity), "left")
+    result = [*docs.columns, "size", "source_size", "target"]
+    if not (repeated := taken.where("_all % _copies > 0").limit(1)).isEmpty():
+        del repeated
+        joined = _spread(kept(joined.withColumn("_row", F.monotonically_increasing_id())), list(identity))
+    return joined.join(per, "key").select(*result, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _spread(rows: DataFrame, identity: list[str]) -> DataFrame:
+    """``rows`` (_row: a number of its own) with one more taken by the first ``_rest`` rows of each identity: places from two levels, no group in one task."""
+    equal = rows.where("_rest > 0").select("_row", "_rest", F.xxhash64(*identity).alias("_a"), F.md5(F.concat_ws("|", "_id", "key", "size", "_text")).alias("_b"), F.shiftright("_row", 12).alias("_run"))
+    placed = ranked(equal.select("_row", "_rest", "_run", F.concat_ws("|", "_a", "_b").alias("key")), "_run", ["_row"], F.lit(1))
+    more = kept(placed.where("_at < _rest").select("_row", F.lit(1).alias("_one")))
+    return rows.join(more, "_row", "left").withColumn("taken", F.col("taken") + F.coalesce("_one", F.lit(0))).drop("_one", "_row")
 
 
 def written_out(mixed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact duplicates, URL filters and source mixing on small tables, against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -38,6 +39,51 @@ def test_hot_group_leaves_a_task_as_one_entry(spark):
     assert (r.n, r.k) == (1333, 1)
 
 
+def test_spilled_trie_closes_what_no_later_key_can_reach():
+    rng = random.Random(6)
+    for alphabet in (b"ab", b"abcdefgh"):
+        keys = [bytes(rng.choices(alphabet, k=rng.randint(0, 9))) for _ in range(400)] + [b"", b"a" * 300, b"a" * 299 + b"b"]
+        want = defaultdict(int)
+        for k in keys:
+            want[k] += 1
+        trie, got, widest = exactdup.Spilled(), [], 0
+        for k in sorted(keys):
+            got += trie.put(k, (len(k), 1, 1))
+            widest = max(widest, len(trie.path))
+        assert widest <= 10 and len(got) > 100  # subtrees went on the way; no more than a path was held
+        assert sorted((k, n) for k, (_, _, n) in got + trie.rest()) == sorted(want.items())
+
+
+def test_tries_of_the_query_hold_many_keys_and_split_edges(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    at = exactdup.Trie.at
+    monkeypatch.setattr(exactdup.Trie, "at", lambda self, key: (made.append(self), at(self, key))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"a line that all of them share and number {k}" for k in range(3000)])], names=["id", "text"])
+    entries = sum(len(b) for b in exactdup._owners(iter([batch])))
+    tries = {id(t): t for t in made}.values()
+    assert entries == 3000 and len(tries) <= 2 << exactdup.BITS
+    assert max(sum(1 for _ in t.terminals()) for t in tries) > 5
+    assert any(len(label) > 20 and not child.value for t in tries for label, child in t.edges.values())  # a shared upper edge
+
+
+def test_largest_tries_are_handed_on(monkeypatch, spark):
+    monkeypatch.setattr(exactdup, "HELD", 2000)
+    import pyarrow as pa
+
+    texts = [f"text number {k % 70} " * (1 + k % 5) for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], names=["id", "text"])
+    rows = [r for b in exactdup._owners(iter([batch])) for r in b.to_pylist()]
+    assert len({r["key"] for r in rows}) < len(rows) < 500 and sum(r["n"] for r in rows) == 500
+    ordered = sorted(rows, key=lambda r: (r["part"], r["key"]))
+    out = [r for b in exactdup._merged(iter([pa.RecordBatch.from_pylist(ordered, schema=pa.schema([("part", pa.int32()), ("key", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]))])) for r in b.to_pylist()]
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[hashlib.sha256(t.replace(" ", "").encode()).digest()].append(k)
+    assert {r["digest"]: (r["keep_id"], r["group_size"]) for r in out} == {d: (min(v), len(v)) for d, v in groups.items()} and len(out) == len(groups)
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.org", "/fr/", "block"), ("a.org", "/fr/", "allow"), (None, "/", "block")]
 
 
@@ -99,6 +145,21 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix(spark, docs.where("text IS NULL")).collect()] == [0]
 
 
+def test_repeated_rows_lose_no_words(spark):
+    docs = spark.range(1000).selectExpr("7L AS doc_id", "'a' AS source", "'one' AS text").unionByName(spark.range(40).selectExpr("100 + id AS doc_id", "'b' AS source", "repeat('w ', 60) AS text")).repartition(6)
+    out = mixing.mix(spark, docs, weights=(1.0, 12.6))
+    a = out.where("source = 'a'").selectExpr("max(target) AS t", "sum(taken) AS n", "min(taken) AS lo", "max(taken) AS hi", "count(*) AS rows").first()
+    assert 200 < a.t < 300 and abs(a.n - a.t) <= 64 and (a.lo, a.hi, a.rows) == (0, 1, 1000)
+    b = out.where("source = 'b'").selectExpr("max(target) AS t", "sum(taken) AS n").first()
+    assert abs(b.n - b.t) <= 2 * 64
+
+
+def test_very_long_text_and_repeated_nulls(spark):
+    docs = spark.createDataFrame([(1, "a", "word " * 300_000), (2, "b", "x " * 50)] + [(None, None, None)] * 5, "doc_id long, source string, text string")
+    out = {r.doc_id: r for r in mixing.mix(spark, docs).collect()}
+    assert out[1].size == 300_000 and abs(out[1].taken - out[1].target) <= 128 and out[2].taken == 150 and out[None].taken == 0
+
+
 def test_written_out_takes_as_many_words(spark):
     docs = spark.createDataFrame([(1, "a", "one two  three\nfour", 4, 10), (2, "a", " x y", 2, 2), (3, "a", "z", 1, 0)], "doc_id long, source string, text string, size long, taken long")
     texts = sorted((r.doc_id, r.text) for r in mixing.written_out(docs).collect())
