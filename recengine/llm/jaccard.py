@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import bounded, kept
+from recengine.llm.shared import ROWS, bounded, kept
 
 WORDS, PERCENT = 3, 90
 #: The least ratio of one band's sizes to those of the band before; 100 / percent if that is more, so that linked sets are in one band or two neighbouring ones.
 RATIO = 1.3
 #: Keys that a map task holds before it lists them, and shingles whose keys are one range of keys.
 LISTED, RANGE = 1 << 19, 1 << 20
+#: Comparing a pair's sketches or sets is worth as much of a task as writing so many rows.
+PER = 64
 #: A block of a group that is compared: at most so many nodes, and about so many bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 _K = _text.mixed(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
@@ -262,12 +264,13 @@ def _followers(lists: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, total: int) -> DataFrame:
     """Pairs (a, b, many): nodes that share a key, each with the key's first one; ``many`` if some such key has more than these two."""
-    lists = _lists(docs, nodes, words, percent, max(1, total // RANGE))
-    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, a long, b long, many boolean"))
+    number = max(1, total // RANGE)
+    lists = _lists(docs, nodes, words, percent, number)
+    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, a long, b long, many boolean"), number * ROWS)
     # the other nodes of a run: plain scans of two written tables, so that Spark can split a hot key
     follow = kept(_followers(lists)).join(met.where("b IS NULL").select("key", "a"), "key").select("a", "b", F.lit(True).alias("many"))
     pairs = met.where("b IS NOT NULL").select("a", "b", "many").union(follow).where("a < b")
-    return kept(pairs.groupBy("a", "b").agg(F.max("many").alias("many")))
+    return kept(pairs.groupBy("a", "b").agg(F.max("many").alias("many")), met.count() + lists.where("range < 0").count() * LISTED)
 
 
 def _sketches(docs: DataFrame, nodes: DataFrame, words: int, percent: int, sets: bool = False) -> DataFrame:
@@ -305,8 +308,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return _text.appended(some, {"set": "array<bigint>"}, work).drop("text")
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+def _nodes(pairs: DataFrame, rows: int) -> DataFrame:
+    return kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * rows)
 
 
 def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -318,14 +321,16 @@ def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are similar."""
-    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs), words, percent)))
+    n = pairs.count()
+    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs, n), words, percent)))
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("int"), lambda s, p: s + p)
     band = F.col("_aband") - F.col("_bband")
     distance = F.when(band == 0, apart("_ahere", "_bhere")).when(band == 1, apart("_ahere", "_bnext")).when(band == -1, apart("_anext", "_bhere"))
-    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b"))
-    both = _joined(close, kept(_sets(docs, _nodes(close), words)))
+    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b"), PER * n)
+    m = close.count()
+    both = _joined(close, kept(_sets(docs, _nodes(close, m), words)))
     shared = F.size(F.array_intersect("_aset", "_bset"))
-    return kept(both.where(100 * shared >= percent * (F.size("_aset") + F.size("_bset") - shared)).select("a", "b").distinct())
+    return kept(both.where(100 * shared >= percent * (F.size("_aset") + F.size("_bset") - shared)).select("a", "b"), PER * m)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,18 +339,19 @@ def components(links: DataFrame) -> DataFrame:
     Each round, every node goes to its smallest neighbour or itself, and once on from there; links are drawn between those, and
     the ones that have become loops are gone. A round at least halves the nodes that still have links.
     """
-    edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    n = links.count()
+    edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), n)
     labels = None
-    while labels is None or not edges.isEmpty():
+    while labels is None or (n := edges.count()):
         both = edges.union(edges.select("b", "a"))
-        near = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")))
-        step = kept(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("_on")), "to").select("node", F.col("_on").alias("to")))
+        near = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")), 2 * n)
+        step = kept(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("_on")), "to").select("node", F.col("_on").alias("to")), 2 * n)
         if labels is None:
-            labels = step.select("node", F.col("to").alias("label"))
+            labels, reached = step.select("node", F.col("to").alias("label")), 2 * n
         else:
-            labels = kept(labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            labels = kept(labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), reached)
         ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        edges = kept(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct())
+        edges = kept(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct(), n)
     return labels
 
 
@@ -386,22 +392,23 @@ def _unsettled(docs: DataFrame, pairs: DataFrame, labels: DataFrame, words: int,
 
     Groups are what such keys connect. Of a group of k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
     """
+    n = pairs.count()
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
     told = pairs.join(label("b"), "b", "left").join(label("a"), "a", "left")
-    open_ = kept(told.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a").distinct())
+    open_ = kept(told.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a").distinct(), n)
     if open_.isEmpty():
         return None
-    held = kept(pairs.join(bounded(open_), "a", "left_semi").select("a", "b"))
+    held = kept(pairs.join(bounded(open_), "a", "left_semi").select("a", "b"), n)
     groups = components(held).select("node", F.col("label").alias("group"))
-    members = kept(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    values = kept(_sketches(docs, kept(members.select("node")), words, percent, sets=True))
+    members = kept(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), 2 * n)
+    values = kept(_sketches(docs, kept(members.select("node"), 2 * n), words, percent, sets=True))
     here, after = values.select("node", "n", "band", F.col("here").alias("words"), "set"), values.select("node", "n", (F.col("band") + 1).alias("band"), F.col("next").alias("words"), "set")
     placed = here.unionByName(after.where("words IS NOT NULL")).join(members, "node")
     size = values.select("node", "n", F.explode(F.when(F.col("next").isNull(), F.array("band")).otherwise(F.array(F.col("band"), F.col("band") + 1))).alias("band")).join(members, "node").groupBy("group", "band").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
-    blocks = kept(size.where("_k > 1").select("group", "band", F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") * 8 / BLOCK_BYTES)).alias("_blocks")))
+    blocks = kept(size.where("_k > 1").select("group", "band", F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") * 8 / BLOCK_BYTES)).alias("_blocks")), 2 * n)
     sent = placed.join(bounded(blocks), ["group", "band"]).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
-    return kept(pair.groupBy("group", "band", "_low", "_high").applyInArrow(_compared(percent), "a long, b long").distinct())
+    return kept(pair.groupBy("group", "band", "_low", "_high").applyInArrow(_compared(percent), "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -413,15 +420,16 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     """
     rows = kept(_digested(docs, words))
     full = rows.where("n_shingles > 0")
-    classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("_n")))
-    nodes = kept(classes.where("node IS NOT NULL").select("node").distinct())
-    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    pairs = candidates(docs, nodes, words, percent, total)
+    every = rows.count()
+    classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("_n")), every)
+    x = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    nodes = kept(classes.where("node IS NOT NULL").select("node").distinct(), x["n"])
+    pairs = candidates(docs, nodes, words, percent, x["total"])
     links = _linked(docs, pairs.select("a", "b"), words, percent)
     labels = components(links)
     more = _unsettled(docs, pairs.where("many").select("a", "b"), labels, words, percent)
     if more is not None and not more.isEmpty():
         labels = components(links.union(more))
     ranked = classes.join(labels, "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))
-    whole = rows.select("doc_id", "n_shingles", "_one", "_two").join(kept(ranked), ["_one", "_two"], "left")
+    whole = rows.select("doc_id", "n_shingles", "_one", "_two").join(kept(ranked, x["n"]), ["_one", "_two"], "left")
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

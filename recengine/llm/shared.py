@@ -20,14 +20,19 @@ def folder(spark: SparkSession) -> str:
     return (named or _OWN).rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers that one task writes.
+ROWS = 250_000
+
+
+def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once and written as Parquet to the shared folder; what follows reads it from there.
 
     A lost executor then costs its tasks only, the plan behind ``df`` is cut off, and Spark knows the table's size, by which
-    it may broadcast a small one. The tables are the session's: who clears the shared folder clears them.
+    it may broadcast a small one. ``rows``, if it is known that there are no more, says how many tasks are worth it: a small
+    table is not dealt over as many files as a large one. The tables are the session's: who clears the shared folder clears them.
     """
     path = f"{folder(df.sparkSession)}/recengine/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
