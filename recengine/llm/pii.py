@@ -6,7 +6,8 @@ spans are cut out of a stretch, and what is left is cut into tokens; every span
 and ``LONGEST_SPELLED`` where there are letters) is a candidate segment with features of the whole span
 (its shape, its number of digits, check digits, octets, the cue word before it), and dynamic programming over bounded
 segments chooses boundaries and types together. Weights maximise the likelihood of generated stretches with known
-segments, of personal data and of numbers that are none (dates, versions, identifiers).
+segments, of personal data and of numbers that are none (dates, versions, identifiers). Every segment may be of any kind, so kinds
+compete for it as boundaries do.
 
 No shuffle: every text is scanned whole where it is read, and only stretches are decoded.
 """
@@ -72,8 +73,8 @@ def base(text: str) -> list[Span]:
     return out
 
 
-def features(segment: str, before: str, kind: str) -> list[str]:
-    """Features of a whole span as ``kind``; ``before`` is the text to its left."""
+def features(segment: str, before: str) -> list[str]:
+    """Features of a whole span, which every kind weighs for itself; ``before`` is the text to its left."""
     digits = _digits(segment)
     letters = any(c.isalpha() for c in segment)
     shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", lambda m: str(min(len(m[0]), 9)), segment))
@@ -89,7 +90,7 @@ def features(segment: str, before: str, kind: str) -> list[str]:
         out.append(f"spelled {bool(re.search(r'@|[^a-z]at[^a-z]', low))} {bool(re.search(r'[.]|[^a-z]dot[^a-z]', low))} {bool(re.search(r'[([]', low))}")
         out.append(f"ends {re.search('[a-z0-9]*$', low)[0] in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'info', 'io')}")
     out.append(f"edges {segment[0].isalnum() or segment[0] in '(+['} {segment[-1].isalnum()}")
-    return [f"{kind} {x}" for x in out]
+    return out
 
 
 class Model:
@@ -111,10 +112,9 @@ class Model:
                 segment = text[tokens[i][0] : tokens[j - 1][1]]
                 if segment[-1].isspace() or segment[-1] in "([./-":
                     continue
-                lettered = any(c.isalpha() for c in segment)
-                for kind in ("email",) if lettered else ("ip", "card", "phone"):
-                    if lettered or len(_digits(segment)) >= (4 if kind == "ip" else 7):
-                        out.append((i, j, kind, features(segment, before + text[: tokens[i][0]], kind)))
+                if any(c.isalpha() for c in segment) or len(_digits(segment)) >= 4:
+                    found = features(segment, before + text[: tokens[i][0]])
+                    out += [(i, j, kind, [f"{kind} {f}" for f in found]) for kind in KINDS]
         return tokens, out
 
     def score(self, found: list[str]) -> float:
@@ -179,7 +179,7 @@ def _generated(rng: random.Random) -> tuple[str, str, list[tuple[int, int, str]]
 
 
 @lru_cache(maxsize=1)
-def trained(examples: int = 400, rounds: int = 12, rate: float = 0.3, decay: float = 0.002, seed: int = 5) -> Model:
+def trained(examples: int = 600, rounds: int = 12, rate: float = 0.3, decay: float = 0.002, seed: int = 5) -> Model:
     """Weights that maximise the likelihood of generated stretches: forward and backward sums over all segmentations."""
     rng = random.Random(seed)
     model = Model({})
@@ -240,7 +240,7 @@ def more(text: str, known: list[Span], model: Model) -> list[Span]:
 
 
 def _holds(m: re.Match, pattern: re.Pattern) -> bool:
-    return pattern is not NUMBERS or sum(c.isdigit() for c in m[0]) >= 7
+    return pattern is not NUMBERS or len(_digits(m[0])) >= 7 or len(re.findall("[0-9]+", m[0])) >= 4
 
 
 def _left(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
