@@ -11,6 +11,7 @@ Nothing is learned or shuffled: every text is scanned where it is read. Only the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import partial
 
@@ -30,6 +31,8 @@ REACH = 48
 #: The fewest characters of a candidate.
 LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: So long a run of letters of one case, or of digits, is no word or number.
+LONG = 24
 #: Characters of surrounding text on either side in the dictionary.
 AROUND = 1024
 #: Bytes of compressed output for each byte of the string from which on it counts as novel.
@@ -70,22 +73,36 @@ def novelty(candidate: str, around: str) -> float:
     return max(0, len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
 
 
+_CLASSES = re.compile("[a-z]+|[A-Z]+|[0-9]+")
+
+
 def _varied(s: str) -> bool:
-    """Digits and letters mixed, as keys have them: what words, numbers and identifiers alone are not."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    """What words, numbers and identifiers alone are not: digits and letters mixed, letters that change their case every other letter
+    on average, and four times or more, or a run of ``LONG`` letters or digits and more."""
+    runs = _CLASSES.findall(s)
+    cases = sum(1 for a, b in zip(runs, runs[1:], strict=False) if a[0].isalpha() and b[0].isalpha() and a[0].islower() != b[0].islower())
+    return (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or (cases >= 4 and len(s) <= 2 * len(runs)) or max(map(len, runs), default=0) >= LONG
 
 
 def novel(text: str, known: list[Span], threshold: float = NOVEL) -> list[Span]:
     """Strings near sensitive words that no base span touches and that the text around does not explain."""
     out: list[Span] = []
     done = 0
+    taken: list[tuple[int, int]] = []
+    for a, b, _ in sorted(known):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
+    ends = [b for _, b in taken]
     for m in SENSITIVE.finditer(text):
         for c in CANDIDATE.finditer(text, max(m.end(), done), min(len(text), m.end() + REACH + LEAST)):
             a, b = CANDIDATE.match(text, c.start()).span()
             if a > m.end() + REACH:
                 break
             done = b
-            if any(x < b and a < y for x, y, _ in known) or not _varied(text[a:b]):
+            k = bisect_right(ends, a)  # the first span that ends behind the candidate's begin
+            if (k < len(taken) and taken[k][0] < b) or not _varied(text[a:b]):
                 continue
             if novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= threshold:
                 out.append((a, b, "novel"))

@@ -131,3 +131,78 @@ def test_model_decodes_what_base_spans_leave_and_long_or_upper_forms():
 def test_upper_case_spelled_addresses_are_scanned(spark):
     docs = spark.createDataFrame([(1, "write to john [AT] example [DOT] com"), (2, "write to JOHN AT EXAMPLE DOT COM")], "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.find_personal_data(spark, docs).collect()} == {1: "email:9:36", 2: "email:9:32"}
+
+
+def test_kinds_compete_for_every_segment():
+    model = pii.trained()
+    tokens, found = model.candidates("(017) 555-7713", "call ")
+    spans = {(i, j) for i, j, *_ in found}
+    assert spans and {(i, j, k) for i, j, k, _ in found} == {(i, j, k) for i, j in spans for k in pii.KINDS}
+    tokens, found = model.candidates("ann at mail dot com", "")
+    assert {k for *_, k, _ in found} == set(pii.KINDS)
+    assert [(a, b, k) for a, b, k in model.best("8[.]8[.]4[.]4", "host ")] == [(0, 13, "ip")]
+    assert [k for *_, k in pii.more("server 8[.]8[.]4[.]4 is up", [], model)] == ["ip"]
+
+
+def test_strings_of_letters_or_digits_alone():
+    found = lambda t: [t[a:b] for a, b, _ in secrets.novel(t, [])]
+    assert found("key: abc123abc123abc123 q7Xp2LzR9vKw0TnB4sYd") == ["q7Xp2LzR9vKw0TnB4sYd"]
+    assert found("api key qXpLzRvKwTnBsYdHgJ here") == ["qXpLzRvKwTnBsYdHgJ"]
+    assert found("secret qjxwzkvbpmyhtgrfdlscnxqz end") == ["qjxwzkvbpmyhtgrfdlscnxqz"]
+    assert found("the key of understanding internationalisation and getUserAccountName") == []
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    def seconds(n):
+        mails = "".join(f"a{k}@b.cc (017) 555-7713 " for k in range(n))
+        keys = "".join(f"token=abcdef{k} key q7Xp2LzR9vKw0TnB4s{k} " for k in range(n))
+        began = time.process_time()
+        pii.more(mails, pii.base(mails), pii.trained())
+        secrets.novel(keys, secrets.base(keys), 9.0)
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(1600) < 4 * seconds(800)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.find_personal_data(spark, none).collect() == secrets.scan_secrets(none).collect() == []
+
+
+def test_novelty_by_compressing_twice():
+    """The measure against its definition: what the candidate adds to a frame primed with identifiers and surroundings."""
+    import zstandard
+
+    for candidate, around in (("q7Xp2LzR9vKw0TnB4sYd", "some text"), ("configuration", ""), ("abcabcabcabcabc", "abcabc"), ("build_2024_release", "see build_2024_release")):
+        d = zstandard.ZstdCompressionDict((secrets.IDENTIFIERS + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))  # noqa: E731, B023
+        assert abs(secrets.novelty(candidate, around) - (size(candidate.encode()) - size(b"")) / len(candidate)) < 1e-12
+
+
+def test_weights_maximise_the_likelihood_of_generated_stretches():
+    """The fitted model's log-likelihood by enumerating all segmentations: higher than with no weights, and no better along any weight by much."""
+    import math
+
+    model = pii.trained()
+    rng = random.Random(77)
+
+    def likelihood(m):
+        total = 0.0
+        for before, text, gold in sample:
+            tokens, found = m.candidates(text, before)
+            scores = {}
+            for i, j, k, f in found:
+                scores.setdefault(j, []).append((i, m.score(f)))
+            z = [0.0]
+            for j in range(1, len(tokens) + 1):
+                z.append(pii._sum([z[j - 1], *(z[i] + s for i, s in scores.get(j, ()))]))
+            at = {(tokens[i][0], tokens[j - 1][1], k): m.score(f) for i, j, k, f in found}
+            total += sum(at[g] for g in gold) - z[-1]
+        return total
+
+    sample = [x for x in (pii._generated(rng) for _ in range(60)) if len(x[1]) < 40]
+    fitted = likelihood(model)
+    assert fitted > likelihood(pii.Model({})) / 4 and math.isfinite(fitted)
