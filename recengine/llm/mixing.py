@@ -90,7 +90,10 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = WE
     source, size and text share what is taken of them: each gets the quotient, and as many as words remain get one more. An empty
     table stays empty. Columns of ``docs`` with a result's name give way.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "key", "_text", "_id")
+    docs = docs.drop("size", "source_size", "target", "taken")
+    own, others = docs.columns, [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    docs = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("+")).alias("+others"))
+    back = [F.col(c) if c not in others else F.col("+others").getField(c).alias(c) for c in own]
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     identity = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key": key, "size": size_of(F.col("text")), "_text": F.xxhash64("text")}
     rows = docs.withColumns(identity)
@@ -101,7 +104,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = WE
     total, count = x["total"] or 0.0, slim.count()
     per = few(goals.select("key", "source_size", "target"), x["n"])
     if not total:
-        return rows.join(per, "key").select(*docs.columns, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return rows.join(per, "key").select(*back, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     slots = kept(schedule(spark, goals, math.ceil(total / block), total))
     step = max(1, (1 << 32) // max(1, math.isqrt(count)) + 1)
     digest = F.md5("_id")
@@ -118,9 +121,8 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = WE
     )
     taken = pieces.join(slots.select("key", "rank"), ["key", "rank"]).groupBy(*identity).agg(F.sum("_words").alias("_all"), F.max("_copies").alias("_copies"))
     joined = rows.join(taken.withColumn("taken", F.floor(F.col("_all") / F.col("_copies"))).withColumn("_rest", F.col("_all") % F.col("_copies")), list(identity), "left")
-    result = [*docs.columns, "size", "source_size", "target"]
-    if not (repeated := taken.where("_all % _copies > 0").limit(1)).isEmpty():
-        del repeated
+    result = [*back, "size", "source_size", "target"]
+    if not taken.where("_all % _copies > 0").isEmpty():
         joined = _spread(kept(joined.withColumn("_row", F.monotonically_increasing_id())), list(identity))
     return joined.join(per, "key").select(*result, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
