@@ -14,39 +14,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import decontaminate, jaccard, mixing, queries, tokens, toxicity
-from recengine.llm.shared import folder, kept
+from recengine.llm.shared import bounded, folder, kept
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns that are none of a document's in one struct, so that no name of theirs meets one of an operator's; and the way back."""
+    others = [c for c in docs.columns if c not in DOCUMENT]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")] if others else []
+    packed = docs.select(*(c for c in docs.columns if c in DOCUMENT), *rest)
+    return packed, lambda out: out.select(*(F.col(c) if c in DOCUMENT else F.col("_others").getField(c).alias(c) for c in docs.columns))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows of ``docs`` whose crc32(doc_id) modulo 5 is not 0, and judges all rows."""
+    """Learns from the labelled rows of ``docs`` whose crc32(doc_id) modulo 5 is not 0, and judges all rows; null and empty texts get the
+    prior's score, and stay unless most labels are toxic."""
     labels = queries.table(spark, sf_dir, "labels").where(toxicity.remainder("doc_id", 5) != 0)
-    model = toxicity.train(spark, docs, labels)
-    return toxicity.score(spark, docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = _aside(docs)
+    return back(toxicity.score(spark, rows, toxicity.train(spark, docs, labels)).where("predicted = 0"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without id are in no group and stay. Rows that share an id are one document: it stays if any of them would, as the
-    row with the smallest text."""
-    groups = jaccard.similar_groups(docs, words=5, percent=80)
-    stay = kept(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_stays")).where("_stays").drop("_stays"))
-    rows = docs.join(stay, "doc_id")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = rows.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row")).select("doc_id", "_row.*")
-    return rows.where("_rows = 1").select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of similar texts one row stays, that with the smallest id. Every row is a document of its own: if ids are missing or
+    repeat, rows are numbered first, and of a group the first row stays. Texts without words are in no group and stay."""
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("different")).first()
+    alone = ids["n"] == ids["ids"] == ids["different"]
+    packed, back = _aside(docs)
+    rows = packed.withColumn("_id", F.col("doc_id").cast("long")) if alone else kept(packed.withColumn("_id", F.monotonically_increasing_id()))
+    groups = jaccard.similar_groups(rows.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
+    stay = kept(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")), ids["n"])
+    return back(rows.join(bounded(stay), "_id", "left_semi"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(spark, docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    """Rows whose text the benchmark's passages make up a twentieth of, or more, go. Null and empty texts have no words and stay; each
+    row is judged by itself, whatever its id; an empty benchmark or table changes nothing."""
+    rows, back = _aside(docs)
+    return back(decontaminate.decontaminate(spark, rows, queries.table(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.written_out(mixing.mix(spark, docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """A row for each time the mix takes a row of ``docs``, at most three, the last cut after as many words as are still taken; n_chars is
+    that of the text as it is then. Rows without words are not taken. A null source is a source. An empty table stays empty."""
+    rows, back = _aside(docs)
+    return back(mixing.written_out(mixing.mix(spark, rows)).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every row in Arrow files, read back: doc_id, start, n_tokens, ids_crc32. Null and empty texts are an end id alone; rows that
+    share an id follow each other; rows without id come first. An empty table writes no file."""
     return tokens.round_trip(spark, docs, queries.tokenizer())
 
 

@@ -151,7 +151,8 @@ def _scale(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.nda
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fits on ``sample`` rows of either label at most; ``labels`` (doc_id, toxic) must hold training rows only. Null labels are
-    passed over; of an id's labels 1 wins."""
+    passed over; of an id's labels 1 wins. Of rows that share an id, the one with the greatest text is learned from, so that the bound holds.
+    Only the sample's texts reach the driver, as hashed n-grams, 1/16 of them at a time."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_label"))
     order = F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id")
     some = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
