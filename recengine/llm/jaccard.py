@@ -4,18 +4,19 @@ A text's distinct word shingles are hashed; a shingle flips one bit of the text'
 sketches is at most the size of their symmetric difference. Two sets of a and b shingles with similarity s or more differ in at
 most (a + b)(1 - s) / (1 + s) of them, and so a sketch of one 64-bit word more than that has a word to which none of these belongs:
 the pair has the same shingles there. A word's key is the XOR of its shingles' full hashes. Keys are joined within bands of
-sizes (a text near a band's upper end also stands in the next). Pairs that join go on if their sketches' Hamming distance
-allows the similarity, and are then verified on the full sets.
+sizes (a text near a band's upper end also stands in the next). Pairs that join go on if the Hamming distance of their sketches, folded
+to FOLD bits, allows the similarity, and are then verified on the full sets.
 
-A word without a shingle says nothing. Sketches have a few words more than needed, so that a text with no more empty words than
-that is found by another one, and gives no key for those.
+Sketches have more words than that, so that a linked pair agrees in several: as many as are spare, and one. So each text may leave
+as many words out as it has spare ones, if all texts leave out by one order of keys (as in prefix filtering): empty words first, which say
+nothing, and then the keys that most texts have.
 
 Equal sets are one node, joined no further. A map task lists its nodes' keys sorted and packed, a list for each range of keys, and the
-lists of a range meet in one task; of nodes of one map task with the same key only the first is listed, and the others follow the
-key by a join that Spark can split. Keys that two nodes share give that pair. A key with more nodes ties them to its first
-one. Nodes that verified links have put into one component are settled. What a key still holds of different components is
-compared in blocks: a task gets two blocks of a group, holds their sketches against each other bit-parallel, verifies
-what passes, and gives no more than the links that join components. So no link between components is missed, and pairs
+lists of a range meet in one task, which tells how many nodes a key has; of nodes of one map task with the same key only the first is
+listed, and the others follow the key by a join that Spark can split. Keys that two nodes share give that pair. A key with more
+nodes ties them to its first one. Nodes that verified links have put into one component are settled. What a key still holds of different
+components is compared in blocks: a task gets two blocks of a key's nodes, holds their folded sketches against each other bit-parallel,
+verifies what passes, and gives no more than the links that join components. So no link between components is missed, and pairs
 become rows only where they are links.
 """
 
@@ -26,21 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import ROWS, bounded, kept
+from recengine.llm.shared import bounded, kept
 
 WORDS, PERCENT = 3, 90
 #: The least ratio of one band's sizes to those of the band before; 100 / percent if that is more, so that linked sets are in one band or two neighbouring ones.
 RATIO = 1.3
 #: Keys that a map task holds before it lists them, and shingles whose keys are one range of keys.
 LISTED, RANGE = 1 << 19, 1 << 20
+#: One word of a sketch is spare for so many that are needed.
+SPARE = 4
+#: The fewest bits of a folded sketch, and texts for which bits are counted at once.
+FOLD, ROWS_AT_ONCE = 256, 4000
 #: Comparing a pair's sketches or sets is worth as much of a task as writing so many rows.
 PER = 64
-#: A block of a group that is compared: at most so many nodes, and about so many bytes of their sets.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: A block of a key's nodes that is compared: about so many.
+BLOCK = 512
 _K = _text.mixed(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
 
@@ -76,6 +81,8 @@ class Bands:
     """Sizes in bands; a band's number of sketch words, one more than the differences of a linked pair in it."""
 
     def __init__(self, percent: int):
+        if not 50 <= percent <= 100:
+            raise ValueError("a similarity of 50 to 100 percent")
         self.percent, self.low, self.ratio = percent, [1], max(RATIO, 100 / percent)
 
     def reach(self, size: int) -> None:
@@ -89,7 +96,7 @@ class Bands:
         band = np.searchsorted(low, size, "right") - 1
         most = low[1:] - 1
         needed = 2 * most * (100 - self.percent) // (100 + self.percent) + 1
-        spare = np.where(needed < 3, 0, np.where(needed < 8, 1, 2 + needed // 100))
+        spare = np.where(needed < 3, 0, 1 + needed // SPARE)
         return band, needed + spare, spare, size * 100 // self.percent >= low[np.minimum(band + 1, len(low) - 1)]
 
 
@@ -112,21 +119,18 @@ class Layout:
             out[self.word] = np.bitwise_xor.reduceat(values, self.begin)
         return out
 
-    def sketches(self) -> pa.Array:
-        """Each text's parity sketch: a shingle flips one of its word's 64 bits. Null for texts that are not taken."""
-        words = self._xor(_U(1) << (self.full & _U(63)))
-        cut = pa.array(np.r_[self.base, len(words)].astype(np.int32), mask=np.r_[~self.take, False])
-        return pa.ListArray.from_arrays(cut, pa.array(words.view(np.int64)))
-
-    def keys(self, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key): a key for each word that has shingles; empty words too if the text has more of them than are spare."""
+    def keys(self, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key): a key for each word that has shingles; empty words too if the text has more of them than are spare. The
+        last bit of a key is that of its band, the one before tells an empty word's. And for each text, how many more of its keys it may leave out."""
         full = self._xor(self.full)
         of = np.repeat(np.arange(len(self.own)), self.own)
         empty = np.ones(len(full), bool)
         empty[self.word] = False
-        given = ~empty | (np.bincount(of[empty], minlength=len(self.own)) > spare[self.band])[of]
+        blank = np.bincount(of[empty], minlength=len(self.own))
+        given = ~empty | (blank > spare[self.band])[of]
         place = (np.arange(len(full)) - self.base[of]).astype(_U) | self.band[of].astype(_U) << _U(48)
-        return of[given], _text.mixed(full ^ _text.mixed(place + _U(1)))[given]
+        keys = _text.mixed(full ^ _text.mixed(place + _U(1))) & ~_U(3) | empty.astype(_U) << _U(1) | (self.band[of] & 1).astype(_U)
+        return of[given], keys[given], np.where(blank > spare[self.band], spare[self.band], spare[self.band] - blank)
 
 
 def _layouts(row: np.ndarray, full: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, Layout, Layout, np.ndarray]:
@@ -163,12 +167,12 @@ def _wide(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def packed(keys: np.ndarray, nodes: np.ndarray, lone: np.ndarray) -> bytes:
-    """Keys in ascending order with their nodes and a flag: differences, in as many bytes as the largest needs."""
+def packed(keys: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys in ascending order with their nodes and counts (at most 255 is told): differences, in as many bytes as the largest needs."""
     step, low = np.diff(keys, prepend=keys[:1]), int(nodes.min())
     above = nodes.astype(_U) - np.int64(low).astype(_U)
     w, v = (max(1, (int(x.max()).bit_length() + 7) // 8) for x in (step, above))
-    return np.array([len(keys), keys[0], w, np.int64(low).astype(_U), v], "<u8").tobytes() + _narrow(step, w) + _narrow(above, v) + np.packbits(lone).tobytes()
+    return np.array([len(keys), keys[0], w, np.int64(low).astype(_U), v], "<u8").tobytes() + _narrow(step, w) + _narrow(above, v) + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +180,7 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, w, v = int(n), int(w), int(v)
     keys = np.cumsum(_wide(raw, 40, n, w), dtype=_U) + first
     nodes = (_wide(raw, 40 + n * w, n, v) + low).view(np.int64)
-    return keys, nodes, np.unpackbits(np.frombuffer(raw, np.uint8, offset=40 + n * (w + v)), count=n).astype(bool)
+    return keys, nodes, np.frombuffer(raw, np.uint8, n, 40 + n * (w + v)).astype(np.int64)
 
 
 def _ranges(number: int) -> np.ndarray:
@@ -185,110 +189,141 @@ def _ranges(number: int) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, nodes: DataFrame, words: int, percent: int, number: int) -> DataFrame:
-    """Rows (range, list) of the keys of ``nodes``: for each run of nodes and each range a list of keys and, of the run's nodes that
-    have it, the first, marked if it is the only one. The others are in lists of range -1."""
+    """Rows (range, list) of the keys of ``nodes``: for each run of nodes and each range a list of keys with the first of the run's nodes that
+    have it and how many do. The others are in lists of range -1; lists of range -2 have nodes and how many keys they may leave out."""
     bands = Bands(percent)
 
-    def listed(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    def listed(keys: list[np.ndarray], owners: list[np.ndarray], allowed: list[np.ndarray]) -> pa.RecordBatch:
         key, node = np.concatenate(keys), np.concatenate(owners)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node = key[new], node[new]
         first = np.r_[True, key[1:] != key[:-1]]
-        lone = np.diff(np.r_[np.flatnonzero(first), len(key)]) == 1
+        count = np.diff(np.r_[np.flatnonzero(first), len(key)])
         rest = ~first
-        out = [(-1, packed(key[rest], node[rest], np.zeros(int(rest.sum()), bool)))] if rest.any() else []
+        who, may = np.concatenate(allowed, axis=1)
+        order = np.argsort(who.view(_U))
+        out = [(-2, packed(who[order].view(_U), may[order], np.zeros(len(who))))]
+        out += [(-1, packed(key[rest], node[rest], np.zeros(int(rest.sum()))))] if rest.any() else []
         key, node = key[first], node[first]
         cut = np.r_[np.searchsorted(key, _ranges(number)), len(key)]
-        out += [(k, packed(key[a:b], node[a:b], lone[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        out += [(k, packed(key[a:b], node[a:b], count[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["range", "list"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, held = [], [], 0
+        keys, owners, allowed, held = [], [], [], 0
         for batch in batches:
             node = batch.column("node").to_numpy(zero_copy_only=False)
             data, offsets = _text.buffer(batch.column("text"))
             for lo, hi in _text.runs(offsets):
                 row, full = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
-                _, _, here, after, spare = _layouts(row, full, hi - lo, bands)
-                for layout in (here, after):
-                    of, key = layout.keys(spare)
+                _, band, here, after, spare = _layouts(row, full, hi - lo, bands)
+                may = np.zeros((2, hi - lo), np.int64)
+                for k, layout in enumerate((here, after)):
+                    of, key, left = layout.keys(spare)
                     keys.append(key)
                     owners.append(node[lo:hi][of])
+                    may[(band + k) & 1, np.arange(hi - lo)] = left
                     held += len(key)
+                allowed.append(np.stack([node[lo:hi], may[0] << 32 | may[1]]))
                 if held > LISTED:
-                    yield listed(keys, owners)
-                    keys, owners, held = [], [], 0
+                    yield listed(keys, owners, allowed)
+                    keys, owners, allowed, held = [], [], [], 0
         if held:
-            yield listed(keys, owners)
+            yield listed(keys, owners, allowed)
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node")
     return kept(some.mapInArrow(_text.trimmed(task), "range int, list binary"))
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """A range's lists: for each key of several nodes its first node ``a``, whether it has more than two (``many``), the other runs' first
-    nodes ``b``, and a row without ``b`` if a run has further ones."""
-    keys, nodes, lone = (np.concatenate(x) for x in zip(*(unpacked(x) for x in table.column("list").to_pylist()), strict=True))
-    order = np.lexsort((nodes, keys))
-    keys, nodes, lone = keys[order], nodes[order], lone[order]
+    """A range's lists: for each key of several nodes the runs' first nodes and how many nodes have it, and a row without node if a run has further ones."""
+    keys, nodes, counts = (np.concatenate(x) for x in zip(*(unpacked(x) for x in table.column("list").to_pylist()), strict=True))
+    order = np.argsort(keys)
+    keys, nodes, counts = keys[order], nodes[order], counts[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[begin, len(keys)])
-    more = np.add.reduceat((~lone).astype(np.int64), begin)
-    first, which = nodes[begin], np.repeat(np.arange(len(begin)), size)
-    at_least = size + more  # a key with two nodes in one run and no other may have more: only the join tells, and it counts as many
-    pair = np.ones(len(keys), bool)
-    pair[begin] = False
-    pair &= nodes != first[which]
-    open_ = np.flatnonzero(more > 0)
-    keys_out = np.concatenate([keys[pair], keys[begin[open_]]])
-    a = np.concatenate([first[which[pair]], first[open_]])
-    many = np.concatenate([(at_least[which[pair]] > 2), np.ones(len(open_), bool)])
-    b = pa.array(np.concatenate([nodes[pair], np.zeros(len(open_), np.int64)]), pa.int64(), mask=np.r_[np.zeros(int(pair.sum()), bool), np.ones(len(open_), bool)])
-    return pa.table({"key": pa.array(keys_out.view(np.int64)), "a": pa.array(a), "b": b, "many": pa.array(many)})
-
-
-def _followers(lists: DataFrame) -> DataFrame:
-    """(key, b) of the lists of range -1."""
+    total = np.add.reduceat(counts, begin)
+    some = np.repeat(total > 1, size)
+    more = np.flatnonzero(total > size)
+    node = pa.array(np.concatenate([nodes[some], np.zeros(len(more), np.int64)]), pa.int64(), mask=np.r_[np.zeros(int(some.sum()), bool), np.ones(len(more), bool)])
+    return pa.table({"key": pa.array(np.concatenate([keys[some], keys[begin[more]]]).view(np.int64)), "node": node, "freq": pa.array(np.concatenate([np.repeat(total, size)[some], total[more]]))})
+
+
+def _rows(lists: DataFrame, kind: int, columns: str) -> DataFrame:
+    """The (key, node) of the lists of range ``kind`` as rows."""
+    names = columns.replace(" long", "").split(", ")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("list").to_pylist():
                 key, node, _ = unpacked(raw)
                 for k in range(0, len(key), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 10_000].view(np.int64)), pa.array(node[k : k + 10_000])], names=["key", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 10_000].view(np.int64)), pa.array(node[k : k + 10_000])], names=names)
 
-    return lists.where("range < 0").select("list").mapInArrow(_text.trimmed(task), "key long, b long")
+    return kept(lists.where(F.col("range") == kind).select("list").mapInArrow(_text.trimmed(task), columns))
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, total: int) -> DataFrame:
-    """Pairs (a, b, many): nodes that share a key, each with the key's first one; ``many`` if some such key has more than these two."""
-    number = max(1, total // RANGE)
-    lists = _lists(docs, nodes, words, percent, number)
-    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, a long, b long, many boolean"), number * ROWS)
+def shared_keys(docs: DataFrame, nodes: DataFrame, words: int, percent: int, total: int) -> DataFrame:
+    """(key, node): for each node its keys that others have too, less those that it may leave out, the most frequent ones."""
+    lists = _lists(docs, nodes, words, percent, max(1, total // RANGE))
+    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, node long, freq long"))
     # the other nodes of a run: plain scans of two written tables, so that Spark can split a hot key
-    follow = kept(_followers(lists)).join(met.where("b IS NULL").select("key", "a"), "key").select("a", "b", F.lit(True).alias("many"))
-    pairs = met.where("b IS NOT NULL").select("a", "b", "many").union(follow).where("a < b")
-    return kept(pairs.groupBy("a", "b").agg(F.max("many").alias("many")), met.count() + lists.where("range < 0").count() * LISTED)
-
-
-def _sketches(docs: DataFrame, nodes: DataFrame, words: int, percent: int, sets: bool = False) -> DataFrame:
-    """node, n, band, here, next (and set): the candidates' sketches in their band and, where they may meet it there, the next one."""
-    bands = Bands(percent)
+    follow = _rows(lists, -1, "key long, node long").join(met.where("node IS NULL").select("key", "freq"), "key")
+    may = _rows(lists, -2, "node long, may long")
+    members = met.where("node IS NOT NULL").unionByName(follow.select("key", "node", "freq")).join(may, "node")
+    odd = F.col("key").bitwiseAND(1)
+    left = F.when(odd == 0, F.shiftright("may", 32)).otherwise(F.col("may").bitwiseAND((1 << 32) - 1))
+    place = F.row_number().over(Window.partitionBy("node", odd).orderBy(F.col("key").bitwiseAND(2).desc(), F.col("freq").desc(), "key"))
+    return kept(members.withColumn("_place", place).where(F.col("_place") > left).select("key", "node"))
+
+
+def folded(row: np.ndarray, full: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A parity sketch for each text, of as many bits as the power of two above its shingles: no two differ in more bits than their
+    sets in shingles. One twice as wide becomes one of half the bits by the XOR of its halves."""
+    n = len(size)
+    wide = FOLD * np.left_shift(1, np.ceil(np.log2(np.maximum(size / FOLD, 1))).astype(np.int64))
+    begin = np.r_[0, np.cumsum(wide // 64)]
+    out = np.zeros(int(begin[-1]), np.int64)
+    for bits in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == bits)
+        place = np.full(n, -1)
+        place[own] = np.arange(len(own))
+        at = place[row]
+        for a in range(0, len(own), max(1, ROWS_AT_ONCE * FOLD // bits)):
+            part = own[a : a + max(1, ROWS_AT_ONCE * FOLD // bits)]
+            inside = (at >= a) & (at < a + len(part))
+            odd = np.bincount((at[inside] - a) * bits + (full[inside] & _U(bits - 1)).astype(np.int64), minlength=len(part) * bits) & 1
+            sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(part), -1)
+            out[(begin[part][:, None] + np.arange(bits // 64)).ravel()] = sketch.ravel()
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(out))
+
+
+def _folds(docs: DataFrame, nodes: DataFrame, words: int, sets: bool = False) -> DataFrame:
+    """node, n, fold (and set): the candidates' sizes and folded sketches."""
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
+        n = len(offsets) - 1
         row, full = shingles(data, offsets, words)
-        size, band, here, after, _ = _layouts(row, full, len(offsets) - 1, bands)
-        out = {"n": size.astype(np.int32), "band": band.astype(np.int32), "here": here.sketches(), "next": after.sketches()}
+        size = _text.counted(row, n)
+        out = {"n": size.astype(np.int32), "fold": folded(row, full, size)}
         if sets:
-            cut = np.searchsorted(row, np.arange(len(offsets)))
-            out["set"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))
+            out["set"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(full.view(np.int64)))
         return out
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
-    out = _text.appended(some, {"n": "int", "band": "int", "here": "array<bigint>", "next": "array<bigint>"} | ({"set": "array<bigint>"} if sets else {}), work)
-    return out.drop("text")
+    return _text.appended(some, {"n": "int", "fold": "array<bigint>"} | ({"set": "array<bigint>"} if sets else {}), work).drop("text")
+
+
+def _alike(a_n: Column, b_n: Column, a_fold: Column, b_fold: Column, percent: int) -> Column:
+    """Whether sizes and folded sketches allow the similarity; sizes within a factor of two have sketches as wide or twice as wide."""
+    half = lambda f: F.zip_with(F.slice(f, 1, (F.size(f) / 2).cast("int")), F.slice(f, (F.size(f) / 2).cast("int") + 1, (F.size(f) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    x = F.when(F.size(a_fold) > F.size(b_fold), half(a_fold)).otherwise(a_fold)
+    y = F.when(F.size(b_fold) > F.size(a_fold), half(b_fold)).otherwise(b_fold)
+    distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("int"), lambda s, p: s + p)
+    sizes = 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+    return F.when(sizes, distance * (100 + percent) <= (a_n + b_n) * (100 - percent)).otherwise(False)
 
 
 def _of(nodes: DataFrame, table: DataFrame, name: str) -> DataFrame:
@@ -320,13 +355,10 @@ def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets are similar."""
+    """The pairs (a, b) of ``pairs`` whose sets are similar: first by sizes and folded sketches, which are all that travels with a pair; what passes by its sets."""
     n = pairs.count()
-    near = _joined(pairs, kept(_sketches(docs, _nodes(pairs, n), words, percent)))
-    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("int"), lambda s, p: s + p)
-    band = F.col("_aband") - F.col("_bband")
-    distance = F.when(band == 0, apart("_ahere", "_bhere")).when(band == 1, apart("_ahere", "_bnext")).when(band == -1, apart("_anext", "_bhere"))
-    close = kept(near.where(distance * (100 + percent) <= (F.col("_an") + F.col("_bn")) * (100 - percent)).select("a", "b"), PER * n)
+    near = _joined(pairs, kept(_folds(docs, _nodes(pairs, n), words)))
+    close = kept(near.where(_alike(*map(F.col, ("_an", "_bn", "_afold", "_bfold")), percent)).select("a", "b"), PER * n)
     m = close.count()
     both = _joined(close, kept(_sets(docs, _nodes(close, m), words)))
     shared = F.size(F.array_intersect("_aset", "_bset"))
@@ -355,13 +387,21 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _halved(fold: np.ndarray, words: int) -> np.ndarray:
+    while len(fold) > words:
+        fold = fold[: len(fold) // 2] ^ fold[len(fold) // 2 :]
+    return fold
+
+
 def _compared(percent: int):
     """Two blocks of a group, or one with itself: the links that join components, as few as join them."""
 
     def task(table: pa.Table) -> pa.Table:
         node, size, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "_block"))
         lists = lambda c: [x.values.to_numpy() for x in table.column(c)]
-        words, sets = np.array(lists("words")).view(_U), lists("set")
+        sets, folds = lists("set"), lists("fold")
+        least = min(map(len, folds))
+        words = np.array([_halved(f.view(_U), least) for f in folds])
         owner: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -375,7 +415,7 @@ def _compared(percent: int):
         for k, i in enumerate(left):
             others = right[k + 1 :] if left[0] == right[0] else right
             apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
-            for j in others[(apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (label[others] != label[i])]:
+            for j in others[(apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]:
                 a, b = find(int(label[i])), find(int(label[j]))
                 if a != b:
                     shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -387,28 +427,24 @@ def _compared(percent: int):
     return task
 
 
-def _unsettled(docs: DataFrame, pairs: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that keys of several nodes still hold (``pairs``: such a key's first node and another); None if no key holds two.
+def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components that keys of several nodes (``crowd``: key, node) still hold; None if no key holds two.
 
-    Groups are what such keys connect. Of a group of k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
+    Keys with the same nodes count once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
     """
-    n = pairs.count()
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-    told = pairs.join(label("b"), "b", "left").join(label("a"), "a", "left")
-    open_ = kept(told.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a").distinct(), n)
-    if open_.isEmpty():
+    told = kept(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mark = F.xxhash64("node")
+    held = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_k"), F.bit_xor(mark).alias("_one"), F.bit_xor(F.xxhash64(mark)).alias("_two"))
+    open_ = kept(held.where("_x < _y").groupBy("_k", "_one", "_two").agg(F.min("key").alias("key")).select("key", "_k"))
+    n = open_.count()
+    if not n:
         return None
-    held = kept(pairs.join(bounded(open_), "a", "left_semi").select("a", "b"), n)
-    groups = components(held).select("node", F.col("label").alias("group"))
-    members = kept(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), 2 * n)
-    values = kept(_sketches(docs, kept(members.select("node"), 2 * n), words, percent, sets=True))
-    here, after = values.select("node", "n", "band", F.col("here").alias("words"), "set"), values.select("node", "n", (F.col("band") + 1).alias("band"), F.col("next").alias("words"), "set")
-    placed = here.unionByName(after.where("words IS NOT NULL")).join(members, "node")
-    size = values.select("node", "n", F.explode(F.when(F.col("next").isNull(), F.array("band")).otherwise(F.array(F.col("band"), F.col("band") + 1))).alias("band")).join(members, "node").groupBy("group", "band").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_s"))
-    blocks = kept(size.where("_k > 1").select("group", "band", F.ceil(F.greatest(F.col("_k") / BLOCK, F.col("_s") * 8 / BLOCK_BYTES)).alias("_blocks")), 2 * n)
-    sent = placed.join(bounded(blocks), ["group", "band"]).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
-    return kept(pair.groupBy("group", "band", "_low", "_high").applyInArrow(_compared(percent), "a long, b long"))
+    members = kept(told.join(bounded(open_), "key"))
+    values = kept(_folds(docs, kept(members.select("node").distinct()), words, sets=True))
+    placed = members.join(values, "node").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK)).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
+    sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks", "_k")
+    return kept(pair.groupBy("key", "_low", "_high").applyInArrow(_compared(percent), "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -424,12 +460,14 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("_n")), every)
     x = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
     nodes = kept(classes.where("node IS NOT NULL").select("node").distinct(), x["n"])
-    pairs = candidates(docs, nodes, words, percent, x["total"])
-    links = _linked(docs, pairs.select("a", "b"), words, percent)
-    labels = components(links)
-    more = _unsettled(docs, pairs.where("many").select("a", "b"), labels, words, percent)
+    keyed = shared_keys(docs, nodes, words, percent, x["total"])
+    m = keyed.count()
+    met = kept(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), m)
+    pairs = kept(keyed.join(met, "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), m)
+    labels = components(_linked(docs, pairs, words, percent))
+    more = _unsettled(docs, keyed.join(met.where("_n > 2").select("key"), "key"), labels, words, percent)
     if more is not None and not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     ranked = classes.join(labels, "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))
     whole = rows.select("doc_id", "n_shingles", "_one", "_two").join(kept(ranked, x["n"]), ["_one", "_two"], "left")
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

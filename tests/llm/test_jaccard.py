@@ -103,11 +103,25 @@ def test_lists_survive_packing():
     rng = np.random.default_rng(1)
     for n in (1, 2, 9, 1000):
         keys = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
-        nodes, lone = rng.integers(-(2**62), 2**62, n) if n > 2 else rng.integers(5, 9, n), rng.integers(0, 2, n).astype(bool)
+        nodes, lone = rng.integers(-(2**62), 2**62, n) if n > 2 else rng.integers(5, 9, n), rng.integers(0, 256, n)
         for got, want in zip(jaccard.unpacked(jaccard.packed(keys, nodes, lone)), (keys, nodes, lone), strict=True):
             assert (got == want).all()
 
 
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 200, 256, 257, 600, 700, 1100, 2500]
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    row, full = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    folds = [np.array(x.as_py(), np.int64).view(np.uint64) for x in jaccard.folded(row, full, np.array([len(x) for x in sets]))]
+    assert [len(f) * 64 for f in folds] == [256, 256, 256, 256, 512, 1024, 1024, 2048, 4096]
+    for f, x in zip(folds, sets, strict=True):
+        for words in (4, len(f)):
+            plain = np.zeros(words * 64, int)
+            np.add.at(plain, (x & np.uint64(words * 64 - 1)).astype(int), 1)
+            assert (np.packbits((plain & 1).astype(np.uint8)).view(np.uint64) == jaccard._halved(f, words)).all()
+
+
 def test_long_texts_and_words_whose_polynomials_agree(spark):
     x = "a"
     for _ in range(10):
