@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recengine.llm.shared import written
+
 CHUNK = 1 << 20
 _U = np.uint64
 
@@ -171,19 +173,20 @@ def counted(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def appended(
-    docs: DataFrame, columns: dict[str, str], work: Callable[[np.ndarray, np.ndarray], dict[str, object]] | None = None, *, text: str = "text", chunk: int = CHUNK, strings: Callable[[], Callable[[list[str]], dict[str, object]]] | None = None, needs: list[str] = [],
+    docs: DataFrame, columns: dict[str, str], work: Callable[[np.ndarray, np.ndarray], dict[str, object]] | None = None, *, text: str = "text", chunk: int = CHUNK, strings: Callable[[], Callable[[list[str]], dict[str, object]]] | None = None, needs: list[str] = [], stored: bool = False,
 ) -> DataFrame:
     """``docs`` with ``columns`` (name: SQL type) computed from its texts, run by run, without a shuffle.
 
     ``work`` gets the bytes and offsets of a run of rows, or ``strings()`` makes a function of the texts as strings;
     both give a column of values by name. A column of ``docs`` with the name of a new one gives way to it.
-    Null and empty texts are both handed over as empty. ``needs`` names further columns that ``work`` gets by name.
+    Null and empty texts are both handed over as empty. ``needs`` names further columns that ``work`` gets by name. ``stored``: the
+    result, without the texts, is written to the shared folder.
     """
     lower = {c.lower() for c in columns}
     keep = [c for c in dict.fromkeys(docs.columns) if c.lower() not in lower]
     named = docs.select(*(docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)), docs[f"`{text}`"].cast("string").alias("_text"), *(docs[f"`{c}`"].alias(f"_need_{c}") for c in needs))
     fields = [T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(keep) if c != text]
-    schema = T.StructType([*fields, T.StructField("_text", T.StringType()), *(T.StructField(f"+{c}", T._parse_datatype_string(t)) for c, t in columns.items())])
+    schema = T.StructType([*fields, *([] if stored else [T.StructField("_text", T.StringType())]), *(T.StructField(f"+{c}", T._parse_datatype_string(t)) for c, t in columns.items())])
     named = named.drop(*(f"_{i}" for i, c in enumerate(keep) if c == text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +206,6 @@ def appended(
                 arrays = [part.column(f.name) if not f.name.startswith("+") else pa.array(new[f.name[1:]], target.field(f.name).type) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target, strict=True)], schema=target)
 
-    out = named.mapInArrow(trimmed(run), schema)
-    back = {c: F.col("_text" if c == text else f"_{i}") for i, c in enumerate(keep)}
+    out = written(named, trimmed(run), schema) if stored else named.mapInArrow(trimmed(run), schema)
+    back = {c: F.col("_text" if c == text else f"_{i}") for i, c in enumerate(keep) if not (stored and c == text)}
     return out.select(*(x.alias(c) for c, x in back.items()), *(F.col(f"`+{c}`").alias(c) for c in columns))

@@ -15,9 +15,10 @@ Equal sets are one node, joined no further. A map task lists its nodes' keys sor
 lists of a range meet in one task, which tells how many nodes a key has; of nodes of one map task with the same key only the first is
 listed, and the others follow the key by a join that Spark can split. Keys that two nodes share give that pair. A key with more
 nodes ties them to its first one. Nodes that verified links have put into one component are settled. What a key still holds of different
-components is compared in blocks: a task gets two blocks of a key's nodes, holds their folded sketches against each other bit-parallel,
-verifies what passes, and gives no more than the links that join components. So no link between components is missed, and pairs
-become rows only where they are links.
+components is compared in blocks: a task gets two blocks of a key's nodes, holds their folded sketches against each other bit-parallel, and gives
+for each node the first few partners of other components that pass. They are verified on the sets; if there were more, what the new links
+have not joined is looked at again with more partners. So no link between components is missed, and a group of copies never
+becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recengine.llm import _text
-from recengine.llm.shared import bounded, kept
+from recengine.llm.shared import bounded, kept, written
 
 WORDS, PERCENT = 3, 90
 #: The least ratio of one band's sizes to those of the band before; 100 / percent if that is more, so that linked sets are in one band or two neighbouring ones.
 RATIO = 1.3
-#: Keys that a map task holds before it lists them, and shingles whose keys are one range of keys.
-LISTED, RANGE = 1 << 19, 1 << 20
+#: Keys that a map task holds before it lists them; shingles whose keys are one range of keys, at least (more with the square root
+#: of all shingles, so that lists stay long) and at most.
+LISTED, RANGE, WIDEST = 1 << 18, 1 << 18, 1 << 23
 #: One word of a sketch is spare for so many that are needed.
 SPARE = 4
 #: The fewest bits of a folded sketch, and texts for which bits are counted at once.
@@ -46,6 +49,8 @@ FOLD, ROWS_AT_ONCE = 256, 4000
 PER = 64
 #: A block of a key's nodes that is compared: about so many.
 BLOCK = 512
+#: Partners of a node in another block that are verified in a first round.
+MOST = 64
 _K = _text.mixed(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
 
@@ -77,6 +82,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return row[new], full[new]
 
 
+def _schema(columns: str) -> T.StructType:
+    return T._parse_datatype_string(columns)
+
+
 class Bands:
     """Sizes in bands; a band's number of sketch words, one more than the differences of a linked pair in it."""
 
@@ -154,7 +163,7 @@ def _digested(docs: DataFrame, words: int) -> DataFrame:
         return {"n_shingles": size, "_one": one.view(np.int64), "_two": two.view(np.int64)}
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return _text.appended(slim, {"n_shingles": "long", "_one": "long", "_two": "long"}, work).drop("text")
+    return _text.appended(slim, {"n_shingles": "long", "_one": "long", "_two": "long"}, work, stored=True)
 
 
 def _narrow(x: np.ndarray, width: int) -> bytes:
@@ -234,12 +243,26 @@ def _lists(docs: DataFrame, nodes: DataFrame, words: int, percent: int, number:
             yield listed(keys, owners, allowed)
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), "node")
-    return kept(some.mapInArrow(_text.trimmed(task), "range int, list binary"))
-
-
-def _met(table: pa.Table) -> pa.Table:
-    """A range's lists: for each key of several nodes the runs' first nodes and how many nodes have it, and a row without node if a run has further ones."""
-    keys, nodes, counts = (np.concatenate(x) for x in zip(*(unpacked(x) for x in table.column("list").to_pylist()), strict=True))
+    return written(some, _text.trimmed(task), _schema("range int, list binary"))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists in order of their ranges: for each key of several nodes the runs' first nodes and how many nodes have it, and a row without node
+    if a run has further ones. One range is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for at, raw in zip(batch.column("range").to_pylist(), batch.column("list"), strict=True):
+            if at != now and held:
+                yield from _counted(held)
+                held = []
+            now = at
+            held.append(unpacked(raw.as_py()))
+    if held:
+        yield from _counted(held)
+
+
+def _counted(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    keys, nodes, counts = (np.concatenate(x) for x in zip(*lists, strict=True))
     order = np.argsort(keys)
     keys, nodes, counts = keys[order], nodes[order], counts[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -247,8 +270,11 @@ def _met(table: pa.Table) -> pa.Table:
     total = np.add.reduceat(counts, begin)
     some = np.repeat(total > 1, size)
     more = np.flatnonzero(total > size)
+    key = np.concatenate([keys[some], keys[begin[more]]]).view(np.int64)
     node = pa.array(np.concatenate([nodes[some], np.zeros(len(more), np.int64)]), pa.int64(), mask=np.r_[np.zeros(int(some.sum()), bool), np.ones(len(more), bool)])
-    return pa.table({"key": pa.array(np.concatenate([keys[some], keys[begin[more]]]).view(np.int64)), "node": node, "freq": pa.array(np.concatenate([np.repeat(total, size)[some], total[more]]))})
+    freq = np.concatenate([np.repeat(total, size)[some], total[more]])
+    for k in range(0, len(key), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 10_000]), node.slice(k, 10_000), pa.array(freq[k : k + 10_000])], names=["key", "node", "freq"])
 
 
 def _rows(lists: DataFrame, kind: int, columns: str) -> DataFrame:
@@ -262,17 +288,18 @@ def _rows(lists: DataFrame, kind: int, columns: str) -> DataFrame:
                 for k in range(0, len(key), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 10_000].view(np.int64)), pa.array(node[k : k + 10_000])], names=names)
 
-    return kept(lists.where(F.col("range") == kind).select("list").mapInArrow(_text.trimmed(task), columns))
+    return written(lists.where(F.col("range") == kind).select("list"), _text.trimmed(task), _schema(columns))
 
 
 def shared_keys(docs: DataFrame, nodes: DataFrame, words: int, percent: int, total: int) -> DataFrame:
     """(key, node): for each node its keys that others have too, less those that it may leave out, the most frequent ones."""
-    lists = _lists(docs, nodes, words, percent, max(1, total // RANGE))
-    met = kept(lists.where("range >= 0").groupBy("range").applyInArrow(_met, "key long, node long, freq long"))
+    lists = _lists(docs, nodes, words, percent, max(1, total // min(WIDEST, max(RANGE, 16 * math.isqrt(total)))))
+    dealt = lists.where("range >= 0").repartition("range").sortWithinPartitions("range")
+    met = written(dealt, _text.trimmed(_met), _schema("key long, node long, freq long"))
     # the other nodes of a run: plain scans of two written tables, so that Spark can split a hot key
     follow = _rows(lists, -1, "key long, node long").join(met.where("node IS NULL").select("key", "freq"), "key")
     may = _rows(lists, -2, "node long, may long")
-    members = met.where("node IS NOT NULL").unionByName(follow.select("key", "node", "freq")).join(may, "node")
+    members = met.where("node IS NOT NULL").unionByName(follow.select("key", "node", "freq")).join(bounded(may), "node")
     odd = F.col("key").bitwiseAND(1)
     left = F.when(odd == 0, F.shiftright("may", 32)).otherwise(F.col("may").bitwiseAND((1 << 32) - 1))
     place = F.row_number().over(Window.partitionBy("node", odd).orderBy(F.col("key").bitwiseAND(2).desc(), F.col("freq").desc(), "key"))
@@ -300,20 +327,17 @@ def folded(row: np.ndarray, full: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(out))
 
 
-def _folds(docs: DataFrame, nodes: DataFrame, words: int, sets: bool = False) -> DataFrame:
-    """node, n, fold (and set): the candidates' sizes and folded sketches."""
+def _folds(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, n, fold: the candidates' sizes and folded sketches."""
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         n = len(offsets) - 1
         row, full = shingles(data, offsets, words)
         size = _text.counted(row, n)
-        out = {"n": size.astype(np.int32), "fold": folded(row, full, size)}
-        if sets:
-            out["set"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(full.view(np.int64)))
-        return out
+        return {"n": size.astype(np.int32), "fold": folded(row, full, size)}
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
-    return _text.appended(some, {"n": "int", "fold": "array<bigint>"} | ({"set": "array<bigint>"} if sets else {}), work).drop("text")
+    return _text.appended(some, {"n": "int", "fold": "array<bigint>"}, work, stored=True)
 
 
 def _alike(a_n: Column, b_n: Column, a_fold: Column, b_fold: Column, percent: int) -> Column:
@@ -340,7 +364,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         return {"set": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(full.view(np.int64)))}
 
     some = _of(nodes, docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text")), "node")
-    return _text.appended(some, {"set": "array<bigint>"}, work).drop("text")
+    return _text.appended(some, {"set": "array<bigint>"}, work, stored=True)
 
 
 def _nodes(pairs: DataFrame, rows: int) -> DataFrame:
@@ -357,10 +381,15 @@ def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are similar: first by sizes and folded sketches, which are all that travels with a pair; what passes by its sets."""
     n = pairs.count()
-    near = _joined(pairs, kept(_folds(docs, _nodes(pairs, n), words)))
+    near = _joined(pairs, _folds(docs, _nodes(pairs, n), words))
     close = kept(near.where(_alike(*map(F.col, ("_an", "_bn", "_afold", "_bfold")), percent)).select("a", "b"), PER * n)
+    return _verified(docs, close, words, percent)
+
+
+def _verified(docs: DataFrame, close: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of ``close`` whose sets are similar."""
     m = close.count()
-    both = _joined(close, kept(_sets(docs, _nodes(close, m), words)))
+    both = _joined(close, _sets(docs, _nodes(close, m), words))
     shared = F.size(F.array_intersect("_aset", "_bset"))
     return kept(both.where(100 * shared >= percent * (F.size("_aset") + F.size("_bset") - shared)).select("a", "b"), PER * m)
 
@@ -377,12 +406,13 @@ def components(links: DataFrame) -> DataFrame:
     while labels is None or (n := edges.count()):
         both = edges.union(edges.select("b", "a"))
         near = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")), 2 * n)
-        step = kept(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("_on")), "to").select("node", F.col("_on").alias("to")), 2 * n)
+        step = kept(near.join(bounded(near.select(F.col("node").alias("to"), F.col("to").alias("_on")), 2 * n), "to").select("node", F.col("_on").alias("to")), 2 * n)
         if labels is None:
             labels, reached = step.select("node", F.col("to").alias("label")), 2 * n
         else:
-            labels = kept(labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), reached)
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
+            labels = kept(labels.join(bounded(step.select(F.col("node").alias("label"), "to"), 2 * n), "label", "left").select("node", F.coalesce("to", "label").alias("label")), reached)
+        at = lambda c: bounded(step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")), 2 * n)  # noqa: B023, E731
+        ends = edges.join(at("a"), "a").join(at("b"), "b")
         edges = kept(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct(), n)
     return labels
 
@@ -393,58 +423,48 @@ def _halved(fold: np.ndarray, words: int) -> np.ndarray:
     return fold
 
 
-def _compared(percent: int):
-    """Two blocks of a group, or one with itself: the links that join components, as few as join them."""
+def _compared(percent: int, most: int):
+    """Two blocks of a key's nodes, or one with itself: pairs of different components whose folded sketches allow the similarity. Of a
+    node's partners the first ``most`` are given, and ``cut`` tells if there are more."""
 
     def task(table: pa.Table) -> pa.Table:
         node, size, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "_block"))
-        lists = lambda c: [x.values.to_numpy() for x in table.column(c)]
-        sets, folds = lists("set"), lists("fold")
+        folds = [x.values.to_numpy() for x in table.column("fold")]
         least = min(map(len, folds))
         words = np.array([_halved(f.view(_U), least) for f in folds])
-        owner: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := owner.get(x, x)) != x:
-                owner[x] = owner.get(up, up)
-                x = up
-            return x
-
-        out = []
+        out: list[tuple[int, int]] = []
+        cut = False
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         for k, i in enumerate(left):
             others = right[k + 1 :] if left[0] == right[0] else right
+            others = others[(label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
             apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
-            for j in others[(apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]:
-                a, b = find(int(label[i])), find(int(label[j]))
-                if a != b:
-                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                        owner[max(a, b)] = min(a, b)
-                        out.append((int(node[i]), int(node[j])))
-        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+            near = others[apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)]
+            cut |= len(near) > most
+            out += [(int(node[i]), int(node[j])) for j in near[:most]]
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64()), "cut": pa.array([cut] * len(out), pa.bool_())})
 
     return task
 
 
-def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that keys of several nodes (``crowd``: key, node) still hold; None if no key holds two.
+def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int, most: int) -> DataFrame | None:
+    """Pairs (a, b, cut) of different components that keys of several nodes (``crowd``: key, node) still hold and sketches allow; None if no key holds two.
 
     Keys with the same nodes count once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
     """
-    told = kept(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    told = kept(crowd.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")))
     mark = F.xxhash64("node")
     held = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_k"), F.bit_xor(mark).alias("_one"), F.bit_xor(F.xxhash64(mark)).alias("_two"))
     open_ = kept(held.where("_x < _y").groupBy("_k", "_one", "_two").agg(F.min("key").alias("key")).select("key", "_k"))
-    n = open_.count()
-    if not n:
+    if open_.isEmpty():
         return None
     members = kept(told.join(bounded(open_), "key"))
-    values = kept(_folds(docs, kept(members.select("node").distinct()), words, sets=True))
+    values = _folds(docs, kept(members.select("node").distinct()), words)
     placed = members.join(values, "node").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK)).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
     sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks", "_k")
-    return kept(pair.groupBy("key", "_low", "_high").applyInArrow(_compared(percent), "a long, b long"))
+    found = kept(pair.groupBy("key", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
+    return kept(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), found.count())
 
 
 def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -454,7 +474,7 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     share an id are judged each by its text; sets with the same smallest id are one node. Rows without id join the group of
     an equal set that has one, else component_id is null. An empty table stays empty; other columns are not looked at.
     """
-    rows = kept(_digested(docs, words))
+    rows = _digested(docs, words)
     full = rows.where("n_shingles > 0")
     every = rows.count()
     classes = kept(full.groupBy("_one", "_two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("_n")), every)
@@ -463,11 +483,16 @@ def similar_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     keyed = shared_keys(docs, nodes, words, percent, x["total"])
     m = keyed.count()
     met = kept(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), m)
-    pairs = kept(keyed.join(met, "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), m)
+    pairs = kept(keyed.join(bounded(met), "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), m)
     labels = components(_linked(docs, pairs, words, percent))
-    more = _unsettled(docs, keyed.join(met.where("_n > 2").select("key"), "key"), labels, words, percent)
-    if more is not None and not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    ranked = classes.join(labels, "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))
+    crowd, most = kept(keyed.join(bounded(met.where("_n > 2").select("key")), "key"), m), MOST
+    while (near := _unsettled(docs, crowd, labels, words, percent, most)) is not None:
+        links = _verified(docs, near.select("a", "b"), words, percent)
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+        if near.where("cut").isEmpty():
+            break
+        most *= 8  # what was cut is looked at again, without the components that these links have joined
+    ranked = classes.join(bounded(labels), "node", "left").select("_one", "_two", F.coalesce("label", "node").alias("component_id"))
     whole = rows.select("doc_id", "n_shingles", "_one", "_two").join(kept(ranked, x["n"]), ["_one", "_two"], "left")
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

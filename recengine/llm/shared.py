@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,6 +38,51 @@ def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(source: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``source.mapInArrow(task, schema)``, kept: the Python workers write the Parquet files themselves, so rows do not go back through the
+    executor. A task that runs again writes the same file under the same name, which it has only when it is whole."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = source.sparkSession
+    where, target = f"{folder(spark)}/recengine/{uuid.uuid4().hex}", to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+        from pyspark import TaskContext
+
+        fs, base = store(where)
+        writer, opened, held, size = None, f"{base}/_{uuid.uuid4().hex}", [], 0
+
+        def flush() -> None:
+            nonlocal writer, held, size
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                writer = parquet.ParquetWriter(fs.open_output_stream(opened), target, compression="zstd", use_dictionary=False)
+            writer.write_table(pa.Table.from_batches(held, target))
+            held, size = [], 0
+
+        for batch in task(batches):
+            if batch.num_rows:
+                arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(batch.columns, target, strict=True)]
+                held.append(pa.RecordBatch.from_arrays(arrays, schema=target))
+                size += batch.nbytes
+                if size > 8 << 20:
+                    flush()
+        if held:
+            flush()
+        if writer is not None:
+            sink = writer.file_handle
+            writer.close()
+            if sink is not None:
+                sink.close()
+            fs.move(opened, f"{base}/part-{TaskContext.get().partitionId():07d}.parquet")
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["files"])
+
+    if not source.mapInArrow(run, "files long").count():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(where)
+
+
 def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and path of a URI, for files that workers read and write themselves."""
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -60,9 +107,9 @@ def get(where: str) -> bytes:
 FEW = 1_000_000
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """A kept table of a few numbers a row: marked for broadcast if it has at most FEW rows."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def bounded(ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """A kept table of a few numbers a row: marked for broadcast if it has at most FEW rows. ``rows``: a bound that is known already."""
+    return F.broadcast(ids) if (ids.count() if rows is None else rows) <= FEW else ids
 
 
 _OWN = ""

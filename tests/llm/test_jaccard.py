@@ -60,6 +60,7 @@ def test_same_as_all_pairs(spark, seed, percent, words):
 
 def test_groups_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "MOST", 1)
     rng = random.Random(9)
     hot = [f"w{k}" for k in range(140)]
     rows = [(k, edited(rng, hot, rng.choice([1, 3, 6, 9]))) for k in range(80)]
