@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.llm import _text
-from recengine.llm.shared import kept
 
 ORDERS = (3, 4, 5, 6)
 BITS = 21
 SAMPLE = 1500
+#: Bytes of texts whose n-grams are held at once; a longer text is held alone.
+CHUNK = 1 << 18
 _K = _text.mixed(np.arange(1, 12, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -157,7 +158,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
     order = F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id")
     some = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.max("text").alias("text"))
-    rows = kept(_text.appended(texts, {"_buckets": "binary"}, lambda data, offsets: {"_buckets": present(data, offsets)}).select("doc_id", "_buckets", "_label").repartition(16, "doc_id"))
+    rows = _text.appended(texts.repartition(16, "doc_id"), {"_buckets": "binary"}, lambda data, offsets: {"_buckets": present(data, offsets)}, stored=True, chunk=CHUNK)
     return fit((r["doc_id"], bytes(r["_buckets"]), r["_label"]) for r in rows.toLocalIterator())
 
 
@@ -179,7 +180,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float])
         s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         return {"score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    return _text.appended(docs, {"score": "double", "predicted": "int"}, work)
+    return _text.appended(docs, {"score": "double", "predicted": "int"}, work, chunk=CHUNK)
 
 
 def remainder(doc_id: object, of: int) -> object:
