@@ -13,7 +13,9 @@ from recengine.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, handed to Python workers in Arrow batches of at most 2000 rows and, but for one longer text, about 4 MB."""
+    """A table, read and handed to Python workers in batches that are bounded by bytes as far as Spark has a setting for it: columns of
+    512 rows, Arrow batches of 2000 rows and, but for one longer text, about 4 MB. The settings are the session's and change no result."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
