@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recengine.operators.evaluate import best_first
+from recengine.operators.evaluate import best_first, group_means
 from recengine.operators.features import zscore
 from recengine.operators.prepare import PAIR, gini
+from recengine.operators.tables import placed
 
 NO_GROUP, SMALL = "no group", "small genres"
 
@@ -34,10 +35,10 @@ def popularity_groups(listeners: DataFrame, names: list[str]) -> DataFrame:
 
 def listener_groups(mainstream: DataFrame, names: list[str]) -> DataFrame:
     """user_id, group: equal groups by how mainstream users are, least first (ties by user): place * groups div users."""
-    w = Window.orderBy(F.round("mainstream", 12), "user_id")
+    rounded = mainstream.select("user_id", F.round("mainstream", 12).alias("_m"))
+    ranked = placed(rounded, "_m", "user_id")
     n = mainstream.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = mainstream.select("user_id", (F.row_number().over(w) - 1).alias("_p")).join(F.broadcast(n))
-    return ranked.select("user_id", _named(F.floor(F.col("_p") * len(names) / F.col("_n")), names).alias("group"))
+    return ranked.join(F.broadcast(n)).select("user_id", _named(F.floor((F.col("place") - 1) * len(names) / F.col("_n")), names).alias("group"))
 
 
 def genre_groups(plays: DataFrame, track_genre: DataFrame, least: int) -> DataFrame:
@@ -85,3 +86,23 @@ def chosen_strength(sweep: DataFrame, loss: float) -> DataFrame:
     """Of rows (strength, metric) the largest strength whose metric is at least (1 - loss) times that of strength 0."""
     base = sweep.where("strength = 0").agg(F.max("metric").alias("_base"))
     return sweep.join(F.broadcast(base)).where(F.col("metric") >= F.col("_base") * (1 - loss)).agg(F.max("strength").alias("strength"))
+
+
+def measures(got: dict[str, DataFrame], track_groups: dict[str, DataFrame], pct: DataFrame, user_groups: dict[str, DataFrame], catalog: DataFrame, k: int, resamples: int = 2000) -> DataFrame:
+    """measure, group, value: all that is said of one model, from ``evaluate.breakdown``: its NDCG, how its places are spread over track groups and
+    the catalogue, their mean percentile, what it finds per track group, and its NDCG per user group with an interval."""
+    lists = got["lists"].withColumn("score", -F.col("rank"))
+    row = lambda df, measure, group, value: df.select(F.lit(measure).alias("measure"), group.alias("group"), value.cast("double").alias("value"))
+    spread = concentration(lists, catalog, k)
+    out = [row(got["users"].agg(F.avg(f"ndcg_{k}").alias("x")), "ndcg", F.lit(""), F.col("x")), row(mean_percentile(lists, pct, k), "percentile", F.lit(""), F.col("pct"))]
+    out += [row(spread, c, F.lit(""), F.col(c)) for c in ("coverage", "gini")]
+    for name, g in track_groups.items():
+        out.append(row(exposure(lists, g, k), f"places by {name}", F.col("group"), F.col("share")))
+        out += [row(got[f"found {name}"], f"{c} by {name}", F.col("group"), F.col(c)) for c in ("relevant", "share", "found")]
+    for name, g in user_groups.items():
+        means = group_means(got["users"], g, f"ndcg_{k}", resamples)
+        out += [row(means, f"{c} by {name}", F.col("group"), F.col(c)) for c in ("users", "mean", "low", "high")]
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recengine.operators.prepare import PAIR, pairs
+from recengine.operators.tables import kept
 
 
 def relevant(history: DataFrame, holdout: DataFrame) -> DataFrame:
@@ -30,7 +33,11 @@ def ranked_hits(recs: DataFrame, rel: DataFrame, seen: DataFrame, most: int) ->
 
 def per_user(recs: DataFrame, rel: DataFrame, seen: DataFrame, ks: list[int]) -> DataFrame:
     """user_id, n_rel, recall_k, ndcg_k and n_k for every user with a relevant track; one without a list scores 0."""
-    hits = ranked_hits(recs, rel, seen, max(ks))
+    return scored(ranked_hits(recs, rel, seen, max(ks)), rel, ks)
+
+
+def scored(hits: DataFrame, rel: DataFrame, ks: list[int]) -> DataFrame:
+    """``per_user`` from ranked hits."""
     top = lambda k, x: F.sum(F.when(F.col("rank") <= k, x))
     gain = F.col("hit") / F.log2(F.col("rank") + 1)
     got = hits.groupBy("user_id").agg(*(c for k in ks for c in (top(k, F.col("hit")).alias(f"_h{k}"), top(k, gain).alias(f"_d{k}"), top(k, F.lit(1)).alias(f"_n{k}"))))
@@ -42,8 +49,8 @@ def per_user(recs: DataFrame, rel: DataFrame, seen: DataFrame, ks: list[int]) ->
 
 def metrics(recs: DataFrame, rel: DataFrame, seen: DataFrame, catalog: DataFrame, ks: list[int]) -> DataFrame:
     """A row for each k: means of recall and NDCG, coverage of the catalogue, share of short lists, users."""
-    users = per_user(recs, rel, seen, ks)
-    hits = ranked_hits(recs, rel, seen, max(ks))
+    hits = kept(ranked_hits(recs, rel, seen, max(ks)))  # places times users: written once, read for the users and for the coverage
+    users = scored(hits, rel, ks)
     shown = hits.agg(*(F.countDistinct(F.when(F.col("rank") <= k, F.col("track_id"))).alias(f"_s{k}") for k in ks))
     means = users.agg(F.count(F.lit(1)).alias("_u"), *(c for k in ks for c in (F.avg(f"recall_{k}").alias(f"_r{k}"), F.avg(f"ndcg_{k}").alias(f"_g{k}"), F.avg((F.col(f"n_{k}") < k).cast("double")).alias(f"_x{k}"))))
     size = catalog.select("track_id").distinct().agg(F.count(F.lit(1)).alias("_all"))
@@ -52,10 +59,18 @@ def metrics(recs: DataFrame, rel: DataFrame, seen: DataFrame, catalog: DataFrame
     return one.select(rows.alias("r")).select("r.*")
 
 
-def only_tracks(tracks: DataFrame, recs: DataFrame, rel: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists and relevant pairs with the tracks of a subset alone."""
+def only_tracks(tracks: DataFrame, recs: DataFrame, rel: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lists, relevant pairs and the catalogue as if the tracks of a subset were all there are."""
     t = tracks.select("track_id").distinct()
-    return recs.join(t, "track_id", "left_semi"), rel.join(t, "track_id", "left_semi")
+    return recs.join(t, "track_id", "left_semi"), rel.join(t, "track_id", "left_semi"), t
+
+
+def breakdown(recs: DataFrame, rel: DataFrame, seen: DataFrame, ks: list[int], k: int, groups: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a bias analysis needs and no label: "lists" (each scored user's first k places), "users" (their scores), and for each grouping
+    "found " and its name: what its groups' tracks make up of the relevant pairs and how many of those are found."""
+    hits = kept(ranked_hits(recs, rel, seen, max([*ks, k])))
+    found = {f"found {name}": group_recall(hits, rel, g, k) for name, g in groups.items()}
+    return {"lists": hits.where(F.col("rank") <= k).select(*PAIR, "rank"), "users": scored(hits, rel, ks), **found}
 
 
 def group_recall(hits: DataFrame, rel: DataFrame, groups: DataFrame, k: int) -> DataFrame:
@@ -95,16 +110,39 @@ def paired_bootstrap(difference: np.ndarray, resamples: int = 2000, seed: int =
     return float(difference.mean()), float(low), float(high)
 
 
+#: The chances that a Poisson variable of mean 1 is at most 0, 1, 2, ... 9, in steps of 2^-32.
+_POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(10)]
+
+
+def resampled(users: DataFrame, values: list[str], by: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """by, metric, users, mean, low, high: the means of ``values`` over users, per group of ``by``, with a 95 % bootstrap interval.
+
+    A Poisson bootstrap: a user counts a Poisson(1) number of times in each resample, the same for all values, so that values stay paired.
+    The number comes from 32 bits of md5(seed:user:resample / 4); no user is collected, and sums per resample start in the map tasks.
+    """
+    drawn = users.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4)))).withColumn("_digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"), F.col("_four").cast("string"))))
+    part = drawn.withColumn("_part", F.explode(F.array(*map(F.lit, range(4))))).withColumn("_b", F.col("_four") * 4 + F.col("_part")).where(F.col("_b") < resamples)
+    u = F.conv(F.substring(F.col("_digest"), F.col("_part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    part = part.withColumn("_u", u).withColumn("_w", sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in _POISSON[1:]), F.when(F.col("_u") >= _POISSON[0], 1).otherwise(0)))
+    means = part.groupBy(*by, "_b").agg(*(F.try_divide(F.sum(F.col(v) * F.col("_w")), F.sum("_w")).alias(v) for v in values))
+    long = lambda df, extra, names: df.select(*by, *extra, F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).alias("x")) for v in names))).alias("_m")).select(*by, *extra, "_m.*")
+    interval = long(means, [], values).groupBy(*by, "metric").agg(F.percentile("x", F.lit(0.025)).alias("low"), F.percentile("x", F.lit(0.975)).alias("high"))
+    plain = long(users.groupBy(*by).agg(F.count(F.lit(1)).alias("users"), *(F.avg(v).alias(v) for v in values)), ["users"], values).withColumnRenamed("x", "mean")
+    return plain.join(interval, [*by, "metric"])
+
+
 def poisson_bootstrap(users: DataFrame, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean and interval without collecting users: each counts a Poisson(1) number of times in each resample, by a hash of its id."""
-    r = users.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.xxhash64(F.lit(seed), "user_id", "_b").bitwiseAND((1 << 53) - 1)) / F.lit(float(1 << 53))
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    means = r.withColumn("_w", times).groupBy("_b").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(F.broadcast(users.agg(F.avg(value).alias("mean"))))
-
-
-def group_means(users: DataFrame, groups: DataFrame, value: str) -> DataFrame:
-    """Per user group: users and the mean of ``value``."""
-    return users.join(groups, "user_id").groupBy("group").agg(F.count(F.lit(1)).alias("users"), F.avg(value).alias("mean"))
+    """Mean and interval of one value over all users."""
+    return resampled(users, [value], [], resamples, seed).select("low", "high", "mean")
+
+
+def difference(a: DataFrame, b: DataFrame, metrics: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """metric, users, mean, low, high of a's scores less b's (``per_user`` of either), over the users that both have."""
+    other = b.select("user_id", *(F.col(m).alias(f"_{m}") for m in metrics))
+    gaps = a.join(other, "user_id").select("user_id", *((F.col(m) - F.col(f"_{m}")).alias(m) for m in metrics))
+    return resampled(kept(gaps), metrics, [], resamples, seed)
+
+
+def group_means(users: DataFrame, groups: DataFrame, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Per user group: users, the mean of ``value``, and its interval from resampling the group's users."""
+    return resampled(kept(users.join(groups, "user_id").select("user_id", "group", value)), [value], ["group"], resamples, seed).drop("metric")

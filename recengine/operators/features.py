@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from recengine.functions.vectors import dot, has_direction, unit
 from recengine.operators.prepare import PAIR, pairs
+from recengine.operators.tables import kept
 
+#: The snapshot's columns.
 FEATURES = [
     "tt_rank", "tt_z", "als_rank", "als_z", "track_listeners", "track_listeners_recent", "track_listeners_short", "track_recent_share",
     "track_discovery_rate", "user_tracks", "user_plays_recent", "user_new_share", "user_mainstream", "user_days_since_last", "recent_affinity",
@@ -87,8 +89,9 @@ def snapshot(candidates: DataFrame, history: DataFrame, tracks: DataFrame, vecto
     then a user's rows are what they would be among everyone's. Missing values are null.
     """
     all_ = history if everyone is None else everyone
-    now, p_all = population(all_), first_last(all_)
-    p = p_all if everyone is None else first_last(history)
+    # a row for each pair that was played: written once, read by every statistic
+    now, p_all = population(all_), kept(first_last(all_))
+    p = p_all if everyone is None else kept(first_last(history))
     t = track_stats(p_all, now, recent, short)
     u = user_stats(p, history, now, t, recent)
     own, albums, _ = artist_stats(p, tracks, now)

@@ -103,11 +103,17 @@ def audit_months(listens: DataFrame) -> DataFrame:
 
 
 def audit_top_share(listens: DataFrame, share: float = 0.01, few: int = 5) -> DataFrame:
-    """Share of listens that go to the top ``share`` of tracks (at least one, rounded half to even), and of tracks under ``few`` listens."""
+    """Share of listens that go to the top ``share`` of tracks (at least one, rounded half to even), and of tracks under ``few`` listens.
+
+    Tracks with equally many listens are one row of the ordered pass; of those at the edge as many count as there are places left.
+    """
     t = listens.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    head = t.agg(F.greatest(F.lit(1), F.bround(share * F.count(F.lit(1))).cast("int")).alias("_head"), F.sum("n").alias("_all"), F.avg((F.col("n") < few).cast("double")).alias("under_few"))
-    ranked = t.withColumn("_r", F.row_number().over(Window.orderBy(F.col("n").desc(), "track_id"))).join(F.broadcast(head))
-    return ranked.agg((F.sum(F.when(F.col("_r") <= F.col("_head"), F.col("n"))) / F.max("_all")).alias("top_share"), F.max("under_few").alias("under_few"))
+    per = t.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = per.agg(F.greatest(F.lit(1), F.bround(share * F.sum("m")).cast("int")).alias("_head"))
+    inside = F.greatest(F.lit(0), F.least(F.col("m"), F.col("_head") - F.col("_before")))
+    ranked = per.withColumn("_before", before).join(F.broadcast(head))
+    return ranked.agg((F.sum(inside * F.col("n")) / F.sum(F.col("n") * F.col("m"))).alias("top_share"), (F.sum(F.when(F.col("n") < few, F.col("m")).otherwise(0)) / F.sum("m")).alias("under_few"))
 
 
 def audit_coverage(listens: DataFrame, features: DataFrame) -> DataFrame:
@@ -115,3 +121,29 @@ def audit_coverage(listens: DataFrame, features: DataFrame) -> DataFrame:
     t = listens.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).join(features.select("track_id", F.lit(1).alias("_has")).distinct(), "track_id", "left")
     has = F.coalesce("_has", F.lit(0))
     return t.agg(F.avg(has).alias("tracks"), (F.sum(has * F.col("n")) / F.sum("n")).alias("listens"))
+
+
+def audit_files(listens: DataFrame, files: dict[str, DataFrame | None]) -> DataFrame:
+    """A row for each feature file: name, missing, and the shares it covers; one that is not there (None) has no shares."""
+    out = None
+    for name, features in sorted(files.items()):
+        if features is None:
+            one = listens.sparkSession.range(1).select(F.lit(name).alias("file"), F.lit(True).alias("missing"), F.lit(None).cast("double").alias("tracks"), F.lit(None).cast("double").alias("listens"))
+        else:
+            one = audit_coverage(listens, features).select(F.lit(name).alias("file"), F.lit(False).alias("missing"), "tracks", "listens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def prepared(listens: DataFrame, months: int, least: int, n: int, seed: str) -> tuple[DataFrame, dict]:
+    """A sample of ``n`` users with ``least`` listens or more in the last ``months``, by user and time, and what became of the rest.
+
+    Nobody eligible is an error; fewer than ``n`` are all taken.
+    """
+    eligible = window_users(listens, months, least)
+    sample = sample_users(eligible, n, seed)
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("listens"), F.countDistinct("user_id").alias("users"), F.countDistinct("track_id").alias("tracks")).first().asDict()
+    meta = {"raw": count(listens), "eligible": count(eligible), "sample": count(sample)}
+    if not meta["eligible"]["users"]:
+        raise ValueError(f"no user has {least} listens in the last {months} months")
+    return sample.repartitionByRange("user_id", "timestamp").sortWithinPartitions("user_id", "timestamp"), meta

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from recengine.functions.vectors import array_sum, unit
 from recengine.operators.prepare import PAIR
+from recengine.operators.recommend import top_unseen
 
 
 def name_key(c):
-    """Names are matched without outer white space and in lower case."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    """Names are matched without outer white space and without case; the sharp s is two, as in upper case."""
+    return F.replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit("ß"), F.lit("ss"))
 
 
 def taste(pairs: DataFrame, track_genres: DataFrame, pct: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,18 +59,25 @@ def matched(names: DataFrame, catalog: DataFrame, column: str) -> tuple[DataFram
     return asked.join(known, "_k").select("user_id", "name", "group"), asked.join(known, "_k", "left_anti").select("user_id", "name")
 
 
-def look_alikes(answers: DataFrame, known: DataFrame, dim: int, k: int, *, band: bool = False) -> DataFrame:
-    """user_id and the direction of the mean vector of the k known users with the closest profiles (cosine, ties to the lower id).
+def look_alikes(answers: DataFrame, known: DataFrame, dim: int, k: int, genres: list, *, band: bool = False) -> DataFrame:
+    """user_id and the direction of the mean vector of the k known users with the closest profiles (cosine above 0, ties to the lower id).
 
-    ``answers`` (user_id, genre, weight), ``known`` (other, genre, weight, vec). Only pairs that share a genre have a similarity above 0: profiles
-    are joined on the genre. ``band``: both sides have a band, and only known users of the same one count.
+    ``answers`` (user_id, genre, weight), ``known`` (other, genre, weight, vec). Profiles are vectors over ``genres`` (their list is small), and known
+    users are searched as tracks are, in blocks: no join of users and users. ``band``: both sides have a band, and known users of the
+    same one count.
     """
-    length = lambda df, by: df.groupBy(by).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l"))
-    a = answers.join(length(answers, "user_id"), "user_id").withColumn("_w", F.col("weight") / F.col("_l")).drop("_l", "weight")
-    slim = known.drop("vec")
-    b = slim.join(length(slim, "other"), "other").withColumn("_v", F.col("weight") / F.col("_l")).drop("_l", "weight")
-    sim = a.join(b, ["genre", "band"] if band else ["genre"]).groupBy("user_id", "other").agg(F.sum(F.col("_w") * F.col("_v")).alias("sim"))
-    near = sim.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.round("sim", 9).desc(), "other"))).where(F.col("place") <= k)
+    def profile(df: DataFrame, by: str) -> DataFrame:
+        vec = F.array(*(F.coalesce(F.sum(F.when(F.col("genre") == g, F.col("weight"))), F.lit(0.0)) for g in genres))
+        return df.groupBy(by, *(["band"] if band else [])).agg(vec.alias("vec")).withColumn("vec", unit("vec"))
+
+    a, b = profile(answers, "user_id"), profile(known, "other").withColumnRenamed("other", "track_id")
+    none = a.select("user_id", F.lit(None).cast(dict(b.dtypes)["track_id"]).alias("track_id")).limit(0)
+    if band:
+        parts = [top_unseen(a.where(F.col("band") == x), b.where(F.col("band") == x), none, k) for x in (0, 1, 2)]
+        near = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    else:
+        near = top_unseen(a, b, none, k)
+    near = near.where("score > 0").select("user_id", F.col("track_id").alias("other"))
     vec = known.select("other", "vec").dropDuplicates(["other"])
     return array_sum(near.join(vec, "other"), ["user_id"], "vec", dim).select("user_id", unit("vec").alias("vec"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recengine.functions.vectors import unit
+from recengine.functions.vectors import dot, unit
 from recengine.operators.prepare import PAIR, pairs, plays, with_last
+from recengine.operators.tables import folder, get, kept, put
 
-#: Vectors of one side are broadcast in blocks of at most this many bytes.
+#: Vectors of one side are read in blocks of at most this many bytes.
 BLOCK = 64 << 20
 
 
@@ -27,28 +31,40 @@ def popularity(listens: DataFrame, count: str = "users", window_days: float | No
 def popular_unseen(scores: DataFrame, seen: DataFrame, n: int, users: DataFrame | None = None) -> DataFrame:
     """The ``n`` best tracks that each user has not played.
 
-    Of the ranking's head, as long as ``n`` and the most tracks that a user has played, every user has n unseen ones if there
-    are as many; the head is one array, and a user's unseen places are taken from it without a join of users and tracks.
+    Only the ranking's head counts: as many places as ``n`` and the most tracks that a user has played. Of a user only the places of their
+    tracks in it matter: the n first numbers that are none of them are the places to show, found without a join of users and tracks.
     """
-    history = seen.groupBy("user_id").agg(F.collect_set("track_id").alias("_seen"))
-    if users is not None:
-        history = users.select("user_id").distinct().join(history, "user_id", "left")
-    most = history.agg(F.max(F.size(F.coalesce("_seen", F.array().cast("array<string>"))))).first()[0] or 0
-    head = scores.where("score > 0").orderBy(F.col("score").desc(), "track_id").limit(n + most)
-    one = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "track_id"))).alias("_head"))
-    by = history.join(F.broadcast(one)).withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
-    unseen = F.slice(F.filter("_head", lambda t: ~F.array_contains("_seen", t["track_id"])), 1, n)
-    return by.select("user_id", F.explode(unseen).alias("t")).select("user_id", F.col("t.track_id").alias("track_id"), (-F.col("t.s")).alias("score"))
+    pairs_ = seen.select(*PAIR).distinct()
+    most = pairs_.groupBy("user_id").agg(F.count(F.lit(1)).alias("_h")).agg((F.coalesce(F.max("_h"), F.lit(0)) + n).alias("_most"))
+    per = scores.where("score > 0").groupBy("score").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = per.withColumn("_before", before).join(F.broadcast(most)).where(F.col("_before") < F.col("_most")).drop("_m")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("score").orderBy("track_id"))
+    head = kept(scores.join(level, "score").withColumn("place", place).where(F.col("place") <= F.col("_most")).select("track_id", "score", "place"))
+    mine = pairs_.join(head.select("track_id", "place"), "track_id").groupBy("user_id").agg(F.array_sort(F.collect_list("place")).alias("_s"))
+    everyone = (pairs_ if users is None else users).select("user_id").distinct().join(mine, "user_id", "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<bigint>")))
+    last = F.aggregate("_s", F.lit(n).cast("long"), lambda p, s: F.when(s <= p, p + 1).otherwise(p))
+    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), last), "_s"), 1, n)
+    return everyone.select("user_id", F.explode(free).alias("place")).join(head, "place").select("user_id", "track_id", "score")
+
+
+#: Tracks of a user that are joined with each other in one group of rows; a user with more is several groups.
+CHUNK = 1024
 
 
 def item_neighbours(listens: DataFrame, k: int) -> DataFrame:
     """item, neighbour, similarity: the cosine of their listeners (1 a pair); an item is its own neighbour and takes one of k places.
 
-    Co-occurrence is a self join on the user: as many rows as the sum of squares of users' tracks, which is the matrix product.
+    Co-occurrence is a self join on the user: as many rows as the sum of squares of users' tracks, which is the matrix product. A
+    user's tracks are dealt over chunks, and each pair of chunks is a key of its own, so that no key has more than CHUNK squared pairs.
     """
     p = pairs(listens)
     size = p.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    together = p.withColumnRenamed("track_id", "item").join(p.withColumnRenamed("track_id", "neighbour"), "user_id").groupBy("item", "neighbour").agg(F.count(F.lit(1)).alias("both"))
+    chunks = p.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_c"))
+    dealt = p.join(chunks, "user_id").withColumn("_own", F.pmod(F.xxhash64("track_id"), "_c")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
+    a = dealt.select("user_id", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("track_id").alias("item"))
+    b = dealt.select("user_id", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("track_id").alias("neighbour"))
+    together = a.join(b, ["user_id", "_x", "_y"]).groupBy("item", "neighbour").agg(F.count(F.lit(1)).alias("both"))
     a, b = size.select(F.col("track_id").alias("item"), F.col("n").alias("_a")), size.select(F.col("track_id").alias("neighbour"), F.col("n").alias("_b"))
     sim = together.join(a, "item").join(b, "neighbour").withColumn("similarity", F.col("both") / F.sqrt(F.col("_a") * F.col("_b")))
     order = Window.partitionBy("item").orderBy(F.round("similarity", 9).desc(), "neighbour")
@@ -72,55 +88,118 @@ def first_n(recs: DataFrame, n: int) -> DataFrame:
 def top_unseen(users: DataFrame, tracks: DataFrame, seen: DataFrame, n: int, *, only: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """user_id, track_id, score, rank: the n tracks with the highest dot product that the user has not played.
 
-    ``users`` (user_id, vec), ``tracks`` (track_id, vec). Tracks are broadcast in blocks of at most ``block`` bytes, each scored against all
-    users in Arrow batches, which give their n best; the blocks' lists are merged. Users are never multiplied by tracks as rows.
+    ``users`` (user_id, vec), ``tracks`` (track_id, vec). Tasks write the tracks to the shared folder in blocks of at most ``block`` bytes; one
+    pass over the users holds runs of them against one block after another and carries their n best along, so a task holds a run and
+    a block, however many tracks there are, and users are never multiplied by tracks as rows.
     """
     spark = users.sparkSession
     t = tracks.select("track_id", "vec") if only is None else tracks.select("track_id", "vec").join(only.select("track_id").distinct(), "track_id", "left_semi")
+    paths = _blocks(spark, t, block)
     history = seen.groupBy("user_id").agg(F.collect_set("track_id").alias("_seen"))
     rows = users.select("user_id", "vec").join(history, "user_id", "left")
-    lists: list[DataFrame] = []
-    for ids, vecs in _blocks(t, block):
-        lists.append(_best_of_block(spark, rows, ids, vecs, n))
-    if not lists:
-        return rows.limit(0).select("user_id", F.lit("").alias("track_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    merged = lists[0]
-    for x in lists[1:]:
-        merged = merged.unionByName(x)
-    return first_n(merged, n)
-
-
-def _blocks(tracks: DataFrame, limit: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    ids, vecs, size = [], [], 0
-    for r in tracks.orderBy("track_id").toLocalIterator():
-        ids.append(r["track_id"])
-        vecs.append(r["vec"])
-        size += 8 * len(r["vec"])
-        if size >= limit:
-            yield ids, np.array(vecs, float)
-            ids, vecs, size = [], [], 0
-    if ids:
-        yield ids, np.array(vecs, float)
-
-
-def _best_of_block(spark: SparkSession, rows: DataFrame, ids: list[str], vecs: np.ndarray, n: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast((ids, vecs, {x: k for k, x in enumerate(ids)}))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, place = sent.value
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                users = batch.column("user_id").to_pylist()
-                scores = np.round(np.array(batch.column("vec").to_pylist(), float) @ matrix.T, 12)
-                for k, had in enumerate(batch.column("_seen").to_pylist()):
-                    scores[k, [place[x] for x in had or () if x in place]] = -np.inf
-                near = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :n]
-                best = np.take_along_axis(scores, near, axis=1)
-                some = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(users, object), some.sum(axis=1)).tolist(), batch.schema.field("user_id").type), pa.array([names[j] for j in near[some]]), pa.array(best[some])], names=["user_id", "track_id", "score"])
-
-    return rows.mapInArrow(task, f"user_id {dict(rows.dtypes)['user_id']}, track_id string, score double")
+        for run in _runs(batches, RUN if len(paths) > 1 else 1):
+            who, had = run.column("user_id"), run.column("_seen").to_pylist()
+            wanted = np.array(run.column("vec").to_pylist(), float)
+            best, where = np.full((len(wanted), n), -np.inf), np.full((len(wanted), n), -1)
+            names: list[list] = []
+            first = 0
+            for path in paths:  # in order of track_id, so that of equal scores the earlier place is the smaller id
+                ids, matrix, place = _block(path)
+                names.append(ids)
+                for at in range(0, len(wanted), 256):
+                    part = slice(at, at + 256)
+                    scores = np.round(wanted[part] @ matrix.T, 12)
+                    for k, x in enumerate(had[part]):
+                        scores[k, [place[y] for y in x or () if y in place]] = -np.inf
+                    m = min(n, scores.shape[1])
+                    near = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :m]
+                    both = np.concatenate([best[part], np.take_along_axis(scores, near, axis=1)], axis=1)
+                    from_ = np.concatenate([where[part], near + first], axis=1)
+                    order = np.argsort(-np.round(both, 9), axis=1, kind="stable")[:, :n]
+                    best[part], where[part] = np.take_along_axis(both, order, axis=1), np.take_along_axis(from_, order, axis=1)
+                first += len(ids)
+            some = np.isfinite(best)
+            every = [x for ids in names for x in ids]
+            rank = np.broadcast_to(np.arange(1, n + 1, dtype=np.int32), best.shape)
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(np.repeat(np.arange(len(wanted)), some.sum(axis=1)))), pa.array([every[j] for j in where[some]], kind), pa.array(best[some]), pa.array(rank[some])], names=["user_id", "track_id", "score", "rank"])
+
+    kinds = dict(rows.dtypes)
+    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(t.dtypes)["track_id"], pa.string())
+    return rows.mapInArrow(task, f"user_id {kinds['user_id']}, track_id {dict(t.dtypes)['track_id']}, score double, rank int")
+
+
+#: Users that are held against all blocks together, if there are several.
+RUN = 4096
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for b in batches:
+        if len(b):
+            held.append(b)
+            size += len(b)
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _blocks(spark: SparkSession, tracks: DataFrame, limit: int) -> list[str]:
+    """Files of (ids, matrix) in order of track_id, each of at most about ``limit`` bytes with its ids. The driver gets their names."""
+    where = f"{folder(spark)}/vectors-{uuid.uuid4().hex}"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, ids, vecs, size = TaskContext.get().partitionId(), [], [], 0
+
+        def done() -> pa.RecordBatch:
+            put(path := f"{where}/{part}-{size}-{ids[0]}-{len(ids)}", pickle.dumps((ids, np.array(vecs, float)), protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([number], pa.int32())], names=["path", "part", "number"])
+
+        number = 0
+        for batch in batches:
+            for i, v in zip(batch.column("track_id").to_pylist(), batch.column("vec").to_pylist(), strict=True):
+                ids.append(i)
+                vecs.append(v)
+                size += 8 * len(v) + 128
+                if size >= limit:
+                    yield done()
+                    ids, vecs, size, number = [], [], 0, number + 1
+        if ids:
+            yield done()
+
+    dealt = tracks.repartitionByRange("track_id").sortWithinPartitions("track_id")
+    found = dealt.mapInArrow(task, "path string, part int, number int").collect()
+    return [r["path"] for r in sorted(found, key=lambda r: (r["part"], r["number"]))]
+
+
+def _block(path: str) -> tuple[list, np.ndarray, dict]:
+    """A block's ids, vectors and places by id; a worker keeps the one it used last."""
+    if not _LAST or _LAST[0] != path:
+        ids, matrix = pickle.loads(get(path))
+        _LAST[:] = path, (ids, matrix, {x: k for k, x in enumerate(ids)})
+    return _LAST[1]
+
+
+_LAST: list = []
+
+
+def agreement(lists: DataFrame, users: DataFrame, tracks: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """One row: the share of ``lists`` (user_id, track_id, rank) that are those of plain sorting, for the ``users`` (user_id, vec) of a small check."""
+    every = users.join(F.broadcast(tracks.select("track_id", F.col("vec").alias("_v")))).join(seen, PAIR, "left_anti").select(*PAIR, F.round(dot("vec", "_v"), 12).alias("score"))
+    both = first_n(every, n).select(*PAIR, F.col("rank").alias("_r")).join(lists.select(*PAIR, "rank"), PAIR, "left")
+    return both.agg(F.avg(F.coalesce((F.col("rank") == F.col("_r")).cast("double"), F.lit(0.0))).alias("agreement"))
+
+
+def random_vectors(ids: DataFrame, column: str, dim: int, seed: str) -> DataFrame:
+    """column, vec: normal numbers that depend on id and seed alone (Box-Muller on 32 bits of md5): scores with no information at all."""
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(column).cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+    normal = lambda k: F.sqrt(-2 * F.log(u(2 * k))) * F.cos(2 * math.pi * u(2 * k + 1))
+    return ids.select(column).distinct().select(column, F.array(*(normal(k) for k in range(dim))).alias("vec"))
 
 
 def similar_tracks(tracks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -137,8 +216,6 @@ def als(listens: DataFrame, factors: int, regularisation: float, alpha: float, r
     Each half step solves every row's normal equations in the executors from the other side's Gram matrix (factors x factors,
     summed in the map tasks) and the vectors of the row's own cells, which a join brings: neither side is ever broadcast.
     """
-    from recengine.operators.tables import kept
-
     cells = kept(plays(listens).select(*PAIR, (F.lit(alpha) * F.col("log_plays")).alias("c")))
     tracks = kept(cells.select("track_id").distinct().withColumn("vec", F.array(*(F.lit(0.1) * ((F.xxhash64(F.lit(seed + k), "track_id").bitwiseAND((1 << 32) - 1)) / F.lit(float(1 << 31)) - 1) for k in range(factors)))))
     users = tracks

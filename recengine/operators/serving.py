@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recengine.functions.vectors import mean_direction
 from recengine.operators.prepare import PAIR, pairs
 from recengine.operators.recommend import similar_tracks, top_unseen
+from recengine.operators.tables import placed
 
 MAX_K = 100
 
@@ -108,6 +109,25 @@ def genre_group(genres: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.lit("other") if out is None else out.otherwise("other")
 
 
+def replaced(column: Column, names: dict[str, str], default: str) -> Column:
+    """The name that ``names`` has for a value; ``default`` for all others and for null."""
+    pairs_ = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.create_map(*pairs_)[column], F.lit(default)) if pairs_ else F.lit(default)
+
+
+def coded(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a code, from 0 in order of the distinct values of ``column``; null has none."""
+    values = placed(rows.where(F.col(column).isNotNull()).select(column).distinct(), column).select(column, (F.col("place") - 1).alias("code"))
+    return rows.join(values, column, "left")
+
+
+def utc(text: Column) -> Column:
+    """A time as text, with an offset, with Z, or without (then it is UTC already), as a timestamp without zone in UTC."""
+    zoned = text.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    local = F.try_to_timestamp(F.when(zoned, text)).cast("timestamp_ntz")  # in the session's zone
+    return F.coalesce(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local), F.when(~zoned, text).try_cast("timestamp_ntz"))
+
+
 def _counted(value: Column, noun: str) -> Column:
     n = F.round(F.expm1(value)).cast("long")
     return _plural(n, noun)

@@ -1,23 +1,58 @@
-"""Tables that an iteration writes and reads again, in the folder that all executors share."""
+"""Tables and files that a plan writes and reads again, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below spark.checkpoint.dir (where it is unset, below a folder of this machine): its plan ends there."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset, as in tests on one machine, a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="recengine-"))
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/recengine/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/recengine"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its plan ends there, and Spark knows its size."""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(where: str, raw: bytes) -> None:
+    """Writes a file of the shared folder from a task; it has its name only when it is whole."""
+    fs, path = pa.fs.FileSystem.from_uri(where)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(opened := f"{path}.{uuid.uuid4().hex}") as f:
+        f.write(raw)
+    fs.move(opened, path)
+
+
+def get(where: str) -> bytes:
+    fs, path = pa.fs.FileSystem.from_uri(where)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def placed(df: DataFrame, *order, name: str = "place") -> DataFrame:
+    """``df`` with the number (from 1) of each row in a total order, and no task that sees all rows.
+
+    Rows are dealt to tasks by ranges of the order and written; a task's rows are numbered among themselves and begin where the
+    counts of the tasks before end: the only pass over everything is over a row for each task.
+    """
+    dealt = kept(df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()))
+    size = dealt.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_task").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + own).drop("_task", "_before")

@@ -8,7 +8,8 @@ the number of rows. Missing values have a bin of their own and go to the side wi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,9 +60,9 @@ def cuts(rows: DataFrame, names: list[str], bins: int) -> list[list[float]]:
     return [sorted(set(map(float, found[f"c{k}"] or []))) for k in range(len(names))]
 
 
-def gradients(rows: DataFrame, objective: str, score: str = "_score") -> DataFrame:
+def gradients(rows: DataFrame, objective: str, score: str = "_score", *, mean: bool = False) -> DataFrame:
     """``rows`` with gradient _g and hessian _h. "logistic": of the log loss. "ndcg": LambdaRank, each pair of a user's rows with
-    different labels weighted by what swapping them changes of the user's NDCG.
+    different labels weighted by what swapping them changes of the user's NDCG; ``mean``: over the number of the user's pairs.
 
     A user's rows are a bounded candidate list; pairs of one list are expanded inside the list, never across users.
     """
@@ -81,11 +82,13 @@ def gradients(rows: DataFrame, objective: str, score: str = "_score") -> DataFra
     total = lambda f: F.aggregate(F.transform(other, f), F.lit(0.0), lambda s, x: s + x)
     g = F.when(F.col("_i") > 0, -sign * total(lambda x: weight(x) * wrong(x))).otherwise(0.0)
     h = F.when(F.col("_i") > 0, total(lambda x: weight(x) * wrong(x) * (1 - wrong(x)))).otherwise(0.0)
-    return ranked.withColumn("_g", g).withColumn("_h", h).drop("_d", "_o", "_i", "_all")
+    positives = F.size(F.filter("_all", lambda x: x["y"] == 1))
+    each = F.greatest(F.lit(1), positives * (F.size("_all") - positives)) if mean else F.lit(1)
+    return ranked.withColumn("_g", g / each).withColumn("_h", h / each).drop("_d", "_o", "_i", "_all")
 
 
-def grow(rows: DataFrame, names: list[str], edges: list[list[float]], depth: int, eta: float, ridge: float, least: float) -> Tree:
-    """One tree, level by level; ``rows`` has _g, _h and the features' bins as _b0, _b1, ... (null is -1)."""
+def grow(rows: DataFrame, names: list[str], edges: list[list[float]], depth: int, eta: float, ridge: float, least: float, used: list[int] | None = None) -> Tree:
+    """One tree, level by level; ``rows`` has _g, _h and the features' bins as _b0, _b1, ... (null is -1). ``used``: the features it may split on."""
     tree = Tree()
     total = rows.agg(F.sum("_g"), F.sum("_h")).first()
     tree.add(-eta * (total[0] or 0.0) / ((total[1] or 0.0) + ridge), total[1] or 0.0)
@@ -93,7 +96,7 @@ def grow(rows: DataFrame, names: list[str], edges: list[list[float]], depth: int
     binned = [f"_b{k}" for k in range(len(names))]
     for _ in range(depth):
         leaf = _binned_leaf(tree, binned, edges)
-        stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(b).alias("b")) for k, b in enumerate(binned)))).alias("x")
+        stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(b).alias("b")) for k, b in enumerate(binned) if used is None or k in used))).alias("x")
         sums = rows.select(leaf.alias("leaf"), "_g", "_h", stacked).where(F.col("leaf").isin(list(open_))).groupBy("leaf", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         by: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
         for r in sums:
@@ -134,16 +137,23 @@ def _binned_leaf(tree: Tree, binned: list[str], edges: list[list[float]], node:
     return F.when(goes, _binned_leaf(tree, binned, edges, tree.left[node])).otherwise(_binned_leaf(tree, binned, edges, tree.right[node]))
 
 
-def fit(rows: DataFrame, names: list[str], *, objective: str = "ndcg", trees: int = 10, depth: int = 3, eta: float = 0.1, ridge: float = 1.0, least: float = 1.0, bins: int = 32) -> list[Tree]:
-    """Boosted trees on rows (user_id, tt_rank, label, features). A user's rows stay where they are; each tree adds one table of scores."""
+def fit(rows: DataFrame, names: list[str], *, objective: str = "ndcg", trees: int = 10, depth: int = 3, eta: float = 0.1, ridge: float = 1.0, least: float = 1.0, bins: int = 32, subsample: float = 1.0, colsample: float = 1.0, mean: bool = False, seed: int = 0) -> list[Tree]:
+    """Boosted trees on rows (user_id, tt_rank, label, features). A user's rows stay where they are; each tree adds one table of scores.
+
+    Each tree is grown on the share ``subsample`` of the rows, by a hash of row and tree, and on the share ``colsample`` of the features (one at least).
+    """
+    rng = random.Random(seed)
     edges = cuts(rows, names, bins)
     bin_of = lambda f, e: F.when(F.col(f).isNull(), -1).otherwise(F.aggregate(F.array(*map(F.lit, e)) if e else F.array().cast("array<double>"), F.lit(0), lambda s, x: s + F.when(F.col(f) > x, 1).otherwise(0)))
-    base = kept(rows.select("user_id", "track_id", "tt_rank", "label", *(F.col(f).cast("double").alias(f) for f in names), *(bin_of(f, e).alias(f"_b{k}") for k, (f, e) in enumerate(zip(names, edges, strict=True)))))
+    base = kept(rows.select("user_id", "track_id", "label", *(F.col(f).cast("double").alias(f) for f in dict.fromkeys(["tt_rank", *names])), *(bin_of(f, e).alias(f"_b{k}") for k, (f, e) in enumerate(zip(names, edges, strict=True)))))
     out: list[Tree] = []
     scored = base.withColumn("_score", F.lit(0.0))
-    for _ in range(trees):
-        graded = kept(gradients(scored, objective))
-        out.append(grow(graded, names, edges, depth, eta, ridge, least))
+    for t in range(trees):
+        graded = kept(gradients(scored, objective, mean=mean))
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "user_id", "track_id"), F.lit(1 << 20)) < int(subsample * (1 << 20))
+        some = graded if subsample >= 1 else graded.where(drawn)
+        columns = None if colsample >= 1 else sorted(rng.sample(range(len(names)), max(1, round(colsample * len(names)))))
+        out.append(grow(some, names, edges, depth, eta, ridge, least, columns))
         scored = graded.withColumn("_score", F.col("_score") + out[-1].column(names)).drop("_g", "_h")
     return out
 
@@ -156,47 +166,69 @@ def predicted(trees: list[Tree], names: list[str], first: int | None = None) ->
     return out
 
 
-def shap(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of one tree for one row (NaN is missing), the tree's mean output in the last place.
+class Paths:
+    """A tree by its leaves: for each, the features on its path, and for each of those the nodes where it is asked and the way that leads on."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.leaves: list[tuple[float, dict[int, list[tuple[int, bool]]], dict[int, float]]] = []
+
+        def walk(node: int, asked: dict[int, list[tuple[int, bool]]], share: dict[int, float]) -> None:
+            f = tree.feature[node]
+            if f < 0:
+                self.leaves.append((tree.value[node], asked, share))
+                return
+            a, b = tree.left[node], tree.right[node]
+            whole = tree.cover[a] + tree.cover[b]
+            for child, left in ((a, True), (b, False)):
+                walk(child, {**asked, f: [*asked.get(f, []), (node, left)]}, {**share, f: share.get(f, 1.0) * tree.cover[child] / whole})
+
+        walk(0, {}, {})
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values of all rows of x (NaN is missing), the tree's mean output in the last column.
+
+        A leaf counts fully for the features of its path that the row has as the path asks, and by the shares of cover for those left open; so for a leaf
+        only its path's few features play, and their subsets are enumerated for all rows at once.
+        """
+        t, out = self.tree, np.zeros((len(x), x.shape[1] + 1))
+        goes = {}
+        for node, f in enumerate(t.feature):
+            if f >= 0:
+                goes[node] = np.where(np.isnan(x[:, f]), t.missing_left[node], x[:, f] <= t.threshold[node])
+        for value, asked, share in self.leaves:
+            used = list(asked)
+            n = len(used)
+            has = {f: np.logical_and.reduce([goes[node] == left for node, left in asked[f]]).astype(float) for f in used}
+            out[:, -1] += value * math.prod(share.values())
+            for f in used:
+                others = [g for g in used if g != f]
+                weight = np.zeros(len(x))
+                for s in range(1 << (n - 1)):
+                    known = [g for k, g in enumerate(others) if s >> k & 1]
+                    part = math.factorial(len(known)) * math.factorial(n - len(known) - 1) / math.factorial(n)
+                    weight += part * math.prod((share[g] for g in others if g not in known), start=1.0) * math.prod((has[g] for g in known), start=np.ones(len(x)))
+                out[:, f] += value * weight * (has[f] - share[f])
+        return out
 
-    For every subset of the features on the tree, its expected output given those is a walk that follows known features and averages by
-    cover over others; trees are shallow, so the few features of a tree are enumerated exactly.
-    """
-    used = sorted({f for f in tree.feature if f >= 0})
-    place = {f: k for k, f in enumerate(used)}
-
-    def expected(node: int, known: int) -> float:
-        f = tree.feature[node]
-        if f < 0:
-            return tree.value[node]
-        a, b = tree.left[node], tree.right[node]
-        if known >> place[f] & 1:
-            goes = tree.missing_left[node] if math.isnan(x[f]) else x[f] <= tree.threshold[node]
-            return expected(a if goes else b, known)
-        ca, cb = tree.cover[a], tree.cover[b]
-        return (ca * expected(a, known) + cb * expected(b, known)) / (ca + cb)
-
-    n = len(used)
-    value = [expected(0, s) for s in range(1 << n)]
-    out = np.zeros(len(x) + 1)
-    for k, f in enumerate(used):
-        for s in range(1 << n):
-            if not s >> k & 1:
-                size = bin(s).count("1")
-                out[f] += math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n) * (value[s | 1 << k] - value[s])
-    out[-1] = value[0]
-    return out
+
+def shap(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """``Paths.contributions`` of one row."""
+    return Paths(tree).contributions(np.asarray(x, float)[None, :])[0]
 
 
 def contributions(rows: DataFrame, trees: list[Tree], names: list[str]) -> DataFrame:
     """user_id, track_id, feature, value, contribution: what each feature adds to a row's score; "base" is the mean output."""
-    sent = rows.sparkSession.sparkContext.broadcast(trees)
+    sent = rows.sparkSession.sparkContext.broadcast(trees)  # as many numbers as the trees have nodes
     slim = rows.select("user_id", "track_id", F.array(*(F.col(f).cast("double") for f in names)).alias("x"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = [Paths(t) for t in sent.value]
         for b in batches:
-            x = [np.array([math.nan if v is None else v for v in row]) for row in b.column("x").to_pylist()]
-            total = [sum((shap(t, row) for t in sent.value), np.zeros(len(names) + 1)).tolist() for row in x]
+            if not len(b):
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+            total = sum((p.contributions(x) for p in paths), np.zeros((len(b), len(names) + 1))).tolist()
             yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("track_id"), b.column("x"), pa.array(total, pa.list_(pa.float64()))], names=["user_id", "track_id", "x", "c"])
 
     kind = dict(rows.dtypes)
@@ -205,6 +237,16 @@ def contributions(rows: DataFrame, trees: list[Tree], names: list[str]) -> DataF
     return made.select("user_id", "track_id", one).select("user_id", "track_id", "r.*")
 
 
+def sampled(rows: DataFrame, n: int, seed: str) -> DataFrame:
+    """The first ``n`` rows by a digest of user, track and seed: the same on any engine and from run to run."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), "track_id"))).limit(n)
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """One row's features by the size of their contributions, largest first."""
+    return found.where("feature <> 'base'").orderBy(F.abs("contribution").desc(), "feature")
+
+
 def importance(found: DataFrame) -> DataFrame:
     """Mean absolute contribution of each feature."""
     return found.where("feature <> 'base'").groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
@@ -214,3 +256,8 @@ def staged(trees: list[Tree], names: list[str], rows: DataFrame, every: int, mea
     """The number of trees (a multiple of ``every``) whose scores measure best, the smallest on a tie; and all measures."""
     seen = [(n, float(measure(rows.withColumn("model", predicted(trees, names, n))))) for n in range(every, len(trees) + 1, every)]
     return max(seen, key=lambda x: (x[1], -x[0]))[0], seen
+
+
+def ablated(names: dict[str, list[str]], run: Callable[[list[str]], float]) -> list[tuple[str, float]]:
+    """For each group of features (by name), what ``run`` gives with the features of all other groups."""
+    return [(g, run([f for k, fs in names.items() if k != g for f in fs])) for g in names]

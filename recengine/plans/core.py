@@ -178,7 +178,7 @@ def eval_group_recall(spark: S, sf: str) -> DataFrame:
     (SELECT user_id, track_id, 1 AS hit FROM poprecs JOIN part_ USING (track_id) WHERE genre = 'ECONOMY') USING (user_id, track_id) GROUP BY 1)"""), doubles="recall")
 def eval_only_tracks(spark: S, sf: str) -> DataFrame:
     rel, seen, _ = truth(spark, sf)
-    recs, some = evaluate.only_tracks(views.tracks(spark, sf).where("genre = 'ECONOMY'"), popular(spark, sf), rel)
+    recs, some, _ = evaluate.only_tracks(views.tracks(spark, sf).where("genre = 'ECONOMY'"), popular(spark, sf), rel)
     return evaluate.per_user(recs, some, seen, [10]).agg(F.count(F.lit(1)).alias("users"), F.avg("recall_10").alias("recall"))
 
 
@@ -206,13 +206,59 @@ def eval_dedupe_best(spark: S, sf: str) -> DataFrame:
     return evaluate.best_first(train(spark, sf).select(*PAIR, F.hour("timestamp").cast("long").alias("score")))
 
 
-@query()
+#: The chances that a Poisson variable of mean 1 is at most 0, 1, ... 9, in steps of 2^-32, as sums of comparisons in SQL.
+_TIMES = " + ".join(f"(u >= {c})::INT" for c in evaluate._POISSON)
+_DRAWS = f"""draws AS (SELECT user_id, b, {_TIMES} AS w FROM (SELECT user_id, f * 4 + p AS b, ('0x' || substr(md5('42:' || user_id || ':' || f), (p * 8 + 1)::INT, 8))::BIGINT AS u
+    FROM (SELECT DISTINCT user_id FROM x), range(500) t(f), range(4) s(p)))"""
+
+
+def _interval(by: str = "") -> str:
+    """SQL for users, mean, low and high of v per metric, from x (user_id, metric, v and the columns ``by``)."""
+    g = f"{by}, " if by else ""
+    return f"""{_DRAWS}, means AS (SELECT {g}metric, b, sum(v * w) / nullif(sum(w), 0) AS m FROM x JOIN draws USING (user_id) GROUP BY {g}metric, b)
+    SELECT * FROM (SELECT {g}metric, count(*) AS users, avg(v) AS mean FROM x GROUP BY {g}metric) JOIN (SELECT {g}metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY {g}metric) USING ({g}metric)"""
+
+
+def _scores(lists: str, name: str) -> str:
+    """SQL for each scored user's recall and ndcg at 5 and 10 on a list, long: user_id, metric, v."""
+    return f"""{name}h AS (SELECT p.user_id, "rank", (r.track_id IS NOT NULL)::INT::DOUBLE AS hit FROM {lists} p JOIN nrel USING (user_id) LEFT JOIN rel r USING (user_id, track_id)),
+    {name} AS (SELECT user_id, unnest([{{'metric': 'recall_' || k, 'v': coalesce(sum(hit) FILTER ("rank" <= k), 0) / n_rel}}, {{'metric': 'ndcg_' || k, 'v': coalesce(sum(hit / log2("rank" + 1)) FILTER ("rank" <= k), 0) / max(ideal)}}], recursive := true)
+        FROM nrel CROSS JOIN (VALUES (5), (10)) t(k) JOIN ideal ON m = least(k, n_rel) LEFT JOIN {name}h USING (user_id) GROUP BY user_id, k, n_rel)"""
+
+
+_GAPS = text("tops poprecs rel nrel ideal", "").rstrip() + ", " + _scores("tops", "one") + ", " + _scores("poprecs", "two") + ", x AS (SELECT user_id, metric, one.v - two.v AS v FROM one JOIN two USING (user_id, metric))"
+
+
+def tt_and_popular(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    rel, seen, _ = truth(spark, sf)
+    return evaluate.per_user(tt_lists(spark, sf).select(*PAIR, "score"), rel, seen, [5, 10]), evaluate.per_user(popular(spark, sf), rel, seen, [5, 10])
+
+
+@query(_GAPS + ", " + _interval(), doubles="mean low high")
+def eval_difference(spark: S, sf: str) -> DataFrame:
+    """Recall and NDCG of the vectors' lists less those of popularity, with bootstrap intervals."""
+    return evaluate.difference(*tt_and_popular(spark, sf), ["recall_5", "recall_10", "ndcg_5", "ndcg_10"])
+
+
+@query(_GAPS + ", " + _interval().replace("SELECT * FROM (SELECT", "SELECT mean, low, high FROM (SELECT", 1) + " WHERE metric = 'ndcg_10'", doubles="mean low high")
 def eval_bootstrap(spark: S, sf: str) -> DataFrame:
     """Difference of NDCG between two lists with a Poisson-bootstrap interval."""
+    a, b = tt_and_popular(spark, sf)
+    gaps = a.select("user_id", F.col("ndcg_10").alias("_a")).join(b.select("user_id", F.col("ndcg_10").alias("_b")), "user_id")
+    return evaluate.poisson_bootstrap(gaps.select("user_id", (F.col("_a") - F.col("_b")).alias("d")), "d")
+
+
+_FOUND = """SELECT '{0}' AS grouping_, coalesce({1}, 'no group') AS "group", count(*) AS relevant, count(*) / sum(count(*)) OVER () AS share, avg(coalesce(hit, 0)) AS found FROM rel LEFT JOIN {2} USING (track_id) LEFT JOIN hit USING (user_id, track_id) GROUP BY 2"""
+
+
+@query(text("hit rel grp part_", _FOUND.format("popularity", '"group"', "grp") + " UNION ALL " + _FOUND.format("genre", "genre", "part_")), doubles="share found")
+def eval_breakdown(spark: S, sf: str) -> DataFrame:
+    """What two groupings' tracks make up of the relevant pairs and how many of those popularity finds."""
     rel, seen, _ = truth(spark, sf)
-    a = evaluate.per_user(tt_lists(spark, sf).select(*PAIR, "score"), rel, seen, [10]).select("user_id", F.col("ndcg_10").alias("_a"))
-    b = evaluate.per_user(popular(spark, sf), rel, seen, [10]).select("user_id", F.col("ndcg_10").alias("_b"))
-    return evaluate.poisson_bootstrap(a.join(b, "user_id").select("user_id", (F.col("_a") - F.col("_b")).alias("d")), "d")
+    both = {"popularity": groups(spark, sf), "genre": views.tracks(spark, sf).select("track_id", F.col("genre").alias("group"))}
+    got = evaluate.breakdown(popular(spark, sf), rel, seen, [10], 10, both)
+    frames = [got[f"found {g}"].withColumn("grouping_", F.lit(g)) for g in both]
+    return frames[0].unionByName(frames[1])
 
 
 # --- baselines --------------------------------------------------------------------------------------------------------
@@ -388,6 +434,19 @@ GENRE_RULES = [
 ]
 
 
+def _rules_sql(label: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({label}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in GENRE_RULES) + " ELSE 'other' END"
+
+
+_LABELS = ["Deathcore, pop", " post-rock", "Hip-Hop / Rap", "zydeco", "J-Pop", "", "Trip Hop", "Piano Rock"]
+
+
+@query("SELECT l AS label, " + _rules_sql("lower(trim(split_part(l, ',', 1)))") + ' AS "group" FROM (VALUES ' + ", ".join(f"('{x}')" for x in _LABELS) + ") t(l)")
+def meta_genre_rules(spark: S, sf: str) -> DataFrame:
+    labels = spark.createDataFrame([(x,) for x in _LABELS], "label string")
+    return labels.select("label", serving.genre_group(F.col("label"), GENRE_RULES).alias("group"))
+
+
 @query("""SELECT l AS label, CASE WHEN contains(f, 'eco') OR contains(f, 'small') THEN 'a' WHEN contains(f, 'medium') OR contains(f, 'l') THEN 'b' ELSE 'other' END AS "group", count(*) AS n
     FROM (SELECT p_type AS l, lower(trim(split_part(p_type || ', ' || p_name, ',', 1))) AS f FROM part) GROUP BY 1, 2""")
 def meta_genre_group(spark: S, sf: str) -> DataFrame:
@@ -439,12 +498,15 @@ def q_look_alikes(spark: S, sf: str) -> DataFrame:
     profile = questionnaire.taste(prepare.pairs(train(spark, sf)), track_genres(spark, sf), groups(spark, sf))[0]
     answers = questionnaire.strongest(profile, 3).select("user_id", "genre", F.lit(1.0).alias("weight"))
     known = profile.withColumnRenamed("user_id", "other").join(tt_users(spark, sf).withColumnRenamed("user_id", "other"), "other")
-    alike = questionnaire.look_alikes(answers, known, 64, 5)
+    alike = questionnaire.look_alikes(answers, known, 64, 5, list(range(1, 17)))
     return alike.select("user_id", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k").cast("long") + 1)
 
 
-@query(text("hit ideal grp seen", """SELECT "group", count(*) AS users, avg(x) AS mean FROM (SELECT user_id, coalesce(sum(hit / log2("rank" + 1)), 0) / max(ideal) AS x FROM nrel JOIN ideal ON m = least(10, n_rel) LEFT JOIN hit USING (user_id) GROUP BY 1)
-    JOIN (SELECT user_id, CASE (row_number() OVER (ORDER BY round(avg(pct), 12), user_id) - 1) * 3 // count(*) OVER () WHEN 0 THEN 'niche' WHEN 1 THEN 'middle' ELSE 'mainstream' END AS "group" FROM seen JOIN grp USING (track_id) GROUP BY 1) USING (user_id) GROUP BY 1"""), doubles="mean")
+_LISTENERS = """(SELECT user_id, CASE (row_number() OVER (ORDER BY round(avg(pct), 12), user_id) - 1) * 3 // count(*) OVER () WHEN 0 THEN 'niche' WHEN 1 THEN 'middle' ELSE 'mainstream' END AS "group" FROM seen JOIN grp USING (track_id) GROUP BY 1)"""
+
+
+@query(text("hit ideal grp seen", "").rstrip() + f""", x AS (SELECT user_id, "group", 'ndcg' AS metric, coalesce(sum(hit / log2("rank" + 1)), 0) / max(ideal) AS v FROM nrel JOIN ideal ON m = least(10, n_rel) JOIN {_LISTENERS} USING (user_id) LEFT JOIN hit USING (user_id) GROUP BY 1, 2), """
+    + _interval('"group"').replace("SELECT * FROM (SELECT", "SELECT * EXCLUDE (metric) FROM (SELECT", 1), doubles="mean low high")
 def bias_group_means(spark: S, sf: str) -> DataFrame:
     rel, seen, _ = truth(spark, sf)
     users = evaluate.per_user(popular(spark, sf), rel, seen, [10])
@@ -495,3 +557,121 @@ def serve_health(spark: S, sf: str) -> DataFrame:
 @query(text("tr part_", """SELECT genre, count(*) AS listens, count(*) / sum(count(*)) OVER () AS share, count(DISTINCT track_id) AS tracks, count(DISTINCT artist) AS artists FROM tr JOIN part_ USING (track_id) GROUP BY 1"""), doubles="share")
 def meta_genre_shares(spark: S, sf: str) -> DataFrame:
     return serving.genre_shares(train(spark, sf), views.tracks(spark, sf))
+
+
+# --- the rest of the inventory ------------------------------------------------------------------------------------------
+
+
+@query(text("li", """SELECT * FROM (SELECT 'raw' AS stage, count(*) AS listens, count(DISTINCT user_id) AS users, count(DISTINCT track_id) AS tracks FROM li UNION ALL
+    SELECT 'eligible', count(*), count(DISTINCT user_id), count(DISTINCT track_id) FROM (SELECT * FROM li, (SELECT max("timestamp") AS m FROM li) WHERE "timestamp" > m - INTERVAL 13 MONTH QUALIFY count(*) OVER (PARTITION BY user_id) >= 10) UNION ALL
+    SELECT 'sample', count(*), count(DISTINCT user_id), count(DISTINCT track_id) FROM (SELECT * FROM (SELECT * FROM li, (SELECT max("timestamp") AS m FROM li) WHERE "timestamp" > m - INTERVAL 13 MONTH QUALIFY count(*) OVER (PARTITION BY user_id) >= 10)
+        QUALIFY dense_rank() OVER (ORDER BY md5(user_id::VARCHAR || '42')) <= 20))"""))
+def prepare_meta(spark: S, sf: str) -> DataFrame:
+    _, meta = prepare.prepared(views.listens_li(spark, sf), 13, 10, 20, "42")
+    return spark.createDataFrame([(k, v["listens"], v["users"], v["tracks"]) for k, v in meta.items()], "stage string, listens long, users long, tracks long")
+
+
+@query(text("li", """SELECT 'embeddings' AS file, false AS missing, sum(h) / count(*) AS tracks, sum(h * n) / sum(n) AS listens FROM (SELECT count(*) AS n, (track_id IN (SELECT lpad(vec_id::VARCHAR, 8, '0') FROM embeddings))::INT AS h FROM li GROUP BY track_id)
+    UNION ALL SELECT 'lyrics', true, NULL, NULL"""), doubles="tracks listens")
+def audit_files(spark: S, sf: str) -> DataFrame:
+    return prepare.audit_files(views.listens_li(spark, sf), {"embeddings": views.vectors(spark, sf, 8), "lyrics": None})
+
+
+@query(text("part_", "SELECT track_id, dense_rank() OVER (ORDER BY artist) - 1 AS code FROM part_"))
+def track_codes(spark: S, sf: str) -> DataFrame:
+    """Artists as numbers from 0 in order of their names."""
+    return serving.coded(views.tracks(spark, sf), "artist").select("track_id", "code")
+
+
+@query("""SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'fr' WHEN 'GERMANY' THEN 'de' ELSE 'other' END AS lang FROM nation""", longs="n_nationkey")
+def meta_replaced(spark: S, sf: str) -> DataFrame:
+    return views.table(spark, sf, "nation").select("n_nationkey", serving.replaced(F.col("n_name"), {"FRANCE": "fr", "GERMANY": "de"}, "other").alias("lang"))
+
+
+@query(text("tr", """SELECT user_id, strftime(max("timestamp"), '%-d %b %Y') AS day FROM tr GROUP BY 1"""))
+def serve_last_day(spark: S, sf: str) -> DataFrame:
+    return train(spark, sf).groupBy("user_id").agg(F.date_format(F.max("timestamp"), "d MMM yyyy").alias("day"))
+
+
+_STAMPS = ("2020-03-01T10:00:00+02:00", "2020-03-01T10:00:00Z", "2020-12-31T23:30:00-01:30", "2020-03-01 10:00:00")
+
+
+@query("SELECT t AS given, (CASE WHEN regexp_matches(t, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN t::TIMESTAMPTZ AT TIME ZONE 'UTC' ELSE t::TIMESTAMP END)::VARCHAR AS at FROM (VALUES " + ", ".join(f"('{t}')" for t in _STAMPS) + ") v(t)")
+def utc_times(spark: S, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in _STAMPS], "given string")
+    return rows.select("given", serving.utc(F.col("given")).cast("string").alias("at"))
+
+
+@query(text("usr", """SELECT user_id, k, sqrt(-2 * ln((('0x' || substr(md5('7:' || user_id || ':' || (2 * k)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(md5('7:' || user_id || ':' || (2 * k + 1)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS x
+    FROM usr, range(8) t(k)"""), doubles="x")
+def vec_random(spark: S, sf: str) -> DataFrame:
+    v = recommend.random_vectors(train(spark, sf), "user_id", 8, "7")
+    return v.select("user_id", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+
+
+@query("SELECT 1.0::DOUBLE AS agreement", doubles="agreement")
+def vec_agreement(spark: S, sf: str) -> DataFrame:
+    """The blocked search against plain sorting, for the users whose id 10 divides."""
+    users, seen = tt_users(spark, sf).where("user_id % 10 = 0"), prepare.pairs(train(spark, sf))
+    return recommend.agreement(recommend.top_unseen(users, tt_vectors(spark, sf), seen, 20, block=8192), users, tt_vectors(spark, sf), seen, 20)
+
+
+_HELD = """held AS (SELECT track_id FROM cat ORDER BY md5(track_id || '42') LIMIT 20), cs AS (SELECT user_id, k, sum(u[k]) AS x FROM seen JOIN uemb USING (track_id), range(1, 65) t(k) WHERE track_id NOT IN (SELECT track_id FROM held) GROUP BY 1, 2),
+    cv AS (SELECT user_id, list(x ORDER BY k) AS v0, sqrt(sum(x * x)) AS n FROM cs GROUP BY 1),
+    cold AS (SELECT * FROM (SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY round(list_dot_product(v0, tt) / n, 9) DESC, track_id) AS "rank" FROM cv, emb JOIN held USING (track_id) WHERE (user_id, track_id) NOT IN (SELECT (user_id, track_id) FROM seen)) WHERE "rank" <= 10),
+    hrel AS (SELECT * FROM rel JOIN held USING (track_id)), hn AS (SELECT user_id, count(*) AS n_rel FROM hrel GROUP BY 1), hh AS (SELECT c.user_id, c.track_id, c."rank", (r.track_id IS NOT NULL)::INT AS hit FROM cold c JOIN hn USING (user_id) LEFT JOIN hrel r USING (user_id, track_id))"""
+
+
+@query(text("cat seen uemb emb rel ideal", "").rstrip() + ", " + _HELD + """ SELECT 10 AS k, avg(h / n_rel) AS recall, avg(d / ideal) AS ndcg, max(c) AS coverage, avg((n < 10)::INT) AS short, count(*) AS users FROM (SELECT n_rel, ideal, coalesce(sum(hit), 0) AS h, coalesce(sum(hit / log2("rank" + 1)), 0) AS d, count("rank") AS n,
+    (SELECT count(DISTINCT track_id) / 20 FROM hh) AS c FROM hn JOIN ideal ON m = least(10, n_rel) LEFT JOIN hh USING (user_id) GROUP BY user_id, n_rel, ideal)""", doubles="recall ndcg coverage short", longs="k")
+def cold_scores(spark: S, sf: str) -> DataFrame:
+    """Tracks that no model saw: only they are recommended, relevant, and the catalogue."""
+    from recengine.operators import holdout
+
+    t = train(spark, sf)
+    held = holdout.held_out(t, "track_id", 0.2, "42")
+    users = serving.fold_in_users(holdout.without(t, held, "track_id"), tt_vectors(spark, sf), 64)
+    rel, seen, _ = truth(spark, sf)
+    recs = recommend.top_unseen(users, tt_vectors(spark, sf), seen, 10, only=held).select(*PAIR, "score")
+    recs, some, catalog = evaluate.only_tracks(held, recs, rel)
+    return evaluate.metrics(recs, some, seen, catalog, [10])
+
+
+@query(text("tops lst grp", "").rstrip() + ", " + _PENALTY + """, sweep AS (SELECT s AS strength, avg(pct) AS metric FROM (SELECT s, track_id, row_number() OVER (PARTITION BY s, user_id ORDER BY round(a - s * b, 9) DESC, track_id) AS r
+    FROM z, (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) t(s)) JOIN grp USING (track_id) WHERE r <= 10 GROUP BY 1) SELECT max(strength) AS strength FROM sweep WHERE round(metric, 9) >= (SELECT round(metric, 9) FROM sweep WHERE strength = 0) * 0.8""", doubles="strength")
+def bias_chosen(spark: S, sf: str) -> DataFrame:
+    """The strongest penalty that keeps the mean percentile within a fifth."""
+    return bias.chosen_strength(bias_lambda_sweep(spark, sf).select("strength", F.round("pct", 9).alias("metric")), 0.2)
+
+
+_MEASURES = """th AS (SELECT t.user_id, t.track_id, t."rank", (r.track_id IS NOT NULL)::INT::DOUBLE AS hit FROM tops t JOIN nrel USING (user_id) LEFT JOIN rel r USING (user_id, track_id) WHERE t."rank" <= 10),
+    slots AS (SELECT track_id, count("rank") AS v FROM cat LEFT JOIN th USING (track_id) GROUP BY 1), found AS (SELECT coalesce("group", 'no group') AS g, count(*) AS relevant, count(*) / sum(count(*)) OVER () AS share, avg(coalesce(hit, 0)) AS found FROM rel LEFT JOIN grp USING (track_id) LEFT JOIN th USING (user_id, track_id) GROUP BY 1)
+    SELECT 'ndcg' AS measure, '' AS "group", avg(x) AS value FROM (SELECT coalesce(sum(hit / log2("rank" + 1)), 0) / max(ideal) AS x FROM nrel JOIN ideal ON m = least(10, n_rel) LEFT JOIN th USING (user_id) GROUP BY user_id)
+    UNION ALL SELECT 'percentile', '', avg(pct) FROM th JOIN grp USING (track_id) UNION ALL SELECT 'coverage', '', avg((v > 0)::INT) FROM slots
+    UNION ALL SELECT 'gini', '', sum((2 * i - n - 1) * v) / (max(n) * sum(v)) FROM (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM slots)
+    UNION ALL SELECT 'places by popularity', coalesce("group", 'no group'), count(*) / sum(count(*)) OVER () FROM th LEFT JOIN grp USING (track_id) GROUP BY 2
+    UNION ALL SELECT 'relevant by popularity', g, relevant FROM found UNION ALL SELECT 'share by popularity', g, share FROM found UNION ALL SELECT 'found by popularity', g, found FROM found"""
+
+
+@query(text("tops nrel rel cat grp ideal", "").rstrip() + ", " + _MEASURES, doubles="value")
+def bias_measures(spark: S, sf: str) -> DataFrame:
+    """All measures of the vectors' lists but the intervals of user groups (``bias_group_means`` has those)."""
+    rel, seen, catalog = truth(spark, sf)
+    g = groups(spark, sf)
+    got = evaluate.breakdown(tt_lists(spark, sf).select(*PAIR, "score"), rel, seen, [10], 10, {"popularity": g})
+    return bias.measures(got, {"popularity": g}, g, {}, catalog, 10)
+
+
+@query(text("seen blk user_ grp", "").rstrip() + ", " + _TASTE + """, st AS (SELECT user_id, genre FROM (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, genre) AS place FROM taste WHERE weight > 0) WHERE place <= 3),
+    bd AS (SELECT user_id, CASE WHEN m <= quantile_cont(m, 1/3) OVER () THEN 0 WHEN m <= quantile_cont(m, 2/3) OVER () THEN 1 ELSE 2 END AS band FROM (SELECT user_id, round(avg(pct), 9) AS m FROM seen JOIN grp USING (track_id) GROUP BY 1)),
+    ln_ AS (SELECT user_id, sqrt(sum(weight * weight)) AS l FROM taste GROUP BY 1), cn AS (SELECT user_id, sqrt(count(*)) AS l FROM st GROUP BY 1),
+    sim AS (SELECT st.user_id, t.user_id AS other, row_number() OVER (PARTITION BY st.user_id ORDER BY round(sum(weight / ln_.l / cn.l), 9) DESC, t.user_id) AS place FROM st JOIN bd x ON x.user_id = st.user_id JOIN taste t USING (genre) JOIN bd y ON y.user_id = t.user_id AND x.band = y.band JOIN ln_ ON ln_.user_id = t.user_id JOIN cn ON cn.user_id = st.user_id GROUP BY 1, 2)
+    SELECT user_id, k, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM (SELECT sim.user_id, k, sum(vec[k]) AS x FROM sim JOIN user_ u ON u.user_id = other, range(1, 65) t(k) WHERE place <= 3 GROUP BY 1, 2)""", doubles="x")
+def q_look_alikes_band(spark: S, sf: str) -> DataFrame:
+    """As ``q_look_alikes``, among known listeners of the same third of the mainstream."""
+    profile = questionnaire.taste(prepare.pairs(train(spark, sf)), track_genres(spark, sf), groups(spark, sf))[0]
+    bands = q_thirds(spark, sf).select("user_id", "band")
+    answers = questionnaire.strongest(profile, 3).select("user_id", "genre", F.lit(1.0).alias("weight")).join(bands, "user_id")
+    known = profile.join(bands, "user_id").withColumnRenamed("user_id", "other").join(tt_users(spark, sf).withColumnRenamed("user_id", "other"), "other")
+    alike = questionnaire.look_alikes(answers, known, 64, 3, list(range(1, 17)), band=True)
+    return alike.select("user_id", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k").cast("long") + 1)

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recengine.catalog import query
-from recengine.operators import features, holdout, prepare, recommend, serving, trees, twotower
+from recengine.operators import evaluate, features, holdout, prepare, questionnaire, recommend, service, serving, trees, twotower
 from recengine.operators.prepare import PAIR
+from recengine.operators.tables import kept
 from recengine.plans import core
 from recengine.plans.sqltext import text
 from recengine.sources import views
@@ -165,32 +166,62 @@ def als_fold_in(spark: S, sf: str) -> DataFrame:
     return recommend.fold_in(cells, "user_id", recommend.gram(tracks, 8), 0.1).select("user_id", F.posexplode("vec").alias("k", "x"))
 
 
+@query(text("tr emb", """SELECT user_id, k, CASE k WHEN 0 THEN (q * e - r * d) / (p * q - r * r) ELSE (p * d - r * e) / (p * q - r * r) END AS x FROM (
+    SELECT user_id, max(g00) + 0.1 + sum((c - 1) * y0 * y0) AS p, max(g11) + 0.1 + sum((c - 1) * y1 * y1) AS q, max(g01) + sum((c - 1) * y0 * y1) AS r, sum(c * y0) AS e, sum(c * y1) AS d
+    FROM (SELECT user_id, track_id, 10 * ln(1 + count(*)) AS c FROM tr GROUP BY 1, 2) JOIN (SELECT track_id, tt[1] AS y0, tt[2] AS y1 FROM emb) USING (track_id),
+        (SELECT sum(tt[1] * tt[1]) AS g00, sum(tt[1] * tt[2]) AS g01, sum(tt[2] * tt[2]) AS g11 FROM emb) GROUP BY user_id), range(2) t(k)"""), doubles="x")
+def als_fold_in_two(spark: S, sf: str) -> DataFrame:
+    """As ``als_fold_in``, with two factors, whose equations SQL can solve."""
+    tracks = core.tt_vectors(spark, sf).select("track_id", F.slice("vec", 1, 2).alias("vec"))
+    cells = prepare.plays(core.train(spark, sf)).select(*PAIR, (10 * F.col("log_plays")).alias("c")).join(tracks, "track_id")
+    return recommend.fold_in(cells, "user_id", recommend.gram(tracks, 2), 0.1).select("user_id", F.posexplode("vec").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+
+
+def _candidates(spark: S, sf: str, splits: list[str], labels: str, n: int) -> DataFrame:
+    """The snapshot as of the end of ``splits``, over n candidates a user, labelled by what they first play in the slice that follows."""
+    s = core.split_ev(spark, sf)
+    t, v = kept(s.where(F.col("split").isin(splits))), views.vectors(spark, sf)
+    als = serving.fold_in_users(t, v.select("track_id", F.col("als").alias("vec")), 16)
+    lists = recommend.top_unseen(serving.fold_in_users(t, core.tt_vectors(spark, sf), 64), core.tt_vectors(spark, sf), prepare.pairs(t), n)
+    return kept(features.snapshot(lists, t, views.tracks(spark, sf), v, als, DIMS, labels=s.where(F.col("split") == labels)))
+
+
+#: What the registered rankers use; the README says how that compares.
+CANDIDATES, TREES, EVERY, DEPTH = 50, 6, 2, 3
+
+
 def _ranked(spark: S, sf: str, objective: str) -> tuple[DataFrame, list[trees.Tree], list[str]]:
-    rows = snapshot(spark, sf, labelled=True)
-    names = ["tt_z", "als_z", "track_listeners", "user_mainstream", "sim_audio", "sim_lyrics", "artist_play_share", "pop_gap"]
-    from recengine.operators.tables import kept
+    """Trees on all 25 features, trained as of the first slice on what the second brought, their number chosen by NDCG on the third."""
+    train = _candidates(spark, sf, ["retrieval_train"], "ranker_train", CANDIDATES)
+    rows = _candidates(spark, sf, ["retrieval_train", "ranker_train"], "val", CANDIDATES)
+    fitted = trees.fit(recommend.training_rows(train, F.col("tt_rank") <= CANDIDATES), features.FEATURES, objective=objective, trees=TREES, depth=DEPTH, subsample=0.8, colsample=0.8, mean=True)
+    rel, seen, catalog = core.truth(spark, sf)
+    rel, seen, catalog = kept(rel), kept(seen), kept(catalog)
+
+    def ndcg(scored: DataFrame) -> float:
+        return evaluate.per_user(recommend.rerank(scored, "model", F.col("tt_rank") <= CANDIDATES), rel, seen, [10]).agg(F.avg("ndcg_10")).first()[0] or 0.0
 
-    rows = kept(rows)
-    return rows, trees.fit(recommend.training_rows(rows, F.col("tt_rank") <= 20), names, objective=objective, trees=3, depth=2, bins=16), names
+    best, _ = trees.staged(fitted, features.FEATURES, rows, EVERY, ndcg)
+    return rows, fitted[:best], features.FEATURES
 
 
 @query()
 def ranker_lambda(spark: S, sf: str) -> DataFrame:
     rows, fitted, names = _ranked(spark, sf, "ndcg")
-    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= 10)
+    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= CANDIDATES)
 
 
 @query()
 def ranker_logistic(spark: S, sf: str) -> DataFrame:
     rows, fitted, names = _ranked(spark, sf, "logistic")
-    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= 10)
+    return recommend.rerank(rows.withColumn("model", trees.predicted(fitted, names)), "model", F.col("tt_rank") <= CANDIDATES)
 
 
 @query()
 def tree_shap(spark: S, sf: str) -> DataFrame:
-    """Mean absolute contribution of each feature over all candidate rows."""
+    """Mean absolute contribution of each feature over 2000 candidate rows, the first by a digest."""
     rows, fitted, names = _ranked(spark, sf, "logistic")
-    return trees.importance(trees.contributions(rows, fitted, names))
+    return trees.importance(trees.contributions(trees.sampled(rows, 2000, "42"), fitted, names))
 
 
 @query()
@@ -201,11 +232,68 @@ def serve_reasons(spark: S, sf: str) -> DataFrame:
 
 @query()
 def twotower_fit(spark: S, sf: str) -> DataFrame:
-    """Ten best unseen tracks by two fitted towers."""
+    """Ten best unseen tracks by two fitted towers, the track's one of embeddings and content."""
     t = core.train(spark, sf)
-    p = prepare.training_pairs(t)
+    p = prepare.training_pairs(t, "log_plays")
     users = [r[0] for r in t.select("user_id").distinct().orderBy("user_id").collect()]
-    tracks = [r[0] for r in t.select("track_id").distinct().orderBy("track_id").collect()]
-    model, _ = twotower.fit(p, users, tracks, epochs=2)
+    v = views.vectors(spark, sf).join(t.select("track_id").distinct(), "track_id", "left_semi").select("track_id", F.concat("audio", "lyrics", "genres").alias("x")).orderBy("track_id").collect()
+    model, _ = twotower.fit(p, users, [r["track_id"] for r in v], epochs=2, content=np.array([r["x"] for r in v], float), hidden=32, weighted=True)
     frame = lambda ids, vecs, name, kind: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, np.round(vecs, 9), strict=True)], f"{name} {kind}, vec array<double>")
-    return recommend.top_unseen(frame(users, model.user_vectors(), "user_id", "long"), frame(tracks, model.track_vectors(), "track_id", "string"), prepare.pairs(t), 10)
+    return recommend.top_unseen(frame(users, model.user_vectors(), "user_id", "long"), frame([r["track_id"] for r in v], model.track_vectors(), "track_id", "string"), prepare.pairs(t), 10)
+
+
+# --- the service --------------------------------------------------------------------------------------------------------
+
+
+def served(spark: S, sf: str) -> service.Service:
+    """The two-stage service over the training listens; a linear score stands for the ranker, so that SQL can follow."""
+    t, v = core.train(spark, sf), views.vectors(spark, sf)
+    als = serving.fold_in_users(t, v.select("track_id", F.col("als").alias("vec")), 16)
+    return service.Service(t, views.tracks(spark, sf), v, DIMS | {"als": 16}, core.tt_users(spark, sf), als, model=F.round(linear(), 9), candidates=20, reordered=10)
+
+
+@query(_SNAP_TEXT.rstrip() + f""", m AS (SELECT *, round({_LINEAR}, 9) AS m FROM snap) SELECT user_id, track_id, "rank", tt_rank AS retrieval_rank, title, artist FROM
+    (SELECT user_id, track_id, tt_rank, row_number() OVER (PARTITION BY user_id ORDER BY (tt_rank > 10)::INT, CASE WHEN tt_rank <= 10 THEN -m END, tt_rank) AS "rank" FROM m) JOIN part_ USING (track_id) WHERE "rank" <= 5""")
+def serve_two_stage(spark: S, sf: str) -> DataFrame:
+    s = served(spark, sf)
+    return service.for_users(s, s.tt_users, 5).drop("reasons")
+
+
+#: Forms: (listener, artists, genres, the mainstream question's answer).
+FORMS = [(-1, ["Brand#11", " brand#12 ", "Nobody"], ["3"], None), (-2, [], ["3", " 5", "zydeco"], None), (-3, ["no such artist"], ["16"], "mainstream")]
+
+
+@query(text("lst part_ emb uemb seen blk user_ grp", "").rstrip() + ", " + core._TASTE + """, bd AS (SELECT user_id, CASE WHEN m <= quantile_cont(m, 1/3) OVER () THEN 0 WHEN m <= quantile_cont(m, 2/3) OVER () THEN 1 ELSE 2 END AS band FROM (SELECT user_id, round(avg(pct), 9) AS m FROM seen JOIN grp USING (track_id) GROUP BY 1)),
+    sd AS (SELECT DISTINCT -1 AS user_id, track_id FROM (SELECT artist, track_id, row_number() OVER (PARTITION BY artist ORDER BY listeners DESC, track_id) AS place FROM part_ JOIN lst USING (track_id)) WHERE artist IN ('Brand#11', 'Brand#12') AND place <= 2),
+    an AS (SELECT * FROM (VALUES (-2, 3, NULL), (-2, 5, NULL), (-3, 16, 2)) t(user_id, genre, want)), ln_ AS (SELECT user_id, sqrt(sum(weight * weight)) AS l FROM taste GROUP BY 1), cn AS (SELECT user_id, sqrt(count(*)) AS l FROM an GROUP BY 1),
+    sim AS (SELECT an.user_id, t.user_id AS other, row_number() OVER (PARTITION BY an.user_id ORDER BY round(sum(weight / ln_.l / cn.l), 9) DESC, t.user_id) AS place FROM an JOIN taste t USING (genre) JOIN bd y ON y.user_id = t.user_id JOIN ln_ ON ln_.user_id = t.user_id JOIN cn ON cn.user_id = an.user_id
+        WHERE want IS NULL OR want = band GROUP BY 1, 2),
+    raw AS (SELECT sim.user_id, k, sum(vec[k]) AS x FROM sim JOIN user_ u ON u.user_id = other, range(1, 65) t(k) WHERE place <= 5 GROUP BY 1, 2 UNION ALL SELECT user_id, k, sum(u[k]) AS x FROM sd JOIN uemb USING (track_id), range(1, 65) t(k) GROUP BY 1, 2),
+    vc AS (SELECT user_id, list(x ORDER BY k) AS v0, sqrt(sum(x * x)) AS n FROM raw GROUP BY 1)
+    SELECT user_id, track_id, "rank", "rank" AS retrieval_rank, title, artist, CASE user_id WHEN -1 THEN 'artists' ELSE 'genres' END AS used FROM (SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY round(list_dot_product(v0, tt) / n, 9) DESC, track_id) AS "rank"
+        FROM vc, emb WHERE (user_id, track_id) NOT IN (SELECT (user_id, track_id) FROM sd)) LEFT JOIN part_ USING (track_id) WHERE "rank" <= 5""", longs="user_id")
+def serve_onboarding(spark: S, sf: str) -> DataFrame:
+    s = served(spark, sf)
+    forms = spark.createDataFrame(FORMS, "user_id long, artists array<string>, genres array<string>, mainstream string")
+    profiles = questionnaire.taste(prepare.pairs(s.listens), core.track_genres(spark, sf), core.groups(spark, sf))[0]
+    by_artist = questionnaire.most_listened(s.tracks.select(F.col("artist").alias("group"), "track_id"), core.listeners(spark, sf))
+    names = spark.range(1, 17).select(F.col("id").alias("genre"), F.col("id").cast("string").alias("name"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    places, _ = service.for_answers(s, forms, now, 5, profiles=profiles, bands=core.q_thirds(spark, sf).select("user_id", "band"), by_artist=by_artist, track_genres=list(range(1, 17)), names=names, neighbours=5, per_artist=2, stages="retrieval")
+    return places.drop("reasons")
+
+
+# --- pools --------------------------------------------------------------------------------------------------------------
+
+POOLS = [(5, 0), (5, 3), (10, 0)]
+
+
+@query(_SNAP_TEXT.rstrip() + ", " + " UNION ALL ".join(f"SELECT '{top}+{known}' AS pool, median(n) AS size FROM (SELECT user_id, count(*) FILTER (tt_rank <= {top} OR (below AND place <= {known})) AS n FROM (SELECT *, sum(below::INT) OVER (PARTITION BY user_id ORDER BY tt_rank ROWS UNBOUNDED PRECEDING) AS place FROM (SELECT *, tt_rank > {top} AND artist_tracks > 0 AS below FROM snap)) GROUP BY 1)" for top, known in POOLS).replace("SELECT", "sizes AS (SELECT", 1) + ") SELECT * FROM sizes", doubles="size")
+def pool_sizes(spark: S, sf: str) -> DataFrame:
+    """How many candidates a user's pool has, in the middle, for each choice of pool."""
+    rows = kept(snapshot(spark, sf).select("user_id", "tt_rank", "artist_tracks"))
+    out = None
+    for top, known in POOLS:
+        one = rows.withColumn("_in", recommend.pool(rows, top, known).cast("int")).groupBy("user_id").agg(F.sum("_in").alias("n")).agg(F.percentile("n", F.lit(0.5)).alias("size")).select(F.lit(f"{top}+{known}").alias("pool"), "size")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
+import urllib.request
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,28 @@ def checksum(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
+def fetch(url: str, target: Path, md5: str, tries: int = 2, block: int = 1 << 20) -> Path:
+    """A file from a server to the driver's machine, as the source of what Spark then reads: what an earlier try left is gone on from, and a file that
+    has another digest is loaded anew, ``tries`` times in all. A file that is there and right is left alone."""
+    part = target.with_name(f"{target.name}.part")
+
+    def digest(path: Path) -> str:
+        with path.open("rb") as f:
+            return hashlib.file_digest(f, "md5").hexdigest()
+
+    if target.exists() and digest(target) == md5:
+        return target
+    for _ in range(tries):
+        start = part.stat().st_size if part.exists() else 0
+        request = urllib.request.Request(url, headers={"Range": f"bytes={start}-"} if start else {})
+        with urllib.request.urlopen(request) as answer, part.open("ab" if start and answer.status == 206 else "wb") as out:
+            shutil.copyfileobj(answer, out, block)
+        if digest(part) == md5:
+            return part.replace(target)
+        part.unlink()
+    raise ValueError(f"{url} does not have the digest {md5}")
+
+
 def sniff(spark: SparkSession, path: str) -> tuple[bool, bool]:
     """(has a header, times are epoch numbers) from the first two lines: three columns, or ValueError; a header's third field has no digit first."""
     lines = [r[0].split("\t") for r in spark.read.text(path).limit(2).collect()]
@@ -90,10 +116,32 @@ def same_ids(a: DataFrame, b: DataFrame, column: str) -> bool:
     return x.join(y, column, "left_anti").isEmpty() and y.join(x, column, "left_anti").isEmpty()
 
 
+def write_vectors(vectors: DataFrame, path: str, meta: dict, column: str = "track_id") -> None:
+    """Vectors by id, in order of the ids, and what is to be known of them; repeated ids and vectors of several lengths are refused."""
+    seen = vectors.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(column).alias("ids"), F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    if seen["n"] != seen["ids"] or seen["a"] != seen["b"]:
+        raise ValueError("vectors need ids of their own and one length")
+    vectors.select(column, "vec").repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(f"{path}/vectors")
+    whole = {**meta, "rows": seen["n"], "dim": seen["a"], "id": column}
+    vectors.sparkSession.createDataFrame([(json.dumps(whole, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/vectors"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def bundle_meta(listens: DataFrame, settings: dict) -> dict:
+    """What a service needs to know besides its tables: the time of the last listen (its now) and how much there is."""
+    x = listens.agg(F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("now"), F.count(F.lit(1)).alias("listens"), F.countDistinct("user_id").alias("users")).first()
+    return {**settings, **x.asDict()}
+
+
 def write_bundle(path: str, tables: dict[str, DataFrame], meta: dict) -> None:
     """A directory of Parquet tables and a JSON of settings: what a service needs. Vectors must be of exactly the catalogue's tracks."""
     if "tracks" in tables and "track_vectors" in tables and not same_ids(tables["tracks"], tables["track_vectors"], "track_id"):
         raise ValueError("the vectors are not of the catalogue's tracks")
+    if "listens" in tables and "user_vectors" in tables and not tables["user_vectors"].join(tables["listens"], "user_id", "left_anti").isEmpty():
+        raise ValueError("there are vectors of users without listens")
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         if name == "listens":

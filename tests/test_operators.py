@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recengine.functions import vectors
-from recengine.operators import bias, evaluate, features, holdout, prepare, questionnaire, recommend, serving, trees, twotower
+from recengine.operators import bias, evaluate, features, holdout, prepare, questionnaire, recommend, reporting, service, serving, tables, trees, twotower
 
 T0 = datetime(2020, 3, 1)
 
@@ -27,51 +27,80 @@ def recs(spark, rows):
     return spark.createDataFrame(rows, "user_id long, track_id string, score double")
 
 
-REL = [(1, "a"), (1, "b"), (2, "c")]
-RECS = [(1, "a", 0.9), (1, "x", 0.8), (1, "b", 0.7), (2, "y", 0.9), (2, "c", 0.8)]
+def test_relevant_is_new_and_distinct(spark):
+    history, later = pairs(spark, [(5, "p"), (6, "q"), (6, "r")]), pairs(spark, [(5, "p"), (5, "s"), (6, "t"), (6, "t"), (7, "q")])
+    assert sorted(tuple(r) for r in evaluate.relevant(history, later).collect()) == [(5, "s"), (6, "t"), (7, "q")]
 
 
-def test_relevant_is_new_and_distinct(spark):
-    out = evaluate.relevant(pairs(spark, [(1, "a"), (2, "b")]), pairs(spark, [(1, "a"), (1, "b"), (1, "b")]))
-    assert [tuple(r) for r in out.collect()] == [(1, "b")]
+#: Listener 10 has three tracks to find and a list of four; listener 11 has one, which is not in a list of two.
+WANTED = [(10, "m"), (10, "n"), (10, "o"), (11, "w")]
+SHOWN = [(10, "m", 5.0), (10, "z", 4.0), (10, "o", 3.0), (10, "n", 2.0), (11, "v", 2.0), (11, "u", 1.0)]
+THREE = 1 + 1 / math.log2(3) + 0.5  # the best that three places can hold
 
 
 def test_metrics(spark):
-    catalog = spark.createDataFrame([(c,) for c in "abcxyz"], "track_id string")
+    catalog = spark.createDataFrame([(c,) for c in "mnouvwyz"], "track_id string")
     none = pairs(spark, [])
-    r = evaluate.metrics(recs(spark, RECS), pairs(spark, REL), none, catalog, [2]).first()
-    assert (r.recall, round(r.ndcg, 4), round(r.coverage, 4), r.short, r.users) == (0.75, 0.6220, 0.6667, 0.0, 2)
-    # what was heard goes before the cut, a repeated pair counts once, a user without a list scores 0
-    seen = evaluate.metrics(recs(spark, [*RECS, (1, "a", 0.1)]), pairs(spark, [*REL, (3, "q")]), pairs(spark, [(1, "x")]), catalog, [2]).first()
-    assert (round(seen.recall, 4), seen.users, round(seen.short, 4)) == (0.6667, 3, 0.3333)
+    at = {r.k: r for r in evaluate.metrics(recs(spark, SHOWN), pairs(spark, WANTED), none, catalog, [1, 3]).collect()}
+    assert [round(x, 6) for x in (at[1].recall, at[1].ndcg, at[1].coverage, at[1].short)] == [round(1 / 6, 6), 0.5, 0.25, 0.0]
+    assert [round(x, 6) for x in (at[3].recall, at[3].ndcg, at[3].coverage, at[3].short)] == [round(1 / 3, 6), round(1.5 / THREE / 2, 6), 0.625, 0.5] and at[3].users == 2
+    # what was heard goes before the cut; a repeated pair counts once, with its best score; who has no list scores 0
+    heard = evaluate.metrics(recs(spark, SHOWN), pairs(spark, WANTED), pairs(spark, [(10, "z")]), catalog, [3]).first()
+    assert (heard.recall, heard.ndcg) == (0.5, 0.5)
+    twice = evaluate.metrics(recs(spark, [*SHOWN, (10, "n", 9.0)]), pairs(spark, [*WANTED, (12, "m")]), none, catalog, [3]).first()
+    assert (round(twice.recall, 6), round(twice.ndcg, 6), twice.users) == (round(2 / 9, 6), round((1 + 1 / math.log2(3)) / THREE / 3, 6), 3)
+
 
+def test_group_recall_and_breakdown(spark):
+    groups = spark.createDataFrame([("m", "old"), ("n", "old"), ("w", "new"), ("z", "new")], "track_id string, group string")
+    hits = evaluate.ranked_hits(recs(spark, SHOWN), pairs(spark, WANTED), pairs(spark, []), 3)
+    want = {"old": (2, 0.5, 0.5), "new": (1, 0.25, 0.0), "no group": (1, 0.25, 1.0)}
+    assert {r.group: (r.relevant, r.share, r.found) for r in evaluate.group_recall(hits, pairs(spark, WANTED), groups, 3).collect()} == want
+    got = evaluate.breakdown(recs(spark, SHOWN), pairs(spark, WANTED), pairs(spark, []), [1], 3, {"age": groups})
+    assert {r.group: (r.relevant, r.share, r.found) for r in got["found age"].collect()} == want
+    assert sorted((r.user_id, r["rank"], r.track_id) for r in got["lists"].collect()) == [(10, 1, "m"), (10, 2, "z"), (10, 3, "o"), (11, 1, "v"), (11, 2, "u")] and "hit" not in got["lists"].columns
+    assert {r.user_id: r.recall_1 for r in got["users"].collect()} == {10: 1 / 3, 11: 0.0}
 
-def test_group_recall(spark):
-    groups = spark.createDataFrame([("a", "head"), ("b", "tail"), ("x", "head")], "track_id string, group string")
-    hits = evaluate.ranked_hits(recs(spark, RECS), pairs(spark, REL), pairs(spark, []), 2)
-    got = {r.group: (r.relevant, round(r.share, 3), r.found) for r in evaluate.group_recall(hits, pairs(spark, REL), groups, 2).collect()}
-    assert got == {"head": (1, 0.333, 1.0), "no group": (1, 0.333, 1.0), "tail": (1, 0.333, 0.0)}
 
+def test_only_some_tracks_count(spark):
+    some, rel, catalog = evaluate.only_tracks(spark.createDataFrame([("m",), ("v",), ("m",)], "track_id string"), recs(spark, SHOWN), pairs(spark, WANTED))
+    r = evaluate.metrics(some, rel, pairs(spark, []), catalog, [2]).first()
+    assert (r.recall, r.coverage, r.short, r.users) == (1.0, 0.5, 1.0, 1)
 
-def test_bootstrap():
-    assert evaluate.paired_bootstrap(np.full(50, 0.5)) == (0.5, 0.5, 0.5)
-    mean, _, high = evaluate.paired_bootstrap(np.array([1.0, -1.0] * 50))
-    assert mean == 0 and abs(high - 0.196) < 0.03
 
+def test_bootstrap_of_a_constant_and_of_opposites():
+    assert evaluate.paired_bootstrap(np.full(30, -0.25)) == (-0.25, -0.25, -0.25)
+    mean, low, high = evaluate.paired_bootstrap(np.array([3.0, -3.0] * 200))
+    assert mean == 0 and abs(high - 1.96 * 3 / 20) < 0.05 and abs(low + high) < 0.05
 
-def test_poisson_bootstrap_takes_as_many_resamples_as_the_other(spark):
+
+def test_resampled_means(spark):
     x = np.random.default_rng(1).normal(0.1, 1, 300)
-    users = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "user_id long, d double")
-    got = evaluate.poisson_bootstrap(users, "d").first()
-    assert got == evaluate.poisson_bootstrap(users, "d", resamples=2000).first() != evaluate.poisson_bootstrap(users, "d", resamples=200).first()
+    users = spark.createDataFrame([(k, float(v), 2 * float(v), "ab"[k % 2]) for k, v in enumerate(x)], "user_id long, d double, e double, group string")
+    got = {r.metric: r for r in evaluate.resampled(users, ["d", "e"], []).collect()}
     mean, low, high = evaluate.paired_bootstrap(x)
-    assert abs(got.mean - mean) < 1e-9 and abs(got.low - low) < 0.015 and abs(got.high - high) < 0.015
+    assert abs(got["d"].mean - mean) < 1e-9 and abs(got["d"].low - low) < 0.015 and abs(got["d"].high - high) < 0.015
+    assert abs(got["e"].low - 2 * got["d"].low) < 1e-9  # values of a user stay together
+    per = {r.group: r for r in evaluate.group_means(users.drop("group"), users.select("user_id", "group"), "d").collect()}
+    for g, part in (("a", x[::2]), ("b", x[1::2])):
+        mean, low, high = evaluate.paired_bootstrap(part)
+        assert per[g].users == 150 and abs(per[g].mean - mean) < 1e-9 and abs(per[g].low - low) < 0.03 and abs(per[g].high - high) < 0.03
+    flat = evaluate.poisson_bootstrap(spark.createDataFrame([(k, 0.75) for k in range(9)], "user_id long, d double"), "d", resamples=50).first()
+    assert (flat.low, flat.mean, flat.high) == (0.75, 0.75, 0.75)
+
+
+def test_difference_is_of_users_that_both_have(spark):
+    a = spark.createDataFrame([(1, 0.5, 1.0), (2, 0.25, 0.0), (3, 9.0, 9.0)], "user_id long, recall_5 double, ndcg_5 double")
+    b = spark.createDataFrame([(1, 0.25, 0.5), (2, 0.5, 0.5), (4, 7.0, 7.0)], "user_id long, recall_5 double, ndcg_5 double")
+    got = {r.metric: (r.users, r.mean) for r in evaluate.difference(a, b, ["recall_5", "ndcg_5"], 40).collect()}
+    assert got == {"recall_5": (2, 0.0), "ndcg_5": (2, 0.0)}
 
 
 def test_same_top_and_known_share(spark):
-    a, b = recs(spark, [(1, "a", 2.0), (1, "b", 1.0), (2, "c", 1.0)]), recs(spark, [(1, "a", 2.0), (1, "b", 1.5), (2, "d", 1.0)])
-    assert evaluate.same_top(a, b, 2).first()[0] == 0.5
-    assert round(evaluate.known_share(a, pairs(spark, [(1, "a")]), 2).first()[0], 3) == 0.333
+    a = recs(spark, [(4, "k", 5.0), (4, "l", 4.0), (5, "k", 1.0), (6, "l", 2.0), (6, "k", 1.0)])
+    b = recs(spark, [(4, "k", 0.2), (4, "l", 0.1), (5, "l", 1.0)])
+    assert round(evaluate.same_top(a, b, 2).first()[0], 6) == round(1 / 3, 6)
+    assert evaluate.known_share(a, pairs(spark, [(4, "l"), (6, "l")]), 2).first()[0] == 0.4
 
 
 def test_split_boundaries_go_to_the_earlier_slice(spark):
@@ -89,32 +118,71 @@ def test_months_before_clamps_the_day(spark):
 
 
 def test_audit(spark):
-    six = listens(spark, [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a")])
-    r = prepare.audit_size(six).first()
-    assert (r.users, r.tracks, r.pairs, round(r.repeat_share, 6), round(r.density, 6)) == (3, 3, 5, round(1 / 6, 6), round(5 / 9, 6))
-    assert round(prepare.audit_top_share(six).first().top_share, 6) == round(4 / 6, 6)
-    v = spark.createDataFrame([(0,), (0,), (0,), (10,)], "v long")
-    assert prepare.gini(v, "v").first()[0] == 0.75
-    assert prepare.gini(v.where("v = 0"), "v").first()[0] == 0 == prepare.gini(v.limit(0), "v").first()[0]
+    seven = listens(spark, [(8, "x"), (8, "x"), (8, "x"), (8, "y"), (9, "x"), (9, "z"), (9, "z")])
+    r = prepare.audit_size(seven).first()
+    assert (r.listens, r.users, r.tracks, r.pairs, round(r.repeat_share, 6), round(r.density, 6)) == (7, 2, 3, 4, round(3 / 7, 6), round(4 / 6, 6))
+    top = prepare.audit_top_share(seven, 0.5, 3).first()  # half of three tracks, rounded to even, are two: four and two listens
+    assert (round(top.top_share, 6), round(top.under_few, 6)) == (round(6 / 7, 6), round(2 / 3, 6))
+    v = spark.createDataFrame([(1,), (1,), (4,)], "v long")  # 2 (1 + 2 + 12) / (3 * 6) - 4 / 3
+    assert round(prepare.gini(v, "v").first()[0], 9) == round(1 / 3, 9)
+    assert prepare.gini(v.withColumn("v", F.lit(0)), "v").first()[0] == 0 == prepare.gini(v.limit(0), "v").first()[0]
+
+
+def test_a_missing_file_is_a_row_of_the_audit(spark):
+    p = listens(spark, [(1, "x"), (2, "x"), (2, "y"), (2, "z")])
+    got = {r.file: (r.missing, r.tracks, r.listens) for r in prepare.audit_files(p, {"b": p.where("track_id = 'x'").select("track_id"), "a": None}).collect()}
+    assert got == {"a": (True, None, None), "b": (False, 1 / 3, 0.5)}
 
 
-POP = [(1, "a", 40), (2, "a", 50), (3, "a", 60), (1, "b", 1), (1, "b", 1), (1, "b", 2), (1, "b", 2), (1, "b", 3), (2, "c", 5), (3, "c", 0)]
+def test_prepared_sample_and_nobody_eligible(spark):
+    p = listens(spark, [(u, f"t{k}", k) for u in range(6) for k in range(u + 1)])
+    sample, meta = prepare.prepared(p, 1, 3, 2, "s")
+    users = {r.user_id for r in sample.collect()}
+    assert len(users) == 2 <= min(users) and meta["eligible"]["users"] == 4 and meta["raw"] == {"listens": 21, "users": 6, "tracks": 6}
+    assert meta["sample"]["listens"] == sum(u + 1 for u in users)
+    with pytest.raises(ValueError, match="no user"):
+        prepare.prepared(p, 1, 99, 2, "s")
 
 
 def test_popularity(spark):
-    p = listens(spark, POP)
+    # q: three listeners long ago; r: one listener six times this week; s: two listeners, one of them ten days ago
+    p = listens(spark, [(21, "q", 90), (22, "q", 80), (23, "q", 70), *[(21, "r", d) for d in range(1, 7)], (22, "s", 10), (23, "s", 2)])
     scores = lambda **k: {r.track_id: r.score for r in recommend.popularity(p, **k).collect()}
-    assert scores() == {"a": 3, "c": 2, "b": 1}
-    assert scores(count="listens") == {"b": 5, "a": 3, "c": 2}
-    assert scores(window_days=30) == {"c": 2, "b": 1}
+    assert scores() == {"q": 3, "r": 1, "s": 2}
+    assert scores(count="listens") == {"q": 3, "r": 6, "s": 2}
+    assert scores(window_days=7) == {"r": 1, "s": 1}
     out = recommend.popular_unseen(recommend.popularity(p), prepare.pairs(p), 2)
-    assert sorted(tuple(r) for r in out.collect()) == [(1, "c", 2.0), (2, "b", 1.0), (3, "b", 1.0)]
+    assert sorted(tuple(r) for r in out.collect()) == [(21, "s", 2.0), (22, "r", 1.0), (23, "r", 1.0)]
+    fresh = recommend.popular_unseen(recommend.popularity(p), prepare.pairs(p).where("user_id = 21"), 2, users=spark.createDataFrame([(21,), (99,)], "user_id long"))
+    assert sorted(tuple(r) for r in fresh.collect()) == [(21, "s", 2.0), (99, "q", 3.0), (99, "s", 2.0)]
+
+
+def test_popular_unseen_as_by_sorting(spark):
+    import random
 
+    rng = random.Random(4)
+    p = prepare.pairs(listens(spark, [(u, f"t{rng.randrange(30):02}") for u in range(12) for _ in range(rng.randrange(1, 25))]))
+    scores = recommend.popularity(p)
+    rank = [r.track_id for r in scores.orderBy(F.col("score").desc(), "track_id").collect()]
+    seen = {}
+    for r in p.collect():
+        seen.setdefault(r.user_id, set()).add(r.track_id)
+    want = sorted((u, t) for u, had in seen.items() for t in [t for t in rank if t not in had][:4])
+    assert sorted((r.user_id, r.track_id) for r in recommend.popular_unseen(scores, p, 4).collect()) == want
 
-def test_item_neighbours_count_themselves(spark):
-    p = listens(spark, [(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a")])
-    near = {(r.item, r.neighbour): round(r.similarity, 4) for r in recommend.item_neighbours(p, 2).collect()}
-    assert near[("a", "a")] == 1 and near[("a", "b")] == round(3**-0.5, 4) and ("a", "c") not in near
+
+def test_total_order_over_several_tasks(spark):
+    rows = spark.range(500).selectExpr("id", "id * 7 % 13 AS x").repartition(5)
+    got = sorted((r.x, r.id, r.place) for r in tables.placed(rows, "x", "id").collect())
+    assert [r[2] for r in got] == list(range(1, 501))
+
+
+def test_item_neighbours_count_themselves(spark, monkeypatch):
+    p = listens(spark, [(31, "d"), (31, "e"), (31, "f"), (32, "d"), (32, "e"), (33, "d"), (34, "f")])
+    want = {("d", "d"): 1.0, ("d", "e"): round(2 / 6**0.5, 6), ("e", "e"): 1.0, ("e", "d"): round(2 / 6**0.5, 6), ("f", "f"): 1.0, ("f", "e"): 0.5}
+    for chunk in (1024, 1):  # however a listener's tracks are dealt
+        monkeypatch.setattr(recommend, "CHUNK", chunk)
+        assert {(r.item, r.neighbour): round(r.similarity, 6) for r in recommend.item_neighbours(p, 2).collect()} == want
 
 
 def test_top_unseen_in_blocks_and_subsets(spark):
@@ -129,9 +197,9 @@ def test_top_unseen_in_blocks_and_subsets(spark):
 
 
 def test_fold_in_als(spark):
-    cells = spark.createDataFrame([(1, "a", 6.0, [1.0]), (2, "b", 6.0, [0.0])], "user_id long, track_id string, c double, vec array<double>")
-    out = {r.user_id: r.vec[0] for r in recommend.fold_in(cells, "user_id", np.array([[1.0]]), 8.0).collect()}
-    assert math.isclose(out[1], 6 / 14) and out[2] == 0
+    cells = spark.createDataFrame([(1, "a", 3.0, [2.0]), (1, "b", 2.0, [1.0]), (2, "c", 5.0, [0.0])], "user_id long, track_id string, c double, vec array<double>")
+    out = {r.user_id: r.vec[0] for r in recommend.fold_in(cells, "user_id", np.array([[5.0]]), 0.5).collect()}
+    assert math.isclose(out[1], (3 * 2 + 2 * 1) / (5 + 0.5 + 2 * 4 + 1 * 1)) and out[2] == 0
 
 
 def test_als_fits_better_than_chance(spark):
@@ -142,10 +210,10 @@ def test_als_fits_better_than_chance(spark):
 
 
 def test_vectors(spark):
-    v = spark.createDataFrame([("a", [3.0, 4.0]), ("z", [0.0, 0.0])], "track_id string, vec array<double>")
-    assert [r[0] for r in v.select(vectors.unit("vec")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
-    z = vectors.column_zscore(spark.createDataFrame([("a", [1.0, 5.0]), ("b", [3.0, 5.0])], "track_id string, vec array<double>"), "vec", 2)
-    assert sorted(r.vec for r in z.collect()) == [[-1.0, 0.0], [1.0, 0.0]]
+    v = spark.createDataFrame([("a", [2.0, -1.0, 2.0]), ("z", [0.0, 0.0, 0.0])], "track_id string, vec array<double>")
+    assert [[round(x, 9) for x in r[0]] for r in v.select(vectors.unit("vec")).collect()] == [[round(2 / 3, 9), round(-1 / 3, 9), round(2 / 3, 9)], [0.0, 0.0, 0.0]]
+    z = vectors.column_zscore(spark.createDataFrame([("a", [2.0, 7.0]), ("b", [2.0, 7.0]), ("c", [8.0, 7.0])], "track_id string, vec array<double>"), "vec", 2)
+    assert sorted([round(x, 6) for x in r.vec] for r in z.collect()) == [[round(-(0.5**0.5), 6), 0.0]] * 2 + [[round(2**0.5, 6), 0.0]]
 
 
 def test_recency_and_recent(spark):
@@ -178,30 +246,49 @@ def test_reasons(spark):
 def test_genre_group(spark):
     from recengine.plans.core import GENRE_RULES
 
-    g = spark.createDataFrame([("Pop Punk, rock",), (" post-rock",), ("zydeco",)], "g string").select(serving.genre_group(F.col("g"), GENRE_RULES))
-    assert [r[0] for r in g.collect()] == ["punk and hardcore", "rock", "other"]
+    g = spark.createDataFrame([("Melodic Metalcore, pop",), ("  Psychedelic Folk ",), ("throat singing",), ("Dub Techno",)], "g string").select(serving.genre_group(F.col("g"), GENRE_RULES))
+    assert [r[0] for r in g.collect()] == ["metal", "folk and country", "other", "electronic"]
 
 
 def test_popularity_groups(spark):
-    l = spark.createDataFrame([("a", 6), ("b", 3), ("c", 2), ("d", 1)], "track_id string, listeners long")
-    got = {r.track_id: (r.group, r.pct) for r in bias.popularity_groups(l, ["head", "middle", "tail"]).collect()}
-    assert got == {"a": ("head", 1.0), "b": ("middle", 0.75), "c": ("tail", 0.5), "d": ("tail", 0.25)}
+    # 20 listeners in all: shares begin at 0, 9, 13, 17 and 19 of 20
+    l = spark.createDataFrame([("g", 9), ("h", 4), ("i", 4), ("j", 2), ("k", 1)], "track_id string, listeners long")
+    got = {r.track_id: (r.group, r.pct) for r in bias.popularity_groups(l, ["top", "low"]).collect()}
+    assert got == {"g": ("top", 1.0), "h": ("top", 0.8), "i": ("low", 0.8), "j": ("low", 0.4), "k": ("low", 0.2)}
+
+
+def test_listener_groups_are_equal_and_ties_go_by_user(spark):
+    m = spark.createDataFrame([(u, x) for u, x in ((1, 0.5), (2, 0.1), (3, 0.5), (4, 0.9), (5, 0.5))], "user_id long, mainstream double")
+    assert {r.user_id: r.group for r in bias.listener_groups(m, ["low", "high"]).collect()} == {2: "low", 1: "low", 3: "low", 5: "high", 4: "high"}
 
 
+def test_measures_and_the_chosen_penalty(spark):
+    catalog = spark.createDataFrame([(c,) for c in "mnouvwyz"], "track_id string")
+    groups = spark.createDataFrame([(c, "old" if c < "o" else "new", 0.5) for c in "mnouvwyz"], "track_id string, group string, pct double")
+    got = evaluate.breakdown(recs(spark, SHOWN), pairs(spark, WANTED), pairs(spark, []), [3], 3, {"age": groups.drop("pct")})
+    users = spark.createDataFrame([(10, "a"), (11, "b")], "user_id long, group string")
+    out = {(r.measure, r.group): r.value for r in bias.measures(got, {"age": groups.drop("pct")}, groups, {"kind": users}, catalog, 3, resamples=20).collect()}
+    assert round(out["ndcg", ""], 6) == round(1.5 / THREE / 2, 6) and out["percentile", ""] == 0.5 and out["coverage", ""] == 0.625
+    assert out["places by age", "old"] == 0.2 and out["found by age", "old"] == 0.5 and out["users by kind", "a"] == 1 and out["low by kind", "b"] == 0
+    sweep = spark.createDataFrame([(0.0, 1.0), (0.2, 0.98), (0.4, 0.96), (0.8, 0.5), (1.6, 0.97)], "strength double, metric double")
+    assert bias.chosen_strength(sweep, 0.05).first()[0] == 1.6 and bias.chosen_strength(sweep.where("strength < 1"), 0.03).first()[0] == 0.2
+
 def test_exposure_and_concentration(spark):
-    r = recs(spark, [(1, "a", 2.0), (1, "b", 1.0), (2, "a", 2.0), (2, "c", 1.0)])
-    groups = spark.createDataFrame([("a", "head"), ("b", "tail"), ("c", "tail")], "track_id string, group string")
-    assert {x.group: x.share for x in bias.exposure(r, groups, 2).collect()} == {"head": 0.5, "tail": 0.5}
-    c = bias.concentration(r, spark.createDataFrame([(x,) for x in "abcd"], "track_id string"), 2).first()
-    assert (c.coverage, c.gini) == (0.75, 0.375)
+    r = recs(spark, [(u, t, s) for u in (1, 2, 3) for t, s in (("p", 3.0), ("q" if u < 3 else "r", 2.0), ("s", 1.0))])
+    groups = spark.createDataFrame([("p", "big"), ("q", "small")], "track_id string, group string")
+    assert {x.group: round(x.share, 6) for x in bias.exposure(r, groups, 2).collect()} == {"big": 0.5, "small": round(1 / 3, 6), "no group": round(1 / 6, 6)}
+    c = bias.concentration(r, spark.createDataFrame([(x,) for x in "pqrst"], "track_id string"), 2).first()  # places 0, 0, 1, 2, 3
+    assert (c.coverage, round(c.gini, 6)) == (0.6, round((2 * (3 * 1 + 4 * 2 + 5 * 3) - 6 * 6) / (5 * 6), 6))
 
 
 def test_penalised(spark):
-    r = recs(spark, [(1, "a", 3.0), (1, "b", 2.0), (1, "c", 1.0), (2, "a", 5.0)])
-    l = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1)], "track_id string, listeners long")
-    for strength, want in ((0.0, [1, 0, -1, 0]), (1.0, [0, 0, 0, 0]), (2.0, [-1, 0, 1, 0])):
-        got = {(x.user_id, x.track_id): round(x.score, 9) + 0 for x in bias.penalised(r, l, strength).collect()}
-        assert [got[k] for k in ((1, "a"), (1, "b"), (1, "c"), (2, "a"))] == want
+    r = recs(spark, [(7, "i", 8.0), (7, "j", 6.0), (8, "j", 4.0), (8, "k", 4.0), (9, "i", 1.0)])
+    l = spark.createDataFrame([("i", 50), ("j", 5), ("k", 2)], "track_id string, listeners long")
+    half = 0.5**0.5  # what either of two values is from their mean, in sample deviations
+    for strength in (0.0, 0.5, 3.0):
+        got = {(x.user_id, x.track_id): round(x.score, 9) for x in bias.penalised(r, l, strength).collect()}
+        want = {(7, "i"): half - strength * half, (7, "j"): strength * half - half, (8, "j"): -strength * half, (8, "k"): strength * half, (9, "i"): 0.0}
+        assert got == {k: round(v, 9) for k, v in want.items()}
 
 
 def test_pool_training_rows_rerank(spark):
@@ -278,3 +365,142 @@ def test_hold_outs_are_whole_and_repeatable(spark):
     a, b = (sorted(r.user_id for r in holdout.held_out(p, "user_id", 0.1, "s").collect()) for _ in range(2))
     assert a == b and len(a) == 4
     assert holdout.without(p, holdout.held_out(p, "user_id", 0.1, "s"), "user_id").count() == 36
+
+
+def walked(tree, x, known):
+    """What a tree gives on average if the features in ``known`` are known: a walk that follows those and averages by cover over others."""
+
+    def at(node):
+        f = tree.feature[node]
+        if f < 0:
+            return tree.value[node]
+        a, b = tree.left[node], tree.right[node]
+        if f in known:
+            return at(a if (tree.missing_left[node] if math.isnan(x[f]) else x[f] <= tree.threshold[node]) else b)
+        return (tree.cover[a] * at(a) + tree.cover[b] * at(b)) / (tree.cover[a] + tree.cover[b])
+
+    return at(0)
+
+
+def random_tree(rng, depth, features):
+    tree = trees.Tree()
+
+    def grow(node, depth, cover):
+        if depth == 0 or rng.random() < 0.15:
+            return
+        tree.feature[node], tree.threshold[node], tree.missing_left[node] = int(rng.integers(features)), float(rng.normal()), bool(rng.integers(2))
+        share = rng.uniform(0.1, 0.9)
+        tree.left[node] = tree.add(float(rng.normal()), cover * share)
+        grow(tree.left[node], depth - 1, cover * share)
+        tree.right[node] = tree.add(float(rng.normal()), cover * (1 - share))
+        grow(tree.right[node], depth - 1, cover * (1 - share))
+
+    grow(tree.add(0.0, 100.0), depth, 100.0)
+    return tree
+
+
+def test_shapley_values_by_their_definition():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    for _ in range(12):
+        tree, x = random_tree(rng, 4, 4), rng.normal(size=(5, 4))
+        x[rng.random(x.shape) < 0.2] = np.nan
+        got = trees.Paths(tree).contributions(x)
+        for row, c in zip(x, got, strict=True):
+            assert abs(c[-1] - walked(tree, row, set())) < 1e-9 and abs(c.sum() - walked(tree, row, {0, 1, 2, 3})) < 1e-9
+            for f in range(4):
+                others = [g for g in range(4) if g != f]
+                want = sum(math.factorial(n) * math.factorial(3 - n) / 24 * (walked(tree, row, {*s, f}) - walked(tree, row, set(s))) for n in range(4) for s in combinations(others, n))
+                assert abs(c[f] - want) < 1e-9
+
+
+def test_booster_options(spark):
+    rng = np.random.default_rng(2)
+    rows = [(u, f"t{k}", k, float(x := rng.normal()), float(rng.normal()), int(x > 0.8)) for u in range(40) for k in range(1, 9)]
+    df = spark.createDataFrame(rows, "user_id long, track_id string, tt_rank int, signal double, noise double, label int")
+    few = trees.fit(df, ["tt_rank", "signal", "noise"], trees=3, depth=1, subsample=0.5, colsample=0.34, seed=3, mean=True, least=1e-4)
+    again = trees.fit(df, ["tt_rank", "signal", "noise"], trees=3, depth=1, subsample=0.5, colsample=0.34, seed=3, mean=True, least=1e-4)
+    assert [t.feature[0] for t in few] == [t.feature[0] for t in again] and len({t.feature[0] for t in few}) > 1  # one feature a tree, drawn
+    fitted = trees.fit(df, ["signal", "noise"], objective="logistic", trees=4, depth=2, eta=0.5)
+    best, seen = trees.staged(fitted, ["signal", "noise"], df, 2, lambda scored: scored.agg(F.corr("model", "label")).first()[0])
+    assert [n for n, _ in seen] == [2, 4] and best in (2, 4)
+    assert trees.staged(fitted, ["signal", "noise"], df, 2, lambda scored: 1.0)[0] == 2  # a tie goes to fewer trees
+    found = trees.contributions(trees.sampled(df, 1, "x"), fitted, ["signal", "noise"])
+    sizes = [abs(r.contribution) for r in trees.explained(found).collect()]
+    assert len(sizes) == 2 and sizes == sorted(sizes, reverse=True)
+    assert trees.ablated({"a": ["x", "y"], "b": ["z"]}, lambda names: len(names)) == [("a", 1), ("b", 2)]
+
+
+def test_mean_pairs_divide_a_user_s_gradient(spark):
+    rows = [(1, "a", 1, 1, 0.0), (1, "b", 2, 0, 0.0), (1, "c", 3, 0, 0.0)]
+    df = spark.createDataFrame(rows, "user_id long, track_id string, tt_rank int, label int, _score double")
+    plain, mean = ({r.track_id: r["_g"] for r in trees.gradients(df, "ndcg", mean=m).collect()} for m in (False, True))
+    assert all(math.isclose(plain[t], 2 * mean[t]) for t in "abc") and abs(sum(plain.values())) < 1e-12 and plain["a"] < 0
+
+
+def test_towers_learn_from_ids_from_content_and_by_weight(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, f"t{t:02}", 1.0 + (u + t) % 3, -3.0) for u in range(30) for t in range(20) if t % 2 == u % 2 and rng.random() < 0.7]
+    pairs_ = spark.createDataFrame(rows, "user_id long, track_id string, weight double, log_q double")
+    users, items = list(range(30)), [f"t{t:02}" for t in range(20)]
+    side = np.array([[t % 2, 1 - t % 2, 1.0] for t in range(20)], float)
+    for options in ({}, {"content": side, "hidden": 8}, {"content": side, "hidden": 8, "use_id": False}, {"weighted": True}):
+        model, losses = twotower.fit(pairs_, users, items, dim=6, epochs=6, batch=64, **options)
+        score = model.user_vectors() @ model.track_vectors().T
+        own = np.array([[u % 2 == t % 2 for t in range(20)] for u in range(30)])
+        assert losses[-1] < losses[0] and score[own].mean() > score[~own].mean() + 0.3, options
+    stop, losses = twotower.fit(pairs_, users, items, dim=4, epochs=9, batch=64, patience=1, measure=lambda m, n=iter([0.5, 0.4, 0.9]): next(n))
+    assert len(losses) == 2  # the second epoch was no better
+    with pytest.raises(ValueError):
+        twotower.fit(pairs_, users, items, use_id=False)
+
+
+def test_content_network_s_gradient():
+    rng = np.random.default_rng(4)
+    c = twotower.Content.drawn(rng.normal(size=(5, 3)), 4, 2, rng)
+    rows, d = np.array([0, 2, 2]), rng.normal(size=(3, 2))
+    out, hidden = c.forward(rows)
+    for x, g in zip(c.parameters(), c.backward(rows, hidden, d), strict=True):
+        at = tuple(0 for _ in x.shape)
+        x[at] += 1e-6
+        moved = ((c.forward(rows)[0] - out) * d).sum() / 1e-6
+        x[at] -= 1e-6
+        assert abs(moved - g[at]) < 1e-4
+
+
+def test_weighted_draws_come_as_often_as_their_weight(spark):
+    coded = spark.range(400).selectExpr("cast(id as int) AS u", "0 AS t", "0.0 AS log_q", "IF(id % 2 = 0, 3.0D, 1.0D) AS weight")
+    drawn = np.concatenate([b[0] for b in twotower.batches(coded, 64, 1, True)])
+    assert 1.3 < (drawn % 2 == 0).sum() / 200 < 1.7 and 0.4 < (drawn % 2 == 1).sum() / 200 < 0.6
+    assert len(np.concatenate([b[0] for b in twotower.batches(coded, 64, 1, False)])) == 400
+
+
+def test_reports():
+    assert reporting.stable_json({"b": [1 / 3], "a": 2}) == '{\n  "b": [\n    0.3333333333\n  ],\n  "a": 2\n}\n'
+    assert reporting.markdown([{"x": 0.5, "y": "a|b"}, {"x": None}], ["x", "y"]) == "| x | y |\n| --- | --- |\n| 0.5000 | a\\|b |\n|  |  |\n"
+    made = reporting.page(f"<script>const d = {reporting.SLOT};</script>", {"t": "</script>\u2028x"})
+    assert made.count("</script>") == 1 and "\\u2028" in made
+    with pytest.raises(ValueError):
+        reporting.page("no slot", {})
+    rows = [{"title": "Blue Train", "artist": "Coltrane"}, {"title": "So What", "artist": "Davis"}]
+    assert reporting.matching(rows, " blue COL", ["title", "artist"]) == rows[:1] and reporting.matching(rows, "", ["title"]) == rows
+    assert reporting.bars([("a<b", 2.0), ("c", -1.0)], "t").count("<rect") == 2
+
+
+def test_small_results_only(spark):
+    assert reporting.records(spark.range(2).selectExpr("id", "struct(id AS x) AS s")) == [{"id": 0, "s": {"x": 0}}, {"id": 1, "s": {"x": 1}}]
+    with pytest.raises(ValueError):
+        reporting.records(spark.range(5), most=4)
+
+
+def test_vectors_from_seeds_and_codes(spark):
+    ids = spark.range(2000).selectExpr("id AS user_id")
+    x = np.array([r.vec for r in recommend.random_vectors(ids, "user_id", 3, "s").collect()])
+    assert abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
+    same, other = ({r.user_id: r.vec for r in recommend.random_vectors(d, "user_id", 2, s).collect()} for d, s in ((ids.limit(5).repartition(3), "s"), (ids.limit(5), "t")))
+    assert all(same[k] == {r.user_id: r.vec for r in recommend.random_vectors(ids, "user_id", 2, "s").where("user_id < 5").collect()}[k] != other[k] for k in same)
+    tracks_ = spark.createDataFrame([("a", "Z"), ("b", "M"), ("c", None), ("d", "Z")], "track_id string, artist string")
+    assert {r.track_id: r.code for r in serving.coded(tracks_, "artist").collect()} == {"a": 1, "b": 0, "c": None, "d": 1}
+    assert [r[0] for r in tracks_.select(serving.replaced(F.col("artist"), {"Z": "zed"}, "?")).collect()] == ["zed", "?", "?", "zed"]
+

@@ -58,3 +58,63 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q = streams.first_plays(streams.read_events(spark, str(tmp_path / "in"), 100), "60 days").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*) FROM firsts").first()[0] == events.select("user_id", F.get_json_object("props", "$.k")).distinct().count()
+
+
+def test_a_file_is_fetched_resumed_and_checked(tmp_path):
+    import hashlib
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    whole, asked = bytes(range(256)) * 40, []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            start = int(self.headers.get("Range", "bytes=0-")[6:-1])
+            asked.append(start)
+            self.send_response(206 if start else 200)
+            self.end_headers()
+            self.wfile.write(whole[start:])
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, md5, target = f"http://127.0.0.1:{server.server_port}/x", hashlib.md5(whole).hexdigest(), tmp_path / "x.bin"
+    (tmp_path / "x.bin.part").write_bytes(whole[:1000])
+    assert ingest.fetch(url, target, md5).read_bytes() == whole and asked == [1000]
+    ingest.fetch(url, target, md5)
+    assert asked == [1000]  # right already
+    (tmp_path / "y.bin.part").write_bytes(b"wrong")
+    assert ingest.fetch(url, tmp_path / "y.bin", md5).read_bytes() == whole and asked == [1000, 5, 0]
+    with pytest.raises(ValueError, match="digest"):
+        ingest.fetch(url, tmp_path / "z.bin", "0" * 32)
+    server.shutdown()
+
+
+def test_vector_store(spark, tmp_path):
+    v = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [3.0, 4.0])], "track_id string, vec array<double>")
+    ingest.write_vectors(v, str(tmp_path / "v"), {"model": "m"})
+    back, meta = ingest.read_vectors(spark, str(tmp_path / "v"))
+    assert sorted((r.track_id, r.vec) for r in back.collect()) == [("a", [3.0, 4.0]), ("b", [1.0, 2.0])]
+    assert meta == {"model": "m", "rows": 2, "dim": 2, "id": "track_id"}
+    for bad in (v.unionByName(v), spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], v.schema)):
+        with pytest.raises(ValueError):
+            ingest.write_vectors(bad, str(tmp_path / "w"), {})
+
+
+def test_checksum_and_bundle_meta(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f").write_bytes(b"abc")
+    r = ingest.checksum(spark, str(tmp_path / "f")).first()
+    assert (r["size"], r.md5) == (3, hashlib.md5(b"abc").hexdigest())
+    listens = spark.sql("SELECT * FROM VALUES (1L, 'a', TIMESTAMP_NTZ'2021-01-02 03:04:05'), (2L, 'a', TIMESTAMP_NTZ'2020-01-01 00:00:00') AS t(user_id, track_id, timestamp)")
+    meta = ingest.bundle_meta(listens, {"recent": 28})
+    assert meta == {"recent": 28, "now": "2021-01-02 03:04:05.000000", "listens": 2, "users": 2}
+    tables = {"listens": listens, "user_vectors": spark.createDataFrame([(1, [1.0]), (9, [1.0])], "user_id long, vec array<double>")}
+    with pytest.raises(ValueError, match="without listens"):
+        ingest.write_bundle(str(tmp_path / "b"), tables, meta)
+    ingest.write_bundle(str(tmp_path / "b"), {**tables, "user_vectors": tables["user_vectors"].where("user_id = 1")}, meta)
+    back, again = ingest.read_bundle(spark, str(tmp_path / "b"), ["listens", "user_vectors"])
+    assert again == meta and ingest.user_listens(back, spark.createDataFrame([(2,)], "user_id long")).count() == 1
