@@ -51,13 +51,14 @@ def written(source: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
         from pyspark import TaskContext
 
         fs, base = store(where)
-        writer, opened, held, size = None, f"{base}/_{uuid.uuid4().hex}", [], 0
+        writer, sink, opened, held, size = None, None, f"{base}/_{uuid.uuid4().hex}", [], 0
 
         def flush() -> None:
-            nonlocal writer, held, size
+            nonlocal writer, sink, held, size
             if writer is None:
                 fs.create_dir(base, recursive=True)
-                writer = parquet.ParquetWriter(fs.open_output_stream(opened), target, compression="zstd", use_dictionary=False)
+                sink = fs.open_output_stream(opened)
+                writer = parquet.ParquetWriter(sink, target, compression="zstd", use_dictionary=False)
             writer.write_table(pa.Table.from_batches(held, target))
             held, size = [], 0
 
@@ -71,10 +72,8 @@ def written(source: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
         if held:
             flush()
         if writer is not None:
-            sink = writer.file_handle
             writer.close()
-            if sink is not None:
-                sink.close()
+            sink.close()
             fs.move(opened, f"{base}/part-{TaskContext.get().partitionId():07d}.parquet")
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["files"])
 
