@@ -128,63 +128,65 @@ def utc(text: Column) -> Column:
     return F.coalesce(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local), F.when(~zoned, text).try_cast("timestamp_ntz"))
 
 
-def _counted(value: Column, noun: str) -> Column:
-    n = F.round(F.expm1(value)).cast("long")
-    return _plural(n, noun)
-
-
-def _plural(n: Column, noun: str) -> Column:
-    return F.concat(F.format_number(n, 0), F.lit(" "), F.lit(noun), F.when(n == 1, "").otherwise("s"))
-
-
-def _percent(value: Column) -> Column:
-    return F.concat(F.bround(value * 100).cast("long").cast("string"), F.lit("%"))
-
-
-def _signed(value: Column) -> Column:
-    return F.format_string("%+.1f", value)
+#: What the service says of a feature. {v} stands for its value, written as the second entry names; {recent} and {short} for days.
+TEXTS = {
+    "tt_rank": ("the retrieval model's number {v} candidate for them", "whole"),
+    "tt_z": ("its retrieval score is {v} standard deviations from their average candidate", "signed"),
+    "als_rank": ("a second model, ALS, puts it at number {v} of their candidates", "whole"),
+    "als_z": ("its ALS score is {v} standard deviations from their average candidate", "signed"),
+    "track_listeners": ("{v} in all", "listener"),
+    "track_listeners_recent": ("{v} in the last {recent} days", "listener"),
+    "track_listeners_short": ("{v} in the last {short} days", "listener"),
+    "track_recent_share": ("{v} of its listeners played it in the last {recent} days", "percent"),
+    "track_discovery_rate": ("{v} of its recent listeners were hearing it for the first time", "percent"),
+    "recent_affinity": ("close to what they played in the last {recent} days", ""),
+    "sim_audio": ("it sounds like what they have played", ""),
+    "sim_lyrics": ("its lyrics are close to what they have played", ""),
+    "sim_genres": ("its genres match what they have played", ""),
+    "pop_gap": ("{v} popular than what they usually play", "compared"),
+    "artist_tracks": ("has played {v} by this artist", "other track"),
+    "artist_play_share": ("{v} of their plays are by this artist", "percent"),
+    "artist_days_since": ("{v}", "ago"),
+    "artist_catalog_share": ("has played {v} of this artist's tracks", "percent"),
+    "album_tracks": ("has played {v} from this album", "track"),
+    "artist_listeners": ("{v} play this artist", "listener"),
+}
+#: Of a feature without a value, and of all features of the listener alone.
+MISSING = {
+    "artist_days_since": "has never played this artist",
+    "recent_affinity": "has played nothing in the last {recent} days to compare it with",
+    "sim_lyrics": "it has no lyrics on file",
+}
+LISTENER = "how this listener listens in general"
+
+
+def _numbered(n: Column, noun: str) -> Column:
+    return F.format_string("%s " + noun + "%s", F.format_number(n, 0), F.when(n == 1, "").otherwise("s"))
+
+
+def _written(value: Column, how: str) -> Column:
+    """A feature's value in the form that ``TEXTS`` names; any other name is a noun that is counted (the feature is the log of 1 and the count)."""
+    days = F.bround(value).cast("long")
+    forms = {
+        "": F.lit(""),
+        "whole": value.cast("long").cast("string"),
+        "signed": F.format_string("%+.1f", value),
+        "percent": F.format_string("%d%%", F.bround(value * 100).cast("long")),
+        "compared": F.when(value > 0, "more").otherwise("less"),
+        "ago": F.when(days == 0, "played this artist within the last day").otherwise(F.format_string("last played this artist %s ago", _numbered(days, "day"))),
+    }
+    return forms[how] if how in forms else _numbered(F.round(F.expm1(value)).cast("long"), how)
 
 
 def reason(feature: Column, value: Column, recent: int, short: int) -> Column:
     """One feature's value in words; what a service says about a place in a list."""
-    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    whole = value.cast("long").cast("string")
-    # The texts that users of the service see.
-    missing = {
-        "artist_days_since": say("has never played this artist"),
-        "recent_affinity": say(f"has played nothing in the last {recent} days to compare it with"),
-        "sim_lyrics": say("it has no lyrics on file"),
-    }
-    days = F.bround(value).cast("long")
-    texts = {
-        "tt_rank": say("the retrieval model's number ", whole, " candidate for them"),
-        "tt_z": say("its retrieval score is ", _signed(value), " standard deviations from their average candidate"),
-        "als_rank": say("a second model, ALS, puts it at number ", whole, " of their candidates"),
-        "als_z": say("its ALS score is ", _signed(value), " standard deviations from their average candidate"),
-        "track_listeners": say(_counted(value, "listener"), " in all"),
-        "track_listeners_recent": say(_counted(value, "listener"), f" in the last {recent} days"),
-        "track_listeners_short": say(_counted(value, "listener"), f" in the last {short} days"),
-        "track_recent_share": say(_percent(value), f" of its listeners played it in the last {recent} days"),
-        "track_discovery_rate": say(_percent(value), " of its recent listeners were hearing it for the first time"),
-        "recent_affinity": say(f"close to what they played in the last {recent} days"),
-        "sim_audio": say("it sounds like what they have played"),
-        "sim_lyrics": say("its lyrics are close to what they have played"),
-        "sim_genres": say("its genres match what they have played"),
-        "pop_gap": say(F.when(value > 0, "more").otherwise("less"), " popular than what they usually play"),
-        "artist_tracks": say("has played ", _counted(value, "other track"), " by this artist"),
-        "artist_play_share": say(_percent(value), " of their plays are by this artist"),
-        "artist_days_since": F.when(days == 0, "played this artist within the last day").otherwise(say("last played this artist ", _plural(days, "day"), " ago")),
-        "artist_catalog_share": say("has played ", _percent(value), " of this artist's tracks"),
-        "album_tracks": say("has played ", _counted(value, "track"), " from this album"),
-        "artist_listeners": say(_counted(value, "listener"), " play this artist"),
-    }
-    user_text = "how this listener listens in general"
-    out = F.when(feature.startswith("user_"), F.lit(user_text))
-    for name, text in missing.items():
-        out = out.when((feature == name) & value.isNull(), text)
-    out = out.when(value.isNull(), say("no value for ", feature))
-    for name, text in texts.items():
-        out = out.when(feature == name, text)
+    days = {"recent": recent, "short": short}
+    out = F.when(feature.startswith("user_"), F.lit(LISTENER))
+    for name, text in MISSING.items():
+        out = out.when((feature == name) & value.isNull(), F.lit(text.format(**days)))
+    out = out.when(value.isNull(), F.concat(F.lit("no value for "), feature))
+    for name, (text, how) in TEXTS.items():
+        out = out.when(feature == name, F.replace(F.lit(text.format(v="{v}", **days)), F.lit("{v}"), _written(value, how)))
     return out
 
 
