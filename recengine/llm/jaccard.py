@@ -424,25 +424,30 @@ def _halved(fold: np.ndarray, words: int) -> np.ndarray:
 
 
 def _compared(percent: int, most: int):
-    """Two blocks of a key's nodes, or one with itself: pairs of different components whose folded sketches allow the similarity. Of a
-    node's partners the first ``most`` are given, and ``cut`` tells if there are more."""
+    """The nodes of two blocks, or of one, key by key: pairs of different components whose folded sketches allow the similarity, each once.
+    Of a node's partners under a key the first ``most`` are given, and ``cut`` tells if there are more."""
 
     def task(table: pa.Table) -> pa.Table:
-        node, size, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "_block"))
-        folds = [x.values.to_numpy() for x in table.column("fold")]
-        least = min(map(len, folds))
-        words = np.array([_halved(f.view(_U), least) for f in folds])
-        out: list[tuple[int, int]] = []
+        key, node, size, label, block = (table.column(c).to_numpy() for c in ("key", "node", "n", "label", "_block"))
+        low, high = table.column("_low")[0].as_py(), table.column("_high")[0].as_py()
+        folds = [x.values.to_numpy().view(_U) for x in table.column("fold")]
+        order = np.argsort(key, kind="stable")
+        out: set[tuple[int, int]] = set()
         cut = False
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        for k, i in enumerate(left):
-            others = right[k + 1 :] if left[0] == right[0] else right
-            others = others[(label[others] != label[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
-            apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
-            near = others[apart * (100 + percent) <= (size[others] + size[i]) * (100 - percent)]
-            cut |= len(near) > most
-            out += [(int(node[i]), int(node[j])) for j in near[:most]]
-        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64()), "cut": pa.array([cut] * len(out), pa.bool_())})
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            left, right = rows[block[rows] == low], rows[block[rows] == high]
+            if not len(left) or not len(right):
+                continue
+            least = min(len(folds[k]) for k in rows)
+            words = np.array([_halved(folds[k], least) for k in right])
+            for k, i in enumerate(left):
+                some = np.flatnonzero((label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])))
+                some = some[some > k] if low == high else some
+                apart = np.bitwise_count(words[some] ^ _halved(folds[i], least)).sum(axis=1, dtype=np.int64)
+                near = right[some[apart * (100 + percent) <= (size[right[some]] + size[i]) * (100 - percent)]]
+                cut |= len(near) > most
+                out.update((min(x, int(node[i])), max(x, int(node[i]))) for x in node[near[:most]].tolist())
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64()), "cut": pa.array([cut] * len(out), pa.bool_())})
 
     return task
 
@@ -450,20 +455,22 @@ def _compared(percent: int, most: int):
 def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int, most: int) -> DataFrame | None:
     """Pairs (a, b, cut) of different components that keys of several nodes (``crowd``: key, node) still hold and sketches allow; None if no key holds two.
 
-    Keys with the same nodes count once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks.
+    Keys with the same nodes count once, and keys with the same first node meet in the same tasks, so that a pair that shares many keys is given
+    once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks of a key.
     """
     told = kept(crowd.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")))
     mark = F.xxhash64("node")
-    held = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_k"), F.bit_xor(mark).alias("_one"), F.bit_xor(F.xxhash64(mark)).alias("_two"))
-    open_ = kept(held.where("_x < _y").groupBy("_k", "_one", "_two").agg(F.min("key").alias("key")).select("key", "_k"))
+    held = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_k"), F.min("node").alias("first"), F.bit_xor(mark).alias("_one"), F.bit_xor(F.xxhash64(mark)).alias("_two"))
+    single = held.where("_x < _y").groupBy("_k", "first", "_one", "_two").agg(F.min("key").alias("key"))
+    open_ = kept(single.select("key", "first", F.ceil(F.max("_k").over(Window.partitionBy("first")) / BLOCK).alias("_blocks")))
     if open_.isEmpty():
         return None
     members = kept(told.join(bounded(open_), "key"))
     values = _folds(docs, kept(members.select("node").distinct()), words)
-    placed = members.join(values, "node").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK)).withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
+    placed = members.join(values, "node").withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
     sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks", "_k")
-    found = kept(pair.groupBy("key", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
+    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
+    found = kept(pair.groupBy("first", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
     return kept(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), found.count())
 
 
