@@ -455,22 +455,22 @@ def _compared(percent: int, most: int):
 def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int, most: int) -> DataFrame | None:
     """Pairs (a, b, cut) of different components that keys of several nodes (``crowd``: key, node) still hold and sketches allow; None if no key holds two.
 
-    Keys with the same nodes count once, and keys with the same first node meet in the same tasks, so that a pair that shares many keys is given
+    Keys with the same nodes count once, and keys with the same first node and as many blocks meet in the same tasks, so that a pair that shares many keys is given
     once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks of a key.
     """
     told = kept(crowd.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")))
     mark = F.xxhash64("node")
     held = told.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_k"), F.min("node").alias("first"), F.bit_xor(mark).alias("_one"), F.bit_xor(F.xxhash64(mark)).alias("_two"))
     single = held.where("_x < _y").groupBy("_k", "first", "_one", "_two").agg(F.min("key").alias("key"))
-    open_ = kept(single.select("key", "first", F.ceil(F.max("_k").over(Window.partitionBy("first")) / BLOCK).alias("_blocks")))
+    open_ = kept(single.select("key", "first", F.ceil(F.col("_k") / BLOCK).alias("_blocks")))
     if open_.isEmpty():
         return None
     members = kept(told.join(bounded(open_), "key"))
     values = _folds(docs, kept(members.select("node").distinct()), words)
     placed = members.join(values, "node").withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
     sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other", "_blocks")
-    found = kept(pair.groupBy("first", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
+    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other")
+    found = kept(pair.groupBy("first", "_blocks", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
     return kept(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), found.count())
 
 
