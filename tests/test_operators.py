@@ -504,3 +504,59 @@ def test_vectors_from_seeds_and_codes(spark):
     assert {r.track_id: r.code for r in serving.coded(tracks_, "artist").collect()} == {"a": 1, "b": 0, "c": None, "d": 1}
     assert [r[0] for r in tracks_.select(serving.replaced(F.col("artist"), {"Z": "zed"}, "?")).collect()] == ["zed", "?", "?", "zed"]
 
+
+
+def _split(ids, vectors_, cuts):
+    """Vectors in blocks that end at ``cuts``."""
+    import pyarrow as pa
+
+    return (recommend.Block(pa.array(ids[a:b]), *recommend._distinct(vectors_[a:b])) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True))
+
+
+def test_agreement_makes_no_rows_of_users_by_tracks(spark):
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "user_id long, vec array<double>")
+    tracks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "track_id string, vec array<double>")
+    lists = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 1), (2, "b", 2)], "user_id long, track_id string, rank int")
+    found = recommend.agreement(lists, users, tracks, pairs(spark, [(1, "a"), (2, "x")]), 2)
+    assert found.first().agreement == 0.75  # the second place of listener 1 is c
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
+
+
+def test_nearest_orders_ties_and_copies_as_plain_sorting(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(recommend, "TILE", (3, 4))
+    for trial in range(60):
+        d, m, size, n = (int(rng.integers(1, k)) for k in (5, 12, 80, 9))
+        tracks = rng.integers(-1, 2, (size, d)).astype(float) if trial % 2 else rng.normal(size=(size, d))[rng.integers(0, size, size)]
+        users = rng.integers(-1, 2, (m, d)).astype(float) if trial % 2 else rng.normal(size=(m, d))
+        ids, cuts = [f"{k:03}" for k in range(size)], sorted({int(k) for k in rng.integers(1, size, 2)} if size > 1 else [])
+        who, what = np.nonzero(rng.random((m, size)) < 0.3)
+        scores = np.round(users @ tracks.T, 12)
+        scores[who, what] = -np.inf
+        want = [[int(j) for j in np.lexsort((np.arange(size), -np.round(x, 9))) if np.isfinite(x[j])][:n] for x in scores]
+        for search in (recommend.nearest, recommend.plainly):
+            best, where = search(users, who, pa.array([ids[k] for k in what], pa.string()), _split(ids, tracks, cuts), n)
+            assert [w[np.isfinite(b)].tolist() for b, w in zip(best, where, strict=True)] == want
+
+
+def test_nearest_does_not_sort_what_cannot_count():
+    """The search costs a few times the plain products, not the sorting of all scores, which is some forty times."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    users, tracks = rng.normal(size=(512, 64)), rng.normal(size=(40_000, 64))
+    ids = [f"{k:05}" for k in range(len(tracks))]
+    block, none = next(_split(ids, tracks, [])), np.array([], np.int64)
+
+    def took(work):
+        at = time.process_time()
+        work()
+        return time.process_time() - at
+
+    plain = min(took(lambda: users @ tracks.T) for _ in range(3))
+    assert min(took(lambda: recommend.nearest(users, none, pa.array([], pa.string()), iter([block]), 20)) for _ in range(3)) < 12 * plain
