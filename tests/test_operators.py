@@ -560,3 +560,22 @@ def test_nearest_does_not_sort_what_cannot_count():
 
     plain = min(took(lambda: users @ tracks.T) for _ in range(3))
     assert min(took(lambda: recommend.nearest(users, none, pa.array([], pa.string()), iter([block]), 20)) for _ in range(3)) < 12 * plain
+
+
+def _searches(spark, name):
+    """How often the plan of a registered query holds the search of all tracks, written tables aside."""
+    from recengine import catalog
+
+    return catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_penalty_sweep_searches_once(spark):
+    assert _searches(spark, "bias_chosen") == 0  # the lists are a written table, which all strengths read
+
+
+def test_service_folds_users_in_once(spark):
+    from recengine.plans import models
+
+    s = models.served(spark, "/root/testdata/sf0.001")
+    for table in (s.tt_users, s.als_users, s.listens):
+        assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString() and "get_json_object" not in table._jdf.queryExecution().optimizedPlan().toString()
