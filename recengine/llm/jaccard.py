@@ -24,7 +24,8 @@ becomes all its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recengine.llm import _text
-from recengine.llm.shared import bounded, kept, written
+from recengine.llm.shared import bounded, folder, get, kept, put, written
 
 WORDS, PERCENT = 3, 90
 #: The least ratio of one band's sizes to those of the band before; 100 / percent if that is more, so that linked sets are in one band or two neighbouring ones.
@@ -452,11 +453,42 @@ def _compared(percent: int, most: int):
     return task
 
 
+def _between(placed: DataFrame, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``compare`` for each two blocks, or one with itself, of those with the same first node and number of blocks."""
+    spark = placed.sparkSession
+    where = f"{folder(spark)}/recengine/{uuid.uuid4().hex}"
+
+    def file(table: pa.Table) -> pa.Table:
+        first, blocks, block = (table.column(c)[0].as_py() for c in ("first", "_blocks", "_block"))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        put(path := f"{where}/{first}-{blocks}-{block}", sink.getvalue())
+        return pa.table({"first": [first], "_blocks": [blocks], "_block": [block], "path": [path]})
+
+    files = kept(placed.groupBy("first", "_blocks", "_block").applyInArrow(file, "first long, _blocks long, _block long, path string"))
+    right = files.select("first", "_blocks", F.col("_block").alias("_high"), F.col("path").alias("_with"))
+    both = files.withColumnRenamed("_block", "_low").join(right, ["first", "_blocks"]).where("_low <= _high")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda path: pa.ipc.open_stream(get(path)).read_all()
+        for batch in batches:
+            for low, high, one, two in zip(*(batch.column(c).to_pylist() for c in ("_low", "_high", "path", "_with")), strict=True):
+                table = read(one) if low == high else pa.concat_tables([read(one), read(two)])
+                table = table.append_column("_low", pa.array([low] * len(table), pa.int64())).append_column("_high", pa.array([high] * len(table), pa.int64()))
+                yield from compare(table).combine_chunks().to_batches()
+
+    # a row is a comparison of two blocks: dealt by number, as its size in bytes says nothing of its work
+    dealt = both.select("_low", "_high", "path", "_with").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "_with")
+    return dealt.mapInArrow(_text.trimmed(task), "a long, b long, cut boolean")
+
+
 def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int, percent: int, most: int) -> DataFrame | None:
     """Pairs (a, b, cut) of different components that keys of several nodes (``crowd``: key, node) still hold and sketches allow; None if no key holds two.
 
     Keys with the same nodes count once, and keys with the same first node and as many blocks meet in the same tasks, so that a pair that shares many keys is given
-    once. Of a key's k nodes each is sent to k / BLOCK tasks, and no task gets more than two blocks of a key.
+    once. Nodes travel once: keys of one block are compared where they meet, and of larger ones each block becomes a file, which the tasks of its pairs of
+    blocks read. So the rows are as many as the nodes, and those of pairs as many as (k / BLOCK) squared / 2 for a key of k nodes; no task holds more than two blocks.
     """
     told = kept(crowd.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")))
     mark = F.xxhash64("node")
@@ -468,9 +500,12 @@ def _unsettled(docs: DataFrame, crowd: DataFrame, labels: DataFrame, words: int,
     members = kept(told.join(bounded(open_), "key"))
     values = _folds(docs, kept(members.select("node").distinct()), words)
     placed = members.join(values, "node").withColumn("_block", F.pmod(F.xxhash64("node"), "_blocks"))
-    sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    pair = sent.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_other")
-    found = kept(pair.groupBy("first", "_blocks", "_low", "_high").applyInArrow(_compared(percent, most), "a long, b long, cut boolean"))
+    compare = _compared(percent, most)
+    alone = placed.where("_blocks = 1").withColumn("_low", F.lit(0).cast("long")).withColumn("_high", F.lit(0).cast("long"))
+    found = alone.groupBy("first").applyInArrow(compare, "a long, b long, cut boolean")
+    if not open_.where("_blocks > 1").isEmpty():
+        found = found.unionByName(_between(placed.where("_blocks > 1"), compare))
+    found = kept(found)
     return kept(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), found.count())
 
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recengine.llm import jaccard
 
@@ -132,3 +133,17 @@ def test_long_texts_and_words_whose_polynomials_agree(spark):
     rows = [(1, x), (2, y), (3, x + " b c d"), (4, y + " b c d"), (5, long), (6, long + " tail of it")]
     got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_blocks_are_compared_without_a_row_for_each_node_and_block(spark, monkeypatch):
+    """200 nodes of one key in blocks of 4 are 50 blocks: the tables that are compared have 200 rows, not 200 for each of 50 blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    seen = []
+    plain = jaccard.kept
+    monkeypatch.setattr(jaccard, "kept", lambda df, rows=None: seen.append(df._jdf.queryExecution().analyzed().toString()) or plain(df, rows))
+    docs = spark.createDataFrame([(k, " ".join([f"w{j}" for j in range(150)] + [f"x{k}_{j}" for j in range(5)])) for k in range(200)], "doc_id long, text string")
+    crowd = plain(docs.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("node")))
+    labels = plain(docs.where("doc_id < 0").select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")))
+    found = jaccard._unsettled(docs, crowd, labels, 3, 90, 1000)
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in range(200) for b in range(a + 1, 200)}
+    assert not any("Generate explode(sequence(" in x for x in seen)
