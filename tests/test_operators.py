@@ -579,3 +579,36 @@ def test_service_folds_users_in_once(spark):
     s = models.served(spark, "/root/testdata/sf0.001")
     for table in (s.tt_users, s.als_users, s.listens):
         assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString() and "get_json_object" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_holds_places_back_and_finds_the_same(monkeypatch):
+    """After the first tile places are put in order some thousands at once, and whatever is held back, ties and copies come as from plain sorting."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    merged, calls = recommend._merged, []
+    monkeypatch.setattr(recommend, "_merged", lambda *a: (calls.append(1), merged(*a))[1])
+    users, tracks = rng.normal(size=(1024, 16)), rng.normal(size=(16_384, 16))
+    none = np.array([], np.int64), pa.array([], pa.string())
+    got = recommend.nearest(users, *none, _split([f"{k:05}" for k in range(16_384)], tracks, []), 5)
+    assert len(calls) < 8  # four tiles of 4096 tracks by four of 256 users are sixteen
+    monkeypatch.setattr(recommend, "TILE", (7, 8))
+    for narrow, held in ((1, 1), (3, 5), (8, 1000)):
+        monkeypatch.setattr(recommend, "NARROW", narrow)
+        monkeypatch.setattr(recommend, "HELD", held)
+        ids, coarse = [f"{k:03}" for k in range(120)], rng.integers(-1, 2, (120, 3)).astype(float)
+        asked = rng.integers(-1, 2, (20, 3)).astype(float)
+        who, what = np.nonzero(rng.random((20, 120)) < 0.1)
+        had = pa.array([ids[k] for k in what], pa.string())
+        a, b = (search(asked, who, had, _split(ids, coarse, [50, 51]), 6) for search in (recommend.nearest, recommend.plainly))
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    some = recommend.plainly(users[:40], *none, _split([f"{k:05}" for k in range(16_384)], tracks, []), 5)
+    assert (got[1][:40] == some[1]).all()
+
+
+def test_search_is_dealt_over_several_tasks_a_core(spark):
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "user_id long, vec array<double>")
+    tracks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "track_id string, vec array<double>")
+    found = recommend.top_unseen(users, tracks, pairs(spark, [(1, "a")]), 1)
+    assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.user_id, r.track_id) for r in found.collect()) == [(1, "b"), (2, "b")]
