@@ -118,3 +118,28 @@ def test_checksum_and_bundle_meta(spark, tmp_path):
     ingest.write_bundle(str(tmp_path / "b"), {**tables, "user_vectors": tables["user_vectors"].where("user_id = 1")}, meta)
     back, again = ingest.read_bundle(spark, str(tmp_path / "b"), ["listens", "user_vectors"])
     assert again == meta and ingest.user_listens(back, spark.createDataFrame([(2,)], "user_id long")).count() == 1
+
+
+def test_keys_of_events_are_those_of_the_parser(spark, tmp_path):
+    """What is cut out without the parser is what the parser gives, whatever the text looks like."""
+    from pyspark.sql import functions as F
+    from recengine.sources import views
+
+    texts = ['{"k": 7}', '{"k": 0}', '{"k": 07}', '{"k": 12345}', '{"k": }', '{"k": "7"}', '{"k": 1.5}', '{"k": -3}', '{"k": 1e3}', '{"k":7}', '{"k": 7, "j": 1}', '{"j": 2}', "", "{", '{"k": 7', None, '{"k": 12345678901234567890}', '{"k": null}', '{"k": {"a": 1}}', '{"k":  7}', '{"k": 7 }', '{"k": ١}']
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "user_id long, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/events.parquet").select("user_id", views.padded(F.get_json_object("props", "$.k"), 3).alias("track_id"))
+    got = {r.user_id: r.track_id for r in views.listens_ev(spark, str(tmp_path)).collect()}
+    assert got == {r.user_id: r.track_id for r in whole.collect()} and got[0] == "007" and got[3] == "12345"
+
+
+def test_bias_and_difference_read_the_events_once(spark, monkeypatch):
+    from recengine.plans import core
+    from recengine.sources import views
+
+    read, listens = [], views.listens_ev
+    monkeypatch.setattr(views, "listens_ev", lambda *a: (read.append(1), listens(*a))[1])
+    for name in ("bias_ratio", "bias_penalised", "bias_measures", "eval_difference"):
+        read.clear()
+        found = getattr(core, name)(spark, "/root/testdata/sf0.001")
+        assert len(read) == 1, name
+        assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
