@@ -143,3 +143,17 @@ def test_bias_and_difference_read_the_events_once(spark, monkeypatch):
         found = getattr(core, name)(spark, "/root/testdata/sf0.001")
         assert len(read) == 1, name
         assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_snapshots_and_rankers_read_the_events_once(spark, monkeypatch):
+    from recengine.plans import models
+    from recengine.sources import views
+
+    read, listens = [], views.listens_ev
+    monkeypatch.setattr(views, "listens_ev", lambda *a: (read.append(1), listens(*a))[1])
+    monkeypatch.setattr(models, "TREES", 2)
+    for build in (models.training_rows, models.rerank_top_n, models.ranker_logistic):
+        read.clear()
+        found = build(spark, "/root/testdata/sf0.001")
+        assert len(read) == 1, build.__name__
+        assert "events.parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
