@@ -612,3 +612,77 @@ def test_search_is_dealt_over_several_tasks_a_core(spark):
     found = recommend.top_unseen(users, tracks, pairs(spark, [(1, "a")]), 1)
     assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert sorted((r.user_id, r.track_id) for r in found.collect()) == [(1, "b"), (2, "b")]
+
+
+def test_folded_users_are_searched_as_by_joins(spark):
+    """Users folded in by the search have the lists of users folded in by joins; in blocks, in runs that cut no user, with repeated plays, unknown tracks and zero vectors."""
+    rng = np.random.default_rng(17)
+    tracks = spark.createDataFrame([(f"{k:02}", [0.0] * 6 if k % 13 == 0 else [float(x) for x in rng.integers(-2, 4, 6)]) for k in range(60)], "track_id string, vec array<double>")
+    played = [(int(u), f"{k:02}") for u in range(40) for k in rng.integers(0, 70, int(rng.integers(1, 30)))] + [(90, "65"), (91, "00"), (92, "00"), (92, "03")]
+    listens_ = pairs(spark, played)
+    want = recommend.top_unseen(serving.fold_in_users(listens_, tracks, 6), tracks, prepare.pairs(listens_), 5)
+    found = recommend.folded_unseen(listens_, tracks, 5, block=1200)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "sum(" not in plan  # no vector travels for a pair
+    rows = lambda df: sorted((r.user_id, r["rank"], r.track_id, round(r.score, 9)) for r in df.collect())
+    assert rows(found) == rows(want) and {r[0] for r in rows(found)} == {*range(40), 91, 92}
+    doubled = recommend.folded_unseen(listens_, tracks.select("track_id", F.transform("vec", lambda x: x / 2).alias("vec")), 5, made=lambda v: 2 * v)
+    assert rows(doubled) == rows(want)
+
+
+def test_histories_end_where_a_user_ends(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(recommend, "RUN_BYTES", 200)
+    users = np.repeat([3, 4, 7, 8, 9], [2, 50, 1, 1, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(users[k : k + 3]), pa.array([str(x) for x in range(k, min(k + 3, len(users)))])], names=["user_id", "track_id"]) for k in range(0, len(users), 3)]
+    for least in (1, 2, 100):
+        runs = list(recommend._histories(iter(batches), least))
+        assert [x for r in runs for x in r.column("track_id").to_pylist()] == [str(x) for x in range(len(users))]
+        seen = [set(r.column("user_id").to_pylist()) for r in runs]
+        assert sum(map(len, seen)) == 5 and len(runs) > 1
+
+
+def test_an_id_that_is_there_twice_counts_twice():
+    import pyarrow as pa
+
+    block = recommend.Block(pa.array(["a", "b", "b", "c"]), *recommend._distinct(np.array([[1.0, 0], [0, 2], [0, 3], [1, 1]])))
+    vecs, found = recommend._directions(np.array([0, 0, 1]), pa.array(["a", "b", "x"]), iter([block]), 2)
+    assert found.tolist() == [3, 0] and np.allclose(vecs, [[1 / math.sqrt(5), 2 / math.sqrt(5)], [0, 0]])
+    _, where = recommend.nearest(vecs[:1], np.array([0]), pa.array(["b"]), iter([block]), 4)
+    assert where.tolist() == [[3, 0, -1, -1]]
+
+
+def _cone(rng, users, tracks, d=64):
+    lead = np.r_[3.0, np.zeros(d - 1)]
+    return recommend.unit_rows(lead + rng.normal(size=(users, d)) * 0.06), recommend.unit_rows(lead * 0.2 + rng.normal(size=(tracks, d)) * 0.15)
+
+
+def test_nearest_by_a_lead_is_plain_sorting(monkeypatch):
+    """Tracks in order of their part along the users' lead, and users left out by it, change no list; nor do ties, copies and a user without direction."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(23)
+    monkeypatch.setattr(recommend, "TILE", (7, 8))
+    for trial in range(20):
+        monkeypatch.setattr(recommend, "NARROW", (1, 3, 8)[trial % 3])
+        users, tracks = _cone(rng, 30, 150, (2, 5, 64)[trial % 3])
+        if trial % 2:
+            users, tracks = np.round(users * 3), np.round(tracks * 4)
+        users[4] = 0
+        tracks[60:70] = tracks[:10]
+        who, what = np.nonzero(rng.random((30, 150)) < 0.1)
+        ids = [f"{k:03}" for k in range(150)]
+        had = pa.array([ids[k] for k in what], pa.string())
+        a, b = (search(users, who, had, _split(ids, tracks, [70, 71]), 6) for search in (recommend.nearest, recommend.plainly))
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def test_nearest_leaves_out_what_the_lead_excludes(monkeypatch):
+    import pyarrow as pa
+
+    users, tracks = _cone(np.random.default_rng(29), 1024, 40_000)
+    formed, places = [], recommend._places
+    monkeypatch.setattr(recommend, "_places", lambda hit: (formed.append(hit.size), places(hit))[1])
+    recommend.nearest(users, np.array([], np.int64), pa.array([], pa.string()), _split([f"{k:05}" for k in range(len(tracks))], tracks, []), 10)
+    assert sum(formed) < 0.6 * len(users) * len(tracks)
