@@ -686,3 +686,44 @@ def test_nearest_leaves_out_what_the_lead_excludes(monkeypatch):
     monkeypatch.setattr(recommend, "_places", lambda hit: (formed.append(hit.size), places(hit))[1])
     recommend.nearest(users, np.array([], np.int64), pa.array([], pa.string()), _split([f"{k:05}" for k in range(len(tracks))], tracks, []), 10)
     assert sum(formed) < 0.6 * len(users) * len(tracks)
+
+
+def test_a_ranker_writes_its_rows_once_and_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(u, f"t{k}", k, *(float(x) if x > -1.5 else None for x in rng.normal(size=6)), int(rng.random() < 0.2)) for u in range(200) for k in range(1, 21)]
+    names = [f"f{k}" for k in range(6)]
+    df = spark.createDataFrame(rows, "user_id long, track_id string, tt_rank int, " + ", ".join(f"{f} double" for f in names) + ", label int")
+    written, kept_ = [], trees.kept
+    monkeypatch.setattr(tables, "folder", lambda _: f"file://{tmp_path}/recengine")
+    monkeypatch.setattr(trees, "kept", lambda x: written.append(x) or kept_(x))
+    one, two = (trees.fit(df, names, trees=5, depth=2, eta=0.5, least=0.1, subsample=0.7, mean=True, bins=bins) for bins in (32, 300))
+    assert len(written) == 2 and not list((tmp_path / "recengine").iterdir())  # the bins of each, and no copy for each tree
+    monkeypatch.setattr(trees, "FOLDED", 2)
+    folded = trees.fit(df, names, trees=5, depth=2, eta=0.5, least=0.1, subsample=0.7, mean=True)
+    assert len(written) == 5 and not list((tmp_path / "recengine").iterdir())
+    assert [t.feature for t in folded] == [t.feature for t in one] and np.allclose([x for t in folded for x in t.value], [x for t in one for x in t.value])
+    assert max(x.max() for x in map(np.array, (t.feature for t in two))) >= 0
+    once = df.where(F.pmod(F.xxhash64(F.lit(0), F.lit(3), "user_id", "track_id"), F.lit(1 << 20)) < int(0.7 * (1 << 20))).count()
+    drawn = df.groupBy("user_id").agg(F.collect_list("track_id").alias("track_id")).select(F.explode(trees._drawn(0, 3, 0.7)).alias("d"))
+    assert drawn.where("d").count() == once  # the draw is by row and tree
+    # gradients of packed rows are those of the window form
+    score = rng.normal(size=len(rows)).round(1)
+    with_score = spark.createDataFrame([(r[0], r[1], r[2], r[-1], float(s)) for r, s in zip(rows, score, strict=True)], "user_id long, track_id string, tt_rank int, label int, _score double")
+    for mean in (False, True):
+        want = trees.gradients(with_score, "ndcg", mean=mean).orderBy("user_id", "tt_rank").select("_g", "_h").collect()
+        for pairs_ in (1 << 20, 50):
+            monkeypatch.setattr(trees, "PAIRS", pairs_)
+            g, h = trees._lambdas(np.full(200, 20), score, np.array([r[-1] for r in rows]), np.array([float(r[2]) for r in rows]), mean)
+            assert np.allclose(g, [r[0] for r in want], atol=1e-12) and np.allclose(h, [r[1] for r in want], atol=1e-12)
+
+
+def test_stages_by_ndcg_are_those_of_the_lists(spark):
+    rng = np.random.default_rng(6)
+    rows = [(u, f"t{k:02}", k, float(x := rng.normal()), float(rng.normal()), int(x + rng.normal() > 1.2)) for u in range(40) for k in range(1, 16)]
+    df = spark.createDataFrame(rows, "user_id long, track_id string, tt_rank int, signal double, noise double, label int")
+    fitted = trees.fit(df, ["signal", "noise"], trees=4, depth=2, eta=0.5, least=0.1)
+    rel = df.where("label = 1").select("user_id", "track_id").union(spark.createDataFrame([(u, "far") for u in range(30, 44)], "user_id long, track_id string"))
+    pool = F.col("tt_rank") <= 12
+    measure = lambda scored: evaluate.per_user(recommend.rerank(scored, "model", pool), rel, rel.limit(0), [10]).agg(F.avg("ndcg_10")).first()[0]
+    (best, seen), (got, found) = trees.staged(fitted, ["signal", "noise"], df, 2, measure), trees.staged_ndcg(fitted, ["signal", "noise"], df, 2, 10, pool, rel)
+    assert best == got and [n for n, _ in seen] == [n for n, _ in found] and np.allclose([x for _, x in seen], [x for _, x in found])
