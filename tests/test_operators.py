@@ -727,3 +727,32 @@ def test_stages_by_ndcg_are_those_of_the_lists(spark):
     measure = lambda scored: evaluate.per_user(recommend.rerank(scored, "model", pool), rel, rel.limit(0), [10]).agg(F.avg("ndcg_10")).first()[0]
     (best, seen), (got, found) = trees.staged(fitted, ["signal", "noise"], df, 2, measure), trees.staged_ndcg(fitted, ["signal", "noise"], df, 2, 10, pool, rel)
     assert best == got and [n for n, _ in seen] == [n for n, _ in found] and np.allclose([x for _, x in seen], [x for _, x in found])
+
+
+def test_a_snapshot_s_rows_travel_once_and_without_vectors(spark):
+    rng = np.random.default_rng(7)
+    hist = listens(spark, [(u, f"t{t}") for u in range(12) for t in range(9) if (u * 7 + t * 5) % 4 == 0])
+    tracks = spark.createDataFrame([(f"t{t}", f"a{t % 3}" if t != 8 else None, f"b{t % 4}") for t in range(9)], "track_id string, artist string, album string")
+    v = spark.createDataFrame([(f"t{t}", *(rng.normal(size=k).tolist() for k in (4, 3, 2, 2, 3))) for t in range(9) if t != 7], "track_id string, tt array<double>, als array<double>, audio array<double>, lyrics array<double>, genres array<double>")
+    found = spark.createDataFrame([(u, f"t{t}", 1.0 - t / 10, t + 1) for u in range(13) for t in range(9)], "user_id long, track_id string, score double, rank int")
+    got = features.snapshot(found, hist, tracks, v, None, {"tt": 4, "audio": 2, "lyrics": 2, "genres": 3})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    rows = {(r.user_id, r.track_id): r for r in got.collect()}
+    assert len(rows) == 13 * 8 and all(rows[12, t].user_tracks is None and rows[12, t].als_z == 0.0 and rows[12, t].sim_audio is None and rows[12, t].artist_tracks == 0.0 for t in ("t0", "t8"))
+    given = features.snapshot(found, hist, tracks, v, serving.fold_in_users(hist, v.select("track_id", F.col("als").alias("vec")), 3), {"tt": 4, "audio": 2, "lyrics": 2, "genres": 3})
+    for r in given.collect():
+        for f in features.FEATURES:
+            a, b = r[f], rows[r.user_id, r.track_id][f]
+            assert a is None and b is None or abs(a - b) < 1e-9, f
+    labels = listens(spark, [(u, f"t{t}") for u in (2, 5) for t in (u, 8)])
+    some = features.snapshot(found, hist, tracks, v, None, {"tt": 4, "audio": 2, "lyrics": 2, "genres": 3}, labels=labels, trained=5)
+    assert sorted((r.user_id, r.track_id, r.label) for r in some.collect()) == sorted((2, f"t{t}", int(t == 2)) for t in range(5))  # t5 is the sixth place
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    tables.kept(df)
+    assert files() <= before
