@@ -756,3 +756,13 @@ def test_a_written_table_leaves_no_shuffle_behind(spark):
     before = files()
     tables.kept(df)
     assert files() <= before
+
+
+def test_a_ranker_keeps_nothing_of_its_training_snapshot(spark, tmp_path, monkeypatch):
+    from recengine.plans import models
+
+    monkeypatch.setattr(models, "_candidates", lambda spark, *_, trained=None, **__: tables.kept(spark.range(8).selectExpr("id AS user_id", "'t' AS track_id", "1 AS tt_rank", "cast(id % 2 AS int) AS label", *(f"1.0D * id AS {f}" for f in features.FEATURES if f != "tt_rank"))))
+    monkeypatch.setattr(tables, "folder", lambda _: "/".join([f"file://{tmp_path}", *tables._INNER]))
+    rows, fitted, _ = models._ranked(spark, "/root/testdata/sf0.001", "logistic")
+    assert len(fitted) in (2, 4, 6) and rows.count() == 8
+    assert len(list(tmp_path.iterdir())) == 2  # the listens with their slices, and the rows to be ranked
